@@ -145,8 +145,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     # every tile of candidates meets every tile of queries once; the tiles' sizes are fixed, their numbers grow
     across = _tiles(candidates, CANDIDATES)
     down = _tiles(asked, QUERIES)
-    left = candidates.withColumn("s", F.pmod(F.xxhash64("c"), F.lit(across))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).cast("long"))
-    right = asked.withColumn("t", F.pmod(F.xxhash64("q"), F.lit(down))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long"))
+    left = candidates.withColumn("s", F.pmod(F.xxhash64("c"), F.lit(across))).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+    right = asked.withColumn("t", F.pmod(F.xxhash64("q"), F.lit(down))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
 
     def meet(held: pa.Table, queries: pa.Table) -> pa.Table:
         if not held.num_rows or not queries.num_rows:
