@@ -57,3 +57,18 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def with_carried(docs: DataFrame, columns: list, carry: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
+    """docs with the columns that an operator reads first and the carried ones after them as _0, _1, ...; their names and
+    types for a schema. Carried columns go through a map as they are, so that no join must bring them back."""
+    kinds = dict(docs.dtypes)
+    names = [f"_{k}" for k in range(len(carry))]
+    picked = docs.select(*columns, *(docs[c].alias(n) for c, n in zip(carry, names)))
+    return picked, names, "".join(f", {n} {kinds[c]}" for c, n in zip(carry, names))
+
+
+def carried(df: DataFrame, carry: tuple[str, ...], drop: tuple[str, ...] = ()) -> DataFrame:
+    """The result of a map with its carried columns under their own names, in place of the operator's columns of those names."""
+    own = [c for c in df.columns if not c.startswith("_") and c not in drop and c not in carry]
+    return df.select(*own, *(df[f"_{k}"].alias(c) for k, c in enumerate(carry)))

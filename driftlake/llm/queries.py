@@ -11,7 +11,8 @@ from driftlake.llm.secret_scan import op3_secret_scan
 from driftlake.llm.simhash import op7_simhash
 from driftlake.llm.substring_dedup import op1_substring_dedup
 from driftlake.llm.topk_search import op9_topk_search
+from driftlake.llm.toxicity import op6_toxicity
 from driftlake.llm.warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_secret_scan, op4_byte_bpe, op5_license_scan, op7_simhash, op8_jpeg_media, op9_topk_search, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_secret_scan, op4_byte_bpe, op5_license_scan, op6_toxicity, op7_simhash, op8_jpeg_media, op9_topk_search, op10_packing)}
 ORACLE_SQL = {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op9_topk_search": topk_search.ORACLE_SQL}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.llm.common import table
+from driftlake.llm.common import carried, table, with_carried
 from driftlake.llm.textbytes import mix, powers, slices, utf8, word_hashes, word_spans
 
 WINDOW = 20
@@ -287,8 +287,8 @@ def marked_leaves(rows: pa.Table) -> pa.Table:
     return _rows(out, _MARK_ROWS)
 
 
-def kept_words(docs: pa.Table, marks: pa.Table, routes: np.ndarray, window: int) -> pa.Table:
-    """(id, n_words, n_removed, kept) of a bucket's documents."""
+def kept_words(docs: pa.Table, marks: pa.Table, routes: np.ndarray, window: int, more: list[str]) -> pa.Table:
+    """(id, n_words, n_removed, kept) of a bucket's documents, and further columns of theirs."""
     flagged = [h for h in marks.column("hashes").to_pylist() if h]
     bits = {p: b for p, b in zip(marks.column("part").to_pylist(), marks.column("bits").to_pylist()) if b}
     bucket = Bucket(docs, _joined(flagged, np.uint64), routes, window)
@@ -318,14 +318,14 @@ def kept_words(docs: pa.Table, marks: pa.Table, routes: np.ndarray, window: int)
     out[target] = own.data[source]
     offsets = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(n_kept)])]
     text = pa.LargeStringArray.from_buffers(len(n_words), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
-    return pa.table({"id": bucket.docs.column("id"), "n_words": n_words, "n_removed": n_words - n_kept, "kept": text})
+    return pa.table({"id": bucket.docs.column("id"), "n_words": n_words, "n_removed": n_words - n_kept, "kept": text} | {c: bucket.docs.column(c) for c in more})
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words, n_removed, kept): each document without the words of windows that also start earlier in docs.
 
-    kept: the remaining words joined by one space."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept: the remaining words joined by one space. With carry, these columns of docs come too."""
+    docs, more, kinds = with_carried(docs, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], carry)
     found = prefix_counts(docs, window, SLOTS).collect()  # as many rows as there are slots and levels
     n_words, n_bytes = (next((r["n"] for r in found if (r["level"], r["slot"]) == (-1, k)), 0) for k in (0, 1))
     slots = SLOTS
@@ -344,11 +344,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = anchors.groupBy("part").applyInArrow(repeated_anchors, _ddl(_MARK_ROWS))
     suffixes = dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(lambda d, m: suffixes_of(d, m, routes, window), _ddl(_SUFFIX_ROWS))
     marks = repeated.unionByName(suffixes.groupBy("part").applyInArrow(marked_leaves, _ddl(_MARK_ROWS)))
-    out = dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(lambda d, m: kept_words(d, m, routes, window) if d.num_rows else _NOTHING, "id long, n_words long, n_removed long, kept string")
-    return out.withColumnRenamed("id", id_col)
-
-
-_NOTHING = pa.table({"id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
+    out = dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(lambda d, m: kept_words(d, m, routes, window, more), f"id long, n_words long, n_removed long, kept string{kinds}")
+    return carried(out.withColumnRenamed("id", id_col), carry)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

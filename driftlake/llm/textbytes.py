@@ -13,7 +13,7 @@ import pyarrow as pa
 SLICE_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE_CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -104,7 +104,7 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE_CODES[data], starts, ends)
+    return span_hashes(BYTE_CODES[data], starts, ends)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
