@@ -15,7 +15,13 @@ from driftlake.functions.columns import chisq_sf, f_sf, finite, kolmogorov_sf, n
 from driftlake.operators.basics import excess_kurtosis, tied_ranks
 from driftlake.operators.series import median, with_stats
 
-_A, _B = F.col("side") == "a", F.col("side") == "b"
+
+def _a() -> Column:
+    return F.col("side") == "a"
+
+
+def _b() -> Column:
+    return F.col("side") == "b"
 
 
 def split(df: DataFrame, first: Column) -> DataFrame:
@@ -25,7 +31,7 @@ def split(df: DataFrame, first: Column) -> DataFrame:
 
 def _counted(pooled: DataFrame) -> DataFrame:
     """(series, value, ca, cb, na, nb, ua, ub): counts at each value, in all, and up to it."""
-    counts = pooled.groupBy("series", "value").agg(F.count(F.when(_A, 1)).alias("ca"), F.count(F.when(_B, 1)).alias("cb"))
+    counts = pooled.groupBy("series", "value").agg(F.count(F.when(_a(), 1)).alias("ca"), F.count(F.when(_b(), 1)).alias("cb"))
     whole, upto = Window.partitionBy("series"), Window.partitionBy("series").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     return counts.withColumns({"na": F.sum("ca").over(whole), "nb": F.sum("cb").over(whole), "ua": F.sum("ca").over(upto), "ub": F.sum("cb").over(upto)})
 
@@ -47,13 +53,13 @@ def wasserstein(pooled: DataFrame) -> DataFrame:
     """(series, w): mean difference of matched quantiles, as many as the larger sample has values."""
     own = Window.partitionBy("series", "side")
     ranked = pooled.withColumn("r", F.row_number().over(own.orderBy("value")) - 1).withColumn("n", F.count("*").over(own))
-    sizes = pooled.groupBy("series").agg(F.count(F.when(_A, 1)).alias("na"), F.count(F.when(_B, 1)).alias("nb")).where("na > 0 and nb > 0")
+    sizes = pooled.groupBy("series").agg(F.count(F.when(_a(), 1)).alias("na"), F.count(F.when(_b(), 1)).alias("nb")).where("na > 0 and nb > 0")
     n = F.greatest("na", "nb")
     places = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     at = lambda size: F.floor(F.col("i") * (F.col(size) - 1) / F.greatest(n - 1, F.lit(1))).cast("long")
     places = places.withColumn("ra", at("na")).withColumn("rb", at("nb"))
-    a = ranked.where(_A).select("series", F.col("r").cast("long").alias("ra"), F.col("value").alias("va"))
-    b = ranked.where(_B).select("series", F.col("r").cast("long").alias("rb"), F.col("value").alias("vb"))
+    a = ranked.where(_a()).select("series", F.col("r").cast("long").alias("ra"), F.col("value").alias("va"))
+    b = ranked.where(_b()).select("series", F.col("r").cast("long").alias("rb"), F.col("value").alias("vb"))
     return places.join(a, ["series", "ra"]).join(b, ["series", "rb"]).groupBy("series").agg(F.avg(F.abs(F.col("va") - F.col("vb"))).alias("w"))
 
 
@@ -69,9 +75,9 @@ def energy(pooled: DataFrame) -> DataFrame:
 
 def jensen_shannon(pooled: DataFrame, bins: int = 20) -> DataFrame:
     """(series, js): Jensen-Shannon divergence of histograms over the joint range, in nats."""
-    own = with_stats(pooled, lo=F.min("value"), hi=F.max("value"), na=F.count(F.when(_A, 1)), nb=F.count(F.when(_B, 1)))
+    own = with_stats(pooled, lo=F.min("value"), hi=F.max("value"), na=F.count(F.when(_a(), 1)), nb=F.count(F.when(_b(), 1)))
     bin_ = F.when(F.col("hi") == F.col("lo"), 1).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins) + 1, F.lit(bins)))
-    h = own.groupBy("series", bin_.alias("bin")).agg((F.count(F.when(_A, 1)) / F.first("na")).alias("p"), (F.count(F.when(_B, 1)) / F.first("nb")).alias("q"))
+    h = own.groupBy("series", bin_.alias("bin")).agg((F.count(F.when(_a(), 1)) / F.first("na")).alias("p"), (F.count(F.when(_b(), 1)) / F.first("nb")).alias("q"))
     m = (F.col("p") + F.col("q")) / 2
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.ln(F.when(F.col(x) > 0, F.col(x) / m))).otherwise(0.0)
     return h.groupBy("series").agg((F.sum(part("p")) / 2 + F.sum(part("q")) / 2).alias("js"))
@@ -79,7 +85,7 @@ def jensen_shannon(pooled: DataFrame, bins: int = 20) -> DataFrame:
 
 def welch(pooled: DataFrame) -> DataFrame:
     """(series, t, df, p)."""
-    m = pooled.groupBy("series").agg(*(f.alias(k + s) for s, c in (("a", _A), ("b", _B)) for k, f in (("n", F.count(F.when(c, 1))), ("m", F.avg(F.when(c, F.col("value")))), ("v", F.var_samp(F.when(c, F.col("value")))))))
+    m = pooled.groupBy("series").agg(*(f.alias(k + s) for s, c in (("a", _a()), ("b", _b())) for k, f in (("n", F.count(F.when(c, 1))), ("m", F.avg(F.when(c, F.col("value")))), ("v", F.var_samp(F.when(c, F.col("value")))))))
     a, b = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
     ok = (F.col("na") >= 2) & (F.col("nb") >= 2) & (a + b > 0)
     m = m.withColumn("t", F.when(ok, (F.col("ma") - F.col("mb")) / F.sqrt(a + b)).otherwise(0.0))
@@ -89,7 +95,7 @@ def welch(pooled: DataFrame) -> DataFrame:
 
 def mann_whitney(pooled: DataFrame) -> DataFrame:
     """(series, u, z, p): normal approximation without corrections for ties or continuity."""
-    r = tied_ranks(pooled).groupBy("series").agg(F.count(F.when(_A, 1)).cast("double").alias("n"), F.count(F.when(_B, 1)).cast("double").alias("m"), F.sum(F.when(_A, F.col("rank"))).alias("ra"))
+    r = tied_ranks(pooled).groupBy("series").agg(F.count(F.when(_a(), 1)).cast("double").alias("n"), F.count(F.when(_b(), 1)).cast("double").alias("m"), F.sum(F.when(_a(), F.col("rank"))).alias("ra"))
     r = r.where("n > 0 and m > 0").withColumn("u", F.col("ra") - F.col("n") * (F.col("n") + 1) / 2)
     r = r.withColumn("z", (F.col("u") - F.col("n") * F.col("m") / 2) / F.sqrt(F.col("n") * F.col("m") * (F.col("n") + F.col("m") + 1) / 12))
     return r.select("series", "u", "z", (2 * normal_sf(F.abs("z"))).alias("p"))
@@ -124,7 +130,7 @@ def compare_distribution(pooled: DataFrame) -> DataFrame:
     """(series, method, distance): fewer than 20 values in a sample: ks; heavy tails: energy; else wasserstein.
 
     Both samples need five values; series with fewer are left out."""
-    sizes = pooled.groupBy("series").agg(F.count(F.when(_A, 1)).alias("na"), F.count(F.when(_B, 1)).alias("nb"), F.greatest(excess_kurtosis(F.when(_A, F.col("value"))), excess_kurtosis(F.when(_B, F.col("value")))).alias("k")).where("na >= 5 and nb >= 5")
+    sizes = pooled.groupBy("series").agg(F.count(F.when(_a(), 1)).alias("na"), F.count(F.when(_b(), 1)).alias("nb"), F.greatest(excess_kurtosis(F.when(_a(), F.col("value"))), excess_kurtosis(F.when(_b(), F.col("value")))).alias("k")).where("na >= 5 and nb >= 5")
     method = F.when(F.least("na", "nb") < 20, "ks").when(F.col("k") > 3, "energy").otherwise("wasserstein")
     routed = pooled.join(sizes.select("series", method.alias("method")), "series")
     parts = [f(routed.where(F.col("method") == m)).select("series", F.lit(m).alias("method"), F.col(c).alias("distance")) for m, f, c in (("ks", ks, "d"), ("energy", energy, "e"), ("wasserstein", wasserstein, "w"))]

@@ -10,13 +10,14 @@ from driftlake.operators import basics as ops
 from driftlake.operators.series import from_table, valid
 from driftlake.plans.base import T, U, by_type, by_user, query, rounded, table
 
-#: Values that a sensor could not give: every thirteenth is null, every seventeenth NaN, every nineteenth infinite.
-_HOLES = F.when(F.col("seq") % 13 == 0, F.lit(None)).when(F.col("seq") % 17 == 0, F.lit(float("nan"))).when(F.col("seq") % 19 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
 _HOLES_SQL = "CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'nan'::DOUBLE WHEN event_id % 19 = 0 THEN 'inf'::DOUBLE ELSE value END"
 
 
 def with_holes(spark, sf):
-    return by_type(spark, sf).withColumn("value", _HOLES)
+    """Values that a sensor could not give: every thirteenth is null, every seventeenth NaN, every nineteenth infinite."""
+    seq = F.col("seq")
+    holes = F.when(seq % 13 == 0, F.lit(None)).when(seq % 17 == 0, F.lit(float("nan"))).when(seq % 19 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return by_type(spark, sf).withColumn("value", holes)
 
 
 @query("valid_filter", f"SELECT event_type AS series, event_id AS seq, value FROM (SELECT event_type, event_id, {_HOLES_SQL} AS value FROM events) WHERE value IS NOT NULL AND isfinite(value)")
