@@ -145,16 +145,23 @@ def four_parameter(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     p = np.array([y.min(), y.max(), np.median(x[x > 0]) if (x > 0).any() else 1.0, 1.0])
     ax = np.maximum(x, 1e-9)
     for _ in range(steps):
-        power = (ax / p[2]) ** p[3]
+        power = np.exp(np.clip(p[3] * np.log(ax / p[2]), -60, 60))
         fit = p[1] + (p[0] - p[1]) / (1 + power)
         slope = (p[0] - p[1]) * power / (1 + power) ** 2
         jacobian = np.stack([1 / (1 + power), 1 - 1 / (1 + power), slope * p[3] / p[2], -slope * np.log(ax / p[2])], 1)
         step, *_ = np.linalg.lstsq(jacobian, y - fit, rcond=None)
-        p = p + 0.5 * step
+        to = p + 0.5 * step
+        if not np.isfinite(to).all() or np.abs(to).max() > 1e12:
+            break
+        p = to
         p[2], p[3] = max(p[2], 1e-9), min(max(p[3], 1e-3), 50.0)
     return p
 
 
+def logistic_at(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return p[1] + (p[0] - p[1]) / (1 + np.exp(np.clip(p[3] * np.log(np.maximum(x, 1e-9) / p[2]), -60, 60)))
+
+
 def curve_fits(pairs: DataFrame, model: str) -> DataFrame:
     """(series, k, x, y, fit) of models that need a series' pairs together: spline, fourpl."""
     kinds = dict(pairs.dtypes)
@@ -164,8 +171,7 @@ def curve_fits(pairs: DataFrame, model: str) -> DataFrame:
         if model == "spline" and len(np.unique(x)) >= 3:
             fit = spline_at(*natural_spline(x, y), x)
         elif model == "fourpl" and len(x) >= 4:
-            p = four_parameter(x, y)
-            fit = p[1] + (p[0] - p[1]) / (1 + (np.maximum(x, 1e-9) / p[2]) ** p[3])
+            fit = logistic_at(four_parameter(x, y), x)
         else:
             slope = np.polyfit(x, y, 1) if len(np.unique(x)) > 1 else np.array([0.0, y.mean()])
             fit = np.polyval(slope, x)

@@ -105,18 +105,19 @@ def analyze(df: DataFrame, events: DataFrame | None = None, lot: str | None = No
     base = df.groupBy("series").agg(F.count("*").alias("rows"), missing_fraction(F.col("value")).alias("missing"))
     out = base.join(valid(df).groupBy("series").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")), "series", "left")
     flagged = qc.outliers(df).groupBy("series").agg(F.count(F.when(F.col("is_outlier"), 1)).alias("n_outliers"))
+    kinds = drift.results_of_all(df)
     changes = cp.likelihood(df).select("series", F.col("detected").alias("change"), F.get("indices", F.lit(0)).alias("change_index"))
-    drifts = drift.detect_drift(df).select("series", F.col("kind").alias("drift_kind"), F.col("detected").alias("drift"), F.col("probability").alias("drift_probability"), F.col("direction").alias("drift_direction"), F.col("start_index").alias("drift_index"))
-    variances = drift.variance(df).select("series", F.when(F.col("detected"), F.least(F.lit(1.0), F.abs(F.col("magnitude")))).otherwise(0.0).alias("variance_penalty"))
+    drifts = drift.best_of(kinds).select("series", F.col("kind").alias("drift_kind"), F.col("detected").alias("drift"), F.col("probability").alias("drift_probability"), F.col("direction").alias("drift_direction"), F.col("start_index").alias("drift_index"))
+    variances = kinds["variance"].select("series", F.when(F.col("detected"), F.least(F.lit(1.0), F.abs(F.col("magnitude")))).otherwise(0.0).alias("variance_penalty"))
     own = running(valid(df), {"_z": F.lit(0.0)}).where("n >= 16")
     side = F.when(F.col("i") <= F.greatest(F.lit(8), F.floor(F.col("n") / 3)), "a").otherwise("b")
     distance = ts.compare_distribution(own.select("series", side.alias("side"), "value")).select("series", F.least(F.lit(1.0), F.col("distance")).alias("distribution_penalty"))
     for part in (flagged, changes, drifts, variances, distance):
-        out = out.join(part, "series", "left")
+        out = out.join(part.persist(), "series", "left")  # one row a series, and an end to this part's plan
     if "control" in df.columns:
         controls = df.where("control").join(df.where(F.col("control") & finite(F.col("value"))).groupBy("series").agg(F.count("*").alias("_c")).where("_c >= 5").select("series"), "series", "left_semi")
         bad = qc.monitor(controls, qc.spec_of(controls)).where(F.col("severity").isin("warning", "critical")).groupBy("series").agg((F.count("*") / float(len(qc.SEVERITY))).alias("qc_penalty"))
-        out = out.join(bad, "series", "left")
+        out = out.join(bad.persist(), "series", "left")
     else:
         out = out.withColumn("qc_penalty", F.lit(0.0))
     p = F.coalesce("drift_probability", F.lit(0.0))

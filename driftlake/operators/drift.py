@@ -44,9 +44,9 @@ def _residuals(points: DataFrame) -> DataFrame:
     return points.join(theil_sen(points), "series").withColumn("e", F.col("y") - F.col("intercept") - F.col("slope") * F.col("x"))
 
 
-def linear(df: DataFrame, by_index: bool = False) -> DataFrame:
+def linear(df: DataFrame, by_index: bool = False, lines: DataFrame | None = None) -> DataFrame:
     """Theil-Sen slope against its approximate standard error."""
-    own = _residuals(_timed(df, by_index)).groupBy("series").agg(
+    own = (lines if lines is not None else _residuals(_timed(df, by_index))).groupBy("series").agg(
         F.first("slope").alias("slope"), F.stddev_samp("e").alias("se"), F.stddev_samp("x").alias("sx"), F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("span"), F.avg("y").alias("mean")
     )
     sigma = F.when(F.coalesce("se", F.lit(0.0)) == 0, 1.0).otherwise(F.col("se"))
@@ -58,9 +58,9 @@ def linear(df: DataFrame, by_index: bool = False) -> DataFrame:
     return _result(own, "linear", detected, probability, magnitude, direction(F.col("slope")), F.lit(1), F.col("n"))
 
 
-def nonlinear(df: DataFrame, by_index: bool = False) -> DataFrame:
+def nonlinear(df: DataFrame, by_index: bool = False, lines: DataFrame | None = None) -> DataFrame:
     """Whether a least-squares parabola leaves much less than the Theil-Sen line does. From moments of centred times."""
-    own = with_stats(_residuals(_timed(df, by_index)), mx=F.avg("x"), my=F.avg("y"))
+    own = with_stats(lines if lines is not None else _residuals(_timed(df, by_index)), mx=F.avg("x"), my=F.avg("y"))
     u, v = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     m = own.groupBy("series").agg(
         F.sum(F.col("e") ** 2).alias("r1"), F.sum(u * u).alias("s2"), F.sum(u * u * u).alias("s3"), F.sum(u * u * u * u).alias("s4"), F.sum(u * v).alias("uy"), F.sum(u * u * v).alias("uuy"),
@@ -138,9 +138,19 @@ def detect_drift(df: DataFrame, kind: str = "auto") -> DataFrame:
         if kind not in KINDS:
             raise ValueError(f"no drift kind {kind!r}")
         return KINDS[kind](df)
+    return best_of(results_of_all(df))
+
+
+def results_of_all(df: DataFrame) -> dict[str, DataFrame]:
+    """Each kind's results, kept for the session: one row a series, read more than once by what builds on them."""
+    lines = _residuals(_timed(df, False)).persist()
+    return {k: (f(df, lines=lines) if k in ("linear", "nonlinear") else f(df)).persist() for k, f in KINDS.items()}
+
+
+def best_of(results: dict[str, DataFrame]) -> DataFrame:
     out = None
-    for order, (name, detector) in enumerate(KINDS.items()):
-        own = detector(df).withColumn("_order", F.lit(order))
+    for order, (name, found) in enumerate(results.items()):
+        own = found.withColumn("_order", F.lit(order))
         own = own.where(F.col("n") >= {"cyclic": 16, "nonlinear": 20}.get(name, 0))
         out = own if out is None else out.unionByName(own)
     best = Window.partitionBy("series").orderBy(F.desc(F.round("probability", 9)), "_order")

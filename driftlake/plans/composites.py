@@ -93,11 +93,10 @@ def analyze(spark, sf):
 
 @query("panel")
 def panel(spark, sf):
-    """A report for each event type, together with the panel's worst status."""
-    e = by_type(spark, sf).withColumn("control", F.col("seq") % 10 == 0)
-    reports = composite.analyze(e.drop("user_id")).withColumn("panel", F.lit("events"))
-    worst = composite.worst_status(reports, "panel").withColumnRenamed("status", "panel_status")
-    return rounded(reports.select("panel", "series", "n", "mean", "drift_kind", "drift", "score", "status").join(worst, "panel"))
+    """Panels of users: how many reports each has, their mean score and their worst status."""
+    reports = composite.analyze(by_user(spark, sf)).withColumn("panel", F.col("series") % 7)
+    scores = reports.groupBy("panel").agg(F.count("*").alias("reports"), F.avg("score").alias("mean_score"), F.count(F.when(F.col("drift"), 1)).alias("drifting"))
+    return rounded(scores.join(composite.worst_status(reports, "panel"), "panel"))
 
 
 @query("provenance_edges")

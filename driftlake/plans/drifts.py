@@ -37,8 +37,8 @@ def linear(spark, sf):
 
 @query("drift_nonlinear", f"""WITH {_LINE}, m AS (SELECT *, x - avg(x) OVER w AS u, y - avg(y) OVER w AS v, avg(y) OVER w AS my FROM q WINDOW w AS (PARTITION BY series)),
 a AS (SELECT series, sum(e * e) AS r1, sum(u * u) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(u * v) AS uy, sum(u * u * v) AS uuy, sum(v * v) AS yy, count(*) AS n, max(x) - min(x) AS span, any_value(my) AS m FROM m GROUP BY series),
-b AS (SELECT *, s4 - s2 * s2 / n - s3 * s3 / s2 AS qq, uuy - s3 / s2 * uy AS qy FROM a), c AS (SELECT *, qy / qq AS cv, yy - uy * uy / s2 - qy * qy / qq AS r2 FROM b),
-f AS (SELECT *, (r1 - r2) / (r2 / greatest(n - 3, 1)) AS f FROM c), d AS (SELECT *, n >= 8 AND f > 6 AND r2 < 0.92 * r1 AS detected FROM f)
+b AS (SELECT *, s4 - s2 * s2 / n - s3 * s3 / s2 AS qq, uuy - s3 / s2 * uy AS qy FROM a), h AS (SELECT *, qy / qq AS cv, yy - uy * uy / s2 - qy * qy / qq AS r2 FROM b),
+f AS (SELECT *, (r1 - r2) / (r2 / greatest(n - 3, 1)) AS f FROM h), d AS (SELECT *, n >= 8 AND f > 6 AND r2 < 0.92 * r1 AS detected FROM f)
 SELECT series, 'nonlinear' AS kind, detected, round(CASE WHEN n < 8 THEN 0 WHEN detected THEN least(0.95, 0.5 + f / 40) ELSE 0.15 END, 5) AS probability, round(cv * span ** 2 / abs(m), 5) + 0.0 AS magnitude, {_way('cv')} AS direction, 1::BIGINT AS start_index, n FROM d""")
 def nonlinear(spark, sf):
     return shown(drift.nonlinear(by_user(spark, sf)))

@@ -225,7 +225,7 @@ def partitions(spark, sf):
     return rounded(reference.partitions(r), 5)
 
 
-@query("reference_curve", f"WITH {_R}, s AS (SELECT series, count(*) AS n, min(covariate) AS lo, max(covariate) AS hi FROM r GROUP BY series), g AS (SELECT series, n, lo + (hi - lo) * k / (least(50, n) - 1) AS at, k FROM (SELECT *, unnest(range(0, least(50, n))) AS k FROM s)), d AS (SELECT r.series, k, at, n, value, row_number() OVER (PARTITION BY r.series, k ORDER BY abs(covariate - at), covariate, seq) AS i FROM r JOIN g ON g.series = r.series) SELECT series, k::INTEGER AS point, round(any_value(at), 4) AS covariate, count(*) AS n_local, round(quantile_cont(value, 0.025), 4) AS q0_025, round(quantile_cont(value, 0.5), 4) AS q0_5, round(quantile_cont(value, 0.975), 4) AS q0_975 FROM d WHERE i <= greatest(8, round_even(n * 0.3::DOUBLE, 0)) GROUP BY series, k")
+@query("reference_curve", f"WITH {_R}, s AS (SELECT series, count(*) AS n, min(covariate) AS lo, max(covariate) AS hi FROM r GROUP BY series), g AS (SELECT series, n, lo + (hi - lo) * k / (least(50, n) - 1) AS pos, k FROM (SELECT *, unnest(range(0, least(50, n))) AS k FROM s)), d AS (SELECT r.series, k, pos, n, value, row_number() OVER (PARTITION BY r.series, k ORDER BY abs(covariate - pos), covariate, seq) AS i FROM r JOIN g ON g.series = r.series) SELECT series, k::INTEGER AS point, round(any_value(pos), 4) AS covariate, count(*) AS n_local, round(quantile_cont(value, 0.025), 4) AS q0_025, round(quantile_cont(value, 0.5), 4) AS q0_5, round(quantile_cont(value, 0.975), 4) AS q0_975 FROM d WHERE i <= greatest(8, round_even(n * 0.3::DOUBLE, 0)) GROUP BY series, k")
 def reference_curve(spark, sf):
     return rounded(reference.reference_curve(results(spark, sf)), 4)
 
@@ -255,4 +255,7 @@ def surrogate_time(spark, sf):
 
 @query("study")
 def study(spark, sf):
-    return rounded(sites.study(sited(spark, sf)))
+    """Each user a study of three sites."""
+    from driftlake.plans.base import by_user
+
+    return rounded(sites.study(by_user(spark, sf).withColumn("site", F.concat(F.lit("site"), (F.col("seq") % 3).cast("string")))))
