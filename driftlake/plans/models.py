@@ -191,11 +191,11 @@ def results(spark, sf):
 
 _POWER = "g AS (SELECT unnest(range(-40, 41)) AS k), y AS (SELECT series, k, round(k * 0.05::DOUBLE, 10) AS l, value AS x FROM r, g), f AS (SELECT series, k, any_value(l) AS pw, (any_value(l) - 1.0::DOUBLE) * sum(ln(x)) - count(*) / 2.0::DOUBLE * ln(var_samp(CASE WHEN abs(l) < 1e-8 THEN ln(x) ELSE (pow(x, l) - 1.0::DOUBLE) / nullif(l, 0) END)) AS ll FROM y GROUP BY series, k), b AS (SELECT series, pw FROM f QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(ll, 7) DESC, k) = 1)"
 _INTERVALS = {
-    "nonparametric": "SELECT series, {m}, count(*) AS n, round(quantile_cont(value, 0.025), 4) AS lower, round(quantile_cont(value, 0.975), 4) AS upper FROM r GROUP BY series",
+    "nonparametric": "SELECT series, {m}, count(*) AS n, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper FROM r GROUP BY series",
     "parametric": "SELECT series, {m}, count(*) AS n, round(avg(value) - 1.96 * stddev_samp(value), 4) AS lower, round(avg(value) + 1.96 * stddev_samp(value), 4) AS upper FROM r GROUP BY series",
     "robust": "SELECT series, {m}, count(*) AS n, round(any_value(d) - 1.96 * 1.4826::DOUBLE * median(abs(value - d)), 4) AS lower, round(any_value(d) + 1.96 * 1.4826::DOUBLE * median(abs(value - d)), 4) AS upper FROM (SELECT *, median(value) OVER (PARTITION BY series) AS d FROM r) GROUP BY series",
     "transformed": "SELECT series, {m}, count(*) AS n, round(exp(avg(ln(value)) - 1.96 * stddev_samp(ln(value))), 4) AS lower, round(exp(avg(ln(value)) + 1.96 * stddev_samp(ln(value))), 4) AS upper FROM r GROUP BY series",
-    "horn": "SELECT r.series, {m}, any_value(n) AS n, round(quantile_cont(value, 0.025), 4) AS lower, round(quantile_cont(value, 0.975), 4) AS upper FROM r JOIN (SELECT series, count(*) AS n, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM r GROUP BY series) q ON q.series = r.series WHERE value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) GROUP BY r.series",
+    "horn": "SELECT r.series, {m}, any_value(n) AS n, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper FROM r JOIN (SELECT series, count(*) AS n, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM r GROUP BY series) q ON q.series = r.series WHERE value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) GROUP BY r.series",
     "boxcox": "SELECT series, {m}, n, round(CASE WHEN abs(pw) < 1e-8 THEN exp(m - 1.96 * s) ELSE pow(pw * (m - 1.96 * s) + 1, 1 / nullif(pw, 0)) END, 3) AS lower, round(CASE WHEN abs(pw) < 1e-8 THEN exp(m + 1.96 * s) ELSE pow(pw * (m + 1.96 * s) + 1, 1 / nullif(pw, 0)) END, 3) AS upper FROM (SELECT r.series, count(*) AS n, any_value(pw) AS pw, avg(CASE WHEN abs(pw) < 1e-8 THEN ln(value) ELSE (pow(value, pw) - 1) / nullif(pw, 0) END) AS m, stddev_samp(CASE WHEN abs(pw) < 1e-8 THEN ln(value) ELSE (pow(value, pw) - 1) / nullif(pw, 0) END) AS s FROM r JOIN b ON b.series = r.series GROUP BY r.series)",
     "lms": "SELECT series, {m}, n, round(CASE WHEN abs(pw) < 1e-8 THEN mu * exp(-1.96 * s) ELSE mu * pow(1 - pw * s * 1.96, 1 / nullif(pw, 0)) END, 3) AS lower, round(CASE WHEN abs(pw) < 1e-8 THEN mu * exp(1.96 * s) ELSE mu * pow(1 + pw * s * 1.96, 1 / nullif(pw, 0)) END, 3) AS upper FROM (SELECT series, count(*) AS n, any_value(pw) AS pw, any_value(mu) AS mu, stddev_samp(CASE WHEN abs(pw) < 1e-8 THEN ln(value / mu) ELSE (pow(value / mu, pw) - 1) / nullif(pw, 0) END) AS s FROM (SELECT r.*, pw, median(value) OVER (PARTITION BY r.series) AS mu FROM r JOIN b ON b.series = r.series) GROUP BY series)",
 }
@@ -206,7 +206,7 @@ def _interval(name: str):
 
     @query(f"ri_{name}", f"WITH {_R}{powers} " + _INTERVALS[name].format(m=f"'{name}' AS method"))
     def run(spark, sf):
-        return rounded(reference.reference_interval(results(spark, sf), name), 3 if powers else 4)
+        return rounded(reference.reference_interval(results(spark, sf), name), 3 if powers else 6 if name in ("nonparametric", "horn") else 4)
 
 
 for _name in _INTERVALS:
@@ -225,9 +225,9 @@ def partitions(spark, sf):
     return rounded(reference.partitions(r), 5)
 
 
-@query("reference_curve", f"WITH {_R}, s AS (SELECT series, count(*) AS n, min(covariate) AS lo, max(covariate) AS hi FROM r GROUP BY series), g AS (SELECT series, n, lo + (hi - lo) * k / (least(50, n) - 1) AS pos, k FROM (SELECT *, unnest(range(0, least(50, n))) AS k FROM s)), d AS (SELECT r.series, k, pos, n, value, row_number() OVER (PARTITION BY r.series, k ORDER BY abs(covariate - pos), covariate, seq) AS i FROM r JOIN g ON g.series = r.series) SELECT series, k::INTEGER AS point, round(any_value(pos), 4) AS covariate, count(*) AS n_local, round(quantile_cont(value, 0.025), 4) AS q0_025, round(quantile_cont(value, 0.5), 4) AS q0_5, round(quantile_cont(value, 0.975), 4) AS q0_975 FROM d WHERE i <= greatest(8, round_even(n * 0.3::DOUBLE, 0)) GROUP BY series, k")
+@query("reference_curve", f"WITH {_R}, s AS (SELECT series, count(*) AS n, min(covariate) AS lo, max(covariate) AS hi FROM r GROUP BY series), g AS (SELECT series, n, lo + (hi - lo) * k / (least(50, n) - 1) AS pos, k FROM (SELECT *, unnest(range(0, least(50, n))) AS k FROM s)), d AS (SELECT r.series, k, pos, n, value, row_number() OVER (PARTITION BY r.series, k ORDER BY abs(covariate - pos), covariate, seq) AS i FROM r JOIN g ON g.series = r.series) SELECT series, k::INTEGER AS point, round(any_value(pos), 6) AS covariate, count(*) AS n_local, round(quantile_cont(value, 0.025), 6) AS q0_025, round(quantile_cont(value, 0.5), 6) AS q0_5, round(quantile_cont(value, 0.975), 6) AS q0_975 FROM d WHERE i <= greatest(8, round_even(n * 0.3::DOUBLE, 0)) GROUP BY series, k")
 def reference_curve(spark, sf):
-    return rounded(reference.reference_curve(results(spark, sf)), 4)
+    return rounded(reference.reference_curve(results(spark, sf)))
 
 
 @query("reference_curve_lms")
