@@ -141,20 +141,26 @@ def spline_at(knots: np.ndarray, mean: np.ndarray, second: np.ndarray, at: np.nd
 
 
 def four_parameter(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Lower and upper asymptote, midpoint and slope of a logistic curve, by damped Gauss-Newton steps."""
-    p = np.array([y.min(), y.max(), np.median(x[x > 0]) if (x > 0).any() else 1.0, 1.0])
+    """Asymptotes for small and large x, midpoint and slope of a logistic curve, by damped Gauss-Newton steps.
+
+    Midpoint and slope are kept positive by their logarithms; a step is halved until it leaves less than before."""
     ax = np.maximum(x, 1e-9)
+    p = np.array([y[x.argmin()], y[x.argmax()], np.median(x[x > 0]) if (x > 0).any() else 1.0, 1.0], float)
+    left = ((y - logistic_at(p, x)) ** 2).sum()
     for _ in range(steps):
         power = np.exp(np.clip(p[3] * np.log(ax / p[2]), -60, 60))
-        fit = p[1] + (p[0] - p[1]) / (1 + power)
-        slope = (p[0] - p[1]) * power / (1 + power) ** 2
-        jacobian = np.stack([1 / (1 + power), 1 - 1 / (1 + power), slope * p[3] / p[2], -slope * np.log(ax / p[2])], 1)
-        step, *_ = np.linalg.lstsq(jacobian, y - fit, rcond=None)
-        to = p + 0.5 * step
-        if not np.isfinite(to).all() or np.abs(to).max() > 1e12:
+        slope = (p[0] - p[1]) * power / (1 + power) ** 2 * p[3]
+        jacobian = np.stack([1 / (1 + power), 1 - 1 / (1 + power), slope, -slope * np.log(ax / p[2])], 1)
+        step, *_ = np.linalg.lstsq(jacobian, y - logistic_at(p, x), rcond=None)
+        for damping in 0.5 ** np.arange(1, 8):
+            move = damping * step
+            to = np.array([p[0] + move[0], p[1] + move[1], p[2] * np.exp(np.clip(move[2], -2, 2)), p[3] * np.exp(np.clip(move[3], -2, 2))])
+            now = ((y - logistic_at(to, x)) ** 2).sum()
+            if np.isfinite(now) and now < left:
+                p, left = to, now
+                break
+        else:
             break
-        p = to
-        p[2], p[3] = max(p[2], 1e-9), min(max(p[3], 1e-3), 50.0)
     return p
 
 
