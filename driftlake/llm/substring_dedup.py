@@ -124,6 +124,12 @@ def prefix_counts(docs: DataFrame, window: int, slots: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "level int, slot int, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
 
 
+def _columns(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A table of counts in the driver: as many rows as there are slots and levels, MOST_SLOTS a level at most."""
+    found = counts.toArrow()
+    return tuple(found.column(c).to_numpy() for c in ("level", "slot", "n"))
+
+
 def prefix_routes(counts: np.ndarray, most: int) -> np.ndarray:
     """The group of each (level, slot), -1 where prefixes are too frequent and longer ones decide.
 
@@ -326,17 +332,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kept: the remaining words joined by one space. With carry, these columns of docs come too."""
     docs, more, kinds = with_carried(docs, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], carry)
-    found = prefix_counts(docs, window, SLOTS).collect()  # as many rows as there are slots and levels
-    n_words, n_bytes = (next((r["n"] for r in found if (r["level"], r["slot"]) == (-1, k)), 0) for k in (0, 1))
+    level, slot, n = _columns(prefix_counts(docs, window, SLOTS))
+    n_words, n_bytes = (int(n[(level < 0) & (slot == k)].sum()) for k in (0, 1))
     slots = SLOTS
     while slots < MOST_SLOTS and slots * GROUP_SUFFIXES < 8 * n_words:
         slots *= 2
     if slots != SLOTS:
-        found = prefix_counts(docs, window, slots).collect()
+        level, slot, n = _columns(prefix_counts(docs, window, slots))
     counts = np.zeros((len(prefix_sizes(window)), slots), np.int64)
-    for r in found:
-        if r["level"] >= 0:
-            counts[r["level"], r["slot"]] = r["n"]
+    counts[level[level >= 0], slot[level >= 0]] = n[level >= 0]
     routes = prefix_routes(counts, GROUP_SUFFIXES)
     buckets, parts = max(1, -(-n_bytes // BUCKET_BYTES)), max(1, n_words // ANCHORS_PER_PART)
     dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
