@@ -36,6 +36,10 @@ _LOWER[0x41:0x5B] += 32
 _LETTERS = byte_class(bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)))
 
 
+#: Weight decay of the learner.
+DECAY = 3e-4
+
+
 def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of each row's words, lower-cased and without punctuation, and of their beginnings; the row of each.
 
@@ -71,19 +75,21 @@ class Classifier:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         hashes, rows = words_in(texts)
+        totals = np.bincount(rows, minlength=len(texts))
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
             held = self.words[at] == hashes
             hashes, rows = hashes[held], rows[held]
-        return self.probability(*self.features(*counted(hashes, rows)), len(texts))
+        return self.probability(*self.features(*counted(hashes, rows), totals), len(texts))
 
-    def features(self, hashes: np.ndarray, rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, feature, value) of the words that count: the logarithm of one more than their number."""
+    def features(self, hashes: np.ndarray, rows: np.ndarray, times: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature, value) of the words that count: the logarithm of one more than their number in a thousand of
+        the row's words, so that a word that a long text holds by chance weighs little."""
         if not len(self.words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         held = np.flatnonzero(self.words[at] == hashes)
-        return rows[held], at[held], np.log1p(times[held])
+        return rows[held], at[held], np.log1p(1000.0 * times[held] / totals[rows[held]])
 
     def probability(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.bias + np.bincount(row, value * self.weights[feature], minlength=rows))))
@@ -102,7 +108,7 @@ def informative_words(positive: np.ndarray, unlabelled: np.ndarray, rows: tuple[
     return np.sort(own[best[(z[best] > 5) & (p[best] > 3 * u[best])]])
 
 
-def nnpu(positive: tuple, unlabelled: tuple, rows: tuple[int, int], features: int, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def nnpu(positive: tuple, unlabelled: tuple, rows: tuple[int, int], features: int, prior: float, steps: int = 600, rate: float = 0.05, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam over whole samples."""
     w, b = np.zeros(features), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(features + 1), np.zeros(features + 1)
@@ -144,19 +150,20 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, row, times = counted(*words_in(batch.column(1)))
         cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
-        cells = [(hashes[a:b].tobytes(), np.minimum(times[a:b], 255).astype(np.uint8).tobytes()) for a, b in zip(cuts, cuts[1:])]
+        cells = [(hashes[a:b].tobytes(), times[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:])]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in cells], pa.binary()), pa.array([c for _, c in cells], pa.binary())], ["toxic", "words", "times"])
 
     # the samples' ids are broadcast: their number is bounded
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("toxic", "text")
     held = map_texts(texts, work, "toxic int, words binary, times binary").toArrow()
-    sample: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    sample: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
     flags, rows = held.column("toxic").to_numpy(), ()
     for toxic_ in (1, 0):
         own = held.filter(pa.array(flags == toxic_))
         cells = sorted(zip(own.column("words").to_pylist(), own.column("times").to_pylist()), key=lambda c: (len(c[0]), *c))  # the same order on every run
-        row = np.repeat(np.arange(len(cells)), [len(t) for _, t in cells])
-        sample[toxic_] = np.frombuffer(b"".join(w for w, _ in cells), np.uint32), row, np.frombuffer(b"".join(t for _, t in cells), np.uint8)
+        row = np.repeat(np.arange(len(cells)), [len(w) // 4 for w, _ in cells])
+        times = np.frombuffer(b"".join(t for _, t in cells), "<u4")
+        sample[toxic_] = np.frombuffer(b"".join(w for w, _ in cells), np.uint32), row, times, np.bincount(row, times, minlength=len(cells))
         rows += (len(cells),)
     model = Classifier(np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not rows[0] or not rows[1]:
