@@ -134,3 +134,14 @@ def bh_adjusted(df: DataFrame, p: str = "p", order: str = "series") -> DataFrame
     ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(p, order))).withColumn("_n", F.count("*").over(Window.partitionBy()))
     after = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(after))).drop("_r", "_n")
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """(series, n, fingerprint): 16 hex digits of a SHA-256 over a series' values in order, missing ones included. Days are
+    digested first and their digests then, so no group holds a whole long series."""
+    text = F.when(finite(F.col("value")), F.col("value").cast("string")).otherwise("-")
+    rows = F.array_sort(F.collect_list(F.struct("ts", "seq", text.alias("t"))))
+    joined = lambda rows, field: F.array_join(F.transform(rows, lambda x: x[field]), ",")
+    days = df.groupBy("series", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sha2(joined(rows, "t"), 256).alias("d"))
+    in_order = F.array_sort(F.collect_list(F.struct("day", "d")))
+    return days.groupBy("series").agg(F.sum("n").alias("n"), F.substring(F.sha2(joined(in_order, "d"), 256), 1, 16).alias("fingerprint"))

@@ -7,6 +7,8 @@ one series need not fit one task.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -122,3 +124,13 @@ def per_series(df: DataFrame, work: Callable[[np.ndarray], dict], schema: str) -
         return pa.table({"series": table.column("series").slice(0, 1)} | typed)
 
     return df.select("series", "seq", "ts", "value").groupBy("series").applyInArrow(run, f"series {kinds['series']}, {schema}")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet below spark.checkpoint.dir and read from there: an end to its plan, for what several
+    steps read, that outlives lost executors. Where no folder is set (local runs) a temporary one stands in."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/driftlake-kept"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -8,8 +8,9 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from driftlake.functions.columns import sentinel_score, status_from_score
-from driftlake.operators import composite
-from driftlake.plans.base import T, by_type, by_user, query, rounded
+from driftlake.operators import basics, change_points, composite, drift, story
+from driftlake.operators.series import kept
+from driftlake.plans.base import T, U, by_type, by_user, query, rounded
 from driftlake.streaming import detectors
 
 #: Change times: each series' event of number 1 in 400; events: lots and calibrations, one a day of purchases.
@@ -66,6 +67,41 @@ def segment_kinds(spark, sf):
     return rounded(composite.classified(composite.segments(e, e.where(F.col("seq") % 2500 == 1))))
 
 
+@query("story_marks", f"""WITH {T}, {_CHANGES}, {_KNOWN}, a AS (SELECT series, min(ts) AS ts, 0 AS o, 'start' AS kind, NULL AS label FROM e GROUP BY series UNION ALL SELECT series, max(ts), 1, 'end', NULL FROM e GROUP BY series UNION ALL SELECT series, ts, 2, kind, label FROM k UNION ALL SELECT series, change_ts, 3, 'changepoint', NULL FROM c),
+f AS (SELECT series, ts, min(o) AS lo FROM a GROUP BY series, ts),
+w AS (SELECT series, ts, kind, label FROM a JOIN f USING (series, ts) QUALIFY row_number() OVER (PARTITION BY series, ts ORDER BY CASE WHEN lo < 2 AND o = 2 AND kind IN ('lot_change', 'calibration') THEN -1 ELSE o END, kind, label) = 1),
+p AS (SELECT series, row_number() OVER v AS segment, ts AS from_ts, lead(ts) OVER v AS to_ts, kind AS mark, label FROM w WINDOW v AS (PARTITION BY series ORDER BY ts))
+SELECT p.series, segment::INTEGER AS segment, from_ts, to_ts, mark, p.label, count(*) AS n, round(avg(value), 6) AS mean FROM p JOIN e ON e.series = p.series AND e.ts BETWEEN from_ts AND to_ts WHERE to_ts IS NOT NULL GROUP BY ALL""")
+def story_marks(spark, sf):
+    """Each series' stretches between its events and change points, with the rows in each."""
+    e = by_type(spark, sf)
+    parts = story.marks(e, known(e), changepoint=changes(e).withColumnRenamed("change_ts", "ts"))
+    rows = story.placed(e.select("series", "ts", "value"), parts).groupBy("series", "segment").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return rounded(parts.join(rows, ["series", "segment"]))
+
+
+def _at_index(e, found):
+    """The times of the places that a detector names, one row a series."""
+    return found.where("detected and at is not null").join(story.indexed(e), ["series", "at"]).select("series", "ts")
+
+
+@query("story")
+def stories(spark, sf):
+    """The story of each user: weekly lots, change points by likelihood, drifts of variance, linear drifts."""
+    e = by_user(spark, sf)
+    lots = basics.lot_transitions(e.withColumn("lot", F.concat(F.lit("W"), F.weekofyear("ts").cast("string"))), "lot")
+    events = lots.select("series", F.lit("lot_change").alias("kind"), "ts", F.concat_ws(" to ", "from_value", "to_value").alias("label"))
+    change = kept(_at_index(e, change_points.likelihood(e).withColumn("at", F.get("indices", F.lit(0)))), "story-changes")
+    drifting, varying = (kept(_at_index(e, d.withColumnRenamed("start_index", "at")), "story-drifts") for d in (drift.linear(e), drift.variance(e)))
+    parts = story.marks(e, events, changepoint=change, drift=drifting, variance=varying)
+    return story.beats(story.told(e, parts, drifts=drifting, variances=varying))
+
+
+@query("fingerprint", f"""WITH {U}, d AS (SELECT series, ts::DATE AS day, count(*) AS n, sha256(string_agg(CAST(value AS VARCHAR), ',' ORDER BY ts, seq)) AS d FROM e GROUP BY series, day) SELECT series, sum(n)::BIGINT AS n, substr(sha256(string_agg(d, ',' ORDER BY day)), 1, 16) AS fingerprint FROM d GROUP BY series""")
+def fingerprint(spark, sf):
+    return basics.fingerprint(by_user(spark, sf))
+
+
 @query("sentinel_score", "WITH p AS (SELECT user_id AS series, least(1, avg(value) / 100.0::DOUBLE) AS drift, least(1, stddev_samp(value) / 100.0::DOUBLE) AS var, (user_id % 10) / 10.0::DOUBLE AS qc FROM events GROUP BY user_id), s AS (SELECT *, 100 - 100 * (0.28::DOUBLE * drift + 0.16::DOUBLE * coalesce(var, 0) + 0.22::DOUBLE * qc) / 1.0::DOUBLE AS score FROM p) SELECT series, round(score, 6) AS score, CASE WHEN drift > 0.5 AND score < 70 THEN 'drift_suspected' WHEN score >= 90 THEN 'stable' WHEN score >= 75 THEN 'watch' WHEN score >= 55 THEN 'warning' ELSE 'critical' END AS status FROM s")
 def score(spark, sf):
     p = by_user(spark, sf).groupBy("series").agg((F.avg("value") / 100).alias("drift"), (F.stddev_samp("value") / 100).alias("variance"))
@@ -164,3 +200,8 @@ def stream_cusum(spark, sf):
 @query("stream_alerts")
 def stream_alerts(spark, sf):
     return _run(spark, detectors.streamed_alerts(stream_of(spark, sf), detectors.Cusum(persistence=1)), "alerts")
+
+
+@query("stream_ewma")
+def stream_ewma(spark, sf):
+    return rounded(_run(spark, detectors.streamed(stream_of(spark, sf), detectors.Ewma()), "ewma"))

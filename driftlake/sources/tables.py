@@ -62,7 +62,13 @@ def plain(x):
 
 
 def save_reports(reports: DataFrame, path: str) -> None:
-    """By the path's ending: .json and .md through the driver, anything else as Parquet."""
+    """By the path's ending: .json, .md and .html through the driver, anything else as Parquet."""
+    if path.endswith(".html"):
+        from driftlake.sources.pages import html
+
+        with open(path, "w") as f:
+            f.write(html(reports))
+        return
     if not path.endswith((".json", ".md")):
         reports.write.mode("overwrite").parquet(path)
         return
