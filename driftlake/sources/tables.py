@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftlake.functions.columns import truthy
 from driftlake.operators.series import from_table
 
 VALUE_NAMES, TIME_NAMES = ("value", "result", "measurement", "y"), ("timestamp", "time", "datetime", "date", "ts")
@@ -26,14 +27,19 @@ def discovered(df: DataFrame, names: tuple[str, ...], numeric: bool = False) ->
     return found or (next((f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)), None) if numeric else None)
 
 
-def read_measurements(spark: SparkSession, path: str, value: str | None = None, time: str | None = None, series: str | None = None) -> DataFrame:
-    """A measurements table from CSV files with a header; columns are found by name, types by Spark."""
+def read_measurements(spark: SparkSession, path: str, value: str | None = None, time: str | None = None, series: str | None = None, keep: bool = False) -> DataFrame:
+    """A measurements table from CSV files with a header; columns are found by name, types by Spark. With keep, the other
+    columns come along, control as a boolean."""
     df = spark.read.csv(path, header=True, inferSchema=True)
     value, time = value or discovered(df, VALUE_NAMES, numeric=True), time or discovered(df, TIME_NAMES)
     if value is None or time is None:
         raise ValueError(f"no {'value' if value is None else 'time'} column among {df.columns}")
     df = df.withColumn(time, F.col(time).cast("timestamp_ntz"))
-    return from_table(df, value=value, time=time, series=series or discovered(df, ("analyte", "series")))
+    series = series or discovered(df, ("analyte", "series"))
+    more = {c.lower(): c for c in df.columns if keep and c not in (value, time, series) and c.lower() not in ("series", "seq", "ts", "value")}
+    if "control" in more:
+        more["control"] = truthy(F.col(more["control"]))
+    return from_table(df, value=value, time=time, series=series, **more)
 
 
 def simulated(spark: SparkSession, n: int, kind: str = "none", start: int | None = None, mean: float = 100.0, sd: float = 1.0, seed: int = 7, noise: bool = True) -> DataFrame:

@@ -23,3 +23,21 @@ def test_reports_round_trip(spark, tmp_path):
         save_reports(reports, str(tmp_path / name))
     assert load_reports(spark, str(tmp_path / "r.json"))[0]["n"] == 100
     assert load_reports(spark, str(tmp_path / "r.parquet")).count() == 1
+
+
+def test_commands(spark, tmp_path, capsys):
+    f = tmp_path / "s.csv"
+    f.write_text("timestamp,value,site,batch,control\n" + "".join(f"2024-01-{1 + d // 2:02d} {d % 2:02d}:00:00,{(10, 12)[d % 2] + d % 3 * 0.1},{'AB'[d % 2]},P{d % 3},{d % 2}\n" for d in range(40)))
+    p = tmp_path / "p.csv"
+    p.write_text("x,y\n" + "".join(f"{i},{i + 1.5}\n" for i in range(20)))
+
+    def said(*args):
+        assert main([*args, "--json"]) == 0
+        return json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    assert {r["site"] for r in said("study", str(f))} == {"A", "B"}
+    assert said("batch", str(f))[0]["p"] < 0.05  # batch and the tenths of the values are both d % 3
+    assert abs(said("compare", str(p))[0]["bias"] - 1.5) < 1e-9
+    assert said("doctor")[0]["works"] and len(said("simulate", "step", "-n", "30")) == 30
+    assert main(["study", str(p)]) == 2 and main(["version"]) == 0
+    assert main(["simulate", "step", "-n", "30", "--to", str(tmp_path / "s.html")]) == 0 and "</table>" in (tmp_path / "s.html").read_text()
