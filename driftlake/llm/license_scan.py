@@ -1,10 +1,11 @@
 """License scans by a positional rare-token index.
 
 The licence templates are indexed by word: each word's postings are (template, position). The words' document
-frequencies are counted over the whole corpus. For each file its licence words of highest IDF are looked up, the
-postings are intersected by relative position (place in the file minus place in the template), and an alignment on
-which enough of them agree is verified: the template's mandatory key phrases must stand in the file, and enough of the
-template's words must stand at their places.
+frequencies are counted over the whole corpus. Of each template the words of highest IDF are looked up in a file, so
+many that no alignment with enough of its words can be without one of them; their postings give alignments by relative
+position (place in the file minus place in the template), and each is verified: the template's mandatory key phrases
+must stand in the file, and enough of the template's words must stand at their places. So the corpus decides which words
+are looked up, but not the labels.
 
 Base labels come from fixed phrases whose words stand consecutively. Null and empty texts have no words, no labels
 and score 0; texts are read whole; repeated rows give repeated results; an empty table gives an empty one; further
@@ -63,7 +64,6 @@ TEMPLATES = (
 )
 #: Words of the templates that are too common in English to point to a licence.
 COMMON_WORDS = frozenset("a all an and any are as at be by c either following for free in including is it later may not of on or option other that the this to under use with you your version work person without 0 1 2 3 4".split())
-RARE_WORDS = 12
 LEAST_COVERAGE = 0.6
 
 
@@ -93,10 +93,6 @@ class PositionalIndex:
         number = {w: i for i, w in enumerate(self.vocabulary)}
         self.sequences = [np.array([number[w] for w in ws]) for ws in self.words]
         self.rare = np.array([w not in COMMON_WORDS for w in self.vocabulary])
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, ws in enumerate(self.sequences):
-            for place, w in enumerate(ws.tolist()):
-                self.postings[w].append((t, place))
         self.phrases = [[[number.get(w, -1) for w in words_of(p)] for p in t.key_phrases] for t in templates]
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
@@ -104,23 +100,22 @@ class PositionalIndex:
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words, at, -1)
 
-    def match(self, own: np.ndarray, places: np.ndarray, total: int, idf: np.ndarray) -> dict[str, float]:
-        """Labels and coverage for a file with vocabulary words `own` at `places` of its `total` words."""
-        distinct = np.unique(own)
-        distinct = distinct[self.rare[distinct]]
-        rarest = distinct[np.argsort(-idf[distinct], kind="stable")][:RARE_WORDS]
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for w in rarest.tolist():
-            for place in places[own == w].tolist():
-                for t, at in self.postings[w]:
-                    votes[t, place - at] += 1
+    def rarest(self, idf: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """The postings of each template's words of highest IDF: all but so many as an alignment must have, and one."""
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t, words in enumerate(self.sequences):
+            need = next(m for m in range(1, len(words) + 1) if m / len(words) >= LEAST_COVERAGE)
+            for place in np.argsort(-idf[words], kind="stable")[: len(words) - need + 1].tolist():
+                out[int(words[place])].append((t, place))
+        return dict(out)
+
+    def match(self, own: np.ndarray, places: np.ndarray, rarest: dict[int, list[tuple[int, int]]]) -> dict[str, float]:
+        """Labels and coverage for a file with vocabulary words `own` at `places`."""
         at = dict(zip(places.tolist(), own.tolist()))
+        alignments = {(t, place - k) for place, w in at.items() for t, k in rarest.get(w, ())}
         found: dict[str, float] = {}
-        for (t, shift), n in votes.items():
+        for t, shift in alignments:
             words = self.sequences[t]
-            need = max(1, min(3, len(set(words.tolist()) & set(rarest.tolist()))))
-            if n < need:
-                continue
             coverage = sum(at.get(shift + k) == w for k, w in enumerate(words.tolist())) / len(words)
             if coverage < LEAST_COVERAGE or coverage <= found.get(self.templates[t].label, 0.0):
                 continue
@@ -158,6 +153,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for row in word_frequencies(docs, text_col, templates).collect():  # one row a template word at most
         counts[row["word"]] = row["n"]
     idf = np.array([math.log((total + 1) / (n + 0.5)) for n in counts])
+    rarest = index.rarest(idf)
     phrases = [(words_of(p), label) for p, label in BASE_PHRASES.items()]
     sizes = sorted({len(p) for p, _ in phrases})
     phrase_hashes = {n: [(window_hashes(_hash(p), n)[0], p, label) for p, label in phrases if len(p) == n] for n in sizes}
@@ -183,7 +179,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = []
         for i in range(batch.num_rows):
             a, b, n = int(cuts[i]), int(cuts[i + 1]), int(counts[i + 1] - counts[i])
-            found = index.match(numbers[held[a:b]], held[a:b] - counts[i], n, idf) if rare[b] - rare[a] >= 1 else {}
+            found = index.match(numbers[held[a:b]], held[a:b] - counts[i], rarest) if rare[b] - rare[a] >= 1 else {}
             places = sorted(base.get(i, ()))
             own = sorted({label for _, label in places})
             score = max([0.9 if places else 0.0, *found.values()])
