@@ -33,11 +33,13 @@ BANDS = (0.5, 0.25, 0.125, 0.0)
 STEP = 128
 
 
-def packed_blocks(vectors: DataFrame, id_col: str, vector_col: str, scale: float, name: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(<name>, ids binary, width, data binary): blocks of at most `rows` vectors as 64-bit integers."""
+def packed_blocks(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, scale: float, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(c, ids binary, asked binary, width, data binary): blocks of at most `rows` vectors as 64-bit integers.
+
+    asked: a byte a vector, 1 for queries. c times BLOCK_ROWS and the place in the block is the vector's row number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, data, width = [], [], 0
+        ids, asked, data, width = [], [], [], 0
 
         def block() -> pa.RecordBatch:
             whole = np.zeros((sum(map(len, data)), width), np.int64)
@@ -46,10 +48,11 @@ def packed_blocks(vectors: DataFrame, id_col: str, vector_col: str, scale: float
                 whole[at : at + len(x), : x.shape[1]] = x
                 at += len(x)
             own = np.concatenate(ids)
-            return pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([whole.tobytes()], pa.binary())], ["ids", "width", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary()), pa.array([np.concatenate(asked).tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array([whole.tobytes()], pa.binary())], ["ids", "asked", "width", "data"])
 
         for batch in batches:
             held, vector = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1)
+            query = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
             lengths = np.asarray(vector.value_lengths())
             flat = np.asarray(vector.flatten().to_numpy(zero_copy_only=False), np.float64)
             begins = np.concatenate([[0], np.cumsum(lengths)])
@@ -60,17 +63,33 @@ def packed_blocks(vectors: DataFrame, id_col: str, vector_col: str, scale: float
                     room = rows - sum(map(len, data))
                     part = slice(a, a + min(rows, len(own) - a))
                     ids.append(held[own[part]])
+                    asked.append(query[own[part]])
                     data.append(x[part])
                     width = max(width, n)
                     if len(data[-1]) >= room:
                         yield block()
-                        ids, data, width = [], [], 0
+                        ids, asked, data, width = [], [], [], 0
         if data:
             yield block()
 
-    clean = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    clean = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     clean = clean.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return clean.mapInArrow(run, "ids binary, width int, data binary").withColumn(name, F.monotonically_increasing_id())
+    return clean.mapInArrow(run, "ids binary, asked binary, width int, data binary").withColumn("c", F.monotonically_increasing_id())
+
+
+def query_blocks(blocks: DataFrame) -> DataFrame:
+    """(q, rows binary, ids binary, width, data binary): the queries of packed blocks with their row numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.to_pylist():
+                own = np.flatnonzero(np.frombuffer(block["asked"], np.uint8))
+                if len(own):
+                    data = np.frombuffer(block["data"], np.int64).reshape(-1, block["width"])[own] if block["width"] else np.zeros((0, 0), np.int64)
+                    columns = ((block["c"] * BLOCK_ROWS + own).tobytes(), np.frombuffer(block["ids"], np.int64)[own].tobytes(), data.tobytes())
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in columns), pa.array([block["width"]], pa.int32())], ["rows", "ids", "data", "width"])
+
+    return blocks.select("c", "ids", "asked", "width", "data").mapInArrow(run, "rows binary, ids binary, data binary, width int").withColumn("q", F.monotonically_increasing_id())
 
 
 def _widest(blocks: pa.Table) -> int:
@@ -89,9 +108,9 @@ def _matrix(blocks: pa.Table, to: int) -> tuple[np.ndarray, np.ndarray]:
 class ImpactIndex:
     """Posting segments of a block of integer vectors by bands of impact."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.rows = ids[order], vectors[order], rows[order]
         magnitude = np.abs(self.vectors)
         top = int(magnitude.max(initial=0))
         self.segments, self.rest = [], []
@@ -106,13 +125,13 @@ class ImpactIndex:
         self.top = top
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query's place, candidate id, score) of the k best of this block for each query, itself left out."""
+        """(query's place, candidate id, score) of the k best of this block for each query, its own row left out."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         exact_in_double = float(self.top) * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 2.0**52
         for a in range(0, len(queries), STEP):
             q, mine = queries[a : a + STEP], own[a : a + STEP]
             n = len(self.ids)
-            self_mask = mine[:, None] == self.ids[None, :]
+            self_mask = mine[:, None] == self.rows[None, :]
             possible = ~self_mask
             if exact_in_double and n > k:
                 size = np.sqrt((q.astype(np.float64) ** 2).sum(1))
@@ -139,9 +158,11 @@ class ImpactIndex:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, <id_col>, score): the k rows of highest inner product with each query row, itself left out."""
-    candidates = written(packed_blocks(vectors, id_col, vector_col, scale, "c"), "candidates")
-    asked = written(packed_blocks(vectors.where(is_query), id_col, vector_col, scale, "q"), "queries")
+    """(query_id, rank, <id_col>, score): the k rows of highest inner product with each query row, itself left out.
+
+    Rows of equal id are rows of their own: each query row has its list, and other rows of its id may stand in it."""
+    candidates = written(packed_blocks(vectors, is_query, id_col, vector_col, scale), "candidates")
+    asked = written(query_blocks(candidates), "queries")
     # every tile of candidates meets every tile of queries once; the tiles' sizes are fixed, their numbers grow
     across = _tiles(candidates, CANDIDATES)
     down = _tiles(asked, QUERIES)
@@ -150,14 +171,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
 
     def meet(held: pa.Table, queries: pa.Table) -> pa.Table:
         if not held.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table({"query_row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         to = max(_widest(held), _widest(queries))
         own, asked_vectors = _matrix(queries, to)
-        place, found, score = ImpactIndex(*_matrix(held, to)).search(asked_vectors, own, k)
-        return pa.table({"query_id": own[place], "id": found, "score": score})
-
-    found = left.groupBy("t", "s").cogroup(right.groupBy("t", "s")).applyInArrow(meet, "query_id long, id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        own_rows = np.concatenate([np.frombuffer(x, np.int64) for x in queries.column("rows").to_pylist()])
+        ids, vectors_ = _matrix(held, to)
+        rows = np.concatenate([c * BLOCK_ROWS + np.arange(len(x) // 8) for c, x in zip(held.column("c").to_pylist(), held.column("ids").to_pylist())])
+        place, found, score = ImpactIndex(ids, vectors_, rows).search(asked_vectors, own_rows, k)
+        return pa.table({"query_row": own_rows[place], "query_id": own[place], "id": found, "score": score})
+
+    found = left.groupBy("t", "s").cogroup(right.groupBy("t", "s")).applyInArrow(meet, "query_row long, query_id long, id long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
