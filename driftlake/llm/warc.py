@@ -29,7 +29,6 @@ MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 4 << 20
 READ_BYTES = 1 << 18
 FILE_BYTES = 64 << 20
-HEADER_BYTES = 1 << 16
 
 
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -105,20 +104,21 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def header_at(read, place: int) -> dict[str, str] | None:
-    """The WARC header of the gzip member at a place; None if there is no such member."""
-    unpack, got, at = zlib.decompressobj(31), b"", place
-    while b"\r\n\r\n" not in got:
-        chunk = read(at, 4096)
-        if not chunk or len(got) > HEADER_BYTES:
+    """The WARC header, of any length, of the gzip member at a place; None if there is no such member."""
+    unpack, got, at, end = zlib.decompressobj(31), bytearray(), place, -1
+    while end < 0:
+        chunk, known = read(at, 4096), max(0, len(got) - 3)
+        if not chunk:
             return None
         at += len(chunk)
         try:
             got += unpack.decompress(chunk)
         except zlib.error:
             return None
-        if not got.startswith(b"WARC/"[: len(got)]) or unpack.eof and b"\r\n\r\n" not in got:
+        end = got.find(b"\r\n\r\n", known)
+        if not got.startswith(b"WARC/"[: len(got)]) or unpack.eof and end < 0:
             return None
-    lines = got[: got.index(b"\r\n\r\n")].decode("utf-8", "replace").split("\r\n")
+    lines = got[:end].decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])} | {"version": lines[0]}
 
 
