@@ -37,7 +37,7 @@ NAME_WEIGHTS = {
 }
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|nil|true|false|undefined|change_?me|example.*|sample.*|dummy.*|your.*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
 _STATEMENT = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})(?P=quote)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;(){}\[\]#]+)(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;(){}\[\]#]+))*)"""
+    r"""(?:(?P<quote>["'])|(?<![A-Za-z0-9_.\-])[0-9.\-]*)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?(quote)(?P=quote))[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;(){}\[\]#]+)(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;(){}\[\]#]+))*)"""
 )
 _OPERAND = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([^\s"'+,;]+)""")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z")
@@ -76,23 +76,28 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, 3, end) of literals that reach a sensitive name, directly or through constants."""
     if ":" not in text and "=" not in text:
         return []
-    literals: dict[str, list[tuple[int, int, str]]] = {}  # name -> literals that it stands for
-    found: dict[tuple[int, int], float] = {}
+    # each statement's weight, literals and the statements whose literals its names stand for
+    statements: list[tuple[float, list[tuple[int, int, str]], list[int]]] = []
+    last: dict[str, int] = {}  # name -> its last statement
     for m in _STATEMENT.finditer(text):
-        base, own = m.start("value"), []
+        base, own, behind = m.start("value"), [], []
         for op in _OPERAND.finditer(m["value"]):
             group = op.lastindex
             if group is None:
                 continue
-            if group == 3 and _NAME.match(op[3]) and op[3] in literals:
-                own += literals[op[3]]
+            if group == 3 and _NAME.match(op[3]) and op[3] in last:
+                behind.append(last[op[3]])
             elif group < 3 or any(c.isdigit() for c in op[3]):
                 own.append((base + op.start(group), base + op.end(group), op[group]))
-        literals[m["name"]] = own[:64]
-        if (weight := name_score(m["name"])) > 0:
-            for start, end, value in own:
-                found[start, end] = max(found.get((start, end), 0.0), weight * value_score(value))
-    return sorted((start, 3, end) for (start, end), score in found.items() if score >= LEAST_SCORE)
+        last[m["name"]] = len(statements)
+        statements.append((name_score(m["name"]), own, behind))
+    # a literal's weight is that of the most sensitive name it reaches
+    weights, found = [weight for weight, _, _ in statements], []
+    for k in range(len(statements) - 1, -1, -1):
+        for j in statements[k][2]:
+            weights[j] = max(weights[j], weights[k])
+        found += [(start, 3, end) for start, end, value in statements[k][1] if weights[k] * value_score(value) >= LEAST_SCORE]
+    return sorted(found)
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
