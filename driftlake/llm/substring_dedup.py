@@ -1,26 +1,32 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
-Every start of `window` words within a document is a suffix, cut off at that depth, since only nodes at least that deep
-matter. What Spark does:
-
-1. One pass counts the suffixes by their prefixes of a few lengths, hashed to slots. A suffix belongs to the group of
-   its shortest prefix that is not too frequent; frequent prefixes are split by longer ones, so each group fits in
-   memory (the variable-length prefixes).
-2. Documents are dealt out in buckets of a few megabytes. A bucket sends the anchors of its windows - in each, the
-   least hash of its shorter word runs, which equal windows share - and is told which anchors stand elsewhere too;
-   only suffixes at those can repeat.
-3. A bucket sends its remaining suffixes, each different one once, to their groups as digests of their words with
-   their documents. In a group the sorted suffixes are the leaves of its subtree; two or more under one node of the full
-   depth make it a repeat, and all its leaves but that of the first document are marked.
-4. A bucket gets one bit back for each suffix it sent, takes all marked windows - further occurrences within the bucket
+A window of `window` consecutive words repeats if the suffixes that start at two places have a common ancestor at least
+that deep in the suffix tree of the corpus; nothing deeper matters, so suffixes are cut off at that depth. What Spark
+does:
+
+1. Documents are dealt out in buckets of a few megabytes. In each window one place is marked, its anchor: where the
+   shorter run of `window // 2` words with the least hash begins (the leftmost). Equal windows have it at the same place,
+   so only windows whose anchor's run stands at other places too can repeat. Buckets send their anchors to parts by the
+   anchors' hashes and are told which ones do.
+2. A part knows how often each of its anchors stands in the corpus. It shares the anchors' suffixes out among groups by
+   their prefixes (the anchors' runs), so many prefixes to a group as fit in memory; a prefix that is too frequent for
+   one group is extended to the whole window and split further (the variable-length prefixes).
+3. A bucket sends the stretches of words around its repeated anchors to their groups, each different stretch once. A
+   group builds the tree of its suffixes: ranks of runs of 1, then 4, 12, ... words give their lexicographic order, and
+   suffixes of equal rank at the full depth are the leaves below one deep internal node. All but the first leaf of such
+   a node are marked. Words are compared letter by letter, not by hashes.
+4. Groups of a prefix that is too frequent are built in shards of buckets first; each shard passes on the first leaf of
+   each node, so a passage in very many documents costs one leaf a shard.
+5. A bucket gets one bit back for each suffix it sent, takes all marked windows - repeated stretches within the bucket
    included - and removes the words that they cover, joining overlapping windows to maximal repeats.
 
-No step holds more than a bucket or a group, and a passage in very many documents costs a group one leaf a bucket.
-Words are compared by 64-bit digests of the whole window together with 32 bits of its first half.
+No step holds more than a bucket, a part or a group. A bucket sends a row to a part or group only if it has something for
+it, so there are never more rows than anchors.
 
-Null and empty texts have no words and stay empty; documents shorter than a window lose nothing; a text is read whole;
-rows with equal ids are separate documents in the order of their texts, rows without id come last; an empty table gives
-an empty one; further columns of the input are not read.
+Null and empty texts have no words and stay empty; documents shorter than a window lose nothing; a text is read whole
+(its bucket's task needs some thirty bytes a byte of it); rows without id come last; rows of equal id, and rows without
+id, are separate documents in the order of a hash of their texts; an empty table gives an empty one; further columns of
+the input are not read. Rows that agree in both id and text are the only ones bound to meet in one bucket.
 """
 
 from __future__ import annotations
@@ -30,27 +36,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.llm.common import carried, table, with_carried
-from driftlake.llm.textbytes import mix, powers, slices, utf8, word_hashes, word_spans
+from driftlake.llm.textbytes import WORD_BYTES, mix, powers, utf8, word_hashes, word_spans
 
 WINDOW = 20
-BUCKET_BYTES = 4 << 20
-GROUP_SUFFIXES = 1 << 20
-ANCHORS_PER_PART = 1 << 20
-SLOTS = 1 << 12
-MOST_SLOTS = 1 << 20
+BUCKET_BYTES, MOST_BUCKET_BYTES, BUCKETS = 4 << 20, 16 << 20, 8192
+#: Stretches in a group and anchors in a part, about.
+GROUP_STRETCHES = 1 << 17
+PART_ANCHORS = 1 << 20
 _LAST_ID = np.iinfo(np.int64).max
 
 
-def windows_of(words: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Hashes of all runs of each size, from one running sum; runs may cross documents."""
+def windows_of(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words, from one running sum; runs may cross documents."""
     up, down = powers(len(words) + 1)
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=total[1:])
-    return [mix((total[n:] - total[:-n]) * down[: max(0, len(total) - n)] + np.uint64(n)) for n in sizes]
+    return mix((total[size:] - total[:-size]) * down[: max(0, len(total) - size)] + np.uint64(size))
 
 
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -62,25 +68,43 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - have)], x[n - have :]) if n > have else x
 
 
-def prefix_sizes(window: int) -> tuple[int, ...]:
-    """The prefix lengths that groups are made by, the whole window last."""
-    return tuple(sorted({max(1, window // 10), max(1, window // 4), max(1, window // 2), window}))
+def ranks_at(codes: np.ndarray, depth: int) -> np.ndarray:
+    """The lexicographic rank of the run of `depth` codes at each place, equal runs having equal ranks; runs that pass the
+    end have ranks of no meaning. Ranks of short runs are combined to those of longer ones, as many at a time as a 64-bit
+    integer holds."""
+    rank, have = codes.astype(np.int64), 1
+    while have < depth:
+        base = int(rank.max(initial=0)) + 1
+        parts = 2
+        while base ** (parts + 1) < 1 << 63 and have * parts < depth:
+            parts += 1
+        reach = min(depth, have * parts)
+        key = np.zeros(len(rank), np.int64)
+        for k in range(parts):
+            at = min(k * have, reach - have)
+            key *= base
+            key[: len(rank) - at] += rank[at:]
+        rank, have = np.unique(key, return_inverse=True)[1].ravel(), reach
+    return rank
 
 
 @dataclass
-class Suffixes:
-    """Words and suffixes of the documents of a bucket. start: the suffixes' first words."""
+class Stretches:
+    """What a bucket may have to send: words around anchors, each the words of some consecutive windows.
+
+    first, size: their first windows (places of words) and numbers of windows; anchor: hashes of their anchors' runs."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     counts: np.ndarray
     words: np.ndarray
-    start: np.ndarray
-    window: int
+    first: np.ndarray
+    size: np.ndarray
+    anchor: np.ndarray
 
     @classmethod
-    def of(cls, data: np.ndarray, offsets: np.ndarray, window: int) -> Suffixes:
+    def of(cls, data: np.ndarray, offsets: np.ndarray, window: int) -> Stretches:
         starts, ends, counts = word_spans(data, offsets)
         words = np.empty(len(starts), np.uint64)
         # hashed by parts of the bytes, so that a long text needs no more memory than its words
@@ -90,225 +114,252 @@ class Suffixes:
             words[at:to] = word_hashes(data[starts[at] : ends[to - 1]], starts[at:to] - starts[at], ends[at:to] - starts[at])
             at = to
         room = np.maximum(np.diff(counts) - window + 1, 0)
-        first = np.repeat(counts[:-1] - (np.cumsum(room) - room), room)
-        return cls(data, starts, ends, counts, words, first + np.arange(room.sum()), window)
+        start = np.repeat(counts[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
+        none = np.zeros(0, np.int64)
+        if not len(start):
+            return cls(data, starts, ends, counts, words, none, none, np.zeros(0, np.uint64))
+        half = max(1, window // 2)
+        runs = windows_of(words, half)
+        least = sliding_least(runs, window - half + 1)[start]
+        place = start.copy()
+        for k in range(window - half, -1, -1):
+            here = runs[start + k] == least
+            place[here] = start[here] + k
+        head = np.ones(len(start), bool)
+        head[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+        heads = np.flatnonzero(head)
+        return cls(data, starts, ends, counts, words, start[heads], np.diff([*heads, len(start)]), least[heads])
 
     def document(self, start: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.counts, start, "right") - 1
 
-    def anchors(self) -> np.ndarray:
-        """For each suffix the least hash of the half windows in its window."""
-        half = max(1, self.window // 2)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        return sliding_least(windows_of(self.words, (half,))[0], self.window - half + 1)[self.start]
-
-
-def prefix_counts(docs: DataFrame, window: int, slots: int) -> DataFrame:
-    """(level, slot, n): suffixes by the slots of their prefixes; level -1 has words (slot 0) and bytes (slot 1)."""
-    sizes = prefix_sizes(window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, totals = np.zeros((len(sizes), slots), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                data, offsets = utf8(part.column(0))
-                own = Suffixes.of(data, offsets, window)
-                totals += len(own.words), len(data)
-                if len(own.start):
-                    for level, hashes in enumerate(windows_of(own.words, sizes)):
-                        counts[level] += np.bincount((hashes[own.start] % np.uint64(slots)).astype(np.int64), minlength=slots)
-        level, slot = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([level, [-1, -1]]), pa.int32()), pa.array(np.concatenate([slot, [0, 1]]), pa.int32()), pa.array(np.concatenate([counts[level, slot], totals]))], ["level", "slot", "n"])
-
-    return docs.select("text").mapInArrow(run, "level int, slot int, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
-
-
-def _columns(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A table of counts in the driver: as many rows as there are slots and levels, MOST_SLOTS a level at most."""
-    found = counts.toArrow()
-    return tuple(found.column(c).to_numpy() for c in ("level", "slot", "n"))
-
-
-def prefix_routes(counts: np.ndarray, most: int) -> np.ndarray:
-    """The group of each (level, slot), -1 where prefixes are too frequent and longer ones decide.
-
-    Neighbouring slots share a group as long as it holds `most` suffixes at most."""
-    routes = np.full(counts.shape, -1, np.int64)
-    groups, left = 0, float(counts[0].sum())
-    for level, own in enumerate(counts):
-        last = level == len(counts) - 1
-        cold = np.ones(len(own), bool) if last else own <= most
-        # of the suffixes of this level only those come here whose shorter prefixes are frequent
-        share = own * (left / max(1.0, float(own.sum())))
-        number = (np.cumsum(np.where(cold, share, 0)) // most).astype(np.int64)
-        routes[level, cold] = groups + number[cold]
-        groups = int(routes.max(initial=-1)) + 1
-        left = float(share[~cold].sum())
-    return routes
-
-
-def group_of(prefixes: list[np.ndarray], routes: np.ndarray) -> np.ndarray:
-    out = np.full(len(prefixes[0]), -1, np.int64)
-    for hashes, own in zip(prefixes, routes):
-        open_ = out < 0
-        out[open_] = own[(hashes[open_] % np.uint64(len(own))).astype(np.int64)]
-    return out
-
-
-def _whole(table_: pa.Table) -> pa.Table:
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space after each, and where each begins."""
+        sizes = self.ends - self.starts
+        begin = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes + 1, out=begin[1:])
+        out = np.full(begin[-1], 32, np.uint8)
+        out[np.arange(begin[-1] - len(sizes)) + np.repeat(np.arange(len(sizes)), sizes)] = self.data[WORD_BYTES[self.data]]
+        return out.tobytes(), begin
+
+
+def _whole(docs: pa.Table) -> pa.Table:
     """A bucket's documents in their order."""
-    ids = table_.column("id").combine_chunks()
-    order = np.lexsort((np.arange(len(ids)), ids.fill_null(_LAST_ID).to_numpy()))
-    keys = ids.fill_null(_LAST_ID).to_numpy()[order]
-    if (keys[1:] == keys[:-1]).any():
-        texts = table_.column("text").to_pylist()
-        order = np.array(sorted(range(len(texts)), key=lambda i: (ids[i].as_py() is None, ids[i].as_py() or 0, texts[i] or "")))
-    return table_.take(pa.array(order))
+    ids, order = docs.column("id").combine_chunks().fill_null(_LAST_ID).to_numpy(), docs.column("order").to_numpy()
+    missing = docs.column("id").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+    places = np.lexsort((order, ids, missing))
+    ties = (ids[places][1:] == ids[places][:-1]) & (order[places][1:] == order[places][:-1])
+    if ties.any():
+        texts = docs.column("text").to_pylist()
+        places = np.array(sorted(range(len(texts)), key=lambda i: (missing[i], ids[i], order[i], texts[i] or "")))
+    return docs.take(pa.array(places))
 
 
 def _joined(cells: list[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(cells), kind)
 
 
-class Bucket:
-    """The suffixes of a bucket that may repeat, each different one's first occurrence, and their groups."""
-
-    def __init__(self, docs: pa.Table, flagged: np.ndarray, routes: np.ndarray, window: int):
-        self.docs = _whole(docs)
-        self.suffixes = own = Suffixes.of(*utf8(self.docs.column("text")), window)
-        flagged = np.unique(flagged)
-        if not len(flagged) or not len(own.start):
-            self.at = self.first = self.which = self.group = np.zeros(0, np.int64)
-            self.full = self.half = np.zeros(0, np.uint64)
-            return
-        anchors = own.anchors()
-        head = np.ones(len(anchors), bool)
-        head[1:] = anchors[1:] != anchors[:-1]
-        heads = anchors[head]
-        place = np.minimum(np.searchsorted(flagged, heads), len(flagged) - 1)
-        self.at = own.start[(flagged[place] == heads)[np.cumsum(head) - 1]]
-        sizes = prefix_sizes(window)
-        hashes = windows_of(own.words, sizes)
-        full = hashes[-1][self.at]
-        _, first, self.which = np.unique(full, return_index=True, return_inverse=True)
-        self.first = first  # places in self.at of each different suffix's first occurrence
-        at = self.at[first]
-        self.group = group_of([h[at] for h in hashes], routes)
-        self.full, self.half = full[first], hashes[-2][at] if len(sizes) > 1 else full[first]
-        order = np.lexsort((at, self.group))
-        self.order, self.cuts = order, np.flatnonzero(np.diff(self.group[order])) + 1
-
-    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each group with the different suffixes that go to it, in the order of their places."""
-        if len(self.first):
-            for own in np.split(self.order, self.cuts):
-                yield int(self.group[own[0]]), own
-
-
-_ANCHOR_ROWS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("twice", pa.binary())])
-_MARK_ROWS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("bits", pa.binary())])
-_SUFFIX_ROWS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("full", pa.binary()), ("half", pa.binary()), ("ids", pa.binary()), ("document", pa.binary())])
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+ANCHOR_ROWS = "part int, bucket int, hashes binary, times binary"
+#: What a part tells a bucket: repeated anchors, their groups (negative: so many groups share it) and numbers of shards.
+REPEATED_ROWS = "bucket int, hashes binary, groups binary, shards binary"
+SUFFIX_ROWS = "key long, up long, bucket int, stretches binary, ids binary, orders binary, documents binary, places binary"
+#: Marks for a bucket (bits, places), or leaves that a shard passes on to the group `to`.
+LEAF_ROWS = "to long, key long, bucket int, bits binary, stretches binary, ids binary, orders binary, documents binary, places binary"
 
 
-def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
+def _rows(rows: list[tuple], ddl: str) -> pa.Table:
+    schema = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in ddl.split(", ")])
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
 
 
 def anchors_of(docs: pa.Table, window: int, parts: int) -> pa.Table:
-    """A bucket's different anchors by parts, and whether each stands in it more than once."""
-    own = Suffixes.of(*utf8(docs.column("text")), window)
-    if not len(own.start):
-        return _ANCHOR_ROWS.empty_table()
-    anchors = own.anchors()
-    head = np.ones(len(anchors), bool)
-    head[1:] = (anchors[1:] != anchors[:-1]) | (own.start[1:] != own.start[:-1] + 1)
-    run = np.cumsum(head) - 1
-    half = max(1, window // 2)
-    twice = np.bincount(run) > window - half + 1
-    full = windows_of(own.words, (window,))[0][own.start]
-    for d in range(1, min(window - half + 1, len(full) - 1) + 1):
-        same = (full[:-d] == full[d:]) & (run[:-d] == run[d:])
-        twice[run[d:][same]] = True
-    hashes, which, times = np.unique(anchors[head], return_inverse=True, return_counts=True)
-    several = times > 1
-    several[which[twice]] = True
+    """A bucket's different anchors by parts, and how often each stands in it (as a power of two, rounded up)."""
+    own = Stretches.of(*utf8(docs.column("text")), window)
+    if not len(own.first):
+        return _rows([], ANCHOR_ROWS)
+    hashes, n = np.unique(own.anchor, return_counts=True)
+    times = np.ceil(np.log2(n)).astype(np.uint8)
     part = (hashes % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     bucket = docs.column("bucket")[0].as_py()
-    return _rows([(int(part[p[0]]), bucket, hashes[p].tobytes(), several[p].tobytes()) for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1)], _ANCHOR_ROWS)
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    return _rows([(int(part[p[0]]), bucket, hashes[p].tobytes(), times[p].tobytes()) for p in np.split(order, cuts)], ANCHOR_ROWS)
 
 
-def repeated_anchors(rows: pa.Table) -> pa.Table:
-    """Of a part's anchors, for each bucket those that stand in another bucket too or in its own more than once."""
+def repeated_anchors(rows: pa.Table, most: int) -> pa.Table:
+    """Of a part's anchors those that stand at two places or more, for each bucket that has them, with their groups."""
     cells, buckets = rows.column("hashes").to_pylist(), np.array(rows.column("bucket").to_pylist())
-    hashes, several = _joined(cells, np.uint64), _joined(rows.column("twice").to_pylist(), np.bool_)
+    hashes, n = _joined(cells, np.uint64), np.exp2(_joined(rows.column("times").to_pylist(), np.uint8)).astype(np.int64)
     bucket = np.repeat(buckets, [len(c) // 8 for c in cells])
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    shared = np.zeros(len(hashes), bool)
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
-    keep = np.flatnonzero(shared | several)
-    keep = keep[np.argsort(bucket[keep], kind="stable")]
+    _, which = np.unique(hashes, return_inverse=True)
+    total = np.bincount(which, n).astype(np.int64)
     part = rows.column("part")[0].as_py()
-    return _rows([(int(bucket[p[0]]), part, hashes[p].tobytes(), b"") for p in np.split(keep, np.flatnonzero(np.diff(bucket[keep])) + 1) if len(p)], _MARK_ROWS)
-
-
-def suffixes_of(docs: pa.Table, marks: pa.Table, routes: np.ndarray, window: int) -> pa.Table:
-    """A bucket's different suffixes at repeated anchors, by groups."""
-    if not docs.num_rows or not marks.num_rows:
-        return _SUFFIX_ROWS.empty_table()
-    bucket = Bucket(docs, _joined(marks.column("hashes").to_pylist(), np.uint64), routes, window)
-    ids = bucket.docs.column("id").combine_chunks().fill_null(_LAST_ID).to_numpy()
-    number, rows = docs.column("bucket")[0].as_py(), []
-    for group, own in bucket.parts():
-        document = bucket.suffixes.document(bucket.at[bucket.first[own]])
-        there, index = np.unique(document, return_inverse=True)
-        rows.append((group, number, bucket.full[own].tobytes(), (bucket.half[own] >> np.uint64(32)).astype(np.uint32).tobytes(), ids[there].tobytes(), index.astype(np.uint32).tobytes()))
-    return _rows(rows, _SUFFIX_ROWS)
-
-
-def marked_leaves(rows: pa.Table) -> pa.Table:
-    """A group's subtree: for each bucket a bit for each leaf that it sent, set unless the leaf is the first of its node.
-
-    Leaves in the order of their digests stand by nodes; neighbours that agree in all digests are below one node of the
-    full depth, and of those the leaf of the smallest document is the first."""
-    column = {c: rows.column(c).to_pylist() for c in ("full", "half", "ids", "document")}
-    full, half = _joined(column["full"], np.uint64), _joined(column["half"], np.uint32)
-    ids = np.concatenate([np.frombuffer(a, np.int64)[np.frombuffer(b, np.uint32)] for a, b in zip(column["ids"], column["document"])])
-    order = np.lexsort((ids, half, full))
-    marked = np.zeros(len(full), bool)
-    marked[order[1:]] = (full[order][1:] == full[order][:-1]) & (half[order][1:] == half[order][:-1])
-    part, at, out = rows.column("part")[0].as_py(), 0, []
-    for bucket, cell in zip(rows.column("bucket").to_pylist(), column["full"]):
-        own = marked[at : at + len(cell) // 8]
-        at += len(own)
+    # prefixes fill one group after the other; those that are too frequent get groups and shards of their own
+    cold = total <= most
+    group = (part << 32) + np.cumsum(np.where(cold & (total > 1), total, 0)) // most
+    group, shards = np.where(cold, group, -(-total // most)), np.where(cold, 1, -(-total // most))
+    group = np.where(cold, group, -group)
+    keep = np.flatnonzero(total[which] > 1)
+    keep = keep[np.argsort(bucket[keep], kind="stable")]
+    cuts = np.flatnonzero(np.diff(bucket[keep])) + 1
+    return _rows([(int(bucket[p[0]]), hashes[p].tobytes(), group[which[p]].tobytes(), shards[which[p]].tobytes()) for p in np.split(keep, cuts) if len(p)], REPEATED_ROWS)
+
+
+class Bucket:
+    """The stretches of a bucket whose windows may repeat, and which of them go to which groups."""
+
+    def __init__(self, docs: pa.Table, repeated: pa.Table, window: int):
+        self.docs, self.window = _whole(docs), window
+        self.number = docs.column("bucket")[0].as_py()
+        self.own = own = Stretches.of(*utf8(self.docs.column("text")), window)
+        hashes, group, shards = (_joined(repeated.column(c).to_pylist(), k) for c, k in (("hashes", np.uint64), ("groups", np.int64), ("shards", np.int64)))
+        order = np.argsort(hashes)
+        hashes, group, shards = hashes[order], group[order], shards[order]
+        at = np.minimum(np.searchsorted(hashes, own.anchor), max(0, len(hashes) - 1))
+        held = np.flatnonzero(hashes[at] == own.anchor) if len(hashes) else np.zeros(0, np.int64)
+        first, size, group, shards, anchor = own.first[held], own.size[held], group[at[held]], shards[at[held]], own.anchor[held]
+        # of an anchor that is too frequent each window goes its own way, by its whole hash
+        times = np.where(group < 0, size, 1)
+        again = np.repeat(np.arange(len(first)), times)
+        within = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+        hot = group[again] < 0
+        self.first, self.size = first[again] + np.where(hot, within, 0), np.where(hot, 1, size[again])
+        self.key, self.up = group[again], np.zeros(len(again), np.int64)
+        if hot.any():
+            whole = windows_of(own.words, window)[self.first[hot]]
+            split = mix(anchor[again][hot] ^ mix(whole % (-group[again][hot]).astype(np.uint64)))
+            shard = np.uint64(self.number) % shards[again][hot].astype(np.uint64)
+            self.up[hot] = split.view(np.int64)
+            self.key[hot] = mix(split + shard + np.uint64(1)).view(np.int64)
+        self.raw, self.begin = own.joined() if len(self.first) else (b"", np.zeros(1, np.int64))
+        # each different stretch once: a later equal one repeats in all its windows
+        seen: dict[bytes, None] = {}
+        new = np.zeros(len(self.first), bool)
+        lows, highs = self.begin[self.first].tolist(), self.begin[self.first + self.size + window - 1].tolist()
+        for i, (a, b) in enumerate(zip(lows, highs)):
+            cell = self.raw[a:b]
+            if cell not in seen:
+                seen[cell] = None
+                new[i] = True
+        self.new = new
+        sent = np.flatnonzero(new)
+        self.sent = sent[np.argsort(self.key[sent], kind="stable")]
+        self.lows, self.highs = lows, highs
+
+    def groups(self) -> Iterator[np.ndarray]:
+        """The stretches that go to each group, in the order of their places."""
+        if len(self.sent):
+            yield from np.split(self.sent, np.flatnonzero(np.diff(self.key[self.sent])) + 1)
+
+
+def suffixes_of(docs: pa.Table, repeated: pa.Table, window: int) -> pa.Table:
+    """A bucket's different stretches by groups."""
+    if not docs.num_rows or not repeated.num_rows:
+        return _rows([], SUFFIX_ROWS)
+    bucket, rows = Bucket(docs, repeated, window), []
+    ids, orders = bucket.docs.column("id").combine_chunks().fill_null(_LAST_ID).to_numpy(), bucket.docs.column("order").to_numpy()
+    for own in bucket.groups():
+        there, index = np.unique(bucket.own.document(bucket.first[own]), return_inverse=True)
+        text = b"\n".join([bucket.raw[bucket.lows[i] : bucket.highs[i]] for i in own.tolist()]) + b"\n"
+        rows.append((int(bucket.key[own[0]]), int(bucket.up[own[0]]), bucket.number, text, ids[there].tobytes(), orders[there].tobytes(), index.astype(np.uint32).tobytes(), b""))
+    return _rows(rows, SUFFIX_ROWS)
+
+
+class Subtree:
+    """The suffix tree of a group down to the depth of a window: its leaves and the deep node above each.
+
+    rows hold stretches (words with a space after each, a line feed after each stretch) and the documents of each."""
+
+    def __init__(self, rows: pa.Table, window: int):
+        cells = rows.column("stretches").to_pylist()
+        data = np.frombuffer(b"".join(cells), np.uint8)
+        line = data == 10
+        self.data = data[~line]
+        # a stretch's words are counted at its line feed
+        words_before = np.concatenate([[0], np.cumsum(data == 32)[line]])
+        self.offsets = np.concatenate([[0], np.flatnonzero(self.data == 32) + 1])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.offsets) - 1, [None, pa.py_buffer(self.offsets), pa.py_buffer(self.data)])
+        codes = words.dictionary_encode().indices.to_numpy()
+        leaves = np.diff(words_before) - window + 1
+        self.stretch = np.repeat(np.arange(len(leaves)), leaves)
+        self.start = np.arange(leaves.sum()) + np.repeat(words_before[:-1] - (np.cumsum(leaves) - leaves), leaves)
+        self.node = ranks_at(codes, window)[self.start]
+        self.row = np.repeat(np.arange(len(cells)), [c.count(b"\n") for c in cells])[self.stretch]
+        columns = {c: rows.column(c).to_pylist() for c in ("ids", "orders", "documents")}
+        picked = [np.frombuffer(d, np.uint32) for d in columns["documents"]]
+        self.id, self.order = (np.concatenate([np.frombuffer(c, np.int64)[d] for c, d in zip(columns[k], picked)])[self.stretch] for k in ("ids", "orders"))
+
+    def marked(self, bucket: np.ndarray) -> np.ndarray:
+        """Whether a leaf is not the first one below its deep node, in the order of documents and places."""
+        leaf = np.lexsort((np.arange(len(self.node)), bucket[self.row], self.order, self.id, self.node))
+        out = np.zeros(len(leaf), bool)
+        out[leaf[1:]] = self.node[leaf][1:] == self.node[leaf][:-1]
+        return out
+
+    def words(self, leaf: int, window: int) -> bytes:
+        return self.data[self.offsets[self.start[leaf]] : self.offsets[self.start[leaf] + window]].tobytes()
+
+
+def marked_leaves(rows: pa.Table, window: int) -> pa.Table:
+    """A bit for each leaf that a bucket sent, set unless the leaf is the first of its node. A shard also passes on its
+    first leaves."""
+    tree, buckets = Subtree(rows, window), np.array(rows.column("bucket").to_pylist())
+    marked, out = tree.marked(buckets), []
+    keys, ups = rows.column("key").to_pylist(), rows.column("up").to_pylist()
+    cuts = np.searchsorted(tree.row, np.arange(rows.num_rows + 1))
+    for i, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+        own = marked[a:b]
         if own.any():
-            out.append((bucket, part, b"", np.packbits(own).tobytes()))
-    return _rows(out, _MARK_ROWS)
-
-
-def kept_words(docs: pa.Table, marks: pa.Table, routes: np.ndarray, window: int, more: list[str]) -> pa.Table:
-    """(id, n_words, n_removed, kept) of a bucket's documents, and further columns of theirs."""
-    flagged = [h for h in marks.column("hashes").to_pylist() if h]
-    bits = {p: b for p, b in zip(marks.column("part").to_pylist(), marks.column("bits").to_pylist()) if b}
-    bucket = Bucket(docs, _joined(flagged, np.uint64), routes, window)
-    own = bucket.suffixes
-    cover = np.zeros(len(own.words) + window + 1, np.int64)
-    if len(bucket.at):
-        marked = np.zeros(len(bucket.first), bool)
-        for group, members in bucket.parts():
-            if group in bits:
-                marked[members] = np.unpackbits(np.frombuffer(bits[group], np.uint8), count=len(members)).astype(bool)
-        again = np.ones(len(bucket.at), bool)
-        again[bucket.first] = marked
-        at = bucket.at[again]
-        cover += np.bincount(at, minlength=len(cover)) - np.bincount(at + window, minlength=len(cover))
+            out.append((int(buckets[i]), keys[i], int(buckets[i]), np.packbits(own).tobytes(), *[b""] * 5))
+        firsts = np.flatnonzero(~own)
+        if ups[i] and len(firsts):
+            text = b"".join(tree.words(a + k, window) + b"\n" for k in firsts.tolist())
+            out.append((ups[i], keys[i], int(buckets[i]), b"", text, tree.id[a + firsts].tobytes(), tree.order[a + firsts].tobytes(), np.arange(len(firsts), dtype=np.uint32).tobytes(), firsts.astype(np.uint32).tobytes()))
+    return _rows(out, LEAF_ROWS)
+
+
+def merged_leaves(rows: pa.Table, window: int) -> pa.Table:
+    """Marks as they are, and marks of the leaves that shards passed on: all but the first of each node."""
+    passed = pc.greater(pc.binary_length(rows.column("stretches")), 0)
+    out = [rows.filter(pc.invert(passed)).select(["key", "bucket", "bits", "places"])]
+    rows = rows.filter(passed)
+    if rows.num_rows:
+        tree, more = Subtree(rows, window), []
+        marked = tree.marked(np.array(rows.column("bucket").to_pylist()))
+        cuts = np.searchsorted(tree.row, np.arange(rows.num_rows + 1)).tolist()
+        for a, b, key, bucket, places in zip(cuts, cuts[1:], *(rows.column(c).to_pylist() for c in ("key", "bucket", "places"))):
+            if marked[a:b].any():
+                more.append((key, bucket, b"", np.frombuffer(places, np.uint32)[marked[a:b]].tobytes()))
+        out.append(_rows(more, "key long, bucket int, bits binary, places binary"))
+    return pa.concat_tables(out)
+
+
+def kept_words(docs: pa.Table, told: pa.Table, window: int, more: list[str]) -> pa.Table:
+    """(id, n_words, n_removed, kept) of a bucket's documents, and further columns of theirs.
+
+    told: what parts (hashes) and groups (bits, places) say to this bucket."""
+    parts = pc.is_valid(told.column("hashes"))
+    bucket, marks = Bucket(docs, told.filter(parts), window), told.filter(pc.invert(parts))
+    own, said = bucket.own, {}
+    for key, bits, places in zip(*(marks.column(c).to_pylist() for c in ("key", "bits", "places"))):
+        said.setdefault(key, []).append((bits, places))
+    gone = ~bucket.new
+    begins, ends = [bucket.first[gone]], [bucket.first[gone] + bucket.size[gone] + window - 1]
+    for members in bucket.groups():
+        if (answers := said.get(int(bucket.key[members[0]]))) is None:
+            continue
+        sizes = bucket.size[members]
+        at = np.repeat(bucket.first[members] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        marked = np.zeros(len(at), bool)
+        for bits, places in answers:
+            if bits:
+                marked |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
+            marked[np.frombuffer(places, np.uint32)] = True
+        begins.append(at[marked])
+        ends.append(at[marked] + window)
+    room = len(own.words) + window + 1
+    cover = np.bincount(np.concatenate(begins), minlength=room) - np.bincount(np.concatenate(ends), minlength=room)
     kept = np.cumsum(cover)[: len(own.words)] == 0
     n_words = np.diff(own.counts)
     before = np.concatenate([[0], np.cumsum(kept)])
@@ -332,23 +383,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kept: the remaining words joined by one space. With carry, these columns of docs come too."""
     docs, more, kinds = with_carried(docs, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], carry)
-    level, slot, n = _columns(prefix_counts(docs, window, SLOTS))
-    n_words, n_bytes = (int(n[(level < 0) & (slot == k)].sum()) for k in (0, 1))
-    slots = SLOTS
-    while slots < MOST_SLOTS and slots * GROUP_SUFFIXES < 8 * n_words:
-        slots *= 2
-    if slots != SLOTS:
-        level, slot, n = _columns(prefix_counts(docs, window, slots))
-    counts = np.zeros((len(prefix_sizes(window)), slots), np.int64)
-    counts[level[level >= 0], slot[level >= 0]] = n[level >= 0]
-    routes = prefix_routes(counts, GROUP_SUFFIXES)
-    buckets, parts = max(1, -(-n_bytes // BUCKET_BYTES)), max(1, n_words // ANCHORS_PER_PART)
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    anchors = dealt.groupBy("bucket").applyInArrow(lambda t: anchors_of(t, window, parts), _ddl(_ANCHOR_ROWS))
-    repeated = anchors.groupBy("part").applyInArrow(repeated_anchors, _ddl(_MARK_ROWS))
-    suffixes = dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(lambda d, m: suffixes_of(d, m, routes, window), _ddl(_SUFFIX_ROWS))
-    marks = repeated.unionByName(suffixes.groupBy("part").applyInArrow(marked_leaves, _ddl(_MARK_ROWS)))
-    out = dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(lambda d, m: kept_words(d, m, routes, window, more), f"id long, n_words long, n_removed long, kept string{kinds}")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # larger buckets for a larger corpus, within bounds: a passage that stands in every bucket has so many anchors
+    buckets = max(1, -(-n_bytes // min(max(BUCKET_BYTES, n_bytes // BUCKETS), max(BUCKET_BYTES, MOST_BUCKET_BYTES))))
+    parts, most = max(1, n_bytes // (6 * PART_ANCHORS)), GROUP_STRETCHES
+    dealt = docs.withColumn("order", F.xxhash64("text"))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("id", "order"), F.lit(buckets)).cast("int"))
+    anchors = dealt.groupBy("bucket").applyInArrow(lambda t: anchors_of(t, window, parts), ANCHOR_ROWS)
+    repeated = anchors.groupBy("part").applyInArrow(lambda t: repeated_anchors(t, most), REPEATED_ROWS)
+    suffixes = dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(lambda d, r: suffixes_of(d, r, window), SUFFIX_ROWS)
+    leaves = suffixes.groupBy("key").applyInArrow(lambda t: marked_leaves(t, window), LEAF_ROWS)
+    marks = leaves.groupBy("to").applyInArrow(lambda t: merged_leaves(t, window), "key long, bucket int, bits binary, places binary")
+    told = repeated.unionByName(marks, allowMissingColumns=True)
+    out = dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(lambda d, t: kept_words(d, t, window, more), f"id long, n_words long, n_removed long, kept string{kinds}")
     return carried(out.withColumnRenamed("id", id_col), carry)
 
 

@@ -31,12 +31,14 @@ def test_documents(spark):
     assert got == want and sum(m for _, m, _ in want.values()) > 0
 
 
-def test_many_buckets_and_groups(spark, monkeypatch):
-    """Small buckets, groups and windows: prefixes of every length decide, passages cross buckets, texts repeat themselves."""
+@pytest.mark.parametrize("most", [3, 200])
+def test_many_buckets_and_groups(spark, monkeypatch, most):
+    """Small buckets, groups and windows: prefixes of both lengths and shards decide, passages cross buckets, texts repeat themselves."""
     prepare(spark)
     monkeypatch.setattr(sd, "BUCKET_BYTES", 3000)
-    monkeypatch.setattr(sd, "GROUP_SUFFIXES", 200)
-    monkeypatch.setattr(sd, "ANCHORS_PER_PART", 500)
+    monkeypatch.setattr(sd, "MOST_BUCKET_BYTES", 3000)
+    monkeypatch.setattr(sd, "GROUP_STRETCHES", most)
+    monkeypatch.setattr(sd, "PART_ANCHORS", 100)
     rnd = np.random.default_rng(4)
     passage = " ".join(map(str, rnd.integers(0, 50, 40)))
     docs = []
@@ -72,3 +74,41 @@ def test_repeated_and_missing_ids(spark):
 def test_sliding_least(n):
     x = np.random.default_rng(n).integers(0, 99, 60)
     assert sd.sliding_least(x, n).tolist() == [x[i : i + n].min() for i in range(60 - n + 1)]
+
+
+def test_ranks_are_lexicographic():
+    rng = np.random.default_rng(2)
+    for depth in (1, 2, 5, 20):
+        codes = rng.integers(0, 3, 300)
+        rank = sd.ranks_at(codes, depth)[: 300 - depth + 1]
+        runs = [tuple(codes[i : i + depth]) for i in range(300 - depth + 1)]
+        order = {r: k for k, r in enumerate(sorted(set(runs)))}
+        assert (np.argsort(rank, kind="stable") == sorted(range(len(runs)), key=lambda i: (order[runs[i]], i))).all()
+        assert len(set(rank.tolist())) == len(order)
+
+
+def test_words_of_equal_hash_are_told_apart(spark):
+    """The Thue-Morse word and its complement agree in polynomial hashes modulo a power of two."""
+    prepare(spark)
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    pair = sd.word_hashes(*(np.frombuffer(f"{word} {other}".encode(), np.uint8), np.array([0, 2049]), np.array([2048, 4097])))
+    assert pair[0] == pair[1]
+    common = " ".join(map(str, range(19)))
+    rows = [(1, f"{word} {common}"), (2, f"{other} {common}"), (3, f"{word} {common}")]
+    got = {r.doc_id: r.n_removed for r in sd.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_one_id_or_none_in_all_rows(spark, monkeypatch):
+    """Rows of one id and rows without id are dealt out by their texts; one copy of each text is kept."""
+    prepare(spark)
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(sd, "MOST_BUCKET_BYTES", 2000)
+    texts = [" ".join(f"w{i}x{k}" for k in range(25)) for i in range(20)]
+    rows = [(i, t) for i in (None, 7) for t in texts for _ in range(2)]
+    got = sd.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got if r.doc_id) == [(7, 0)] * 20 + [(7, 25)] * 20
+    assert {r.n_removed for r in got if r.doc_id is None} == {25} and len(got) == 80
