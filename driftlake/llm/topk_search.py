@@ -1,16 +1,19 @@
 """Exact top-k search by inner product over an impact-ordered index, score at a time.
 
-Vectors become integers, floor(scale * x). A block of candidates is indexed by impact: each component belongs to the
-posting segment of its magnitude's band, the bands in descending order of quantised impact. For a block of queries the
-segments are processed from the highest impact on; after each, every candidate's score so far plus what the lower
-bands can still add bounds its score from above, and what they can still take bounds it from below. A candidate is
-dropped only when its upper bound lies below the k-th best lower bound - that is the proof - and processing stops when
-no more is to be gained; whoever may still be a member is rescored exactly in 64-bit integers.
+Vectors become integers, floor(scale * x). A block of candidates is indexed by postings: for each dimension its
+components that are not 0, in the order of their values, each run of equal values being the segment of that impact. What
+a segment adds to a query's scores is the query's component times the segment's impact. Segments are processed by
+descending size of that product, a factor of LESS at a time, into one accumulator a candidate. Of what is not processed
+yet each component can add or take the last product's size at most, and no dimension more than its largest component; so
+every candidate has a score between two bounds. A candidate is dropped only when its upper bound lies below the k-th best
+lower bound - that is the proof - and processing stops when few are left or all is processed; whoever may still be a
+member is rescored exactly in 64-bit integers.
 
 Queries are a stated set of rows; they and the candidates meet block by block, so no task sees more than one block of
 each. Ties go to the smaller id. Vectors that are null, or hold a null or a component that is not finite, take no part
 (an empty vector has score 0 with everything); repeated ids are separate rows; an empty table gives no rows; further
 columns of the input are not read. Vectors of different lengths are compared as if the shorter ended in zeros.
+Components or scores that 64 bits do not hold raise an error.
 """
 
 from __future__ import annotations
@@ -28,9 +31,8 @@ from driftlake.llm.common import table, written
 CANDIDATES = 16384
 QUERIES = 2048
 BLOCK_ROWS = 1024
-#: Impacts are cut into bands at these parts of the largest magnitude of a block.
-BANDS = (0.5, 0.25, 0.125, 0.0)
-STEP = 128
+#: Segments are processed down to 1 / LESS, 1 / LESS**2, ... of the largest product, STEPS times, then the rest.
+LESS, STEPS = 2.0, 5
 
 
 def packed_blocks(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, scale: float, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -58,7 +60,10 @@ def packed_blocks(vectors: DataFrame, is_query: Column, id_col: str, vector_col:
             begins = np.concatenate([[0], np.cumsum(lengths)])
             for n in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == n)
-                x = np.floor(scale * flat[(begins[own, None] + np.arange(n)).ravel()]).astype(np.int64).reshape(len(own), n)
+                x = np.floor(scale * flat[(begins[own, None] + np.arange(n)).ravel()]).reshape(len(own), n)
+                if np.abs(x).max(initial=0) >= 2.0**63:
+                    raise OverflowError(f"components times {scale} do not fit 64 bits")
+                x = x.astype(np.int64)
                 for a in range(0, len(own), rows):
                     room = rows - sum(map(len, data))
                     part = slice(a, a + min(rows, len(own) - a))
@@ -106,61 +111,76 @@ def _matrix(blocks: pa.Table, to: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ImpactIndex:
-    """Posting segments of a block of integer vectors by bands of impact."""
+    """Postings of a block of integer vectors, by dimension and, within it, by impact (the components' values)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.rows = ids[order], vectors[order], rows[order]
-        magnitude = np.abs(self.vectors)
-        top = int(magnitude.max(initial=0))
-        self.segments, self.rest = [], []
-        upper = top + 1
-        for part in BANDS:
-            lower = int(np.ceil(top * part)) if part else 0
-            inside = (magnitude >= lower) & (magnitude < upper)
-            self.segments.append(np.where(inside, self.vectors, 0).astype(np.float64))
-            below = np.where(magnitude < lower, magnitude, 0).astype(np.float64)
-            self.rest.append(np.sqrt((below**2).sum(1)))  # the length of what lower bands hold
-            upper = lower
-        self.top = top
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query's place, candidate id, score) of the k best of this block for each query, its own row left out."""
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        exact_in_double = float(self.top) * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 2.0**52
-        for a in range(0, len(queries), STEP):
-            q, mine = queries[a : a + STEP], own[a : a + STEP]
-            n = len(self.ids)
-            self_mask = mine[:, None] == self.rows[None, :]
-            possible = ~self_mask
-            if exact_in_double and n > k:
-                size = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-                known = np.zeros((len(q), n))
-                for segment, rest in zip(self.segments, self.rest):
-                    known += q.astype(np.float64) @ segment.T
-                    slack = size[:, None] * rest[None, :] * (1 + 1e-9)
-                    low = np.where(self_mask, -np.inf, known - slack)
-                    bar = np.partition(low, n - k, axis=1)[:, n - k]
-                    possible &= known + slack >= bar[:, None]
-                    if possible.sum() <= 4 * k * len(q):
-                        break
-            row, column = np.nonzero(possible)
-            score = np.empty(len(row), np.int64)
-            for b in range(0, len(row), 1 << 16):
-                part = slice(b, b + (1 << 16))
-                score[part] = np.einsum("ij,ij->i", q[row[part]], self.vectors[column[part]])
-            order = np.lexsort((self.ids[column], -score, row))
-            row, column, score = row[order], column[order], score[order]
-            first = np.searchsorted(row, np.arange(len(q)))
-            keep = np.arange(len(row)) - first[row] < k
-            out.append((row[keep] + a, self.ids[column[keep]], score[keep]))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        dimension, place = np.nonzero(self.vectors.T)
+        value = self.vectors[place, dimension]
+        by_impact = np.lexsort((value, dimension))
+        self.place, self.value = place[by_impact], value[by_impact].astype(np.float64)
+        self.begin = np.searchsorted(dimension, np.arange(vectors.shape[1] + 1))  # of each dimension's postings
+        self.held = np.bincount(place, minlength=len(ids))
+        self.largest = np.abs(self.vectors).max(0, initial=0)
+
+    def segments(self, query: np.ndarray, above: float, below: float) -> list[tuple[int, int, float]]:
+        """(first posting, end, query's component) of the postings whose products are above one size, up to another."""
+        out = []
+        for d in np.flatnonzero((query != 0) & (np.abs(query) * self.largest > above)).tolist():
+            a, b = int(self.begin[d]), int(self.begin[d + 1])
+            values, size = self.value[a:b], abs(float(query[d]))
+            low, lower = np.searchsorted(values, [-above / size, -below / size])
+            high, higher = np.searchsorted(values, [above / size, below / size], "right")
+            out += [(a + x, a + y, float(query[d])) for x, y in ((lower, low), (high, higher)) if y > x]
+        return out
+
+    def members(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, int]:
+        """Places of the candidates that may be among the k best, and how many postings were processed to prove it."""
+        others = self.rows != own
+        if others.sum() <= k:
+            return np.flatnonzero(others), 0
+        product = np.abs(query) * self.largest.astype(np.float64)
+        score, seen, done = np.zeros(len(self.ids)), np.zeros(len(self.ids), np.int64), 0
+        below = np.inf
+        for step in range(1, STEPS + 2):
+            above = float(product.max()) / LESS**step if step <= STEPS else 0.0
+            parts = self.segments(query, above, below)
+            if parts:
+                places = np.concatenate([self.place[a:b] for a, b, _ in parts])
+                score += np.bincount(places, np.concatenate([x * self.value[a:b] for a, b, x in parts]), len(score))
+                seen += np.bincount(places, minlength=len(score))
+                done += len(places)
+            # each component that was not processed adds or takes `above` at most, and each dimension its largest
+            open_ = np.minimum(above * (self.held - seen), np.minimum(product, above).sum()) + 1e-9 * product.sum()
+            bar = np.partition((score - open_)[others], -k)[-k]
+            possible = others & (score + open_ >= bar)
+            if possible.sum() <= 4 * k:
+                break
+            below = above
+        return np.flatnonzero(possible), done
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(query's place, candidate id, score, postings processed, candidates rescored) of the k best of this block for
+        each query, its own row left out."""
+        if int(self.largest.max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) >= 1 << 63:
+            raise OverflowError("scores do not fit 64 bits")
+        exact_in_double = float(self.largest.max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 2.0**52
+        out = []
+        for at, (query, row) in enumerate(zip(queries, own.tolist())):
+            places, done = self.members(query, row, k) if exact_in_double else (np.flatnonzero(self.rows != row), 0)
+            score = np.concatenate([self.vectors[places[b : b + (1 << 14)]] @ query for b in range(0, len(places), 1 << 14)] or [np.zeros(0, np.int64)])
+            best = np.lexsort((self.ids[places], -score))[:k]
+            n = len(best)
+            out.append((np.full(n, at), self.ids[places[best]], score[best], np.full(n, done), np.full(n, len(places))))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", proof: bool = False) -> DataFrame:
     """(query_id, rank, <id_col>, score): the k rows of highest inner product with each query row, itself left out.
 
-    Rows of equal id are rows of their own: each query row has its list, and other rows of its id may stand in it."""
+    Rows of equal id are rows of their own: each query row has its list, and other rows of its id may stand in it. With
+    proof, also how many postings of the row's block were processed for it, and how many candidates were rescored."""
     candidates = written(packed_blocks(vectors, is_query, id_col, vector_col, scale), "candidates")
     asked = written(query_blocks(candidates), "queries")
     # every tile of candidates meets every tile of queries once; the tiles' sizes are fixed, their numbers grow
@@ -170,19 +190,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     right = asked.withColumn("t", F.pmod(F.xxhash64("q"), F.lit(down))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
 
     def meet(held: pa.Table, queries: pa.Table) -> pa.Table:
+        names = ("query_row", "query_id", "id", "score", "processed", "rescored")
         if not held.num_rows or not queries.num_rows:
-            return pa.table({"query_row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
         to = max(_widest(held), _widest(queries))
         own, asked_vectors = _matrix(queries, to)
         own_rows = np.concatenate([np.frombuffer(x, np.int64) for x in queries.column("rows").to_pylist()])
         ids, vectors_ = _matrix(held, to)
         rows = np.concatenate([c * BLOCK_ROWS + np.arange(len(x) // 8) for c, x in zip(held.column("c").to_pylist(), held.column("ids").to_pylist())])
-        place, found, score = ImpactIndex(ids, vectors_, rows).search(asked_vectors, own_rows, k)
-        return pa.table({"query_row": own_rows[place], "query_id": own[place], "id": found, "score": score})
+        place, *found = ImpactIndex(ids, vectors_, rows).search(asked_vectors, own_rows, k)
+        return pa.table(dict(zip(names, (own_rows[place], own[place], *found))))
 
-    found = left.groupBy("t", "s").cogroup(right.groupBy("t", "s")).applyInArrow(meet, "query_row long, query_id long, id long, score long")
+    met = left.groupBy("t", "s").cogroup(right.groupBy("t", "s"))
+    found = met.applyInArrow(meet, "query_row long, query_id long, id long, score long, processed long, rescored long")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score", *(("processed", "rescored") if proof else ()))
 
 
 def _tiles(blocks: DataFrame, rows: int) -> int:
