@@ -10,10 +10,13 @@ segments' budgets leave equal (of a segment with one difference at most one half
 chain's budgets one after the other before the full Hamming check. Buckets beyond a size are split into blocks whose
 pairs are dealt out, so nothing is dropped.
 
-Equal fingerprints are one node, so a group of copies costs what one document costs. Null texts and texts without words
-have fingerprint zero, linked like any other; fewer words than a shingle are one shingle; texts are read whole; repeated
-rows are separate members; a row without id joins its group but never names it; an empty table gives an empty one;
-further columns of the input are not read.
+Equal fingerprints are one node, so a group of copies costs what one document costs. Of the pairs that meet in a bucket no
+more than an edge for each fingerprint leaves it: to the least one that it is linked to there, directly or not.
+
+Null texts and texts without words have fingerprint zero, linked like any other; fewer words than a shingle are one
+shingle; texts are read whole; repeated rows are separate members; a row without id joins and bridges its group like any
+other but never names it (a group of such rows only has no name); an empty table gives an empty one; further columns of
+the input are not read.
 """
 
 from __future__ import annotations
@@ -129,20 +132,35 @@ def viable_pairs(key: np.ndarray, first: np.ndarray, block: np.ndarray, prints:
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as edges: each of their nodes but the least with the least node that it reaches by the pairs."""
+    nodes, which = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right, least = which[: len(a)], which[len(a) :], np.arange(len(nodes))
+    while True:
+        before = least.copy()
+        np.minimum.at(least, left, before[right])
+        np.minimum.at(least, right, before[left])
+        least = least[least]
+        if (least == before).all():
+            break
+    inner = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[least[inner]], nodes[inner]
+
+
 def linked(nodes: DataFrame, budget: int, members: int = 4096) -> DataFrame:
-    """(a, b): the linked pairs of nodes (print long, rep long, distinct prints), each once, a < b."""
+    """(a, b), a < b: edges that join the fingerprints (print long, all different) of each group, and no others."""
     n = nodes.count()
     keys = chains(budget, depth_for(n, budget))
     masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("first"), F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long").alias("mask")) for k, (i, mask) in enumerate(keys)])
-    rows = nodes.select("print", "rep", F.explode(masks).alias("x")).select("print", "rep", F.col("x.first").alias("first"), F.xxhash64("x.k", F.col("print").bitwiseAND(F.col("x.mask"))).alias("key"))
+    rows = nodes.select("print", F.explode(masks).alias("x")).select("print", F.col("x.first").alias("first"), F.xxhash64("x.k", F.col("print").bitwiseAND(F.col("x.mask"))).alias("key"))
     # buckets that are too large for one task are dealt out as pairs of blocks
     large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > members).select("key", F.ceil(F.col("n") / members).cast("long").alias("blocks"))
     split = rows.join(large, "key", "left")
-    block = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks"))
+    block = F.pmod(F.xxhash64("print", F.lit(7)), F.col("blocks"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     split = split.withColumn("block", F.coalesce(block, F.lit(-1).cast("long"))).withColumn("other", other)
     split = split.select(
-        "print", "rep", "first", F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).cast("long").alias("block"),
+        "print", "first", F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).cast("long").alias("block"),
         F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"),
     )
 
@@ -160,9 +178,9 @@ def linked(nodes: DataFrame, budget: int, members: int = 4096) -> DataFrame:
             yield from pairs(held)
 
     def pairs(rows_: pa.Table):
-        key, first, block_, prints, rep = (rows_.column(c).to_numpy() for c in ("key", "first", "block", "print", "rep"))
+        key, first, block_, prints = (rows_.column(c).to_numpy() for c in ("key", "first", "block", "print"))
         a, b = viable_pairs(key, first, block_, prints.view(np.uint64), budget)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(prints[a], prints[b])], ["a", "b"])
 
     met = split.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
     return met.distinct()
@@ -199,8 +217,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     prints = written(map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, print long"), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("id").alias("rep")), "nodes")
-    found = components(linked(nodes.where(F.col("rep").isNotNull()), budget))
-    named = nodes.join(found, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+    found = components(linked(nodes, budget))
+    grouped = nodes.join(found, F.col("print") == F.col("node"), "left").withColumn("component", F.coalesce("component", "print"))
+    names = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = grouped.select("print", "component").join(names, "component").select("print", "component_id")
     return prints.join(named, "print").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
