@@ -1,8 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
 `secret_spans` finds three base kinds by pattern (assignments to sensitive names, access keys, long hex runs) and a
-fourth, `literal`, by lexing: statements of source and configuration syntax become name-value pairs, constants are
-propagated from name to name, and each literal is scored by the sensitive names that it reaches.
+fourth, `literal`, by lexing: statements of source and configuration syntax become name-literal pairs, constants are
+propagated from name to name to a fixed point, and each literal is scored by the sensitive names that it reaches.
 
 Null and empty texts have no spans; a text of any length is read whole; repeated rows give repeated results; an
 empty table gives an empty one; further columns of the input are not read. Positions are code points, ends exclusive.
@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,12 +37,27 @@ NAME_WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0,
     "privatekey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signature": 0.5, "key": 0.5,
 }
+#: A text without any of these has no sensitive name.
+_SENSITIVE = re.compile("(?i)pass|pwd|secret|token|key|credential|auth|bearer|signature")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|nil|true|false|undefined|change_?me|example.*|sample.*|dummy.*|your.*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
-_STATEMENT = re.compile(
-    r"""(?:(?P<quote>["'])|(?<![A-Za-z0-9_.\-])[0-9.\-]*)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?(quote)(?P=quote))[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;(){}\[\]#]+)(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;(){}\[\]#]+))*)"""
+#: What the lexer tells apart; all other characters separate. A quote after a letter opens no string (don't).
+_TOKEN = re.compile(
+    r"""(?P<long>\"{3}(?:\\.|[^\\])*?\"{3}|'{3}(?:\\.|[^\\])*?'{3})
+    |(?P<text>"(?:\\.|[^"\\\n])*"|(?:(?<![A-Za-z0-9])|(?<=\b[bBfFrRuU]))'(?:\\.|[^'\\\n])*'|`[^`\n]*`)
+    |(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.\-]+[A-Za-z0-9_]+)*)
+    |(?P<op>[=!<>]=|:=|=>|\+=|[=:\[\]])""",
+    re.X | re.S,
 )
-_OPERAND = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([^\s"'+,;]+)""")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*\Z")
+_ASSIGNS = {"=", ":", ":=", "=>", "+="}
+#: A value without quotes; an equals sign only at its end.
+_BARE = re.compile(r"""(?:[^\s"'`,;(){}\[\]#<>=]|=(?![^\s=,;"')\]}]))+""")
+_NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_]*(?:[.\-]+[A-Za-z0-9_]+)*)\}?\Z")
+_SPACE, _SPACE_LINES = re.compile(r"(?:[ \t]|\\\r?\n)*"), re.compile(r"(?:\s|\\)*")
+#: What may stand between two operands of one value.
+_JOIN = re.compile(r"\+|\|\||\?\?|or\b|[.%&](?!\w)")
+_VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}")
+_BLOCK = re.compile(r"[|>][-+0-9]*[ \t]*\r?\n")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -72,31 +89,150 @@ def value_score(value: str) -> float:
     return min(1.0, bits / 3.0) * (0.4 + 0.2 * mixed)
 
 
+@dataclass
+class Statement:
+    """A name, the literals of its value (start, end) and the names that its value mentions."""
+
+    name: str
+    literals: list[tuple[int, int]]
+    mentions: set[str]
+
+
+class Lexer:
+    """Name-literal pairs of source and configuration syntax: assignments, keyword arguments, subscripts, JSON, YAML with
+    block texts, INI, shell, XML elements and attributes, and name/value pairs of entries."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tokens = [(m.lastgroup, *m.span()) for m in _TOKEN.finditer(text)]
+        self.strings = {start: end for kind, start, end in self.tokens if kind in ("text", "long")}
+
+    def inside(self, start: int, end: int) -> tuple[int, int]:
+        """A string's content."""
+        quotes = 3 if self.text.startswith(('"""', "'''"), start) and end - start >= 6 else 1
+        return start + quotes, end - quotes
+
+    def statements(self) -> list[Statement]:
+        text, tokens, out = self.text, self.tokens, []
+        for i, (kind, start, end) in enumerate(tokens):
+            if kind == "op" or kind == "long":
+                continue
+            name, j = text[slice(*self.inside(start, end))] if kind == "text" else text[start:end], i + 1
+            # subscripts belong to the name
+            while j + 2 < len(tokens) and text[tokens[j][1] : tokens[j][2]] == "[" and tokens[j + 1][0] in ("text", "name") and text[tokens[j + 2][1] : tokens[j + 2][2]] == "]":
+                own = tokens[j + 1]
+                name += "." + (text[slice(*self.inside(*own[1:]))] if own[0] == "text" else text[own[1] : own[2]])
+                end, j = tokens[j + 2][2], j + 3
+            if j >= len(tokens) or tokens[j][0] != "op" or text[tokens[j][1] : tokens[j][2]] not in _ASSIGNS or text[end : tokens[j][1]].strip(" \t"):
+                continue
+            op, at = text[tokens[j][1] : tokens[j][2]], tokens[j][2]
+            if op == ":":
+                if text[at : at + 1] in (":", "/"):
+                    continue
+                # name: type = value
+                if j + 2 < len(tokens) and tokens[j + 1][0] == "name" and text[tokens[j + 2][1] : tokens[j + 2][2]] == "=" and not text[tokens[j + 1][2] : tokens[j + 2][1]].strip(" \t"):
+                    at = tokens[j + 2][2]
+            own = Statement(name, *self.value(at, start, op == ":"))
+            if op == "+=":
+                own.mentions.add(name)
+            # an entry's name and its value: {"name": "PASSWORD", "value": "..."}
+            if name.lower() == "value" and out and out[-1].name.lower() in ("name", "key"):
+                entry = [text[a:b] for a, b in out[-1].literals] or list(out[-1].mentions)
+                own.name = entry[0] if len(entry) == 1 else name
+            out.append(own)
+        for m in _ELEMENT.finditer(text) if "</" in text else ():
+            value = m[2].strip()
+            if value:
+                at = m.start(2) + m[2].index(value)
+                out.append(Statement(m[1], [(at, at + len(value))], set()))
+        return out
+
+    def value(self, at: int, target: int, block: bool) -> tuple[list[tuple[int, int]], set[str]]:
+        """The literals and names of the value that begins at a place; target: where its statement begins."""
+        text, literals, mentions, depth, more = self.text, [], set(), 0, True
+        at = _SPACE.match(text, at).end()
+        if block and (m := _BLOCK.match(text, at)):
+            return self.block(m.end(), target), mentions
+        while at < len(text):
+            if (at in self.strings) or (text[at] in "bBfFrRuU" and at + 1 in self.strings and text[at + 1] != "`"):
+                start = at if at in self.strings else at + 1
+                end = self.strings[start]
+                literals.append(self.inside(start, end))
+                mentions.update(_VARIABLE.findall(text, start, end))
+                at, more = end, False
+            elif text[at] == "(":
+                depth, at, more = depth + 1, at + 1, True
+            elif text[at] == ")" and depth:
+                depth, at, more = depth - 1, at + 1, False
+            elif text[at] == "," and depth:
+                at, more = at + 1, True
+            elif m := (not more and _JOIN.match(text, at)):
+                at, more = m.end(), True
+                at = _SPACE_LINES.match(text, at).end()
+                continue
+            elif not more:
+                break
+            elif text[at] == "$" and (m := re.compile(r"\$\{?([A-Za-z_]\w*)\}?").match(text, at)):
+                mentions.add(m[1])
+                at, more = m.end(), False
+            elif m := _BARE.match(text, at):
+                word, at = m[0], m.end()
+                if text[at : at + 1] == "(":
+                    continue  # a call: what it is given counts
+                if depth and _SPACE.match(text, at) and text[_SPACE.match(text, at).end() :][:1] == "=":
+                    break  # a keyword argument is a statement of its own
+                if named := _NAME.match(word):
+                    mentions.add(named[1])
+                if any(c.isdigit() for c in word):
+                    literals.append((m.start(), m.end()))
+                more = False
+            else:
+                break
+            at = (_SPACE_LINES if depth else _SPACE).match(text, at).end()
+        return literals, mentions
+
+    def block(self, at: int, target: int) -> list[tuple[int, int]]:
+        """The lines of a block text: those further in than the line of their name."""
+        text = self.text
+        line = text.rfind("\n", 0, target) + 1
+        indent, begin, last = len(text[line:target]) - len(text[line:target].lstrip(" ")), None, at
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            own = text[at:end].strip()
+            if own:
+                if len(text[at:end]) - len(text[at:end].lstrip(" ")) <= indent:
+                    break
+                begin, last = (at + text[at:end].index(own) if begin is None else begin), at + text[at:end].index(own) + len(own)
+            at = end + 1
+        return [] if begin is None else [(begin, last)]
+
+
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of literals that reach a sensitive name, directly or through constants."""
-    if ":" not in text and "=" not in text:
+    """(start, 3, end) of literals that reach a sensitive name, directly or through constants.
+
+    A mentioned name stands for its last value before, or if it has none, for its later ones. Weights go from each
+    statement to those that it mentions until nothing changes."""
+    if not _SENSITIVE.search(text) or not (":" in text or "=" in text or "</" in text):
         return []
-    # each statement's weight, literals and the statements whose literals its names stand for
-    statements: list[tuple[float, list[tuple[int, int, str]], list[int]]] = []
-    last: dict[str, int] = {}  # name -> its last statement
-    for m in _STATEMENT.finditer(text):
-        base, own, behind = m.start("value"), [], []
-        for op in _OPERAND.finditer(m["value"]):
-            group = op.lastindex
-            if group is None:
+    statements = Lexer(text).statements()
+    places: dict[str, list[int]] = defaultdict(list)
+    for k, own in enumerate(statements):
+        places[own.name].append(k)
+    weights = [name_score(own.name) for own in statements]
+    reached = [0.0] * len(statements)
+    for k in sorted(range(len(statements)), key=lambda k: -weights[k]):
+        todo = [k]  # the most sensitive first, so each statement is reached once at its final weight
+        while todo and weights[k] > 0:
+            j = todo.pop()
+            if reached[j] >= weights[k]:
                 continue
-            if group == 3 and _NAME.match(op[3]) and op[3] in last:
-                behind.append(last[op[3]])
-            elif group < 3 or any(c.isdigit() for c in op[3]):
-                own.append((base + op.start(group), base + op.end(group), op[group]))
-        last[m["name"]] = len(statements)
-        statements.append((name_score(m["name"]), own, behind))
-    # a literal's weight is that of the most sensitive name it reaches
-    weights, found = [weight for weight, _, _ in statements], []
-    for k in range(len(statements) - 1, -1, -1):
-        for j in statements[k][2]:
-            weights[j] = max(weights[j], weights[k])
-        found += [(start, 3, end) for start, end, value in statements[k][1] if weights[k] * value_score(value) >= LEAST_SCORE]
+            reached[j] = weights[k]
+            for name in statements[j].mentions:
+                own = places.get(name, ())
+                before = bisect_left(own, j)
+                todo += [own[before - 1]] if before else own[before:]
+    found = {(a, 3, b) for own, weight in zip(statements, reached) for a, b in own.literals if weight * value_score(text[a:b]) >= LEAST_SCORE}
     return sorted(found)
 
 
