@@ -1,13 +1,13 @@
 """Exact top-k search by inner product over an impact-ordered index, score at a time.
 
 Vectors become integers, floor(scale * x). A block of candidates is indexed by postings: for each dimension its
-components that are not 0, in the order of their values, each run of equal values being the segment of that impact. What
-a segment adds to a query's scores is the query's component times the segment's impact. Segments are processed by
-descending size of that product, a factor of LESS at a time, into one accumulator a candidate. Of what is not processed
-yet each component can add or take the last product's size at most, and no dimension more than its largest component; so
-every candidate has a score between two bounds. A candidate is dropped only when its upper bound lies below the k-th best
-lower bound - that is the proof - and processing stops when few are left or all is processed; whoever may still be a
-member is rescored exactly in 64-bit integers.
+components by quantised impact (the values themselves if there are no more than LEVELS of them), each segment of one
+impact listing the candidates that have it. A block of queries processes the segments by descending impact - what a
+posting can add to or take from a score at most - into accumulators. Of what is not processed yet each dimension can add
+or take its largest remaining impact at most, and quantisation half a step; so every candidate's score lies between two
+bounds. A candidate is dropped only when its upper bound lies below the k-th best lower bound - that is the proof - and
+processing stops when few are left or all is processed; whoever may still be a member is rescored exactly in 64-bit
+integers.
 
 Queries are a stated set of rows; they and the candidates meet block by block, so no task sees more than one block of
 each. Ties go to the smaller id. Vectors that are null, or hold a null or a component that is not finite, take no part
@@ -31,8 +31,9 @@ from driftlake.llm.common import table, written
 CANDIDATES = 16384
 QUERIES = 2048
 BLOCK_ROWS = 1024
-#: Segments are processed down to 1 / LESS, 1 / LESS**2, ... of the largest product, STEPS times, then the rest.
-LESS, STEPS = 2.0, 5
+#: Queries that share a pass over the segments, impacts of a dimension at most, and the parts of the largest impact down
+#: to which segments are processed before bounds are looked at.
+STEP, LEVELS, STOPS = 128, 256, (1 / 4, 1 / 16, 0.0)
 
 
 def packed_blocks(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, scale: float, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -111,68 +112,82 @@ def _matrix(blocks: pa.Table, to: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors, by dimension and, within it, by impact (the components' values)."""
+    """Postings of a block of integer vectors, by dimension and quantised impact."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.rows = ids[order], vectors[order], rows[order]
-        dimension, place = np.nonzero(self.vectors.T)
-        value = self.vectors[place, dimension]
-        by_impact = np.lexsort((value, dimension))
-        self.place, self.value = place[by_impact], value[by_impact].astype(np.float64)
-        self.begin = np.searchsorted(dimension, np.arange(vectors.shape[1] + 1))  # of each dimension's postings
-        self.held = np.bincount(place, minlength=len(ids))
         self.largest = np.abs(self.vectors).max(0, initial=0)
-
-    def segments(self, query: np.ndarray, above: float, below: float) -> list[tuple[int, int, float]]:
-        """(first posting, end, query's component) of the postings whose products are above one size, up to another."""
-        out = []
-        for d in np.flatnonzero((query != 0) & (np.abs(query) * self.largest > above)).tolist():
-            a, b = int(self.begin[d]), int(self.begin[d + 1])
-            values, size = self.value[a:b], abs(float(query[d]))
-            low, lower = np.searchsorted(values, [-above / size, -below / size])
-            high, higher = np.searchsorted(values, [above / size, below / size], "right")
-            out += [(a + x, a + y, float(query[d])) for x, y in ((lower, low), (high, higher)) if y > x]
-        return out
-
-    def members(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, int]:
-        """Places of the candidates that may be among the k best, and how many postings were processed to prove it."""
-        others = self.rows != own
-        if others.sum() <= k:
-            return np.flatnonzero(others), 0
-        product = np.abs(query) * self.largest.astype(np.float64)
-        score, seen, done = np.zeros(len(self.ids)), np.zeros(len(self.ids), np.int64), 0
-        below = np.inf
-        for step in range(1, STEPS + 2):
-            above = float(product.max()) / LESS**step if step <= STEPS else 0.0
-            parts = self.segments(query, above, below)
-            if parts:
-                places = np.concatenate([self.place[a:b] for a, b, _ in parts])
-                score += np.bincount(places, np.concatenate([x * self.value[a:b] for a, b, x in parts]), len(score))
-                seen += np.bincount(places, minlength=len(score))
-                done += len(places)
-            # each component that was not processed adds or takes `above` at most, and each dimension its largest
-            open_ = np.minimum(above * (self.held - seen), np.minimum(product, above).sum()) + 1e-9 * product.sum()
-            bar = np.partition((score - open_)[others], -k)[-k]
-            possible = others & (score + open_ >= bar)
-            if possible.sum() <= 4 * k:
+        step = np.maximum(1, -(-(2 * self.largest + 1) // LEVELS))
+        self.error = np.where(step > 1, step / 2, 0.0)  # by which a component may differ from its impact
+        level = np.rint(self.vectors / step).astype(np.int64)
+        dimension, place = np.nonzero(level.T)
+        level = level[place, dimension]
+        by_impact = np.lexsort((place, level, dimension))
+        dimension, level, self.place = dimension[by_impact], level[by_impact], place[by_impact]
+        cuts = np.flatnonzero((np.diff(dimension) != 0) | (np.diff(level) != 0)) + 1
+        self.begin = np.concatenate([[0], cuts, [len(level)]]) if len(level) else np.zeros(1, np.int64)
+        first = self.begin[:-1]
+        self.dimension, self.impact = dimension[first], (level[first] * step[dimension[first]]).astype(np.float64)
+
+    def candidates(self, queries: np.ndarray, own: np.ndarray, k: int, kind: type) -> tuple[np.ndarray, int]:
+        """(candidate, query) flags of those that may be among the k best, and the postings processed to prove it."""
+        others = self.rows[:, None] != own
+        n = len(self.ids)
+        if n <= k + 1:
+            return others, 0
+        size = np.abs(queries).astype(np.float64)
+        top = size.max(0, initial=0)
+        weight = top[self.dimension] * np.abs(self.impact)
+        order = np.argsort(-weight, kind="stable")
+        score = np.zeros((n, len(queries)), kind)
+        add = np.ascontiguousarray(queries.T).astype(kind)
+        at, done, possible = 0, 0, others
+        for stop in STOPS:
+            above = stop * float(weight.max(initial=0))
+            to = int(np.searchsorted(-weight[order], -above, "left"))
+            for segment in order[at:to].tolist():
+                held = self.place[self.begin[segment] : self.begin[segment + 1]]
+                score[held] += add[self.dimension[segment]] * kind(self.impact[segment])
+                done += len(held)
+            at = to
+            rest = np.minimum(self.largest, above / np.maximum(top, 1e-300))
+            open_ = size @ (rest + self.error)
+            if stop and not (2 * open_ < score.max(0) - score.min(0)).any():
+                continue  # no candidate can be told from another yet
+            known = np.where(others, score, -np.inf)
+            bar = np.partition(known, n - k, axis=0)[n - k]
+            possible = known >= bar - 2 * open_
+            possible &= others
+            if possible.sum() <= 4 * k * len(queries):
                 break
-            below = above
-        return np.flatnonzero(possible), done
+        return possible, done
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
         """(query's place, candidate id, score, postings processed, candidates rescored) of the k best of this block for
         each query, its own row left out."""
-        if int(self.largest.max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) >= 1 << 63:
+        most = int(self.largest.max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
+        if most >= 1 << 63:
             raise OverflowError("scores do not fit 64 bits")
-        exact_in_double = float(self.largest.max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 2.0**52
         out = []
-        for at, (query, row) in enumerate(zip(queries, own.tolist())):
-            places, done = self.members(query, row, k) if exact_in_double else (np.flatnonzero(self.rows != row), 0)
-            score = np.concatenate([self.vectors[places[b : b + (1 << 14)]] @ query for b in range(0, len(places), 1 << 14)] or [np.zeros(0, np.int64)])
-            best = np.lexsort((self.ids[places], -score))[:k]
-            n = len(best)
-            out.append((np.full(n, at), self.ids[places[best]], score[best], np.full(n, done), np.full(n, len(places))))
+        for a in range(0, len(queries), STEP):
+            q, mine = queries[a : a + STEP], own[a : a + STEP]
+            if most < 1 << 51:  # accumulators hold the sums exactly
+                possible, done = self.candidates(q, mine, k, np.float32 if most < 1 << 23 else np.float64)
+            else:
+                possible, done = self.rows[:, None] != mine, 0
+            row, column = np.nonzero(possible.T)
+            score = np.empty(len(row), np.int64)
+            for b in range(0, len(row), 1 << 16):
+                part = slice(b, b + (1 << 16))
+                score[part] = np.einsum("ij,ij->i", q[row[part]], self.vectors[column[part]])
+            rescored = np.bincount(row, minlength=len(q))
+            order = np.lexsort((self.ids[column], -score, row))
+            row, column, score = row[order], column[order], score[order]
+            first = np.searchsorted(row, np.arange(len(q)))
+            keep = np.arange(len(row)) - first[row] < k
+            row, column, score = row[keep], column[keep], score[keep]
+            out.append((row + a, self.ids[column], score, np.full(len(row), done), rescored[row]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
 
 
@@ -180,7 +195,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     """(query_id, rank, <id_col>, score): the k rows of highest inner product with each query row, itself left out.
 
     Rows of equal id are rows of their own: each query row has its list, and other rows of its id may stand in it. With
-    proof, also how many postings of the row's block were processed for it, and how many candidates were rescored."""
+    proof, also how many postings of a block were processed before it stopped, and how many candidates were rescored."""
     candidates = written(packed_blocks(vectors, is_query, id_col, vector_col, scale), "candidates")
     asked = written(query_blocks(candidates), "queries")
     # every tile of candidates meets every tile of queries once; the tiles' sizes are fixed, their numbers grow
