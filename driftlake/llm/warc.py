@@ -4,8 +4,10 @@ The writer gives each record its own gzip member. The reader deals out byte rang
 range for the gzip magic number, takes a place as a member only if a WARC header can be decoded from it, and owns the
 records that start inside its range; it reads on past the range's end until its last record is whole.
 
-A null payload is an empty one; a null page_id is kept and written as an empty one; repeated rows give repeated
-records; an empty table gives no archive and no row; further columns of the input are not read.
+A null payload is an empty one; a null page_id is kept and written as an empty one, never as the response of others;
+repeated rows give repeated records; a payload of any length is one record, which its task holds whole; an empty table
+gives no archive and no row; further columns of the input are not read. A member that begins like a record but is broken,
+cut off or shorter than it says raises DamagedArchive, unless `read_archives` is told to skip such ones.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ READ_BYTES = 1 << 18
 FILE_BYTES = 64 << 20
 
 
+class DamagedArchive(ValueError):
+    """A record that cannot be read whole."""
+
+
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
@@ -105,16 +111,21 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 def header_at(read, place: int) -> dict[str, str] | None:
     """The WARC header, of any length, of the gzip member at a place; None if there is no such member."""
-    unpack, got, at, end = zlib.decompressobj(31), bytearray(), place, -1
+    unpack, got, at, end, chunk = zlib.decompressobj(31), bytearray(), place, -1, b""
     while end < 0:
-        chunk, known = read(at, 4096), max(0, len(got) - 3)
         if not chunk:
-            return None
-        at += len(chunk)
+            chunk = read(at, 4096)
+            at += len(chunk)
+        known = max(0, len(got) - 3)
         try:
-            got += unpack.decompress(chunk)
+            # little at a time, so that damage behind the header does not hide it
+            more = unpack.decompress(chunk, 1024)
         except zlib.error:
             return None
+        if not chunk and not more:
+            return None
+        got += more
+        chunk = unpack.unconsumed_tail
         end = got.find(b"\r\n\r\n", known)
         if not got.startswith(b"WARC/"[: len(got)]) or unpack.eof and end < 0:
             return None
@@ -122,7 +133,7 @@ def header_at(read, place: int) -> dict[str, str] | None:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])} | {"version": lines[0]}
 
 
-def records_in(f, begin: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def records_in(f, begin: int, end: int, size: int, skip_damaged: bool = False) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(place, header, block) of the records that start in [begin, end) of an open archive of `size` bytes."""
     window, base = b"", -1
 
@@ -146,24 +157,32 @@ def records_in(f, begin: int, end: int, size: int) -> Iterator[tuple[int, dict[s
             at += 1
             continue
         unpack, body, here = zlib.decompressobj(31), io.BytesIO(), at
+        fault = None
         try:
             while not unpack.eof:
                 chunk = read(here, READ_BYTES)
                 if not chunk:
+                    fault = "is cut off"
                     break
                 here += len(chunk)
                 body.write(unpack.decompress(chunk))
-        except zlib.error:
+        except zlib.error as e:
+            fault = f"is broken ({e})"
+        raw = body.getvalue()
+        start = raw.find(b"\r\n\r\n") + 4
+        length = int(header.get("content-length", max(0, len(raw) - start)))
+        if fault is None and len(raw) - start < length:
+            fault = f"holds {len(raw) - start} of {length} bytes"
+        if fault is not None:
+            if not skip_damaged:
+                raise DamagedArchive(f"the record at byte {at} {fault}")
             at += 1
             continue
-        raw = body.getvalue()
-        start = raw.index(b"\r\n\r\n") + 4
-        length = int(header.get("content-length", len(raw) - start))
         yield at, header, raw[start : start + length]
         at = here - len(unpack.unused_data)
 
 
-def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True, skip_damaged: bool = False) -> DataFrame:
     """(path, place, record_type, record_id, url, digest, refers_to, payload_bytes, payload) of all records of archives.
 
     files: (path, bytes). payload_bytes is the length of the full payload, a revisit's too; its payload is null."""
@@ -178,7 +197,7 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bo
                 rows, held = [], 0
                 fs, at = file_system(path)
                 with fs.open_input_file(at) as f:
-                    for place, header, block in records_in(f, begin, min(begin + range_bytes, size), size):
+                    for place, header, block in records_in(f, begin, min(begin + range_bytes, size), size, skip_damaged):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         kind = header.get("warc-type")
                         length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
