@@ -4,7 +4,7 @@ Texts become token ids and an end id; a document longer than a sequence is cut,
 What is to be packed is then described by how many pieces there are of each length - as many numbers as a sequence has
 tokens, whatever the corpus. On these:
 
-1. large lengths, in descending order, form groups of equal cardinality, each rounded up to its largest;
+1. large lengths (but for pieces that fill a sequence), in descending order, form groups of equal cardinality, each rounded up to its largest;
 2. the few rounded sizes are packed by configurations, found by column generation on the linear programme;
 3. the actual pieces are put into the places of their groups, which leaves what rounding had added free again;
 4. pieces left over and the small ones go, in descending order, where they fit best.
@@ -12,8 +12,10 @@ tokens, whatever the corpus. On these:
 The plan tells for each length which ranks go to which sequences; the pieces, ranked within their lengths on the
 executors, look their places up in it.
 
-A null text is an empty one and is packed as the end id alone; repeated rows are packed once each; an empty table
-gives an empty one; further columns of the input are not read.
+A null text is an empty one and is packed as the end id alone; a text is encoded whole, in its task; repeated rows are
+packed once each; an empty table gives an empty one; further columns of the input are not read. Pricing a configuration
+that improves the linear programme ends when there is none or after ROUNDS; the basic solution then is feasible in any
+case, and the pieces that it leaves are packed by best fit.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ from driftlake.llm.common import table, written
 CAPACITY = 1024
 END_ID = 2
 GROUPS = 64
+ROUNDS = 1500
 LARGE_PART = 8  # lengths above a LARGE_PART-th of a sequence are large
-RANK_BUCKETS = 256
+#: Pieces of one length that are ranked together, about.
+RANKED_TOGETHER = 1 << 16
 
 def byte_level_bytes() -> dict[str, int]:
     """Byte-level tokenizers write each byte as a character: printable ones as themselves, the others from 256 on."""
@@ -62,11 +66,11 @@ def tokenizer_of(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True) -> DataFrame:
     """(id, piece, start, length, ids_crc32): the pieces of every row's token ids, the end id included.
 
-    With added_tokens, the literals of the file's added tokens become their ids, as the library does by default; without,
-    they are text like any other."""
+    The literals of the file's added tokens become their ids, as the library does by default; without added_tokens they are
+    text like any other."""
     kind = dict(docs.dtypes)[id_col]
     end = end_id.to_bytes(4, "little")
     allowed = "all" if added_tokens else set()
@@ -111,7 +115,7 @@ def grouped(counts: dict[int, int], groups: int) -> list[tuple[int, dict[int, in
     return out
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 1500) -> list[tuple[float, list[int]]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = ROUNDS) -> list[tuple[float, list[int]]]:
     """(times, count of each size): a basic solution of the cutting-stock programme by column generation."""
     m = len(sizes)
     size, need = np.array(sizes), np.array(demand, float)
@@ -201,8 +205,11 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
             if at == len(free):
                 per = capacity // length
                 n, rest = divmod(todo, per)
-                fresh = [((length,) * per, n)] * (n > 0) + [((length,) * rest, 1)] * (rest > 0)
-                moved = [x for x, c in fresh for _ in range(1) if not _add(runs, x, c)]
+                moved = []
+                for lengths, times in (((length,) * per, n), ((length,) * rest, 1 if rest else 0)):
+                    if times:
+                        runs[lengths] += times
+                        moved.append(lengths)
                 todo = 0
             else:
                 room = free[at]
@@ -216,7 +223,7 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
                     if not open_runs[room]:
                         free.pop(at)
                 moved = [lengths + (length,) * per]
-                _add(runs, moved[0], n)
+                runs[moved[0]] += n
                 todo -= n * per
             for lengths in moved:
                 room = capacity - sum(lengths)
@@ -251,10 +258,6 @@ def _substituted(places: list[int], spans: dict[int, tuple[int, int]], left: dic
     return tuple(sorted((k for k, n in used.items() for _ in range(n)), reverse=True))
 
 
-def _add(runs: dict[tuple[int, ...], int], lengths: tuple[int, ...], n: int) -> None:
-    runs[lengths] += n
-
-
 def placed(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, id_col: str = "doc_id") -> DataFrame:
     """pieces with sequence_id and offset. pieces: what `token_pieces` gives, written once, since it is read twice."""
     spark = pieces.sparkSession
@@ -268,8 +271,9 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, id
             offset += k
         sequence += n
     plan = spark.createDataFrame(rows, "plan_length long, first long, past long, shift long, offset long")
-    # ranks within a length: within a bucket of it, after what the buckets before it hold
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(RANK_BUCKETS)))
+    # ranks within a length: within a bucket of it, after what the buckets before it hold; their number grows with the pieces
+    buckets = max(16, -(-max(counts.values(), default=0) // RANKED_TOGETHER))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "start", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "bucket").orderBy(id_col, "piece", "start", "ids_crc32")
@@ -279,7 +283,7 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, id
     return found.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("shift")).alias("sequence_id"), "offset")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every row's pieces and their places in sequences."""
     return placed(written(token_pieces(docs, tokenizer_path, pattern, capacity, end_id, id_col, text_col, added_tokens), "pieces"), capacity, id_col=id_col)
 
