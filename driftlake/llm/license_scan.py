@@ -2,7 +2,8 @@
 
 The licence templates are indexed by word: each word's postings are (template, position). The words' document
 frequencies are counted over the whole corpus. Of each template the words of highest IDF are looked up in a file, so
-many that no alignment with enough of its words can be without one of them; their postings give alignments by relative
+many that no alignment with enough of its words can be without one of them (LEAST_COVERAGE; a template of few words may be
+looked up by each of them); their postings give alignments by relative
 position (place in the file minus place in the template), and each is verified: the template's mandatory key phrases
 must stand in the file, and enough of the template's words must stand at their places. So the corpus decides which words
 are looked up, but not the labels.
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlake.llm import license_texts as texts
 from driftlake.llm.common import map_texts, table
 from driftlake.llm.textbytes import byte_class, utf8, window_hashes, word_hashes, word_spans
 
@@ -42,28 +44,37 @@ class Template:
     key_phrases: tuple[str, ...]
 
 
-#: Well-known notices of public licences, as their authors ask to have them put into files.
+#: Whole licences and notices, their beginnings as they are often quoted, and one-line tags.
 TEMPLATES = (
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("permission is hereby granted", "without restriction")),
+    Template("mit", texts.MIT, ("permission is hereby granted", "without restriction")),
+    Template("mit", texts.MIT.split(" and to permit")[0], ("permission is hereby granted", "without restriction")),
     Template("mit", "Released under the MIT License", ("mit license",)),
     Template("mit", "SPDX-License-Identifier: MIT", ("spdx license identifier mit",)),
-    Template("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ("apache license", "in compliance with")),
+    Template("apache", texts.APACHE, ("apache license", "in compliance with")),
+    Template("apache", texts.APACHE.split(" Unless")[0], ("apache license", "in compliance with")),
     Template("apache", "SPDX-License-Identifier: Apache-2.0", ("spdx license identifier apache",)),
-    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("gnu general public license",)),
+    Template("gpl", texts.GPL, ("gnu general public license",)),
+    Template("gpl", texts.GPL.split(". ")[0], ("gnu general public license",)),
     Template("gpl", "SPDX-License-Identifier: GPL-3.0", ("spdx license identifier gpl",)),
-    Template("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("gnu lesser general public license",)),
-    Template("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("gnu affero general public license",)),
-    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee")),
-    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
-    Template("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution", "international license")),
+    Template("lgpl", texts.LGPL, ("gnu lesser general public license",)),
+    Template("lgpl", "under the terms of the GNU Lesser General Public License", ("gnu lesser general public license",)),
+    Template("agpl", texts.AGPL, ("gnu affero general public license",)),
+    Template("agpl", "under the terms of the GNU Affero General Public License", ("gnu affero general public license",)),
+    Template("bsd", texts.BSD_2, ("redistribution and use in source and binary forms",)),
+    Template("bsd", texts.BSD_3, ("redistribution and use in source and binary forms", "neither the name of")),
+    Template("bsd", texts.BSD_2.split(" met:")[0] + " met", ("redistribution and use in source and binary forms",)),
+    Template("isc", texts.ISC, ("permission to use copy modify", "with or without fee")),
+    Template("isc", texts.ISC.split(",\nprovided")[0], ("permission to use copy modify", "with or without fee")),
+    Template("zlib", texts.ZLIB, ("origin of this software must not be misrepresented",)),
+    Template("mpl", texts.MPL, ("mozilla public license",)),
+    Template("mpl", texts.MPL.split(" If")[0], ("mozilla public license",)),
+    Template("unlicense", texts.UNLICENSE, ("free and unencumbered software",)),
+    Template("unlicense", texts.UNLICENSE.split(". ")[0], ("free and unencumbered software",)),
+    Template("cc-by", texts.CC_BY, ("creative commons attribution", "international license")),
     Template("cc-by", "Licensed under CC BY 4.0", ("cc by",)),
-    Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related",)),
+    Template("cc0", texts.CC0, ("waived all copyright and related",)),
     Template("copyright", "Copyright (c) All rights reserved", ("all rights reserved",)),
 )
-#: Words of the templates that are too common in English to point to a licence.
-COMMON_WORDS = frozenset("a all an and any are as at be by c either following for free in including is it later may not of on or option other that the this to under use with you your version work person without 0 1 2 3 4".split())
 LEAST_COVERAGE = 0.6
 
 
@@ -80,6 +91,13 @@ def words_of(text: str) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
 
 
+def templates_from(spark: SparkSession, folder: str) -> tuple[Template, ...]:
+    """Templates from text files, each named by its label (mit.txt, gpl-3.txt): a file's first six words must stand."""
+    files = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("name"), "value").collect()  # as many as licences
+    labels = [(r["name"].rsplit("/", 1)[-1].rsplit(".", 1)[0], r["value"]) for r in files]
+    return tuple(Template(label, text, (" ".join(words_of(text)[:6]),)) for label, text in sorted(labels))
+
+
 class PositionalIndex:
     """Postings of the templates' words by hash, and their key phrases."""
 
@@ -92,7 +110,6 @@ class PositionalIndex:
         self.hashes, self.vocabulary = hashes[order], [vocabulary[i] for i in order]
         number = {w: i for i, w in enumerate(self.vocabulary)}
         self.sequences = [np.array([number[w] for w in ws]) for ws in self.words]
-        self.rare = np.array([w not in COMMON_WORDS for w in self.vocabulary])
         self.phrases = [[[number.get(w, -1) for w in words_of(p)] for p in t.key_phrases] for t in templates]
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
@@ -154,6 +171,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         counts[row["word"]] = row["n"]
     idf = np.array([math.log((total + 1) / (n + 0.5)) for n in counts])
     rarest = index.rarest(idf)
+    looked_up = np.isin(np.arange(len(index.vocabulary)), list(rarest))
     phrases = [(words_of(p), label) for p, label in BASE_PHRASES.items()]
     sizes = sorted({len(p) for p, _ in phrases})
     phrase_hashes = {n: [(window_hashes(_hash(p), n)[0], p, label) for p, label in phrases if len(p) == n] for n in sizes}
@@ -175,7 +193,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         numbers = index.numbers(hashes)
         held = np.flatnonzero(numbers >= 0)
         cuts = np.searchsorted(held, counts)
-        rare = np.concatenate([[0], np.cumsum(index.rare[numbers[held]])])
+        rare = np.concatenate([[0], np.cumsum(looked_up[numbers[held]])])
         rows = []
         for i in range(batch.num_rows):
             a, b, n = int(cuts[i]), int(cuts[i + 1]), int(counts[i + 1] - counts[i])
