@@ -5,8 +5,9 @@ taking an unlabelled text for clean is corrected by the class prior: the toxic p
 estimated from the positive ones and taken off, and when that would make the clean part's risk negative - which only an
 overfitted classifier reaches - the step goes the other way (the non-negative estimator).
 
-The prior is counted over all labelled rows that may be learned from. The texts to learn from are two bounded samples
-(POSITIVES, UNLABELLED; the rows of least hashed id, so the same on every run); every text is scored, whole.
+The prior is counted over all labelled rows that may be learned from. The texts to learn from are two samples, bounded in
+rows (POSITIVES, UNLABELLED; the rows of least hashed id, so the same on every run) and in bytes (SAMPLE_BYTES each; rows
+beyond it are left out, the first too if it is longer); every text is scored, whole.
 
 A null or empty text is scored by the bias alone; repeated rows get equal scores; tables without positive labels give
 the prior as every score; an empty table gives an empty one; further columns of the input are not read.
@@ -26,6 +27,8 @@ from driftlake.llm.textbytes import BYTE_CODES, byte_class, mix, powers, utf8, w
 
 #: Rows to learn from at most.
 POSITIVES, UNLABELLED = 2000, 6000
+#: Bytes of text of each sample at most; of a text that occurs under one id more than once, one row is learned from.
+SAMPLE_BYTES = 24 << 20
 #: Bytes of the beginnings of words that count as words of their own.
 BEGINNINGS = (5, 6, 7, 8)
 FEATURES = 128
@@ -133,19 +136,23 @@ def nnpu(positive: tuple, unlabelled: tuple, rows: tuple[int, int], features: in
     return w, b
 
 
-def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
     """Learns from at most `positives` texts of label 1 and `unlabelled` further texts, all of rows where may_learn."""
     known = labels.where(may_learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col(label_col) == 1).cast("long")), F.lit(0))).first()
     prior = min(0.9, max(0.001, (toxic + 1) / (n + 2)))
-    order = F.xxhash64(id_col)
     kind = dict(docs.dtypes)[id_col]
     spark = docs.sparkSession
-    some = known.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id")).limit(positives).select("id", F.lit(1).alias("toxic"))
-    others = docs.where(may_learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).orderBy(order if id_col == "id" else F.xxhash64("id")).limit(unlabelled).select("id", F.lit(0).alias("toxic"))
-    chosen = spark.createDataFrame(some.union(others).toArrow().to_pandas(), f"id {kind}, toxic int") if n else None
-    if not toxic or chosen is None:
+    if not toxic:
         return Classifier(np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior))))
+    may = docs.where(may_learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
+    confirmed = known.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id")).limit(positives)
+    first = lambda rows, most, flag: rows.orderBy(F.xxhash64("id"), "bytes").limit(most).select("id", "bytes", F.lit(flag).alias("toxic"))
+    # the samples' ids and sizes: `positives` + `unlabelled` rows at most
+    found = first(may.join(F.broadcast(confirmed), "id"), positives, 1).union(first(may, unlabelled, 0)).toArrow().to_pandas()
+    found["total"] = found.groupby("toxic")["bytes"].cumsum()
+    found = found[found["total"] <= sample_bytes].drop_duplicates(["id", "toxic"])
+    chosen = spark.createDataFrame(list(zip(found["id"].tolist(), found["toxic"].tolist())), f"id {kind}, toxic int")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, row, times = counted(*words_in(batch.column(1)))
@@ -153,8 +160,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
         cells = [(hashes[a:b].tobytes(), times[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:])]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in cells], pa.binary()), pa.array([c for _, c in cells], pa.binary())], ["toxic", "words", "times"])
 
-    # the samples' ids are broadcast: their number is bounded
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("toxic", "text")
+    # the samples' ids are broadcast: their number is bounded; an id that many rows share gives one of them
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.octet_length("text"), F.xxhash64("text"))).alias("text")).select("toxic", "text")
     held = map_texts(texts, work, "toxic int, words binary, times binary").toArrow()
     sample: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
     flags, rows = held.column("toxic").to_numpy(), ()

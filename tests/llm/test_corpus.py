@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from driftlake.llm import secret_scan, topk_search, toxicity, warc
 from driftlake.llm.common import prepare, shared_folder, table
+from tests.llm.test_near_sets import brute_groups
 from tests.llm.test_packing import check as check_packing
-from tests.llm.test_simhash import brute_components, brute_print
 from tests.llm.test_substring_dedup import brute as brute_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -112,7 +112,7 @@ def test_pipeline_is_its_stages(spark):
     model = toxicity.learn(table(spark, SF, "documents"), table(spark, SF, "labels"), ~toxicity.held_out())
     scores = {r.doc_id: r.score for r in toxicity.scored(table(spark, SF, "documents"), model).collect()}
     kept = {i: r.text for i, r in docs.items() if scores[i] < toxicity.CUTOFF}
-    groups = brute_components({i: brute_print(t) for i, t in kept.items()})
+    groups = brute_groups(kept)  # 5-word Jaccard of 0.8 or more
     kept = {i: t for i, t in kept.items() if groups[i] == i}
     order = sorted(kept)
     for i, (_, gone, text) in zip(order, brute_dedup([(i, kept[i]) for i in order])):
@@ -121,6 +121,22 @@ def test_pipeline_is_its_stages(spark):
     check_packing(corpus_pipeline.run(spark, SF).collect(), kept)
 
 
+def test_stages_of_empty_tables(spark, odd_docs):
+    docs = odd_docs.where("false").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    prepare(spark)
+    rows = [(i, ("awful nasty " if i % 10 == 0 else "nice day ") * 5 + f"word{i}") for i in range(300)] + [(900, "awful nasty " * 100_000)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 10 == 0)) for i in [*range(300), 900]], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels, ~toxicity.held_out(), sample_bytes=12_000)
+    assert len(model.words)
+    assert toxicity.learn(docs, labels, ~toxicity.held_out(), sample_bytes=10).words.size == 0
+
+
 def test_stages_keep_the_columns(spark, odd_docs):
     docs = odd_docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
