@@ -31,11 +31,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir."""
+    """A new folder that driver and executors share, below spark.checkpoint.dir; in local mode a temporary one will do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{Path(tempfile.gettempdir(), 'driftlake-shared').resolve()}"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -6,8 +6,10 @@ each block; a comment holds the unpadded length. `read_jpegs` parses markers and
 JPEGs - any tables, restart intervals and sampling factors - in step over all restart segments of a batch, in numpy.
 DC coefficients alone give luminance thumbnails of one pixel a block.
 
-A null or empty payload is stored as one block of zeros; payloads are taken whole; equal payloads give equal media.
-A media value that is null or no baseline JPEG gives null features.
+A null or empty payload is stored as one block of zeros; payloads are taken whole, a very long one in one task at some
+thirty bytes a byte; equal payloads give equal media, so repeated rows repeated results; an empty table gives an empty
+one; further columns of the input are not read, whatever their names. A media value that is null or no baseline JPEG gives
+null features.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from driftlake.llm import byte_bpe, jpeg_media, license_scan, secret_scan
 from driftlake.llm.common import prepare, table
@@ -124,6 +125,126 @@ def test_media_round_trip(spark, odd_docs):
     assert same.count() == 1
 
 
+def slow_jpeg(media):
+    """A plain decoder of baseline JPEGs, bit by bit: (width, height, blocks of 64 dequantised coefficients of each
+    component in zigzag order, by rows of the image)."""
+    at, tables, quant, parts, restart = 2, {}, {}, {}, 0
+    while True:
+        kind, n = media[at + 1], int.from_bytes(media[at + 2 : at + 4], "big")
+        body = media[at + 4 : at + 2 + n]
+        if kind == 0xDB:
+            while body:
+                assert body[0] >> 4 == 0
+                quant[body[0] & 15], body = list(body[1:65]), body[65:]
+        elif kind == 0xC4:
+            while body:
+                counts, symbols, code, own = body[1:17], body[17 : 17 + sum(body[1:17])], 0, {}
+                k = 0
+                for length, c in enumerate(counts, 1):
+                    for _ in range(c):
+                        own[(length, code)] = symbols[k]
+                        code, k = code + 1, k + 1
+                    code <<= 1
+                tables[body[0]], body = own, body[17 + sum(counts) :]
+        elif kind == 0xC0:
+            height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            parts = {body[6 + 3 * k]: body[8 + 3 * k] for k in range(body[5])}
+        elif kind == 0xDD:
+            restart = int.from_bytes(body, "big")
+        elif kind == 0xDA:
+            selected = body[2]
+            at += 2 + n
+            break
+        at += 2 + n
+    assert len(parts) == 1
+    out, (component, table) = [], next(iter(parts.items()))
+    assert component
+    # the scan's bytes by restart intervals, without stuffing
+    segments, own = [], bytearray()
+    while True:
+        b = media[at]
+        if b == 0xFF and media[at + 1] == 0:
+            own.append(b)
+            at += 2
+        elif b == 0xFF:
+            segments.append(bytes(own))
+            own = bytearray()
+            if media[at + 1] == 0xD9:
+                break
+            at += 2
+        else:
+            own.append(b)
+            at += 1
+    blocks = -(-width // 8) * -(-height // 8)
+    for segment in segments:
+        bits, place, last = "".join(f"{b:08b}" for b in segment), 0, 0
+
+        def symbol(own):
+            nonlocal place
+            for length in range(1, 17):
+                if (length, int(bits[place : place + length], 2)) in own:
+                    place += length
+                    return own[(length, int(bits[place - length : place], 2))]
+            raise AssertionError("no code")
+
+        def amplitude(size):
+            nonlocal place
+            raw = bits[place : place + size]
+            place += size
+            return 0 if not size else int(raw, 2) if raw[0] == "1" else int(raw, 2) - (1 << size) + 1
+
+        for _ in range(min(restart or blocks, blocks - len(out))):
+            block, k = [0] * 64, 1
+            last += amplitude(symbol(tables[selected >> 4]))
+            block[0] = last
+            while k < 64:
+                rs = symbol(tables[0x10 | (selected & 15)])
+                if rs == 0:
+                    break
+                k += rs >> 4
+                block[k] = amplitude(rs & 15)
+                k += 1
+            out.append([x * q for x, q in zip(block, quant[table])])
+    return width, height, out
+
+
+def test_a_plain_decoder_reads_the_media_and_gives_the_thumbnail():
+    rng = np.random.default_rng(8)
+    data = np.frombuffer("plain text, and more of it. ".encode() * 9 + rng.bytes(500), np.uint8)
+    for raw in (data, data[:0], data[:64]):
+        (media,) = jpeg_media.jpegs_of(raw, np.array([0, len(raw)]))
+        width, height, blocks = slow_jpeg(media)
+        own = jpeg_media.parse(media)
+        ((decoded, place),) = jpeg_media.scan_blocks([own])
+        # undo the quantisation with the file's own table: the stored coefficients are the payload
+        dequantised = [[v for v in b] for b in blocks]
+        n = max(1, -(-len(raw) // 64))
+        assert (own.width, own.height) == (width, height) and len(blocks) >= n
+        table = slow_jpeg_quant(media)
+        stored = bytes(b[k] // table[k] + (128 if k == 0 else -1) for b in dequantised[:n] for k in range(64))
+        assert stored == raw.tobytes() + bytes(64 * n - len(raw))
+        wide = -(-width // 8)
+        pixels = jpeg_media.thumbnail(own, decoded, place)
+        for i in range(len(blocks)):
+            level = min(255, max(0, round(blocks[i][0] / 8 + 128)))
+            assert abs(int(pixels[i // wide][i % wide]) - level) <= 1
+
+
+def slow_jpeg_quant(media):
+    at = media.index(b"\xff\xdb")
+    return list(media[at + 5 : at + 69])
+
+
+def test_clashing_columns_and_repeated_media(spark):
+    prepare(spark)
+    docs = spark.createDataFrame([(1, "same", "x", 2.0, 3), (1, "same", "y", 1.0, 4), (None, None, None, None, None)], "doc_id long, text string, media string, feature double, n_bytes int")
+    rows = jpeg_media.media_figures(jpeg_media.jpeg_payload(docs)).collect()
+    assert len(rows) == 3 and len({(r.media_sha256, r.feature) for r in rows if r.doc_id == 1}) == 1
+    assert jpeg_media.media_figures(jpeg_media.jpeg_payload(docs.where("false"))).count() == 0
+    own = docs.select("doc_id", "text", F.lit(1).alias("spans"), F.lit(2).alias("labels"), F.lit(3).alias("score"), F.lit(4).alias("fingerprint"), F.lit(5).alias("base"))
+    assert secret_scan.secret_spans(own).columns == ["doc_id", "base", "spans"] and license_scan.license_scan(own).count() == 3
+
+
 def test_every_byte_survives_and_other_jpegs_are_read():
     data = np.frombuffer(bytes(range(256)) * 5 + b"\xff\x80", np.uint8)
     media = jpeg_media.jpegs_of(data, np.array([0, 0, len(data)]))
