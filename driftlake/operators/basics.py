@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftlake.functions.columns import boxcox, finite, normal_sf
-from driftlake.operators.series import by_series, median, running, with_stats
+from driftlake.operators.series import by_series, median_deviations, running, with_percentiles, with_stats
+from driftlake.operators.slopes import theil_sen
+
+__all__ = ["theil_sen"]
 
 
 def baseline(df: DataFrame) -> DataFrame:
     """n, first and last time, mean, standard deviation, median and MAD of each series."""
     own = df.where(finite(F.col("value")))
-    middle = with_stats(own, med=median("value"))
-    return middle.groupBy("series").agg(
-        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"), F.first("med").alias("median"), (1.4826 * median(F.abs(F.col("value") - F.col("med")))).alias("mad"),
+    figures = own.groupBy("series").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")
     )
+    return figures.join(median_deviations(own).withColumnRenamed("med", "median"), "series")
 
 
 def robust_mad(df: DataFrame, key: str = "series", value: str = "value") -> DataFrame:
-    own = df.where(finite(F.col(value)))
-    return with_stats(own, (key,), _m=median(value)).groupBy(key).agg((1.4826 * median(F.abs(F.col(value) - F.col("_m")))).alias("mad"))
+    return median_deviations(df.where(finite(F.col(value))), (key,), value).drop("med")
 
 
 def excess_kurtosis(value: Column) -> Column:
@@ -50,33 +51,24 @@ def uncertainty_budget(df: DataFrame) -> DataFrame:
     return agg.withColumn("combined", combined).withColumn("standard_error", combined / F.sqrt(F.col("n").cast("double")))
 
 
-def theil_sen(pairs: DataFrame, key: str = "series") -> DataFrame:
-    """(key, slope, intercept) of (key, k, x, y): the median of all pairs' slopes, and of what it leaves of y.
-
-    The pairs of a group are joined on its key, so their number is the square of its size: for short series."""
-    a, b = pairs.alias("a"), pairs.alias("b")
-    slopes = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.k") < F.col("b.k"))).where(F.col("a.x") != F.col("b.x"))
-    slope = slopes.groupBy(F.col(f"a.{key}").alias(key)).agg(median((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("slope"))
-    own = pairs.join(slope, key, "left").withColumn("slope", F.coalesce("slope", F.lit(0.0)))
-    return own.groupBy(key).agg(F.first("slope").alias("slope"), median(F.col("y") - F.col("slope") * F.col("x")).alias("intercept"))
-
-
 def boxcox_lambda(df: DataFrame, key: str, value: str, low: int = -40, high: int = 40, step: float = 0.05) -> DataFrame:
-    """(key, power): the grid's power of highest profile likelihood, the first of equals; 0 for fewer than 8 positive values."""
+    """(key, power): the grid's power of highest profile likelihood, the first of equals; 0 for fewer than 8 positive values.
+
+    One pass: as many variances in one aggregate as the grid has powers."""
     own = df.where(finite(F.col(value)) & (F.col(value) > 0)).select(key, F.col(value).alias("v"))
-    grid = own.withColumn("k", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("power", F.round(F.col("k") * step, 10))
-    fit = grid.groupBy(key, "k", "power").agg(
-        ((F.first("power") - 1.0) * F.sum(F.ln("v")) - F.count("*") / 2.0 * F.ln(F.nullif(F.var_samp(boxcox(F.col("v"), F.col("power"))), F.lit(0.0)))).alias("ll"), F.count("*").alias("n")
-    )
-    best = Window.partitionBy(key).orderBy(F.desc_nulls_last(F.round("ll", 7)), "k")
-    return fit.withColumn("r", F.row_number().over(best)).where("r = 1").select(key, F.when(F.col("n") < 8, 0.0).otherwise(F.col("power")).alias("power"))
+    powers = {k: round(k * step, 10) for k in range(low, high + 1)}
+    spread = [F.var_samp(boxcox(F.col("v"), F.lit(p))).alias(f"_{i}") for i, p in enumerate(powers.values())]
+    sums = own.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.ln("v")).alias("logs"), *spread)
+    fit = lambda i, p: F.round((p - 1.0) * F.col("logs") - F.col("n") / 2.0 * F.ln(F.nullif(F.col(f"_{i}"), F.lit(0.0))), 7)
+    each = F.array(*[F.struct(F.coalesce(fit(i, p), F.lit(float("-inf"))).alias("fit"), F.lit(-k).alias("k"), F.lit(p).alias("power")) for i, (k, p) in enumerate(powers.items())])
+    return sums.select(key, F.when(F.col("n") < 8, 0.0).otherwise(F.array_max(each)["power"]).alias("power"))
 
 
 def standardized(df: DataFrame, robust: bool = False) -> DataFrame:
     """df with z: value less mean, in standard deviations (robust: median and MAD); a scale of zero counts as one."""
     own = df.where(finite(F.col("value")))
     if robust:
-        own = with_stats(own, center=median("value")).join(robust_mad(own).withColumnRenamed("mad", "scale"), "series")
+        own = own.join(median_deviations(own).withColumnsRenamed({"med": "center", "mad": "scale"}), "series")
     else:
         own = with_stats(own, center=F.avg("value"), scale=F.stddev_samp("value"))
     scale = F.when(finite(F.col("scale")) & (F.col("scale") > 0), F.col("scale")).otherwise(1.0)
@@ -98,7 +90,7 @@ def regular_cadence(df: DataFrame, tolerance: float = 0.35) -> DataFrame:
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     steps = df.withColumn("dt", seconds - F.lag(seconds).over(by_series()))
     counts = df.groupBy("series").agg(F.count("*").alias("n"))
-    own = with_stats(steps.where("dt > 0"), m=median("dt"))
+    own = with_percentiles(steps.where("dt > 0"), value="dt", m=0.5)
     found = own.groupBy("series").agg(F.count("*").alias("n_steps"), F.first("m").alias("median_step"), F.avg(F.abs(F.col("dt") - F.col("m")) / F.col("m")).alias("spread"))
     out = counts.join(found, "series", "left")
     regular = (F.col("n") >= 4) & (F.coalesce("n_steps", F.lit(0)) >= 3) & (F.col("spread") < tolerance)
@@ -129,11 +121,23 @@ def runs_test(df: DataFrame, value: str = "value") -> DataFrame:
     return agg.select("series", "runs", z.alias("z"), F.when((n < 8) | (var <= 0), 1.0).otherwise(2 * normal_sf(F.abs(z))).alias("p"))
 
 
-def bh_adjusted(df: DataFrame, p: str = "p", order: str = "series") -> DataFrame:
-    """df with q: Benjamini-Hochberg step-up values over all rows. For tables of tests, one row a series."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(p, order))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    after = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(after))).drop("_r", "_n")
+def bh_adjusted(df: DataFrame, p: str = "p", order: str = "series", parts: int = 1024) -> DataFrame:
+    """df with q: Benjamini-Hochberg step-up values over all rows.
+
+    Ranked within ranges of p, after the rows of the ranges below; the least value of the ranges above goes to each range,
+    so only as many rows as there are ranges meet in one task."""
+    own = df.withColumn("_part", F.least(F.floor(F.col(p) * parts), F.lit(parts)).cast("int"))
+    all_parts = Window.partitionBy(F.lit(0)).orderBy("_part")
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_c"))
+    sizes = sizes.withColumn("_base", F.sum("_c").over(all_parts) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(F.lit(0)))).drop("_c")
+    within = Window.partitionBy("_part").orderBy(p, order)
+    step = own.withColumn("_r", F.row_number().over(within)).join(F.broadcast(sizes), "_part")
+    step = step.withColumn("_q", F.col(p) * F.col("_n") / (F.col("_r") + F.col("_base")))
+    above = step.groupBy("_part").agg(F.min("_q").alias("_least"))
+    above = above.withColumn("_above", F.min("_least").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
+    after = Window.partitionBy("_part").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    own = step.withColumn("_here", F.min("_q").over(after)).join(F.broadcast(above), "_part")  # one row a range
+    return own.withColumn("q", F.least(F.lit(1.0), "_here", F.coalesce("_above", F.lit(1.0)))).drop("_part", "_base", "_n", "_r", "_q", "_here", "_above")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -12,14 +12,14 @@ from pyspark.sql.window import Window
 
 from driftlake.functions.columns import finite
 from driftlake.operators import two_sample as ts
-from driftlake.operators.series import median, with_stats
+from driftlake.operators.series import ranked, with_percentiles, with_stats
 
 
 def detect(df: DataFrame) -> DataFrame:
     """(series, h, p, adjusted_h, adjusted_p, group_h, group_p, reading): by batch, by batch without the biological
     groups' medians, and by group."""
     own = df.where(finite(F.col("value")))
-    less = with_stats(own, ("series", "grp"), _m=median("value"))
+    less = with_percentiles(own, ("series", "grp"), _m=0.5)
     parts = {
         "": own.select("series", F.col("batch").alias("grp"), "value"), "adjusted_": less.select("series", F.col("batch").alias("grp"), (F.col("value") - F.col("_m")).alias("value")),
         "group_": own.select("series", "grp", "value"),
@@ -33,18 +33,17 @@ def detect(df: DataFrame) -> DataFrame:
 
 
 def median_centered(df: DataFrame) -> DataFrame:
-    own = with_stats(with_stats(df.where(finite(F.col("value"))), ("series", "batch"), _m=median("value")), _g=F.avg("value"))
+    own = with_stats(with_percentiles(df.where(finite(F.col("value"))), ("series", "batch"), _m=0.5), _g=F.avg("value"))
     return own.withColumn("corrected", F.col("value") - F.col("_m") + F.col("_g")).drop("_m", "_g")
 
 
 def quantile_matched(df: DataFrame) -> DataFrame:
     """Each value becomes the pooled value at its quantile within its batch; ties in the order of seq."""
     own = df.where(finite(F.col("value")))
-    batch, pool = Window.partitionBy("series", "batch"), Window.partitionBy("series")
-    own = own.withColumn("_r", F.row_number().over(batch.orderBy("value", "seq"))).withColumn("_n", F.count("*").over(batch)).withColumn("_np", F.count("*").over(pool))
+    own = ranked(with_stats(with_stats(own, ("series", "batch"), _n=F.count("*")), _np=F.count("*")), ("series", "batch"), "value", "seq", name="_r")
     q = F.when(F.col("_n") == 1, 0.5).otherwise((F.col("_r") - 0.5) / F.col("_n"))
     own = own.withColumn("_at", F.greatest(F.lit(1), F.least(F.col("_np"), F.bround(q * (F.col("_np") - 1) + 1).cast("bigint"))))
-    pooled = own.select("series", F.row_number().over(pool.orderBy("value", "seq")).cast("bigint").alias("_at"), F.col("value").alias("corrected"))
+    pooled = ranked(own.select("series", "seq", "value"), ("series",), "value", "seq", name="_at").select("series", F.col("_at").cast("bigint"), F.col("value").alias("corrected"))
     return own.join(pooled, ["series", "_at"]).drop("_r", "_n", "_np", "_at")
 
 
@@ -52,7 +51,8 @@ def control_adjusted(df: DataFrame) -> DataFrame:
     """Values less what their batch's controls differ by from all controls, where a batch has two controls at least; with
     fewer than four controls in all, median centring."""
     own = with_stats(df.where(finite(F.col("value"))), _gc=F.avg(F.when(F.col("control"), F.col("value"))), _nc=F.count(F.when(F.col("control"), 1)), _g=F.avg("value"))
-    own = with_stats(own, ("series", "batch"), _bc=F.avg(F.when(F.col("control"), F.col("value"))), _nb=F.count(F.when(F.col("control"), 1)), _m=median("value"))
+    own = with_stats(own, ("series", "batch"), _bc=F.avg(F.when(F.col("control"), F.col("value"))), _nb=F.count(F.when(F.col("control"), 1)))
+    own = with_percentiles(own, ("series", "batch"), _m=0.5)
     shift = F.when(F.col("_nb") >= 2, F.col("_bc") - F.col("_gc")).otherwise(0.0)
     out = own.withColumn("corrected", F.when(F.col("_nc") >= 4, F.col("value") - shift).otherwise(F.col("value") - F.col("_m") + F.col("_g")))
     return out.drop("_gc", "_nc", "_g", "_bc", "_nb", "_m")
@@ -103,3 +103,13 @@ def spread_of_means(df: DataFrame, value: Column) -> DataFrame:
     """(series, spread): the standard deviation of the batches' means."""
     means = df.groupBy("series", "batch").agg(F.avg(value).alias("m"))
     return means.groupBy("series").agg(F.stddev_samp("m").alias("spread"))
+
+
+CORRECTIONS = {"median": median_centered, "quantile": quantile_matched, "ruv": control_adjusted, "combat": combat}
+
+
+def corrected(df: DataFrame, method: str = "median") -> DataFrame:
+    """df's finite rows with `corrected`, by one of CORRECTIONS."""
+    if method not in CORRECTIONS:
+        raise ValueError(f"no batch correction {method!r}")
+    return CORRECTIONS[method](df)

@@ -1,7 +1,7 @@
 """Change-point detectors; each gives one row a series. Places count from 1 within the finite values of a series.
 
-Scans that are sums over prefixes are window expressions in two levels (`running`), CUSUM with resets is a sequential
-pass of constant memory, and dynamic programmes (PELT, the product partition) take a series' values as one array.
+Scans that are sums over prefixes are window expressions in two levels (`running`), CUSUM with resets is an ordered pass of
+constant memory over Arrow batches, and dynamic programmes (PELT, the product partition) take a series' values as one array.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from driftlake.functions.columns import finite, t_two_sided
 from driftlake.operators.basics import excess_kurtosis, missing_fraction, regular_cadence, robust_mad, standardized
-from driftlake.operators.series import by_series, per_series, running, scanned, valid, with_stats
+from driftlake.operators.series import in_order, kept, per_series, running, valid, with_stats
 
 RESULT = "method string, detected boolean, indices array<bigint>, statistic double, confidence double"
 
@@ -24,16 +24,33 @@ def cusum_alarms(df: DataFrame, k: float = 0.5, h: float = 5.0, robust: bool = F
     if robust:  # standardised again, by median and MAD first: the second step undoes the first one's scale
         z = standardized(standardized(valid(df), robust=True).withColumn("value", F.col("z")).drop("z"))
 
-    def step(state: list, row: tuple) -> tuple | None:
-        state[0] += 1
-        state[1], state[2] = max(0.0, state[1] + row[3] - k), max(0.0, state[2] - row[3] - k)
-        if state[1] > h or state[2] > h:
-            state[1] = state[2] = 0.0
-            return row[0], state[0]
-        return None
-
     kind = dict(df.dtypes)["series"]
-    return scanned(z.withColumn("value", F.col("z")), lambda: [0, 0.0, 0.0], step, f"series {kind}, i bigint")
+    alarm = lambda state, x: crossings(x, k, h, state)
+    return in_order(z.withColumn("value", F.col("z")), lambda: {"i": 0, "up": 0.0, "down": 0.0}, alarm, f"series {kind}, i bigint")
+
+
+def crossings(x: np.ndarray, k: float, h: float, state: dict, first: int = 64) -> dict[str, np.ndarray]:
+    """The places at which two-sided CUSUM of x crosses h and starts again; state goes on from call to call.
+
+    Between alarms a sum held at 0 is the running sum less its least value so far, so whole stretches are looked at at a
+    time: a short one after an alarm, then longer ones."""
+    found, at, step = [], 0, first
+    while at < len(x):
+        part = x[at : at + step]
+        sums = []
+        for sign, held in ((1.0, state["up"]), (-1.0, state["down"])):
+            total = np.cumsum(sign * part - k)
+            sums.append(total - np.minimum(np.minimum.accumulate(total), -held))
+        over = np.flatnonzero((sums[0] > h) | (sums[1] > h))
+        if len(over):
+            at, step = at + int(over[0]) + 1, first
+            found.append(state["i"] + at)
+            state["up"] = state["down"] = 0.0
+        else:
+            at, step = at + len(part), step * 2
+            state["up"], state["down"] = float(sums[0][-1]), float(sums[1][-1])
+    state["i"] += len(x)
+    return {"i": np.array(found, np.int64)}
 
 
 def first_largest(df: DataFrame, statistic: Column, *more: str) -> DataFrame:
@@ -77,22 +94,35 @@ def likelihood(df: DataFrame) -> DataFrame:
     return best.select("series", F.lit("likelihood").alias("method"), detected.alias("detected"), F.when(detected, F.array(i.cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("indices"), "statistic", confidence.alias("confidence"))
 
 
-def rolling(df: DataFrame, window: int = 8) -> DataFrame:
-    """The place at which Welch's test between the windows before and after it has the least p-value."""
-    own = running(valid(df), {"_c": F.lit(0.0)})
-    w = by_series()
-    parts = {}
-    for s, frame in (("a", w.rowsBetween(-(window - 1), 0)), ("b", w.rowsBetween(1, window))):
-        parts |= {f"m{s}": F.avg("value").over(frame), f"v{s}": F.var_samp("value").over(frame)}
-    own = own.withColumns(parts).where((F.col("i") >= window) & (F.col("i") <= F.col("n") - window))
-    se = (F.col("va") + F.col("vb")) / window
-    t = F.when(se > 0, (F.col("ma") - F.col("mb")) / F.sqrt(F.when(se > 0, se))).otherwise(0.0)
-    df_ = F.when(se > 0, se * se * (window - 1) / F.nullif((F.col("va") / window) ** 2 + (F.col("vb") / window) ** 2, F.lit(0.0))).otherwise(1.0)
-    p = F.when(se > 0, t_two_sided(F.col("t"), F.col("dof"))).otherwise(1.0)
-    own = own.withColumn("t", t).withColumn("dof", df_).withColumn("p", p)
-    best = first_largest(own, -F.round("p", 12), "t", "p")
-    detected = F.col("p") < 0.01
-    return best.select("series", F.lit("rolling").alias("method"), detected.alias("detected"), F.when(detected, F.array(F.col("i").cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("indices"), F.abs("t").alias("statistic"), F.when(detected, 1 - F.col("p")).otherwise(0.2).alias("confidence"))
+def rolling(df: DataFrame, window: int | None = None) -> DataFrame:
+    """The place at which Welch's test between the windows before and after it has the least p-value. A window has an
+    eighth of a series' values, 8 at least, unless its size is given.
+
+    Windows come from differences of running sums at three places, which are joined by place."""
+    d = F.col("value") - F.col("_m")
+    sums = running(with_stats(valid(df), _m=F.avg("value")), {"s1": d, "s2": d * d}).select("series", "i", "n", "s1", "s2")
+    size = F.lit(window).cast("bigint") if window else F.greatest(F.lit(8), F.floor(F.col("n") / 8)).cast("bigint")
+    middle = sums.withColumn("w", size).where((F.col("i") >= F.col("w")) & (F.col("i") <= F.col("n") - F.col("w")))
+    at = lambda place, name: sums.select("series", F.col("i").alias(place), F.col("s1").alias(f"{name}1"), F.col("s2").alias(f"{name}2"))
+    own = middle.withColumn("from_", F.col("i") - F.col("w")).withColumn("to_", F.col("i") + F.col("w"))
+    own = own.join(at("from_", "a"), ["series", "from_"], "left").join(at("to_", "b"), ["series", "to_"]).fillna({"a1": 0.0, "a2": 0.0})
+    w = F.col("w")
+    mean = {"l": (F.col("s1") - F.col("a1")) / w, "r": (F.col("b1") - F.col("s1")) / w}
+    square = {"l": F.col("s2") - F.col("a2"), "r": F.col("b2") - F.col("s2")}
+    own = own.withColumns({f"m{x}": mean[x] for x in "lr"} | {f"v{x}": F.greatest(square[x] - w * mean[x] ** 2, F.lit(0.0)) / (w - 1) for x in "lr"})
+    se = (F.col("vl") + F.col("vr")) / w
+    some = se > 1e-18 * (F.abs("ml") + F.abs("mr") + 1e-300)
+    t = F.when(some, (F.col("ml") - F.col("mr")) / F.sqrt(F.when(some, se))).otherwise(0.0)
+    dof = F.when(some, se * se * (w - 1) / F.nullif((F.col("vl") / w) ** 2 + (F.col("vr") / w) ** 2, F.lit(0.0))).otherwise(1.0)
+    own = own.withColumn("t", t).withColumn("dof", dof)
+    own = own.withColumn("p", F.when(F.col("t") != 0, t_two_sided(F.col("t"), F.col("dof"))).otherwise(1.0))
+    best = first_largest(own, -F.round("p", 12), "t", "p").select("series", "i", "t", "p")
+    out = sums.select("series").distinct().join(best, "series", "left")
+    detected = F.coalesce(F.col("p") < 0.01, F.lit(False))
+    return out.select(
+        "series", F.lit("rolling").alias("method"), detected.alias("detected"), F.when(detected, F.array(F.col("i").cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("indices"),
+        F.coalesce(F.abs("t"), F.lit(0.0)).alias("statistic"), F.when(detected, 1 - F.col("p")).otherwise(0.2).alias("confidence"),
+    )
 
 
 def _standard(x: np.ndarray) -> np.ndarray:
@@ -186,13 +216,11 @@ def product_partition(x: np.ndarray, min_size: int = 8) -> tuple[list[int], np.n
     return sorted(peaks), mass
 
 
-def bayesian(df: DataFrame, min_size: int = 8, most: int = 20_000) -> DataFrame:
-    """Changes of mean by the product partition model. Its sums grow with the square of a series' length; a series of
-    more than `most` values is refused, never sampled."""
+def bayesian(df: DataFrame, min_size: int = 8) -> DataFrame:
+    """Changes of mean by the product partition model. Its time grows with the square of a series' length (a minute for
+    some 50,000 values), its memory with the length; no series is refused or sampled."""
 
     def work(x: np.ndarray) -> dict:
-        if len(x) > most:
-            raise ValueError(f"a series of {len(x)} values is too long for the product partition; {most} are allowed")
         if len(x) < max(8, 2 * min_size):
             return _result("bayesian", False, [], 0.0, 0.0)
         found, mass = product_partition(x, min_size)
@@ -262,20 +290,25 @@ def sampled_cut(df: DataFrame, samples: int = 400, seed: int = 7) -> DataFrame:
 
 
 def features(df: DataFrame, has_controls: bool = False) -> DataFrame:
-    """What the choice of a detector rests on, one row a series, and the detector chosen."""
+    """What the choice of a detector rests on, one row a series, and the detector chosen. A series has controls if its
+    column `control` says so anywhere, or by has_controls."""
     own = valid(df)
-    base = df.groupBy("series").agg(missing_fraction(F.col("value")).alias("missing"))
+    controlled = F.coalesce(F.max(F.col("control").cast("boolean")), F.lit(False)) if "control" in df.columns else F.lit(has_controls)
+    base = df.groupBy("series").agg(missing_fraction(F.col("value")).alias("missing"), controlled.alias("controlled"))
     shape = own.groupBy("series").agg(F.count("*").alias("n"), excess_kurtosis(F.col("value")).alias("kurtosis"), F.stddev_samp("value").alias("sd"))
     alarms = cusum_alarms(df).groupBy("series").agg(F.count("*").alias("alarms"))
     out = base.join(shape, "series", "left").join(robust_mad(own), "series", "left").join(regular_cadence(own).select("series", "regular"), "series", "left").join(alarms, "series", "left")
     out = out.fillna({"n": 0, "kurtosis": 0.0, "alarms": 0, "regular": False})
     n, heavy = F.col("n"), (F.col("kurtosis") > 2.5) | F.coalesce((F.col("mad") > 0) & (F.col("sd") / F.nullif(F.col("mad"), F.lit(0.0)) > 1.6), F.lit(False))
-    method = (
-        F.when(n < 20, "robust_median").when((F.col("missing") > 0.15) | (~F.col("regular") & (n < 80)), "robust_median").when(heavy, "robust_median")
-        .when((n >= 80) & (F.col("alarms") >= 2), "pelt").when(F.lit(has_controls) & (n < 400), "likelihood").when((n >= 80) & (n < 400) & F.col("regular"), "bayesian")
-        .when(n >= 400, "pelt").otherwise("cusum")
+    rules = (
+        (n < 20, "robust_median", "few values"), (F.col("missing") > 0.15, "robust_median", "many missing values"), (~F.col("regular") & (n < 80), "robust_median", "irregular times"),
+        (heavy, "robust_median", "heavy tails"), ((n >= 80) & (F.col("alarms") >= 2), "pelt", "several alarms"), (F.col("controlled") & (n < 400), "likelihood", "controls and moderate length"),
+        ((n >= 80) & (n < 400) & F.col("regular"), "bayesian", "regular times and moderate length"), (n >= 400, "pelt", "a long series"),
     )
-    return out.withColumn("method", method)
+    method, reason = F.lit("cusum"), F.lit("no other rule holds")
+    for condition, name, why in reversed(rules):
+        method, reason = F.when(condition, name).otherwise(method), F.when(condition, why).otherwise(reason)
+    return out.drop("controlled").withColumn("method", method).withColumn("reason", reason)
 
 
 METHODS = {"cusum": cusum, "likelihood": likelihood, "pelt": pelt, "robust_median": robust_median, "rolling": rolling, "bayesian": bayesian, "kernel": kernel, "sampled": sampled_cut}
@@ -287,7 +320,7 @@ def detect_changes(df: DataFrame, method: str = "auto", has_controls: bool = Fal
         if method not in METHODS:
             raise ValueError(f"no change-point method {method!r}")
         return METHODS[method](df)
-    chosen = features(df, has_controls).select("series", F.col("method").alias("_chosen")).persist()  # one row a series
+    chosen = kept(features(df, has_controls).select("series", F.col("method").alias("_chosen")), "chosen-detectors")  # one row a series
     routed = df.join(chosen, "series")
     out = None
     for name in ("robust_median", "pelt", "likelihood", "bayesian", "cusum"):

@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from driftlake.functions.columns import f_sf, finite
+from driftlake.operators import slopes
 from driftlake.operators import two_sample as ts
-from driftlake.operators.basics import runs_test, theil_sen
+from driftlake.operators.basics import runs_test
+from driftlake.operators.slopes import theil_sen
 from driftlake.operators.series import with_stats
 
 
@@ -40,20 +41,10 @@ def deming(pairs: DataFrame, ratio: float = 1.0) -> DataFrame:
 
 
 def passing_bablok(pairs: DataFrame) -> DataFrame:
-    """(series, n, slope, intercept, lower, upper): shifted median of all pairs' slopes and its 95 % limits."""
-    own = valid_pairs(pairs)
-    a, b = own.alias("a"), own.alias("b")
-    slopes = a.join(b, (F.col("a.series") == F.col("b.series")) & (F.col("a.k") < F.col("b.k"))).where(F.col("a.x") != F.col("b.x")).select(F.col("a.series").alias("series"), ((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("s"))
-    ranked = slopes.withColumn("r", F.row_number().over(Window.partitionBy("series").orderBy("s")))
-    sizes = own.groupBy("series").agg(F.count("*").cast("double").alias("n")).where("n >= 8")
-    counts = slopes.groupBy("series").agg(F.count("*").cast("double").alias("m"), F.count(F.when(F.col("s") < -1, 1)).cast("double").alias("shift")).join(sizes, "series")
-    c = 1.96 * F.sqrt(F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18)
-    clamp = lambda x: F.greatest(F.lit(1.0), F.least(F.col("m"), x)).cast("int")
-    counts = counts.withColumn("mid", clamp(F.col("shift") + F.floor((F.col("m") + 1) / 2))).withColumn("lo", clamp(F.bround(F.col("shift") + (F.col("m") - c) / 2))).withColumn("hi", clamp(F.bround(F.col("shift") + (F.col("m") + c) / 2)))
-    at = lambda k: F.max(F.when(F.col("r") == F.col(k), F.col("s")))
-    slope = ranked.join(counts, "series").groupBy("series").agg(at("mid").alias("slope"), at("lo").alias("lower"), at("hi").alias("upper"), F.first("n").cast("bigint").alias("n"))
-    left = own.join(slope.select("series", "slope"), "series").groupBy("series").agg(F.percentile(F.col("y") - F.col("slope") * F.col("x"), F.lit(0.5)).alias("intercept"))
-    return slope.join(left, "series").select("series", "n", "slope", "intercept", "lower", "upper")
+    """(series, n, slope, intercept, lower, upper): shifted median of all pairs' slopes and its 95 % limits; slope and limits
+    are 1 for a series of equal x."""
+    own = with_stats(valid_pairs(pairs), _n=F.count("*")).where("_n >= 8")
+    return slopes.per_series(own, slopes.passing_bablok_of, "n bigint, slope double, intercept double, lower double, upper double")
 
 
 def ols(pairs: DataFrame) -> DataFrame:
@@ -75,10 +66,11 @@ def weighted(pairs: DataFrame, weight: Column | None = None) -> DataFrame:
 
 
 def quadratic(pairs: DataFrame) -> DataFrame:
-    """(series, n, c0, c1, c2): least-squares parabola, from moments of centred x."""
+    """(series, n, c0, c1, c2): least-squares parabola, from moments of centred x; null with fewer than three different x."""
     own = with_stats(valid_pairs(pairs), mx=F.avg("x"), my=F.avg("y"))
     u, v = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     m = own.groupBy("series").agg(F.count("*").alias("n"), F.sum(u * u).alias("s2"), F.sum(u * u * u).alias("s3"), F.sum(u * u * u * u).alias("s4"), F.sum(u * v).alias("uy"), F.sum(u * u * v).alias("uuy"), F.first("mx").alias("mx"), F.first("my").alias("my")).where("n >= 3")
+    m = m.withColumn("s2", F.nullif("s2", F.lit(0.0)))
     q = F.nullif(F.col("s4") - F.col("s2") ** 2 / F.col("n") - F.col("s3") ** 2 / F.col("s2"), F.lit(0.0))
     m = m.withColumn("c2", (F.col("uuy") - F.col("s3") / F.col("s2") * F.col("uy")) / q)
     m = m.withColumn("b1", (F.col("uy") - F.col("c2") * F.col("s3")) / F.col("s2")).withColumn("b0", F.col("my") - F.col("c2") * F.col("s2") / F.col("n"))
@@ -124,11 +116,22 @@ def natural_spline(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n, second = len(knots), np.zeros(len(knots))
     if n > 2:
         h = np.diff(knots)
-        matrix = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-        second[1:-1] = np.linalg.solve(matrix, 6 * np.diff(np.diff(mean) / h))
+        second[1:-1] = tridiagonal(2 * (h[:-1] + h[1:]), h[1:-1], 6 * np.diff(np.diff(mean) / h))
     return knots, mean, second
 
 
+def tridiagonal(diagonal: np.ndarray, beside: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solves a symmetric tridiagonal system, elimination and substitution in one pass each."""
+    d, r, e = diagonal.tolist(), right.tolist(), beside.tolist()
+    for k in range(1, len(d)):
+        f = e[k - 1] / d[k - 1]
+        d[k] -= f * e[k - 1]
+        r[k] -= f * r[k - 1]
+    for k in range(len(d) - 1, -1, -1):
+        r[k] = (r[k] - (e[k] * r[k + 1] if k + 1 < len(d) else 0.0)) / d[k]
+    return np.array(r)
+
+
 def spline_at(knots: np.ndarray, mean: np.ndarray, second: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The spline's values; straight on beyond the outer knots."""
     k = np.clip(np.searchsorted(knots, at, "right") - 1, 0, len(knots) - 2)
@@ -169,7 +172,7 @@ def logistic_at(p: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def curve_fits(pairs: DataFrame, model: str) -> DataFrame:
-    """(series, k, x, y, fit) of models that need a series' pairs together: spline, fourpl."""
+    """(series, k, x, y, fit) of models that need a series' pairs together: spline, fourpl; a line where those cannot be."""
     kinds = dict(pairs.dtypes)
 
     def run(t: pa.Table) -> pa.Table:
@@ -188,7 +191,142 @@ def curve_fits(pairs: DataFrame, model: str) -> DataFrame:
 
 
 def compare_lots(df: DataFrame) -> DataFrame:
-    """(series, h, location_p, variance_f, variance_p, shift) of (series, grp, value): two lots at least."""
-    kw, bf = ts.kruskal_wallis(df), ts.brown_forsythe(df)
-    out = kw.where("k >= 2").join(bf.select("series", F.col("f").alias("variance_f"), F.col("p").alias("variance_p")), "series", "left")
-    return out.select("series", "h", F.col("p").alias("location_p"), "variance_f", "variance_p", (F.col("p") < 0.05).alias("shift"))
+    """(series, lots, h, location_p, variance_f, variance_p, ks, shift_suspected, variance_shift) of (series, grp, value),
+    grp being the lot: location by Kruskal and Wallis, variance by Brown and Forsythe, and the Kolmogorov-Smirnov distance
+    where there are just two lots. Series of fewer than two lots are left out."""
+    own = df.where(F.col("grp").isNotNull() & finite(F.col("value")))
+    kw, bf = ts.kruskal_wallis(own).where("k >= 2"), ts.brown_forsythe(own)
+    pair = own.groupBy("series").agg(F.min("grp").alias("_first"), F.count_distinct("grp").alias("_k")).where("_k = 2").select("series", "_first")
+    two = own.join(pair, "series").select("series", F.when(F.col("grp") == F.col("_first"), "a").otherwise("b").alias("side"), "value")
+    out = kw.join(bf.select("series", F.col("f").alias("variance_f"), F.col("p").alias("variance_p")), "series", "left").join(ts.ks(two).select("series", F.col("d").alias("ks")), "series", "left")
+    return out.select("series", F.col("k").alias("lots"), "h", F.col("p").alias("location_p"), "variance_f", "variance_p", "ks", (F.col("p") < 0.05).alias("shift_suspected"), (F.col("variance_p") < 0.05).alias("variance_shift"))
+
+
+def lots_of(df: DataFrame, *columns: str) -> DataFrame:
+    """(series, grp, value) with the first of some columns that is known as the lot: lots_of(df, "lot", "reagent_lot")."""
+    known = [F.col(c).cast("string") for c in columns if c in df.columns]
+    return df.select("series", (F.coalesce(*known) if known else F.lit(None).cast("string")).alias("grp"), "value")
+
+
+def compare_sites(df: DataFrame) -> DataFrame:
+    """(series, sites, h, p, site_effect_suspected) of (series, grp, value), grp being the site; two sites at least."""
+    kw = ts.kruskal_wallis(df.where(F.col("grp").isNotNull() & finite(F.col("value")))).where("k >= 2")
+    return kw.select("series", F.col("k").alias("sites"), "h", "p", (F.col("p") < 0.05).alias("site_effect_suspected"))
+
+
+def polynomial(pairs: DataFrame, degree: int = 2) -> DataFrame:
+    """(series, n, coefficients): least squares of degree 1 to 5, from power sums of x, centred and scaled; the small
+    systems are solved one row a series."""
+    degree = max(1, min(5, degree))
+    own = with_stats(valid_pairs(pairs), _m=F.avg("x"), _s=F.coalesce(F.nullif(F.stddev_pop("x"), F.lit(0.0)), F.lit(1.0)))
+    own = own.withColumn("_u", (F.col("x") - F.col("_m")) / F.col("_s"))
+    power = lambda k: F.pow("_u", F.lit(float(k))) if k else F.lit(1.0)
+    sums = own.groupBy("series").agg(
+        F.count("*").alias("n"), F.first("_m").alias("m"), F.first("_s").alias("s"), F.array(*[F.sum(power(k)) for k in range(2 * degree + 1)]).alias("a"),
+        F.array(*[F.sum(power(k) * F.col("y")) for k in range(degree + 1)]).alias("b"),
+    ).where("n >= 3")
+
+    def solve(batches):
+        for batch in batches:
+            found = []
+            for m, scale, a, b in zip(*(batch.column(c).to_pylist() for c in ("m", "s", "a", "b"))):
+                in_u = np.linalg.lstsq(np.array([[a[i + j] for j in range(degree + 1)] for i in range(degree + 1)]), np.array(b), rcond=None)[0]
+                in_x = np.poly1d(in_u[::-1])(np.poly1d([1 / scale, -m / scale]))
+                found.append(np.concatenate([in_x.coeffs[::-1], np.zeros(degree + 1)])[: degree + 1].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["series", "n", "coefficients"])
+
+    return sums.mapInArrow(solve, f"series {dict(pairs.dtypes)['series']}, n bigint, coefficients array<double>")
+
+
+def _whole_fits(pairs: DataFrame, model: str) -> DataFrame:
+    """Coefficients of models that need a series' pairs together. spline: knots, values and second derivatives after
+    their number (a line for fewer than three different x: intercept and slope after 0); fourpl: the four parameters."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
+        if model == "fourpl":
+            found = four_parameter(x, y)
+        elif len(np.unique(x)) >= 3:
+            knots, mean, second = natural_spline(x, y)
+            found = np.concatenate([[len(knots)], knots, mean, second])
+        else:
+            found = np.array([0.0, *(np.polyfit(x, y, 1)[::-1] if len(np.unique(x)) > 1 else (y.mean(), 0.0))])
+        return pa.table({"series": t.column("series").slice(0, 1), "n": [len(x)], "coefficients": pa.array([found.tolist()], pa.list_(pa.float64()))})
+
+    own = with_stats(valid_pairs(pairs), _n=F.count("*")).where("_n >= 3").select("series", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return own.groupBy("series").applyInArrow(run, f"series {dict(pairs.dtypes)['series']}, n bigint, coefficients array<double>")
+
+
+def curve_at(model: str, coefficients: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if model == "fourpl":
+        return logistic_at(coefficients, x)
+    n = int(coefficients[0])
+    return spline_at(*(coefficients[1 + k * n : 1 + (k + 1) * n] for k in range(3)), x) if n else coefficients[1] + coefficients[2] * x
+
+
+MODELS = ("linear", "weighted_linear", "polynomial", "robust", "spline", "fourpl")
+
+
+def calibrate(pairs: DataFrame, model: str = "linear", degree: int = 2, weight: Column | None = None) -> DataFrame:
+    """(series, model, n, coefficients, r2, residual_sd): one of MODELS for each series of three pairs at least.
+
+    coefficients of linear, weighted_linear, robust and polynomial ascend by the power of x."""
+    line = lambda df: df.select("series", "n", F.array("intercept", "slope").alias("coefficients"))
+    if model == "linear":
+        fits = line(ols(pairs))
+    elif model == "weighted_linear":
+        fits = line(weighted(pairs, weight))
+    elif model == "robust":
+        own = valid_pairs(pairs)
+        fits = line(theil_sen(own).join(own.groupBy("series").agg(F.count("*").alias("n")).where("n >= 3"), "series"))
+    elif model == "polynomial":
+        fits = polynomial(pairs, degree)
+    elif model in ("spline", "fourpl"):
+        fits = _whole_fits(pairs, model)
+    else:
+        raise ValueError(f"no calibration model {model!r}")
+    fits = fits.withColumn("model", F.lit(model))
+    left = with_stats(predict_response(valid_pairs(pairs).select("series", "x", "y"), fits), _m=F.avg("y"))
+    figures = left.groupBy("series").agg(F.sum((F.col("y") - F.col("fit")) ** 2).alias("_r"), F.sum((F.col("y") - F.col("_m")) ** 2).alias("_t"), F.count("*").alias("_n"))
+    r2 = F.when(F.col("_t") == 0, 1.0).otherwise(1 - F.col("_r") / F.nullif("_t", F.lit(0.0)))
+    return fits.join(figures, "series").select("series", "model", "n", "coefficients", r2.alias("r2"), F.sqrt(F.col("_r") / F.col("_n")).alias("residual_sd"))
+
+
+def predict_response(points: DataFrame, curves: DataFrame) -> DataFrame:
+    """points (series, x, ...) with fit, from the curves of their series (series, model, coefficients), at any x."""
+    lines = curves.where(~F.col("model").isin("spline", "fourpl")).select("series", "coefficients")
+    horner = F.aggregate(F.reverse("coefficients"), F.lit(0.0), lambda s, c: s * F.col("x") + c)
+    out = points.join(lines, "series").withColumn("fit", horner).drop("coefficients")
+    fields = ", ".join(f"{c} {t}" for c, t in points.dtypes)
+
+    def run(own: pa.Table, curve: pa.Table) -> pa.Table:
+        if not own.num_rows or not curve.num_rows:
+            return own.slice(0, 0).append_column("fit", pa.array([], pa.float64()))
+        found = curve_at(curve.column("model")[0].as_py(), np.array(curve.column("coefficients")[0].as_py()), own.column("x").to_numpy())
+        return own.append_column("fit", pa.array(found))
+
+    others = curves.where(F.col("model").isin("spline", "fourpl")).select("series", "model", "coefficients")
+    by_curve = points.groupBy("series").cogroup(others.groupBy("series")).applyInArrow(run, f"{fields}, fit double")
+    return out.unionByName(by_curve)
+
+
+METHODS = ("bland_altman", "deming", "passing_bablok", "ols", "theil_sen")
+
+
+def compare_methods(pairs: DataFrame, method: str = "bland_altman", ratio: float = 1.0) -> DataFrame:
+    """(series, method, n, bias, proportional, lower, upper, slope, intercept) of y against x, for series of eight pairs at
+    least; figures that a method does not give are null. The bias of a line is its intercept, its proportional bias the
+    slope less 1."""
+    if method == "bland_altman":
+        out = bland_altman(pairs)
+    elif method in METHODS:
+        own = with_stats(valid_pairs(pairs), _n=F.count("*")).where("_n >= 8").drop("_n")
+        if method == "theil_sen":
+            found = theil_sen(own).join(own.groupBy("series").agg(F.count("*").alias("n")), "series")
+        else:
+            found = {"deming": lambda p: deming(p, ratio), "passing_bablok": passing_bablok, "ols": ols}[method](own)
+        out = found.drop("lower", "upper").withColumn("bias", F.col("intercept")).withColumn("proportional", F.col("slope") - 1)
+    else:
+        raise ValueError(f"no method {method!r}")
+    has = lambda c: F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c)
+    return out.select("series", F.lit(method).alias("method"), "n", *(has(c) for c in ("bias", "proportional", "lower", "upper", "slope", "intercept")))

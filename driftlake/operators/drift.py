@@ -7,6 +7,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +15,8 @@ from pyspark.sql.window import Window
 from driftlake.functions.columns import direction, normal_sf
 from driftlake.operators import change_points as cp
 from driftlake.operators import two_sample as ts
-from driftlake.operators.basics import theil_sen
-from driftlake.operators.series import running, valid, with_stats
+from driftlake.operators.series import kept, running, valid, with_stats
+from driftlake.operators.slopes import theil_sen
 
 EPS = 2.0**-52
 
@@ -104,11 +105,12 @@ def variance(df: DataFrame) -> DataFrame:
 def cyclic(df: DataFrame, most: int = 40) -> DataFrame:
     """The share of the largest of the first harmonics in the power of all of them."""
     own = running(with_stats(valid(df), _m=F.avg("value")), {"_z": F.lit(0.0)}).withColumn("z", F.col("value") - F.col("_m"))
-    waves = own.where("n >= 4").select("series", "n", "i", "z", F.explode(F.sequence(F.lit(1), F.least(F.floor(F.col("n") / 4).cast("int"), F.lit(most)))).alias("k"))
-    angle = 2 * math.pi * F.col("k") / F.col("n") * F.col("i")
-    power = waves.groupBy("series", "k").agg(F.sum(F.col("z") * F.cos(angle)).alias("c"), F.sum(F.col("z") * F.sin(angle)).alias("s"), F.first("n").alias("n"))
-    power = power.withColumn("p", (F.col("c") ** 2 + F.col("s") ** 2) / F.col("n"))
-    m = power.groupBy("series").agg((F.max("p") / F.nullif(F.sum("p"), F.lit(0.0))).alias("g"), F.first("n").alias("n")).withColumn("g", F.coalesce("g", F.lit(0.0)))
+    # one aggregate with a sum of cosines and one of sines for each harmonic; rows are not multiplied
+    turn = 2 * math.pi / F.col("n") * F.col("i")
+    sums = own.where("n >= 4").groupBy("series").agg(F.first("n").alias("n"), *(F.sum(F.col("z") * f(turn * k)).alias(f"{x}{k}") for k in range(1, most + 1) for x, f in (("c", F.cos), ("s", F.sin))))
+    powers = F.array(*[F.when(F.col("n") >= 4 * k, (F.col(f"c{k}") ** 2 + F.col(f"s{k}") ** 2) / F.col("n")).otherwise(0.0) for k in range(1, most + 1)])
+    m = sums.select("series", "n", powers.alias("p"))
+    m = m.withColumn("g", F.coalesce(F.array_max("p") / F.nullif(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), F.lit(0.0)), F.lit(0.0)))
     detected = (F.col("g") > 0.35) & (F.col("n") >= 16)
     return _result(m, "cyclic", detected, F.when(detected, F.least(F.lit(0.9), F.col("g"))).otherwise(0.1), F.col("g"), F.lit("cyclic"), F.lit(1), F.col("n"))
 
@@ -142,9 +144,14 @@ def detect_drift(df: DataFrame, kind: str = "auto") -> DataFrame:
 
 
 def results_of_all(df: DataFrame) -> dict[str, DataFrame]:
-    """Each kind's results, kept for the session: one row a series, read more than once by what builds on them."""
-    lines = _residuals(_timed(df, False)).persist()
-    return {k: (f(df, lines=lines) if k in ("linear", "nonlinear") else f(df)).persist() for k, f in KINDS.items()}
+    """Each kind's results, one row a series; all are written in one table, which what builds on them reads."""
+    lines = kept(_residuals(_timed(df, False)), "drift-lines")
+    all_ = None
+    for k, f in KINDS.items():
+        own = f(df, lines=lines) if k in ("linear", "nonlinear") else f(df)
+        all_ = own if all_ is None else all_.unionByName(own)
+    found = kept(all_, "drifts")
+    return {k: found.where(F.col("kind") == k) for k in KINDS}
 
 
 def best_of(results: dict[str, DataFrame]) -> DataFrame:
@@ -160,12 +167,25 @@ def best_of(results: dict[str, DataFrame]) -> DataFrame:
 def mean_vector(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Means, covariances and number of (features array<double>) rows: as many figures as features squared."""
     p = len(rows.select("features").first()[0])
-    pairs = rows.select(F.posexplode("features").alias("a", "x"), "features").select("a", "x", F.posexplode("features").alias("b", "y"))
-    got = pairs.groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c"), F.avg("x").alias("m"), F.count("*").alias("n")).collect()
-    mean, cov = np.zeros(p), np.zeros((p, p))
-    for r in got:
-        cov[r["a"], r["b"]], mean[r["a"]] = r["c"], r["m"]
-    return mean, cov, got[0]["n"]
+
+    def run(batches):
+        n, total, square, center = 0, np.zeros(p), np.zeros((p, p)), None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, p)
+                center = x[0] if center is None else center  # sums about a row of the part lose fewer digits
+                n, total, square = n + len(x), total + (x - center).sum(0), square + (x - center).T @ (x - center)
+        if n:
+            mean = total / n
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(center + mean).tobytes()]), pa.array([(square - n * np.outer(mean, mean)).tobytes()])], ["n", "mean", "scatter"])
+
+    # a row of features squared numbers a partition, merged pairwise in the driver
+    n, mean, scatter = 0, np.zeros(p), np.zeros((p, p))
+    for r in rows.select(F.col("features").cast("array<double>")).mapInArrow(run, "n bigint, mean binary, scatter binary").toLocalIterator():
+        own, more = np.frombuffer(r["mean"]), np.frombuffer(r["scatter"]).reshape(p, p)
+        away, whole = own - mean, n + r["n"]
+        mean, scatter, n = mean + away * r["n"] / whole, scatter + more + np.outer(away, away) * n * r["n"] / whole, whole
+    return mean, scatter / max(1, n - 1), n
 
 
 def _halves(df: DataFrame, fraction: float) -> tuple[DataFrame, DataFrame, int]:
@@ -185,11 +205,9 @@ def multivariate(df: DataFrame, method: str = "mahalanobis", baseline: float = 0
     if not n0:
         return spark.createDataFrame([(method, False, 0.0, None, None)], schema)
     if method == "energy":
-        def mean_distance(a: DataFrame, b: DataFrame) -> Column:
-            far = F.sqrt(F.aggregate(F.zip_with("fa", "fb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-            return a.select(F.col("features").alias("fa")).crossJoin(b.select(F.col("features").alias("fb"))).agg(F.avg(far)).first()[0]
-
-        d = 2 * mean_distance(first, rest) - mean_distance(first, first) - mean_distance(rest, rest)
+        sums = {(r["a"], r["b"]): (r["total"], r["pairs"]) for r in distance_sums(first, rest).collect()}  # three rows
+        mean_distance = lambda a, b: sums[a, b][0] / sums[a, b][1]
+        d = 2 * mean_distance(0, 1) - mean_distance(0, 0) - mean_distance(1, 1)
         level = first.select(F.avg(F.aggregate("features", F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size("features"))).first()[0]
         hit = d > 0.15 * (level + 1)
         return spark.createDataFrame([(method, bool(hit), 0.75 if hit else 0.2, float(d), n0 + 1)], schema)
@@ -217,6 +235,45 @@ def multivariate(df: DataFrame, method: str = "mahalanobis", baseline: float = 0
     raise ValueError(f"no multivariate method {method!r}")
 
 
+def distance_sums(first: DataFrame, rest: DataFrame, tile: int = 4096) -> DataFrame:
+    """(a, b, total, pairs): sums of the distances between all rows (features) of two tables (0 and 1), by tables, rows
+    with themselves included. Rows are dealt out in tiles; each two tiles meet once, as matrices, and give sums only."""
+    both = first.select("features", F.lit(0).alias("side")).unionByName(rest.select("features", F.lit(1).alias("side")))
+    n = both.count()
+    tiles = max(1, -(-n // tile))
+    own = both.withColumn("tile", F.pmod(F.xxhash64("features", "side"), F.lit(tiles)).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("features", "side", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        side, of = t.column("side").to_numpy(), t.column("tile").to_numpy()
+        values = np.array(t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, -1)
+        rows, total, pairs = [], {}, {}
+        left, right = np.flatnonzero(of == x), np.flatnonzero(of == y)
+        size = (values**2).sum(1)
+        for a in range(0, len(left), 512):
+            part = left[a : a + 512]
+            square = size[part][:, None] + size[right][None, :] - 2 * values[part] @ values[right].T
+            far = np.sqrt(np.maximum(square, 0.0))
+            if x == y:
+                far[part[:, None] == right[None, :]] = 0.0
+            for p in (0, 1):
+                for q in (0, 1):
+                    block = far[side[part] == p][:, side[right] == q]
+                    # two different tiles meet once for both orders of each pair; 0 with 1 is counted once in any case
+                    key, times = (min(p, q), max(p, q)), 2 if x != y and p == q else 1
+                    if x == y and p > q:
+                        continue
+                    total[key] = total.get(key, 0.0) + times * float(block.sum())
+                    pairs[key] = pairs.get(key, 0) + times * block.size
+        rows = [(*k, v, pairs[k]) for k, v in total.items()]
+        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["a", "b", "total", "pairs"])
+
+    found = met.groupBy("x", "y").applyInArrow(run, "a int, b int, total double, pairs bigint")
+    return found.groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+
+
 def _quadratic(matrix: np.ndarray, center: np.ndarray) -> Column:
     """(x - center)' matrix (x - center) of the features, inside the JVM: sums of squares along its axes."""
     values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftlake.functions.columns import finite
-from driftlake.operators.series import by_series, median, with_stats
+from driftlake.operators.series import by_series, median_deviations, with_percentiles, with_stats
 
 #: Severity of each rule when it fires.
 SEVERITY = {"1-3s": "critical", "1-2s": "watch", "2-2s": "warning", "R-4s": "warning", "4-1s": "warning", "10x": "warning", "7T": "watch"}
@@ -25,50 +25,38 @@ def spec_of(df: DataFrame) -> DataFrame:
 
 
 def in_sd(df: DataFrame, spec: DataFrame) -> DataFrame:
-    """Finite rows with i (their place in the series), center, sd and z."""
+    """Finite rows with i (their place in the series), center, sd and z (null for a series without spread)."""
     own = df.where(finite(F.col("value"))).join(spec, "series")
-    return own.withColumn("i", F.row_number().over(by_series())).withColumn("z", (F.col("value") - F.col("center")) / F.col("sd"))
+    return own.withColumn("i", F.row_number().over(by_series())).withColumn("z", (F.col("value") - F.col("center")) / F.nullif("sd", F.lit(0.0)))
 
 
-def _run_length(side: Column) -> Callable[[DataFrame], DataFrame]:
-    """Adds run: how many rows in a row, this one included, lie on this row's side; 0 on neither side."""
-
-    def add(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_side", side)
-        new = F.coalesce((F.lag("_side").over(by_series()) != F.col("_side")).cast("long"), F.lit(1))
-        df = df.withColumn("_island", F.sum(new).over(by_series().rowsBetween(Window.unboundedPreceding, 0)))
-        place = F.row_number().over(Window.partitionBy("series", "_island").orderBy("i"))
-        return df.withColumn("run", F.when(F.col("_side") != 0, place).otherwise(0)).drop("_side", "_island")
-
-    return add
+def flagged(df: DataFrame, spec: DataFrame, rules: tuple[str, ...] = tuple(SEVERITY)) -> DataFrame:
+    """Rows with their place, z and a flag for each rule (_hit0, _hit1, ...), all from one ordered pass over a series."""
+    own, w = in_sd(df, spec), by_series()
+    v, m, s = F.col("value"), F.col("center"), F.col("sd")
+    side = lambda k: F.when(v > m + k * s, 1).when(v < m - k * s, -1).otherwise(0)
+    needed = {"2-2s": {"_s2": side(2)}, "4-1s": {"_s1": side(1)}, "10x": {"_s0": side(0)}, "7T": {"_d": v - F.lag("value").over(w)}}
+    own = own.withColumns({k: c for r in rules for k, c in needed.get(r, {}).items()} or {"_none": F.lit(0)})
+    # a row in a run of at least so many on one side: so many rows back the side was the same all along
+    run = lambda c, n: (F.col(c) != 0) & (F.count("*").over(w.rowsBetween(1 - n, 0)) == n) & (F.min(c).over(w.rowsBetween(1 - n, 0)) == F.max(c).over(w.rowsBetween(1 - n, 0)))
+    last = w.rowsBetween(-5, 0)
+    hits = {
+        "1-3s": lambda: F.abs(v - m) > 3 * s, "1-2s": lambda: F.abs(v - m) > 2 * s, "2-2s": lambda: (F.col("_s2") != 0) & (F.lag("_s2").over(w) == F.col("_s2")),
+        "R-4s": lambda: F.abs(v - F.lag("value").over(w)) > 4 * s, "4-1s": lambda: run("_s1", 4), "10x": lambda: run("_s0", 10),
+        "7T": lambda: (F.sum((F.col("_d") > 0).cast("int")).over(last) == 6) | (F.sum((F.col("_d") < 0).cast("int")).over(last) == 6),
+    }
+    out = {}
+    for i, rule in enumerate(rules):
+        if rule not in hits and rule not in _custom:
+            raise ValueError(f"no rule {rule!r}")
+        hit = hits[rule]() if rule in hits else _custom[rule][0](F.col("z"), w)
+        out[f"_hit{i}"] = F.coalesce(hit, F.lit(False))
+    return own.withColumns(out)
 
 
 def rule_hits(df: DataFrame, spec: DataFrame, rule: str) -> DataFrame:
     """(series, i, ts, value) of the rows at which a rule fires; rules by name, or one registered with `qc_rule`."""
-    own, w = in_sd(df, spec), by_series()
-    v, m, s = F.col("value"), F.col("center"), F.col("sd")
-    side = lambda k: F.when(v > m + k * s, 1).when(v < m - k * s, -1).otherwise(0)
-    if rule == "1-3s":
-        hit = F.abs(v - m) > 3 * s
-    elif rule == "1-2s":
-        hit = F.abs(v - m) > 2 * s
-    elif rule == "2-2s":
-        own = own.withColumn("_s", side(2))
-        hit = (F.col("_s") != 0) & (F.lag("_s").over(w) == F.col("_s"))
-    elif rule == "R-4s":
-        hit = F.abs(v - F.lag("value").over(w)) > 4 * s
-    elif rule in ("4-1s", "10x"):
-        own = _run_length(side(1 if rule == "4-1s" else 0))(own)
-        hit = F.col("run") >= (4 if rule == "4-1s" else 10)
-    elif rule == "7T":
-        own = own.withColumn("_d", v - F.lag("value").over(w))
-        last = w.rowsBetween(-5, 0)
-        hit = (F.sum((F.col("_d") > 0).cast("int")).over(last) == 6) | (F.sum((F.col("_d") < 0).cast("int")).over(last) == 6)
-    elif rule in _custom:
-        hit = _custom[rule][0](F.col("z"), w)
-    else:
-        raise ValueError(f"no rule {rule!r}")
-    return own.withColumn("_hit", F.coalesce(hit, F.lit(False))).where("_hit").select("series", "i", "ts", "value")
+    return flagged(df, spec, (rule,)).where("_hit0").select("series", "i", "ts", "value")
 
 
 def qc_rule(name: str, severity: str = "warning"):
@@ -81,15 +69,15 @@ def qc_rule(name: str, severity: str = "warning"):
     return add
 
 
+def severity_of(rule: str) -> str:
+    return SEVERITY.get(rule) or _custom[rule][1]
+
+
 def monitor(df: DataFrame, spec: DataFrame, rules: tuple[str, ...] = tuple(SEVERITY)) -> DataFrame:
-    """(series, rule, severity, n_hits, first_i) for each rule that fires."""
-    out = None
-    for r in rules:
-        severity = SEVERITY.get(r) or _custom[r][1]
-        own = rule_hits(df, spec, r).groupBy("series").agg(F.count("*").alias("n_hits"), F.min("i").alias("first_i"))
-        own = own.select("series", F.lit(r).alias("rule"), F.lit(severity).alias("severity"), "n_hits", "first_i")
-        out = own if out is None else out.unionByName(own)
-    return out
+    """(series, rule, severity, n_hits, first_i) for each rule that fires; one pass for all rules."""
+    sums = [F.struct(F.lit(r).alias("rule"), F.lit(severity_of(r)).alias("severity"), F.count(F.when(F.col(f"_hit{i}"), 1)).alias("n_hits"), F.min(F.when(F.col(f"_hit{i}"), F.col("i"))).alias("first_i")) for i, r in enumerate(rules)]
+    each = flagged(df, spec, rules).groupBy("series").agg(F.array(*sums).alias("each"))
+    return each.select("series", F.explode("each").alias("e")).select("series", "e.*").where("n_hits > 0")
 
 
 def levey_jennings(df: DataFrame, spec: DataFrame) -> DataFrame:
@@ -105,7 +93,7 @@ def outliers(df: DataFrame, method: str = "mad", k: float | None = None) -> Data
     own = df.where(finite(F.col("value")))
     if method == "iqr":
         k = 1.5 if k is None else k
-        own = with_stats(own, _q1=F.percentile("value", F.lit(0.25)), _q3=F.percentile("value", F.lit(0.75)), _m=median("value"))
+        own = with_percentiles(own, _q1=0.25, _q3=0.75, _m=0.5)
         width = F.col("_q3") - F.col("_q1")
         score = F.when(width == 0, 0.0).otherwise((F.col("value") - F.col("_m")) / F.nullif(width, F.lit(0.0)))
         flag = (F.col("value") < F.col("_q1") - k * width) | (F.col("value") > F.col("_q3") + k * width)
@@ -116,8 +104,15 @@ def outliers(df: DataFrame, method: str = "mad", k: float | None = None) -> Data
     if method == "zscore":
         own = with_stats(own, _c=F.avg("value"), _s=F.stddev_samp("value"))
     else:
-        own = with_stats(own, _c=median("value"))
-        own = with_stats(own, _s=1.4826 * median(F.abs(F.col("value") - F.col("_c"))))
+        own = own.join(median_deviations(own).withColumnsRenamed({"med": "_c", "mad": "_s"}), "series")
     scale = F.when(finite(F.col("_s")) & (F.col("_s") > 0), F.col("_s")).otherwise(1.0)
     own = own.withColumn("score", (F.col("value") - F.col("_c")) / scale)
     return own.withColumn("is_outlier", F.abs("score") > k).drop("_c", "_s")
+
+
+def without_outliers(df: DataFrame, policy: str = "annotate", method: str = "mad") -> DataFrame:
+    """df's finite rows by a policy: annotate keeps all of them, with score and is_outlier; remove drops outliers."""
+    if policy not in ("annotate", "remove"):
+        raise ValueError(f"no outlier policy {policy!r}")
+    found = outliers(df, method)
+    return found if policy == "annotate" else found.where("not is_outlier").drop("score", "is_outlier")

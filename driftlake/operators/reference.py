@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +13,7 @@ from pyspark.sql.window import Window
 from driftlake.functions.columns import boxcox, finite, inv_boxcox, lms_quantile, normal_quantile
 from driftlake.operators import two_sample as ts
 from driftlake.operators.basics import boxcox_lambda
-from driftlake.operators.series import median, with_stats
+from driftlake.operators.series import median_deviations, percentiles, with_percentiles, with_stats
 
 METHODS = ("nonparametric", "parametric", "robust", "transformed", "boxcox", "horn", "lms")
 
@@ -26,23 +30,23 @@ def reference_interval(df: DataFrame, method: str = "nonparametric") -> DataFram
     if method in ("transformed", "boxcox", "lms"):
         own = own.where("_low > 0")
     n = F.first("n").alias("n")
+    sizes = own.groupBy("series").agg(n)
     if method == "nonparametric":
-        out = own.groupBy("series").agg(n, _q(0.025).alias("lower"), _q(0.975).alias("upper"))
+        out = sizes.join(percentiles(own, ("series",), "value", lower=0.025, upper=0.975), "series")
     elif method == "parametric":
         m, s = F.avg("value"), F.stddev_samp("value")
         out = own.groupBy("series").agg(n, (m - 1.96 * s).alias("lower"), (m + 1.96 * s).alias("upper"))
     elif method == "robust":
-        own = with_stats(own, _m=median("value"))
-        s = 1.4826 * median(F.abs(F.col("value") - F.col("_m")))
-        out = own.groupBy("series").agg(n, (F.first("_m") - 1.96 * s).alias("lower"), (F.first("_m") + 1.96 * s).alias("upper"))
+        found = sizes.join(median_deviations(own), "series")
+        out = found.select("series", "n", (F.col("med") - 1.96 * F.col("mad")).alias("lower"), (F.col("med") + 1.96 * F.col("mad")).alias("upper"))
     elif method == "transformed":
         m, s = F.avg(F.ln("value")), F.stddev_samp(F.ln("value"))
         out = own.groupBy("series").agg(n, F.exp(m - 1.96 * s).alias("lower"), F.exp(m + 1.96 * s).alias("upper"))
     elif method == "horn":
-        own = with_stats(own, _a=_q(0.25), _b=_q(0.75))
+        own = with_percentiles(own, _a=0.25, _b=0.75)
         wide = 1.5 * (F.col("_b") - F.col("_a"))
         kept = own.where((F.col("value") >= F.col("_a") - wide) & (F.col("value") <= F.col("_b") + wide))
-        out = kept.groupBy("series").agg(n, _q(0.025).alias("lower"), _q(0.975).alias("upper"))
+        out = sizes.join(percentiles(kept, ("series",), "value", lower=0.025, upper=0.975), "series")
     elif method in ("boxcox", "lms"):
         own = own.join(boxcox_lambda(own, "series", "value"), "series")
         if method == "boxcox":
@@ -50,7 +54,7 @@ def reference_interval(df: DataFrame, method: str = "nonparametric") -> DataFram
             fit = own.groupBy("series").agg(n, F.avg(y).alias("m"), F.stddev_samp(y).alias("s"), F.first("power").alias("power"))
             out = fit.select("series", "n", *(inv_boxcox(F.col("m") + z * F.col("s"), F.col("power")).alias(c) for c, z in (("lower", -1.96), ("upper", 1.96))))
         else:
-            own = with_stats(own, mu=median("value"))
+            own = with_percentiles(own, mu=0.5)
             z = boxcox(F.col("value") / F.col("mu"), F.col("power"))
             fit = own.groupBy("series").agg(n, F.first("mu").alias("mu"), F.stddev_samp(z).alias("s"), F.first("power").alias("power"))
             out = fit.select("series", "n", *(lms_quantile(F.col("mu"), F.col("s"), F.col("power"), F.lit(z)).alias(c) for c, z in (("lower", -1.96), ("upper", 1.96))))
@@ -92,19 +96,110 @@ def reference_curve(df: DataFrame, quantiles: tuple[float, ...] = (0.025, 0.5, 0
     """(series, point, covariate, n_local, q...): local quantiles of (series, seq, covariate, value) over a grid, from the
     nearest part (span) of the values at each point; by Cole's LMS with method lms.
 
-    The nearest values lie next to each other in the order of the covariate, so a point's window is found by rank."""
+    A series is one array in its task, where each point's nearest values are selected; its rows are not multiplied."""
     own = df.where(finite(F.col("value")) & finite(F.col("covariate")))
-    sizes = own.groupBy("series").agg(F.count("*").alias("n"), F.min("covariate").alias("lo"), F.max("covariate").alias("hi")).where("n >= 30")
-    k = F.least(F.lit(points), F.col("n")).cast("int")
-    grid = sizes.withColumn("point", F.explode(F.sequence(F.lit(0), k - 1))).withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (k - 1))
-    size = F.greatest(F.lit(8), F.bround(F.col("n") * span).cast("int"))
-    near = own.join(grid, "series").withColumn("d", F.abs(F.col("covariate") - F.col("at")))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("series", "point").orderBy("d", "covariate", "seq"))).where(F.col("r") <= size)
     names = {q: "q" + str(q).replace(".", "_") for q in quantiles}
-    if method == "quantile":
-        return near.groupBy("series", "point").agg(F.first("at").alias("covariate"), F.count("*").alias("n_local"), *(_q(q).alias(c) for q, c in names.items()))
-    positive = near.where("value > 0").join(boxcox_lambda(own, "series", "value"), "series")
-    positive = with_stats(positive, ("series", "point"), mu=median("value"))
-    fit = positive.groupBy("series", "point").agg(F.first("at").alias("covariate"), F.count("*").alias("n_local"), F.first("mu").alias("mu"), F.first("power").alias("power"), F.stddev_samp(boxcox(F.col("value") / F.col("mu"), F.col("power"))).alias("s"))
-    s = F.when(finite(F.col("s")) & (F.col("s") > 0), F.col("s")).otherwise(0.1)
-    return fit.where("n_local >= 8").select("series", "point", "covariate", "n_local", *(lms_quantile(F.col("mu"), s, F.col("power"), normal_quantile(F.lit(q))).alias(c) for q, c in names.items()))
+    if method == "lms":
+        own = own.join(boxcox_lambda(own, "series", "value"), "series")
+    else:
+        own = own.withColumn("power", F.lit(None).cast("double"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("covariate", "ascending"), ("seq", "ascending")])
+        x, y, power = t.column("covariate").to_numpy(), t.column("value").to_numpy(), t.column("power")[0].as_py()
+        n, k = len(x), min(points, len(x))
+        size, rows = max(8, int(np.rint(n * span))), []
+        for point in range(k):
+            at = x[0] + (x[-1] - x[0]) * point / (k - 1)
+            away = np.abs(x - at)
+            edge = np.partition(away, size - 1)[size - 1]
+            inside = np.flatnonzero(away < edge)
+            # of those just at the edge the first by covariate and seq
+            local = y[np.concatenate([inside, np.flatnonzero(away == edge)[: size - len(inside)]])]
+            if method != "lms":
+                rows.append((point, at, len(local), *np.quantile(local, quantiles).tolist()))
+                continue
+            local = local[local > 0]
+            if len(local) >= 8:
+                mu = float(np.median(local))
+                z = np.log(local / mu) if abs(power) < 1e-8 else ((local / mu) ** power - 1) / power
+                s = float(z.std(ddof=1))
+                s = s if np.isfinite(s) and s > 0 else 0.1
+                rows.append((point, at, len(local), *(_lms(mu, s, power, z) for z in normal)))
+        columns = list(zip(*rows)) if rows else [()] * (3 + len(names))
+        kinds = [pa.int32(), pa.float64(), pa.int64(), *[pa.float64()] * len(names)]
+        found = {c: pa.array(v, k_) for c, v, k_ in zip(("point", "covariate", "n_local", *names.values()), columns, kinds)}
+        return pa.table({"series": pa.repeat(t.column("series")[0], len(rows))} | found)
+
+    normal = [r[0] for r in df.sparkSession.range(1).select(F.explode(F.array(*[normal_quantile(F.lit(q)) for q in quantiles]))).collect()]
+    enough = with_stats(own.select("series", "seq", F.col("covariate").cast("double").alias("covariate"), F.col("value").cast("double").alias("value"), "power"), _n=F.count("*")).where("_n >= 30").drop("_n")
+    return enough.groupBy("series").applyInArrow(run, f"series {dict(df.dtypes)['series']}, point int, covariate double, n_local bigint, " + ", ".join(f"{c} double" for c in names.values()))
+
+
+def _lms(mu: float, s: float, power: float, z: float) -> float:
+    inner = 1 + power * s * z
+    if abs(power) < 1e-8:
+        return mu * float(np.exp(s * z))
+    return mu * inner ** (1 / power) if inner > 0 else 0.0 if power > 0 else float("nan")
+
+
+def edges_of(x: np.ndarray, method: str) -> tuple[float, float]:
+    """Lower and upper limit of a sample by one of METHODS; NaN where a method needs positive values."""
+    nan = (float("nan"), float("nan"))
+    spread = lambda m, s: (m - 1.96 * s, m + 1.96 * s)
+    if method in ("transformed", "boxcox", "lms") and (x <= 0).any():
+        return nan
+    if method == "parametric":
+        return spread(x.mean(), x.std(ddof=1))
+    if method == "robust":
+        m = np.median(x)
+        return spread(m, 1.4826 * np.median(np.abs(x - m)))
+    if method == "transformed":
+        return tuple(np.exp(spread(np.log(x).mean(), np.log(x).std(ddof=1))))
+    if method in ("boxcox", "lms"):
+        powers, logs, fits = np.round(np.arange(-40, 41) * 0.05, 10), np.log(x), []
+        for p in powers:
+            v = (logs if abs(p) < 1e-8 else (x**p - 1) / p).var(ddof=1)
+            fits.append(np.round((p - 1) * logs.sum() - len(x) / 2 * np.log(v), 7) if v > 0 else -np.inf)
+        p = float(powers[int(np.argmax(fits))])
+        if method == "lms":
+            mu = float(np.median(x))
+            z = np.log(x / mu) if abs(p) < 1e-8 else ((x / mu) ** p - 1) / p
+            return _lms(mu, z.std(ddof=1), p, -1.96), _lms(mu, z.std(ddof=1), p, 1.96)
+        z = logs if abs(p) < 1e-8 else (x**p - 1) / p
+        back = lambda y: float(np.exp(y)) if abs(p) < 1e-8 else (p * y + 1) ** (1 / p) if p * y + 1 > 0 else float("nan")
+        return tuple(back(y) for y in spread(z.mean(), z.std(ddof=1)))
+    if method == "horn":
+        a, b = np.quantile(x, [0.25, 0.75])
+        inside = x[(x >= a - 1.5 * (b - a)) & (x <= b + 1.5 * (b - a))]
+        x = inside if len(inside) else x
+    elif method != "nonparametric":
+        raise ValueError(f"no method {method!r}")
+    return tuple(np.quantile(x, [0.025, 0.975]))
+
+
+#: Fixed value: values below which limits by percentiles are said to rest on too few.
+RECOMMENDED = 120
+
+
+def interval_limits(df: DataFrame, method: str = "nonparametric", times: int = 400, level: float = 0.05, seed: int = 7) -> DataFrame:
+    """(series, method, n, lower, upper, lower_low, lower_high, upper_low, upper_high, notes): the limits of
+    `reference_interval` with percentile bootstrap limits of each, for 30 values or more; null for fewer.
+
+    A sample is one array in its task; draws are made one after the other from a stated seed and the series' name."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x = np.sort(t.column("value").to_numpy())
+        rng = np.random.default_rng([seed, zlib.crc32(str(t.column("series")[0].as_py()).encode())])
+        drawn = np.array([edges_of(x[rng.integers(0, len(x), len(x))], method) for _ in range(times)]) if len(x) >= 30 else np.zeros((0, 2))
+        bounds = []
+        for side in range(2):
+            own = drawn[np.isfinite(drawn[:, side]), side]
+            bounds += np.quantile(own, [level / 2, 1 - level / 2]).tolist() if len(own) else [None, None]
+        return pa.table({"series": t.column("series").slice(0, 1)} | {c: pa.array([b], pa.float64()) for c, b in zip(("lower_low", "lower_high", "upper_low", "upper_high"), bounds)})
+
+    limits = reference_interval(df, method)
+    own = df.where(finite(F.col("value"))).select("series", F.col("value").cast("double").alias("value")).join(limits.select("series"), "series", "left_semi")
+    found = own.groupBy("series").applyInArrow(run, f"series {dict(df.dtypes)['series']}, lower_low double, lower_high double, upper_low double, upper_high double")
+    few = F.when(F.col("n") < RECOMMENDED, F.format_string("%d values are recommended, there are %d.", F.lit(RECOMMENDED), F.col("n")))
+    return limits.join(found, "series").withColumn("notes", F.concat_ws(" ", F.lit("Statistical limits only, not clinical ones."), few))

@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,8 +72,55 @@ def with_stats(df: DataFrame, keys: tuple[str, ...] = ("series",), **aggregates:
     return df.join(df.groupBy(*keys).agg(*(c.alias(k) for k, c in aggregates.items())), list(keys))
 
 
-def median(c: str | Column) -> Column:
-    return F.percentile(c, F.lit(0.5))
+#: Ranks of a quantile sketch are right to one part in this.
+SKETCH = 10_000
+
+
+def percentiles(df: DataFrame, keys: tuple[str, ...], value: str | Column, **qs: float) -> DataFrame:
+    """(keys, and for each name of qs the quantile of value in its group): exact, interpolated between neighbours.
+
+    A sketch brackets each quantile, with some 4 / SKETCH of a group's values between the ends; values below are counted
+    on the way, and only the bracketed ones, equal ones combined, are ordered. No task holds all values of a group."""
+    keys, names = list(keys), list(qs)
+    own = df.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).where("_v is not null")
+    ends = {k: [max(0.0, q - 2 / SKETCH), min(1.0, q + 2 / SKETCH)] for k, q in qs.items()}
+    bracket = [F.percentile_approx("_v", e, SKETCH).alias(f"_b{i}") for i, e in enumerate(ends.values())]
+    sketch = own.groupBy(*keys).agg(F.count("*").alias("_n"), *bracket)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}")[0].alias("low"), F.col(f"_b{i}")[1].alias("high"), F.lit(q).alias("q")) for i, q in enumerate(qs.values())])
+    near = own.join(sketch.select(*keys, "_n", F.explode(wanted).alias("_w")), keys).where(F.col("_v") <= F.col("_w.high"))
+    held = F.when(F.col("_v") >= F.col("_w.low"), F.col("_v"))
+    counted = near.groupBy(*keys, F.col("_w.i").alias("_i"), held.alias("_v")).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_w.q").alias("_q"))
+    upto = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_u", F.sum("_c").over(upto)).withColumn("_h", F.col("_q") * (F.col("_n") - 1))
+    at = lambda rank: F.min(F.when(F.col("_u") > rank, F.col("_v")))
+    low = F.floor("_h")
+    found = placed.groupBy(*keys, "_i").agg(at(low).alias("a"), at(low + 1).alias("b"), F.first(F.col("_h") - low).alias("f"))
+    exact = F.when(F.col("f") == 0, F.col("a")).otherwise(F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("f"))
+    pick = [F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(k) for i, k in enumerate(names)]
+    return found.withColumn("_x", exact).groupBy(*keys).agg(*pick)
+
+
+def with_percentiles(df: DataFrame, keys: tuple[str, ...] = ("series",), value: str | Column = "value", **qs: float) -> DataFrame:
+    return df.join(percentiles(df, keys, value, **qs), list(keys))
+
+
+def median_deviations(df: DataFrame, keys: tuple[str, ...] = ("series",), value: str = "value") -> DataFrame:
+    """(keys, med, mad): median, and 1.4826 times the median distance from it."""
+    middle = percentiles(df, keys, value, med=0.5)
+    away = percentiles(df.join(middle, list(keys)), keys, F.abs(F.col(value) - F.col("med")), mad=0.5)
+    return middle.join(away.withColumn("mad", 1.4826 * F.col("mad")), list(keys))
+
+
+def ranked(df: DataFrame, keys: tuple[str, ...], order: str, *ties: str, name: str = "rank", parts: int = 64) -> DataFrame:
+    """df with the place of each row in its group by `order` and ties, from 1: within ranges of about equal size, after the
+    rows of the ranges before."""
+    keys = list(keys)
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000).alias("_cuts"))
+    dealt = df.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    within = Window.partitionBy(*keys, "_part").orderBy(order, *ties)
+    return dealt.withColumn(name, F.row_number().over(within)).join(bases, [*keys, "_part"]).withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
 
 
 def scanned(df: DataFrame, start: Callable[[], object], step: Callable, schema: str, last: Callable | None = None) -> DataFrame:
@@ -110,6 +158,31 @@ def scanned(df: DataFrame, start: Callable[[], object], step: Callable, schema:
     return ordered.mapInArrow(run, schema)
 
 
+def in_order(df: DataFrame, start: Callable[[], dict], work: Callable[[dict, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """An ordered pass over each series in whole arrays: work gets a series' state and its next values, changes the state
+    and gives the columns after series. Memory does not grow with a series."""
+    kind = dict(df.dtypes)["series"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            series, values = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            same = pc.equal(series.slice(1), series.slice(0, max(0, len(series) - 1))) if not pa.types.is_struct(series.type) else pa.array([a == b for a, b in zip(series.to_pylist(), series.to_pylist()[1:])], pa.bool_())
+            cuts = np.flatnonzero(~same.fill_null(False).to_numpy(zero_copy_only=False)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)]):
+                if a == b:
+                    continue
+                if state is None or series[a].as_py() != now:
+                    now, state = series[a].as_py(), start()
+                found = work(state, values[a:b])
+                n = len(next(iter(found.values())))
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([now] * n, series.type), *(pa.array(c) for c in found.values())], ["series", *found])
+
+    ordered = df.select("series", "seq", "ts", "value").repartition("series").sortWithinPartitions("series", *ORDER)
+    return ordered.select("series", "value").mapInArrow(run, schema if schema.startswith("series ") else f"series {kind}, {schema}")
+
+
 def per_series(df: DataFrame, work: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
     """One row a series from all its values in order, for dynamic programmes that need them together.
 
@@ -126,11 +199,20 @@ def per_series(df: DataFrame, work: Callable[[np.ndarray], dict], schema: str) -
     return df.select("series", "seq", "ts", "value").groupBy("series").applyInArrow(run, f"series {kinds['series']}, {schema}")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; in local mode a temporary one will do where that is not set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/driftlake-kept"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet below spark.checkpoint.dir and read from there: an end to its plan, for what several
-    steps read, that outlives lost executors. Where no folder is set (local runs) a temporary one stands in."""
+    """df written once as Parquet to a shared folder and read from there: an end to its plan, for what several steps read,
+    that outlives lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/driftlake-kept"
-    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from driftlake.functions.columns import chisq_sf, f_sf, finite, kolmogorov_sf, normal_sf, t_two_sided
 from driftlake.operators.basics import excess_kurtosis, tied_ranks
-from driftlake.operators.series import median, with_stats
+from driftlake.operators.series import ranked, with_percentiles, with_stats
 
 
 def _a() -> Column:
@@ -51,16 +51,15 @@ def ks(pooled: DataFrame, compat_ties: bool = False) -> DataFrame:
 
 def wasserstein(pooled: DataFrame) -> DataFrame:
     """(series, w): mean difference of matched quantiles, as many as the larger sample has values."""
-    own = Window.partitionBy("series", "side")
-    ranked = pooled.withColumn("r", F.row_number().over(own.orderBy("value")) - 1).withColumn("n", F.count("*").over(own))
+    places_of = ranked(pooled, ("series", "side"), "value").withColumn("r", F.col("rank") - 1)
     sizes = pooled.groupBy("series").agg(F.count(F.when(_a(), 1)).alias("na"), F.count(F.when(_b(), 1)).alias("nb")).where("na > 0 and nb > 0")
     n = F.greatest("na", "nb")
-    places = sizes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    at = lambda size: F.floor(F.col("i") * (F.col(size) - 1) / F.greatest(n - 1, F.lit(1))).cast("long")
-    places = places.withColumn("ra", at("na")).withColumn("rb", at("nb"))
-    a = ranked.where(_a()).select("series", F.col("r").cast("long").alias("ra"), F.col("value").alias("va"))
-    b = ranked.where(_b()).select("series", F.col("r").cast("long").alias("rb"), F.col("value").alias("vb"))
-    return places.join(a, ["series", "ra"]).join(b, ["series", "rb"]).groupBy("series").agg(F.avg(F.abs(F.col("va") - F.col("vb"))).alias("w"))
+    # each place of the larger sample with the one of the smaller sample that stands for its quantile
+    own = places_of.join(sizes, "series")
+    larger = F.when(F.col("na") >= F.col("nb"), _a()).otherwise(_b())
+    many = own.where(larger).withColumn("at", F.floor(F.col("r") * (F.least("na", "nb") - 1) / F.greatest(n - 1, F.lit(1))).cast("long"))
+    few = own.where(~larger).select("series", F.col("r").cast("long").alias("at"), F.col("value").alias("other"))
+    return many.join(few, ["series", "at"]).groupBy("series").agg(F.avg(F.abs(F.col("value") - F.col("other"))).alias("w"))
 
 
 def energy(pooled: DataFrame) -> DataFrame:
@@ -74,8 +73,9 @@ def energy(pooled: DataFrame) -> DataFrame:
 
 
 def jensen_shannon(pooled: DataFrame, bins: int = 20) -> DataFrame:
-    """(series, js): Jensen-Shannon divergence of histograms over the joint range, in nats."""
-    own = with_stats(pooled, lo=F.min("value"), hi=F.max("value"), na=F.count(F.when(_a(), 1)), nb=F.count(F.when(_b(), 1)))
+    """(series, js): Jensen-Shannon divergence of histograms over the joint range, in nats; series without values on one
+    side are left out."""
+    own = with_stats(pooled, lo=F.min("value"), hi=F.max("value"), na=F.count(F.when(_a(), 1)), nb=F.count(F.when(_b(), 1))).where("na > 0 and nb > 0")
     bin_ = F.when(F.col("hi") == F.col("lo"), 1).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins) + 1, F.lit(bins)))
     h = own.groupBy("series", bin_.alias("bin")).agg((F.count(F.when(_a(), 1)) / F.first("na")).alias("p"), (F.count(F.when(_b(), 1)) / F.first("nb")).alias("q"))
     m = (F.col("p") + F.col("q")) / 2
@@ -122,16 +122,30 @@ def anova(groups: DataFrame) -> DataFrame:
 
 def brown_forsythe(groups: DataFrame) -> DataFrame:
     """The analysis of variance of absolute deviations from group medians, over groups of two values at least."""
-    own = with_stats(groups.where(finite(F.col("value"))), ("series", "grp"), _m=median("value"), _n=F.count("*")).where("_n >= 2")
+    own = groups.where(finite(F.col("value")))
+    own = with_percentiles(with_stats(own, ("series", "grp"), _n=F.count("*")).where("_n >= 2"), ("series", "grp"), _m=0.5)
     return anova(own.select("series", "grp", F.abs(F.col("value") - F.col("_m")).alias("value")))
 
 
-def compare_distribution(pooled: DataFrame) -> DataFrame:
-    """(series, method, distance): fewer than 20 values in a sample: ks; heavy tails: energy; else wasserstein.
+DISTANCES = {"ks": (ks, "d"), "energy": (energy, "e"), "wasserstein": (wasserstein, "w"), "js": (jensen_shannon, "js")}
+
+
+def compare_distribution(pooled: DataFrame, method: str = "auto") -> DataFrame:
+    """(series, method, distance, p) by one method, or by the one chosen for each series: fewer than 20 values in a sample:
+    ks; both samples together heavy-tailed: energy; else wasserstein. p is that of ks, else null.
 
     Both samples need five values; series with fewer are left out."""
-    sizes = pooled.groupBy("series").agg(F.count(F.when(_a(), 1)).alias("na"), F.count(F.when(_b(), 1)).alias("nb"), F.greatest(excess_kurtosis(F.when(_a(), F.col("value"))), excess_kurtosis(F.when(_b(), F.col("value")))).alias("k")).where("na >= 5 and nb >= 5")
-    method = F.when(F.least("na", "nb") < 20, "ks").when(F.col("k") > 3, "energy").otherwise("wasserstein")
-    routed = pooled.join(sizes.select("series", method.alias("method")), "series")
-    parts = [f(routed.where(F.col("method") == m)).select("series", F.lit(m).alias("method"), F.col(c).alias("distance")) for m, f, c in (("ks", ks, "d"), ("energy", energy, "e"), ("wasserstein", wasserstein, "w"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if method != "auto" and method not in DISTANCES:
+        raise ValueError(f"no distance {method!r}")
+    figures = (F.count(F.when(_a(), 1)).alias("na"), F.count(F.when(_b(), 1)).alias("nb"), excess_kurtosis(F.col("value")).alias("k"))
+    sizes = pooled.groupBy("series").agg(*figures).where("na >= 5 and nb >= 5")
+    chosen = F.lit(method) if method != "auto" else F.when(F.least("na", "nb") < 20, "ks").when(F.col("k") > 3, "energy").otherwise("wasserstein")
+    routed = pooled.join(sizes.select("series", chosen.alias("method")), "series")
+    out = None
+    for name in ("ks", "energy", "wasserstein") if method == "auto" else (method,):
+        work, column = DISTANCES[name]
+        found = work(routed.where(F.col("method") == name))
+        p = F.col("p") if name == "ks" else F.lit(None).cast("double")
+        found = found.select("series", F.lit(name).alias("method"), F.col(column).alias("distance"), p.alias("p"))
+        out = found if out is None else out.unionByName(found)
+    return out
