@@ -308,7 +308,7 @@ def features(df: DataFrame, has_controls: bool = False) -> DataFrame:
     method, reason = F.lit("cusum"), F.lit("no other rule holds")
     for condition, name, why in reversed(rules):
         method, reason = F.when(condition, name).otherwise(method), F.when(condition, why).otherwise(reason)
-    return out.drop("controlled").withColumn("method", method).withColumn("reason", reason)
+    return out.withColumn("method", method).withColumn("reason", reason).drop("controlled")
 
 
 METHODS = {"cusum": cusum, "likelihood": likelihood, "pelt": pelt, "robust_median": robust_median, "rolling": rolling, "bayesian": bayesian, "kernel": kernel, "sampled": sampled_cut}

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftlake.functions.columns import finite, sentinel_score, status_from_score
+from driftlake.functions.columns import sentinel_score, status_from_score
 from driftlake.operators import change_points as cp
-from driftlake.operators import drift, qc
+from driftlake.operators import drift, qc, story
 from driftlake.operators import two_sample as ts
-from driftlake.operators.basics import lot_transitions, missing_fraction, uncertainty_budget
-from driftlake.operators.series import running, valid
+from driftlake.operators.basics import fingerprint, lot_transitions, missing_fraction, uncertainty_budget
+from driftlake.operators.series import kept, running, valid
 
 DAY = 86_400.0
 STATUS_RANKS = {"stable": 1, "info": 1, "watch": 2, "warning": 3, "drift_suspected": 4, "critical": 5}
@@ -74,73 +74,94 @@ def worst_status(df: DataFrame, key: str) -> DataFrame:
 def segments(df: DataFrame, bounds: DataFrame) -> DataFrame:
     """(series, segment, from_ts, to_ts, n, mean, sd): figures of each series between its bounds (series, ts); rows at a
     bound belong to both segments."""
-    ends = df.groupBy("series").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    marks = bounds.select("series", "ts").unionByName(ends.select("series", F.col("a").alias("ts"))).unionByName(ends.select("series", F.col("b").alias("ts"))).distinct()
-    w = Window.partitionBy("series").orderBy("ts")
-    parts = marks.withColumn("to_ts", F.lead("ts").over(w)).withColumn("segment", F.row_number().over(w)).where("to_ts is not null").withColumnRenamed("ts", "from_ts")
-    own = valid(df).join(parts, "series").where((F.col("ts") >= F.col("from_ts")) & (F.col("ts") <= F.col("to_ts")))
-    return own.groupBy("series", "segment").agg(F.first("from_ts").alias("from_ts"), F.first("to_ts").alias("to_ts"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-
-
-def classified(parts: DataFrame) -> DataFrame:
-    """segments with kind: a shift where Welch's test against the segment before finds one of some size, else stable."""
-    from driftlake.functions.columns import t_two_sided
-
-    w = Window.partitionBy("series").orderBy("segment")
-    own = parts.withColumns({f"p{c}": F.lag(c).over(w) for c in ("n", "mean", "sd")})
-    a, b = F.col("psd") ** 2 / F.col("pn"), F.col("sd") ** 2 / F.col("n")
-    ok = (F.col("pn") >= 8) & (F.col("n") >= 8) & (a + b > 0)
-    t = (F.col("pmean") - F.col("mean")) / F.sqrt(F.when(ok, a + b))
-    df_ = (a + b) ** 2 / (a * a / F.nullif(F.col("pn") - 1, F.lit(0)) + b * b / F.nullif(F.col("n") - 1, F.lit(0)))
-    own = own.withColumn("t", F.when(ok, t)).withColumn("dof", F.when(ok, df_))
-    p = F.when(ok, t_two_sided(F.col("t"), F.col("dof"))).otherwise(1.0)
-    shift = ok & (p < 0.01) & (F.abs(F.col("mean") - F.col("pmean")) > 0.35 * F.greatest("psd", F.lit(2.0**-52)))
-    return own.withColumn("kind", F.when(F.coalesce(shift, F.lit(False)), "shift").otherwise("stable")).select("series", "segment", "from_ts", "to_ts", "n", "mean", "sd", "kind")
-
-
-def analyze(df: DataFrame, events: DataFrame | None = None, lot: str | None = None) -> DataFrame:
-    """One report row a series of (series, seq, ts, value[, control, lot, uncertainty]): outliers, change points, drift,
-    variance, distribution, QC, attribution, score and status. Every part is keyed by series, so many series run as one.
-    """
+    parts = story.marks(df, bounds.select("series", F.lit("bound").alias("kind"), "ts", F.lit(None).cast("string").alias("label")))
+    own = story.placed(valid(df).select("series", "seq", "ts", "value"), parts)
+    figures = own.groupBy("series", "segment").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return parts.select("series", "segment", "from_ts", "to_ts").join(figures, ["series", "segment"])
+
+
+SAFETY = "For research and analytical quality only; not a diagnostic device."
+
+
+def analyze(df: DataFrame, events: DataFrame | None = None, lot: str | None = None, policy: str = "annotate", rules: tuple[str, ...] = tuple(qc.SEVERITY)) -> DataFrame:
+    """One report row a series of (series, seq, ts, value[, control, lot, uncertainty]): outliers, change points by the
+    detector chosen for the series, drift, variance, distribution, QC of the controls, attribution, score, status, evidence
+    and limitations. Every part is keyed by series, so many series run as one; policy: what becomes of outliers."""
+    columns = [c for c in ("control",) if c in df.columns]
     base = df.groupBy("series").agg(F.count("*").alias("rows"), missing_fraction(F.col("value")).alias("missing"))
-    out = base.join(valid(df).groupBy("series").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")), "series", "left")
     flagged = qc.outliers(df).groupBy("series").agg(F.count(F.when(F.col("is_outlier"), 1)).alias("n_outliers"))
-    kinds = drift.results_of_all(df)
-    changes = cp.likelihood(df).select("series", F.col("detected").alias("change"), F.get("indices", F.lit(0)).alias("change_index"))
-    drifts = drift.best_of(kinds).select("series", F.col("kind").alias("drift_kind"), F.col("detected").alias("drift"), F.col("probability").alias("drift_probability"), F.col("direction").alias("drift_direction"), F.col("start_index").alias("drift_index"))
-    variances = kinds["variance"].select("series", F.when(F.col("detected"), F.least(F.lit(1.0), F.abs(F.col("magnitude")))).otherwise(0.0).alias("variance_penalty"))
-    own = running(valid(df), {"_z": F.lit(0.0)}).where("n >= 16")
+    own = qc.without_outliers(df, policy)
+    work = kept(own.select("series", "seq", "ts", "value", *columns, *([lot] if lot else [])), "report-values")
+    out = base.join(work.groupBy("series").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")), "series", "left").join(flagged, "series", "left")
+    chosen = cp.features(df.select("series", "seq", "ts", "value", *columns)).select("series", F.col("method").alias("change_method"), F.col("reason").alias("change_reason"))
+    found = cp.detect_changes(work.select("series", "seq", "ts", "value", *columns))
+    changes = found.select("series", F.col("detected").alias("change"), F.col("indices").alias("change_indices"), F.col("confidence").alias("change_confidence"))
+    kinds = drift.results_of_all(work)
+    drifts = drift.best_of(kinds).select("series", F.col("kind").alias("drift_kind"), F.col("detected").alias("drift"), F.col("probability").alias("drift_probability"), F.col("magnitude").alias("drift_magnitude"), F.col("direction").alias("drift_direction"), F.col("start_index").alias("drift_index"))
+    variances = kinds["variance"].select("series", F.when(F.col("detected"), F.least(F.lit(1.0), F.abs(F.col("magnitude")))).otherwise(0.0).alias("variance_penalty"), F.when(F.col("detected"), F.col("start_index")).alias("variance_index"))
+    placed = running(work, {"_z": F.lit(0.0)}).where("n >= 16")
     side = F.when(F.col("i") <= F.greatest(F.lit(8), F.floor(F.col("n") / 3)), "a").otherwise("b")
-    distance = ts.compare_distribution(own.select("series", side.alias("side"), "value")).select("series", F.least(F.lit(1.0), F.col("distance")).alias("distribution_penalty"))
-    for part in (flagged, changes, drifts, variances, distance):
-        out = out.join(part.persist(), "series", "left")  # one row a series, and an end to this part's plan
-    if "control" in df.columns:
-        controls = df.where("control").join(df.where(F.col("control") & finite(F.col("value"))).groupBy("series").agg(F.count("*").alias("_c")).where("_c >= 5").select("series"), "series", "left_semi")
-        bad = qc.monitor(controls, qc.spec_of(controls)).where(F.col("severity").isin("warning", "critical")).groupBy("series").agg((F.count("*") / float(len(qc.SEVERITY))).alias("qc_penalty"))
-        out = out.join(bad.persist(), "series", "left")
+    distance = ts.compare_distribution(placed.select("series", side.alias("side"), "value")).select("series", F.col("method").alias("distribution_method"), F.col("distance"), F.least(F.lit(1.0), F.col("distance")).alias("distribution_penalty"))
+    for name, part in (("changes", changes), ("drifts", drifts), ("distances", distance)):
+        out = out.join(kept(part, f"report-{name}"), "series", "left")  # one row a series, and an end to this part's plan
+    out = out.join(chosen, "series", "left").join(variances, "series", "left")
+    if columns:
+        spec = qc.spec_of(work.where("control")).join(work.where("control").groupBy("series").agg(F.count("*").alias("_c")).where("_c >= 5").select("series"), "series", "left_semi")
+        spec = spec.withColumn("sd", F.when(F.coalesce("sd", F.lit(0.0)) == 0, 1.0).otherwise(F.col("sd")))
+        hits = kept(qc.monitor(work.where("control"), spec, rules), "report-rules")
+        bad = F.count(F.when(F.col("severity").isin("warning", "critical"), 1)) / float(len(rules))
+        out = out.join(hits.groupBy("series").agg(bad.alias("qc_penalty"), F.array_sort(F.collect_list("rule")).alias("qc_rules")), "series", "left")
     else:
-        out = out.withColumn("qc_penalty", F.lit(0.0))
+        out = out.withColumn("qc_penalty", F.lit(0.0)).withColumn("qc_rules", F.lit(None).cast("array<string>"))
+    out = out.fillna({"qc_penalty": 0.0, "variance_penalty": 0.0, "distribution_penalty": 0.0, "drift": False, "change": False, "n": 0})
     p = F.coalesce("drift_probability", F.lit(0.0))
-    score = sentinel_score({"drift": F.when(F.coalesce("drift", F.lit(False)), p).otherwise(0.3 * p), "variance": F.col("variance_penalty"), "qc": F.col("qc_penalty"), "distribution": F.col("distribution_penalty"), "missing": F.col("missing")})
-    out = out.fillna({"qc_penalty": 0.0, "variance_penalty": 0.0, "distribution_penalty": 0.0}).withColumn("score", score)
-    out = out.withColumn("status", status_from_score(F.col("score"), F.coalesce("drift", F.lit(False))))
-    lots = lot_transitions(valid(df), lot).select("series", F.lit("lot_change").alias("kind"), "ts", F.concat_ws(" to ", "from_value", "to_value").alias("label")) if lot else None
+    score = sentinel_score({"drift": F.when(F.col("drift"), p).otherwise(0.3 * p), "variance": F.col("variance_penalty"), "qc": F.col("qc_penalty"), "distribution": F.col("distribution_penalty"), "missing": F.col("missing")})
+    out = out.withColumn("score", score).withColumn("status", status_from_score(F.col("score"), F.col("drift")))
+    lots = lot_transitions(work, lot).select("series", F.lit("lot_change").alias("kind"), "ts", F.concat_ws(" to ", "from_value", "to_value").alias("label")) if lot else None
     if lots is not None or events is not None:
         known = lots if events is None else events if lots is None else events.unionByName(lots)
-        at = running(valid(df), {"_z": F.lit(0.0)}).join(out.select("series", F.coalesce("drift_index", "change_index").alias("_at")), "series").where(F.col("i") == F.col("_at")).select("series", F.col("ts").alias("change_ts"))
-        cause = attributed(at, unique_events(known)).select("series", "change_ts", F.col("label").alias("associated_event"), F.col("score").alias("association"))
+        at = out.select("series", F.coalesce("drift_index", F.get("change_indices", F.lit(0))).alias("at"))
+        when = story.indexed(work).join(at, ["series", "at"]).select("series", F.col("ts").alias("change_ts"))
+        cause = attributed(when, unique_events(known)).select("series", "change_ts", F.col("label").alias("associated_event"), F.col("score").alias("association"))
         out = out.join(cause, "series", "left")
-    return out
+    return described(kept(out, "reports"))
+
+
+def described(reports: DataFrame) -> DataFrame:
+    """Reports with evidence and limitations, as lists of sentences."""
+    has = lambda c: F.col(c) if c in reports.columns else F.lit(None)
+    evidence = F.array_compact(F.array(
+        F.when(F.col("drift"), F.format_string("%s drift, probability %.2f, %s.", F.col("drift_kind"), F.col("drift_probability"), F.col("drift_direction"))),
+        F.when(F.col("change"), F.format_string("Change points at %s by %s.", F.array_join(F.col("change_indices").cast("array<string>"), ", "), F.col("change_method"))),
+        F.when(F.col("distance").isNotNull(), F.format_string("The first third differs from the rest by %.3f (%s).", F.col("distance"), F.col("distribution_method"))),
+        F.when(F.size(F.coalesce("qc_rules", F.array().cast("array<string>"))) > 0, F.concat(F.lit("Rules that fired: "), F.array_join("qc_rules", ", "), F.lit("."))),
+        F.when(has("associated_event").isNotNull(), F.concat(F.lit("Close in time: "), has("associated_event").cast("string"), F.lit("."))),
+    ))
+    limits = F.array_compact(F.array(
+        F.lit(SAFETY), F.lit("Statistical signals are not diagnoses."), F.lit("Closeness in time to an event is not causation."),
+        F.format_string("The change-point detector is %s: %s.", F.col("change_method"), F.col("change_reason")),
+        F.when(F.col("missing") > 0, F.format_string("A part of %.3f of the values is missing and was left out.", F.col("missing"))),
+    ))
+    return reports.withColumn("evidence", evidence).withColumn("limitations", limits)
 
 
 def budget(df: DataFrame) -> DataFrame:
     return uncertainty_budget(df)
 
 
-def provenance(reports: DataFrame) -> DataFrame:
-    """(child, parent, step): the steps that lead to each report row, as edges; ids are hashes of the step and its inputs."""
-    steps = ("ingest", "outliers", "changes", "drift", "distribution", "qc", "score", "report")
-    key = F.concat_ws("|", F.col("series").cast("string"), F.col("rows").cast("string"), F.round("mean", 6).cast("string"))
-    ident = lambda s: F.substring(F.sha2(F.concat_ws("|", F.lit(s), key), 256), 1, 16)
-    edges = [F.struct(ident(b).alias("child"), ident(a).alias("parent"), F.lit(b).alias("step")) for a, b in zip(steps, steps[1:])]
-    return reports.select("series", F.explode(F.array(*edges)).alias("e")).select("series", "e.child", "e.parent", "e.step")
+def provenance(df: DataFrame, reports: DataFrame) -> DataFrame:
+    """(series, step, id, parent, input_fingerprint, kind, notes): what was done for each report row, in order, with what
+    came of it. Every step but the first works on what was read; ids are hashes of a step, its input and its outcome."""
+    prints = fingerprint(df).withColumnRenamed("n", "_rows")
+    own = reports.join(prints, "series")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    said = {
+        "ingest": ("observed", F.format_string("%d rows read, missing ones left out", F.col("rows"))), "outliers": ("statistical", F.concat(text("n_outliers"), F.lit(" outliers"))),
+        "changes": ("algorithmic", F.concat_ws(" ", text("change_method"), F.lit("chosen for"), text("change_reason"))), "drift": ("algorithmic", F.concat_ws(" ", text("drift_kind"), text("drift_direction"))),
+        "distribution": ("statistical", F.concat_ws(" ", text("distribution_method"), F.round("distance", 6).cast("string"))), "qc": ("observed", F.concat(F.lit("rules: "), F.coalesce(F.array_join("qc_rules", ","), F.lit("none")))),
+        "report": ("algorithmic", F.concat_ws(" ", text("status"), F.round("score", 4).cast("string"))),
+    }
+    ident = lambda step, notes: F.substring(F.sha2(F.concat_ws("|", F.lit(step), F.col("series").cast("string"), F.col("fingerprint"), notes), 256), 1, 16)
+    root = ident("ingest", said["ingest"][1])
+    steps = [F.struct(F.lit(k).alias("step"), ident(k, notes).alias("id"), (F.lit(None).cast("string") if k == "ingest" else root).alias("parent"), F.lit(kind).alias("kind"), notes.alias("notes")) for k, (kind, notes) in said.items()]
+    return own.select("series", F.col("fingerprint").alias("input_fingerprint"), F.explode(F.array(*steps)).alias("s")).select("series", "s.step", "s.id", "s.parent", "input_fingerprint", "s.kind", "s.notes")

@@ -63,19 +63,6 @@ def reference_interval(df: DataFrame, method: str = "nonparametric") -> DataFram
     return out.select("series", F.lit(method).alias("method"), "n", "lower", "upper")
 
 
-def bootstrap_intervals(df: DataFrame, probability: float, times: int = 400, level: float = 0.05, seed: int = 7) -> DataFrame:
-    """(series, low, high): percentile bootstrap limits of a quantile. Each draw picks its place by a hash of the seed, the
-    draw and the place it fills, so that any run gives the same. Rows times draws: for samples, not for long series."""
-    own = df.where(finite(F.col("value")))
-    w = Window.partitionBy("series")
-    placed = own.select("series", "value", F.row_number().over(w.orderBy("value")).alias("i"), F.count("*").over(w).alias("n"))
-    draws = placed.select("series", "n", F.col("i").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(times))).alias("b"))
-    draws = draws.withColumn("i", (F.pmod(F.xxhash64(F.lit(seed), "series", "b", "k"), F.col("n")) + 1).cast("int"))
-    drawn = draws.select("series", "b", "i").join(placed.select("series", "i", "value"), ["series", "i"])
-    each = drawn.groupBy("series", "b").agg(_q(probability).alias("q"))
-    return each.groupBy("series").agg(_q(level / 2, "q").alias("low"), _q(1 - level / 2, "q").alias("high"))
-
-
 def partitions(df: DataFrame) -> DataFrame:
     """(series, groups, z, critical, may_partition) of (series, grp, value): two groups by Harris and Boyd, more by
     Kruskal and Wallis (z is h then, critical null)."""

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftlake.functions.columns import finite
+from driftlake.functions.columns import finite, normal_sf
 from driftlake.operators import drift
+from driftlake.operators.series import kept
 
 EPS = 2.0**-52
 #: 97.5 % points of Student's t for 1 to 30 degrees of freedom.
@@ -53,22 +54,50 @@ def surrogate_times(df: DataFrame, start: str = "2020-01-01 00:00:00") -> DataFr
     return df.withColumn("ts", F.coalesce("ts", (F.lit(start).cast("timestamp_ntz") + hours).cast("timestamp_ntz")))
 
 
+def chi2_tail(q: Column, df: Column) -> Column:
+    """Upper tail of chi-square by the cube-root approximation of Wilson and Hilferty; 1 for q or df of 0."""
+    spread = 2.0 / (9.0 * F.greatest(df, F.lit(1)))
+    z = (F.pow(F.greatest(q, F.lit(0.0)) / F.greatest(df, F.lit(1)), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
+    return F.when((df <= 0) | (q <= 0), 1.0).otherwise(normal_sf(z))
+
+
+def heterogeneity(drifting: DataFrame) -> DataFrame:
+    """(series, sites_drifting, concordance, drift_q, drift_p) of (series, site, n, magnitude, direction), the sites whose
+    drift was detected: Cochran's Q of their magnitudes, weighted by their values, and the share of them that go the way of
+    the first by name."""
+    w = Window.partitionBy("series")
+    own = drifting.withColumn("_first", F.min_by("direction", "site").over(w)).withColumn("_mean", F.sum(F.col("n") * F.col("magnitude")).over(w) / F.sum("n").over(w))
+    out = own.groupBy("series").agg(F.count("*").alias("sites_drifting"), F.avg((F.col("direction") == F.col("_first")).cast("double")).alias("concordance"), F.sum(F.col("n") * (F.col("magnitude") - F.col("_mean")) ** 2).alias("q"))
+    several = F.col("sites_drifting") >= 2
+    out = out.withColumn("drift_q", F.when(several, F.col("q")).otherwise(0.0))
+    return out.select("series", "sites_drifting", F.when(several, F.col("concordance")).otherwise(1.0).alias("concordance"), "drift_q", chi2_tail(F.col("drift_q"), F.col("sites_drifting") - 1).alias("drift_p"))
+
+
 def study(df: DataFrame) -> DataFrame:
-    """(series, attribution, sites_drifting, global_drift, concordance, i2): whether drift is one site's or all sites'.
+    """(series, attribution, sites, sites_drifting, global_drift, concordance, drift_q, drift_p, grand_mean, between_sd,
+    within_sd, i2, lower, upper): whether drift is one site's or shared by the sites of (series, seq, ts, site, value).
 
-    Each site's own drift, and the drift of all values once the sites' shrunken means are taken to the common one.
-    Concordance is the share of drifting sites that go the way of the first of them by name."""
-    effects = site_effects(df)
-    own = df.where(finite(F.col("value")))
-    keyed = own.withColumn("series", F.concat_ws("\x1f", F.col("series").cast("string"), F.col("site").cast("string")))
-    by_site = drift.detect_drift(keyed).where("n >= 16 and detected").withColumn("_p", F.split("series", "\x1f"))
-    by_site = by_site.select(F.col("_p")[0].alias("series"), F.col("_p")[1].alias("site"), "direction")
-    first = Window.partitionBy("series")
-    ways = by_site.withColumn("_f", F.min_by("direction", "site").over(first))
-    local = ways.groupBy("series").agg(F.count("*").alias("sites_drifting"), F.avg((F.col("direction") == F.col("_f")).cast("double")).alias("concordance"))
-    adjusted = own.join(effects.select("series", "site", (F.col("shrunk_mean") - F.col("mu")).alias("_a")), ["series", "site"]).withColumn("value", F.col("value") - F.col("_a"))
-    together = drift.detect_drift(adjusted).select(F.col("series").cast("string").alias("series"), F.col("detected").alias("global_drift"))
-    out = effects.select(F.col("series").cast("string").alias("series"), "i2").distinct().join(local, "series", "left").join(together, "series", "left").fillna({"sites_drifting": 0, "concordance": 0.0, "global_drift": False})
-    some, whole = F.col("sites_drifting") > 0, F.col("global_drift")
-    kind = F.when(~some & ~whole, "stable").when(some & ~whole, "site_specific").when(whole & (F.col("concordance") >= 0.6), "global").otherwise("mixed")
-    return out.select("series", kind.alias("attribution"), "sites_drifting", "global_drift", "concordance", "i2")
+    Each site of 16 values or more has its own drift; the drift of all values is looked for in 16 or more once the sites'
+    shrunken means are taken to the common one, where sites have spread. site_specific: two sites or more drift, by
+    different amounts (p < 0.05) and in different directions (concordance below 0.75); global: shared drift, or that of two
+    sites or more, in one direction; mixed: any other drift; stable: none. A description, not a cause."""
+    own = df.where(finite(F.col("value")) & F.col("site").isNotNull())
+    effects = kept(site_effects(own), "site-effects")
+    # each site is a series of its own, and so is each study as a whole, so that one pass looks for all drifts
+    whole = F.struct("series", F.lit(None).cast(dict(df.dtypes)["site"]).alias("site"))
+    adjusted = own.join(effects.select("series", "site", (F.col("shrunk_mean") - F.col("mu")).alias("_a")), ["series", "site"])
+    both = own.select(F.struct("series", "site").alias("series"), "seq", "ts", "value").unionByName(adjusted.select(whole.alias("series"), "seq", "ts", (F.col("value") - F.col("_a")).alias("value")))
+    found = kept(drift.detect_drift(both).where("n >= 16"), "study-drifts").select(F.col("series.series").alias("series"), F.col("series.site").alias("site"), "n", "detected", "magnitude", "direction")
+    local = heterogeneity(found.where("site is not null and detected"))
+    together = found.where("site is null").select("series", F.col("detected").alias("global_drift"))
+    figures = effects.groupBy("series").agg(
+        F.count("*").alias("sites"), F.first("mu").alias("grand_mean"), F.sqrt(F.first("tau2")).alias("between_sd"),
+        F.sqrt(F.sum((F.col("n") - 1) * F.col("sd") ** 2) / F.greatest(F.sum("n") - F.count("*"), F.lit(1))).alias("within_sd"), F.first("i2").alias("i2"), F.first("lower").alias("lower"), F.first("upper").alias("upper"),
+    )
+    out = figures.join(local, "series", "left").join(together, "series", "left").fillna({"sites_drifting": 0, "concordance": 1.0, "drift_q": 0.0, "drift_p": 1.0, "global_drift": False})
+    n, shared = F.col("sites_drifting"), F.col("global_drift") & (F.col("within_sd") > 0)
+    kind = (
+        F.when((n == 0) & ~shared, "stable").when((n >= 2) & (F.col("drift_p") < 0.05) & (F.col("concordance") < 0.75), "site_specific")
+        .when((shared | (n >= 2)) & (F.col("concordance") >= 0.75), "global").otherwise("mixed")
+    )
+    return out.select("series", kind.alias("attribution"), "sites", "sites_drifting", shared.alias("global_drift"), "concordance", "drift_q", "drift_p", "grand_mean", "between_sd", "within_sd", "i2", "lower", "upper")

@@ -63,3 +63,22 @@ def r(c: str | object, places: int = 6):
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to so many places, so that the order of sums does not show."""
     return df.select(*((F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+#: p of the Kolmogorov-Smirnov distance d of samples of n and m values.
+_LAMBDA = "((sqrt(n * m / (n + m)) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n * m / (n + m))) * d)"
+KS_TAIL = f"(CASE WHEN {_LAMBDA} < 0.3 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 21), lambda k: 2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * k * k * {_LAMBDA} * {_LAMBDA}))))) END)"
+
+
+def t_tail(t: str, df: str) -> str:
+    """Both tails of Student's t in SQL: Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    weight = "CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    total = f"list_sum(list_transform(range(0, 401), lambda k: ({weight}) * pow(cos({angle} * k / 400.0::DOUBLE), ({df}) - 1)))"
+    return f"(1 - 2 * exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(pi()) * {angle} / 1200.0::DOUBLE * {total})"
+
+
+def chi2_tail(x: str, df: str) -> str:
+    """The upper tail of chi-square in SQL, by the series of the lower one."""
+    term = f"exp((({df}) / 2.0::DOUBLE + jj) * ln(({x}) / 2.0::DOUBLE) - ({x}) / 2.0::DOUBLE - lgamma(({df}) / 2.0::DOUBLE + jj + 1))"
+    return f"(CASE WHEN ({x}) <= 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 400), lambda jj: {term})) END)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlake.operators import change_points as cp
-from driftlake.plans.base import T, U, by_type, by_user, query, rounded
+from driftlake.plans.base import T, U, by_type, by_user, query, rounded, t_tail
 
 
 def shown(df):
@@ -65,19 +65,36 @@ def robust(spark, sf):
     return shown(cp.robust_median(by_user(spark, sf)))
 
 
-@query("cp_auto_select")
+_FEATURES = """h AS (SELECT series, avg(CASE WHEN v IS NULL OR NOT isfinite(v) THEN 1.0::DOUBLE ELSE 0 END) AS missing FROM (SELECT series, value AS v FROM e) GROUP BY series),
+o AS (SELECT series, count(*) AS n, CASE WHEN count(*) < 4 THEN 0 ELSE coalesce(kurtosis_pop(value), 0) END AS kurtosis, stddev_samp(value) AS sd FROM e GROUP BY series),
+y AS (SELECT series, 1.4826::DOUBLE * median(abs(value - m)) AS mad FROM (SELECT *, median(value) OVER (PARTITION BY series) AS m FROM e) GROUP BY series),
+dt AS (SELECT series, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series ORDER BY ts, seq))) / 1e6::DOUBLE AS dt FROM e), dm AS (SELECT series, dt, median(dt) OVER (PARTITION BY series) AS m FROM dt WHERE dt > 0),
+g AS (SELECT series, count(*) >= 3 AND avg(abs(dt - m) / m) < 0.35 AS regular FROM dm GROUP BY series), al AS (SELECT series, count(*) FILTER (alarm) AS alarms FROM c GROUP BY series),
+f AS (SELECT h.series, missing, o.n, kurtosis, sd, mad, coalesce(g.regular AND o.n >= 4, FALSE) AS regular, coalesce(alarms, 0) AS alarms, kurtosis > 2.5 OR coalesce(mad > 0 AND sd / nullif(mad, 0) > 1.6, FALSE) AS heavy
+  FROM h JOIN o USING (series) JOIN y USING (series) LEFT JOIN g USING (series) LEFT JOIN al USING (series)),
+w AS (SELECT *, CASE WHEN n < 20 THEN 'robust_median:few values' WHEN missing > 0.15 THEN 'robust_median:many missing values' WHEN NOT regular AND n < 80 THEN 'robust_median:irregular times' WHEN heavy THEN 'robust_median:heavy tails'
+  WHEN n >= 80 AND alarms >= 2 THEN 'pelt:several alarms' WHEN n >= 80 AND n < 400 AND regular THEN 'bayesian:regular times and moderate length' WHEN n >= 400 THEN 'pelt:a long series' ELSE 'cusum:no other rule holds' END AS c FROM f)
+SELECT series, round(missing, 6) AS missing, n, round(kurtosis, 6) AS kurtosis, round(sd, 6) AS sd, round(mad, 6) AS mad, regular, alarms, split_part(c, ':', 1) AS method, split_part(c, ':', 2) AS reason FROM w"""
+
+
+@query("cp_auto_select", f"WITH RECURSIVE {U}, {_STEPS.format(k=0.5, h=5)}, {_FEATURES}")
 def auto_select(spark, sf):
-    return rounded(cp.features(by_type(spark, sf)))
+    return rounded(cp.features(by_user(spark, sf)))
 
 
-@query("cp_rolling")
+@query("cp_rolling", f"""WITH {U}, d AS (SELECT series, row_number() OVER w AS i, count(*) OVER (PARTITION BY series) AS n, value - avg(value) OVER (PARTITION BY series) AS d FROM e WINDOW w AS (PARTITION BY series ORDER BY ts, seq)),
+s AS (SELECT series, i, n, greatest(8, n // 8) AS w, sum(d) OVER u AS s1, sum(d * d) OVER u AS s2 FROM d WINDOW u AS (PARTITION BY series ORDER BY i)),
+k AS (SELECT s.series, s.i, s.w, (s.s1 - coalesce(a.s1, 0)) / s.w AS ml, (b.s1 - s.s1) / s.w AS mr, s.s2 - coalesce(a.s2, 0) AS ql, b.s2 - s.s2 AS qr FROM s LEFT JOIN s a ON a.series = s.series AND a.i = s.i - s.w JOIN s b ON b.series = s.series AND b.i = s.i + s.w WHERE s.i >= s.w),
+v AS (SELECT *, (ql - w * ml ** 2) / (w - 1) AS vl, (qr - w * mr ** 2) / (w - 1) AS vr FROM k), t AS (SELECT *, (ml - mr) / sqrt((vl + vr) / w) AS t, ((vl + vr) / w) ** 2 * (w - 1) / ((vl / w) ** 2 + (vr / w) ** 2) AS f FROM v),
+p AS (SELECT series, i, t, {t_tail('t', 'f')} AS p FROM t), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(p, 9), i) = 1)
+SELECT q.series, 'rolling' AS method, coalesce(p < 0.01, FALSE) AS detected, CASE WHEN p < 0.01 THEN CAST(i AS VARCHAR) ELSE '' END AS indices, round(coalesce(abs(t), 0), 6) AS statistic, round(CASE WHEN p < 0.01 THEN 1 - p ELSE 0.2 END, 6) AS confidence FROM (SELECT DISTINCT series FROM e) q LEFT JOIN b ON b.series = q.series""")
 def rolling(spark, sf):
     return shown(cp.rolling(by_user(spark, sf)))
 
 
 @query("cp_pelt")
 def pelt(spark, sf):
-    return shown(cp.pelt(by_type(spark, sf)))
+    return shown(cp.pelt(by_user(spark, sf)))
 
 
 @query("cp_bayesian")
@@ -97,4 +114,4 @@ def sampled(spark, sf):
 
 @query("cp_auto")
 def auto(spark, sf):
-    return shown(cp.detect_changes(by_type(spark, sf)))
+    return shown(cp.detect_changes(by_user(spark, sf)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlake.operators import batches, comparison, reference, sites
-from driftlake.plans.base import T, by_type, query, rounded, table
+from driftlake.plans.base import T, by_type, by_user, chi2_tail, query, rounded, table
+from driftlake.plans.basics import TWO_SIDED
+from driftlake.plans.drifts import auto_sql
 
 #: Two measures of each line of a part: short series, for methods that look at all pairs of a part's lines.
 _PAIRS = "p AS (SELECT l_partkey AS series, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS k, l_quantity * 1000.0::DOUBLE AS x, l_extendedprice / 1000.0::DOUBLE * l_tax * 400 + l_quantity * 990.0::DOUBLE AS y FROM lineitem)"
@@ -113,16 +115,67 @@ def cal_4pl(spark, sf):
     return rounded(comparison.curve_fits(pairs(spark, sf), "fourpl"), 4)
 
 
-@query("compare_lots")
+@query("calibrate", f"""{_FIT} SELECT series, 'linear' AS model, n, round(icpt, 5) AS c0, round(slope, 5) AS c1, round(1 - (yy - slope * xy) / yy, 5) AS r2, round(sqrt(yy - slope * xy), 5) AS residual_sd FROM f""")
+def calibrate(spark, sf):
+    c = comparison.calibrate(flag_pairs(spark, sf))
+    return rounded(c.select("series", "model", "n", F.col("coefficients")[0].alias("c0"), F.col("coefficients")[1].alias("c1"), "r2", "residual_sd"), 5)
+
+
+@query("calibrate_polynomial")
+def calibrate_polynomial(spark, sf):
+    """Degrees 2 to 5, with the fit at new x: the middles between the given ones."""
+    p, out = flag_pairs(spark, sf), None
+    at = p.select("series", (F.col("x") + 0.5).alias("x")).distinct()
+    for degree in (2, 3, 4, 5):
+        fit = comparison.predict_response(at, comparison.calibrate(p, "polynomial", degree)).withColumn("degree", F.lit(degree))
+        out = fit if out is None else out.unionByName(fit)
+    return rounded(out, 4)
+
+
+@query("calibrate_curves")
+def calibrate_curves(spark, sf):
+    """Splines and logistic curves of each part's lines, at new x."""
+    p = pairs(spark, sf)
+    at, out = p.select("series", (F.col("x") + 0.5).alias("x")).distinct(), None
+    for model in ("spline", "fourpl"):
+        fit = comparison.predict_response(at, comparison.calibrate(p, model)).withColumn("model", F.lit(model))
+        out = fit if out is None else out.unionByName(fit)
+    return rounded(out, 4)
+
+
+@query("compare_methods", f"""WITH {_PAIRS}, m AS (SELECT series, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy, avg(y - x) AS bias, stddev_samp(y - x) AS sd FROM p GROUP BY series HAVING count(*) >= 8),
+d AS (SELECT *, coalesce((yy - xx + sqrt((yy - xx) ** 2 + 4 * xy ** 2)) / nullif(2 * xy, 0), 1) AS de, coalesce(xy / nullif(xx, 0), 0) AS ol FROM m), s AS (SELECT a.series, median((b.y - a.y) / (b.x - a.x)) AS ts FROM p a JOIN p b ON a.series = b.series AND a.k < b.k AND a.x <> b.x GROUP BY a.series),
+i AS (SELECT p.series, any_value(coalesce(ts, 0)) AS ts, median(y - coalesce(ts, 0) * x) AS ti FROM p LEFT JOIN s ON s.series = p.series GROUP BY p.series)
+SELECT series, 'deming' AS method, n, round(my - de * mx, 3) AS bias, round(de - 1, 5) AS proportional, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, round(de, 5) AS slope, round(my - de * mx, 3) AS intercept FROM d
+UNION ALL SELECT series, 'ols', n, round(my - ol * mx, 3), round(ol - 1, 5), NULL, NULL, round(ol, 5), round(my - ol * mx, 3) FROM d
+UNION ALL SELECT d.series, 'theil_sen', n, round(ti, 3), round(ts - 1, 5), NULL, NULL, round(ts, 5), round(ti, 3) FROM d JOIN i ON i.series = d.series""")
+def compare_methods(spark, sf):
+    p, out = pairs(spark, sf), None
+    for method in ("deming", "ols", "theil_sen"):
+        found = comparison.compare_methods(p, method)
+        out = found if out is None else out.unionByName(found)
+    places = {"bias": 3, "intercept": 3, "proportional": 5, "slope": 5}
+    return out.select(*(F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in out.columns))
+
+
+_RANKED = "r AS (SELECT *, rank() OVER (PARTITION BY series ORDER BY value) + (count(*) OVER (PARTITION BY series, value) - 1) / 2.0::DOUBLE AS r FROM g), u AS (SELECT series, grp, count(*)::DOUBLE AS n, avg(r) AS r FROM r GROUP BY series, grp), t AS (SELECT *, sum(n) OVER (PARTITION BY series) AS total FROM u), h AS (SELECT series, 12.0::DOUBLE / (any_value(total) * (any_value(total) + 1)) * sum(n * (r - (total + 1) / 2) ** 2) AS h, count(*) AS k FROM t GROUP BY series)"
+
+
+@query("compare_lots", f"""WITH g AS (SELECT o_orderpriority AS series, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS grp, o_totalprice AS value FROM orders), {_RANKED},
+d AS (SELECT series, grp, abs(value - median(value) OVER (PARTITION BY series, grp)) AS value FROM g), m AS (SELECT series, grp, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM d GROUP BY series, grp), w AS (SELECT *, sum(n) OVER x AS total, sum(n * m) OVER x / sum(n) OVER x AS gm FROM m WINDOW x AS (PARTITION BY series)),
+f AS (SELECT series, sum(n * (m - gm) ** 2) / (sum(n * v) / (any_value(total) - 2)) AS f FROM w GROUP BY series),
+q AS (SELECT series, value, count(*) FILTER (grp = 'F') AS ca, count(*) FILTER (grp = 'O') AS cb FROM g GROUP BY series, value), c AS (SELECT *, sum(ca) OVER o / sum(ca) OVER p AS ua, sum(cb) OVER o / sum(cb) OVER p AS ub FROM q WINDOW o AS (PARTITION BY series ORDER BY value), p AS (PARTITION BY series)), s AS (SELECT series, max(abs(ua - ub)) AS d FROM c GROUP BY series)
+SELECT h.series, k AS lots, round(h, 5) AS h, round({chi2_tail("h", "k - 1")}, 5) AS location_p, round(f, 5) AS variance_f, round(d, 5) AS ks, {chi2_tail("h", "k - 1")} < 0.05 AS shift_suspected FROM h JOIN f ON f.series = h.series JOIN s ON s.series = h.series""")
 def compare_lots(spark, sf):
-    li = table(spark, sf, "lineitem")
-    return rounded(comparison.compare_lots(li.select(F.col("l_linestatus").alias("series"), F.col("l_returnflag").alias("grp"), F.col("l_quantity").alias("value"))))
+    """Orders by priority; two lots: finished and other ones. variance_p rests on the F tail, which `anova_pvalues` has."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("series"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("lot"), F.col("o_totalprice").alias("value"))
+    return rounded(comparison.compare_lots(comparison.lots_of(o, "reagent_lot", "lot")).drop("variance_p", "variance_shift"), 5)
 
 
-@query("compare_sites")
+@query("compare_sites", f"WITH g AS (SELECT event_type AS series, user_id % 5 AS grp, value FROM events), {_RANKED} SELECT series, k AS sites, round(h, 6) AS h, round({chi2_tail('h', 'k - 1')}, 6) AS p, {chi2_tail('h', 'k - 1')} < 0.05 AS site_effect_suspected FROM h")
 def compare_sites(spark, sf):
     e = by_type(spark, sf)
-    return rounded(comparison.compare_lots(e.select("series", (F.col("user_id") % 5).alias("grp"), "value")))
+    return rounded(comparison.compare_sites(e.select("series", (F.col("user_id") % 5).alias("grp"), "value")))
 
 
 #: Batches: months; groups: users of even number; controls: every tenth event.
@@ -165,15 +218,22 @@ def batch_combat(spark, sf):
     return rounded(batches.combat(batched(spark, sf)).select("seq", "corrected"), 5)
 
 
-@query("batch_combat_matrix", f"WITH b AS (SELECT vec_id AS seq, label AS batch, unnest(range(0, 6)) AS feature, embedding FROM embeddings), r AS (SELECT seq, batch, feature, CAST(embedding[feature + 1] AS DOUBLE) AS value FROM b), e AS (SELECT *, avg(value) OVER f AS m, stddev_samp(value) OVER f AS sd FROM r WINDOW f AS (PARTITION BY feature)), z AS (SELECT *, (value - m) / sd AS z FROM e), s AS (SELECT batch, feature, count(*)::DOUBLE AS n, sum(z) AS zs, sum(z * z) AS zz FROM z GROUP BY batch, feature), {_prior('batch', 's')}, {_steps('y', 6)} SELECT seq, z.feature::INTEGER AS feature, round((z - m6) / sqrt(greatest(d6, 1e-8)) * sd + m, 5) AS corrected FROM z JOIN d6t ON d6t.batch = z.batch AND d6t.feature = z.feature")
+@query("batch_combat_matrix", f"WITH b AS (SELECT vec_id AS seq, label AS batch, unnest(range(0, len(embedding))) AS feature, embedding FROM embeddings), r AS (SELECT seq, batch, feature, CAST(embedding[feature + 1] AS DOUBLE) AS value FROM b), e AS (SELECT *, avg(value) OVER f AS m, stddev_samp(value) OVER f AS sd FROM r WINDOW f AS (PARTITION BY feature)), z AS (SELECT *, (value - m) / sd AS z FROM e), s AS (SELECT batch, feature, count(*)::DOUBLE AS n, sum(z) AS zs, sum(z * z) AS zz FROM z GROUP BY batch, feature), {_prior('batch', 's')}, {_steps('y', 6)} SELECT seq, z.feature::INTEGER AS feature, round((z - m6) / sqrt(greatest(d6, 1e-8)) * sd + m, 5) AS corrected FROM z JOIN d6t ON d6t.batch = z.batch AND d6t.feature = z.feature")
 def batch_combat_matrix(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.col("label").alias("batch"), F.posexplode(F.slice("embedding", 1, 6)).alias("feature", "value"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.col("label").alias("batch"), F.posexplode("embedding").alias("feature", "value"))
     return rounded(batches.combat_matrix(e.withColumn("value", F.col("value").cast("double"))).select("seq", "feature", "corrected"), 5)
 
 
-@query("batch_detect")
+def _kruskal(name: str, rows: str) -> str:
+    """h and p by group of rows (series, grp, value), as CTEs that end in name."""
+    return f"""{name}r AS (SELECT *, rank() OVER (PARTITION BY series ORDER BY value) + (count(*) OVER (PARTITION BY series, value) - 1) / 2.0::DOUBLE AS r FROM ({rows})), {name}u AS (SELECT series, grp, count(*)::DOUBLE AS n, avg(r) AS r FROM {name}r GROUP BY series, grp),
+{name}t AS (SELECT *, sum(n) OVER (PARTITION BY series) AS total FROM {name}u), {name}h AS (SELECT series, 12.0::DOUBLE / (any_value(total) * (any_value(total) + 1)) * sum(n * (r - (total + 1) / 2) ** 2) AS h, count(*) AS k FROM {name}t GROUP BY series), {name} AS (SELECT series, h, CASE WHEN k < 2 THEN 1 ELSE {chi2_tail("h", "greatest(k - 1, 1)")} END AS p FROM {name}h)"""
+
+
+@query("batch_detect", f"""WITH {_B}, {_kruskal("x", "SELECT series, batch AS grp, value FROM b")}, {_kruskal("y", "SELECT series, batch AS grp, round(value - median(value) OVER (PARTITION BY series, grp), 9) AS value FROM b")}, {_kruskal("z", "SELECT series, grp, value FROM b")}
+SELECT x.series, round(x.h, 5) AS h, round(x.p, 5) AS p, round(y.h, 5) AS adjusted_h, round(y.p, 5) AS adjusted_p, round(z.h, 5) AS group_h, round(z.p, 5) AS group_p, CASE WHEN y.p < 0.05 AND z.p < 0.05 THEN 'both' WHEN y.p < 0.05 THEN 'batch' WHEN z.p < 0.05 THEN 'biology' ELSE 'none' END AS reading FROM x JOIN y ON y.series = x.series JOIN z ON z.series = x.series""")
 def batch_detect(spark, sf):
-    return rounded(batches.detect(batched(spark, sf)))
+    return rounded(batches.detect(batched(spark, sf)), 5)
 
 
 @query("batch_spread", f"WITH {_B}, m AS (SELECT series, batch, avg(value) AS m FROM b GROUP BY series, batch) SELECT series, round(stddev_samp(m), 6) AS spread FROM m GROUP BY series")
@@ -215,8 +275,8 @@ for _name in _INTERVALS:
 
 @query("ri_bootstrap")
 def ri_bootstrap(spark, sf):
-    few = table(spark, sf, "supplier").select(F.lit("balance").alias("series"), F.col("s_acctbal").alias("value"))
-    return rounded(reference.bootstrap_intervals(few, 0.975, times=200))
+    """Limits by percentiles with their bootstrap limits."""
+    return rounded(reference.interval_limits(results(spark, sf)), 4)
 
 
 @query("partitions", f"WITH {_R}, q AS (SELECT series, CASE WHEN grp = 'F' THEN 'F' ELSE 'O' END AS grp, value FROM r), g AS (SELECT series, grp, count(*) AS n, avg(value) AS m, stddev_samp(value) AS s FROM q GROUP BY series, grp), z AS (SELECT a.series, (a.m - b.m) / sqrt(a.s ** 2 / a.n + b.s ** 2 / b.n) AS z, 3.0::DOUBLE + 0.3 * (greatest(a.s / b.s, b.s / a.s) - 1) AS c FROM g a JOIN g b ON a.series = b.series AND a.grp < b.grp) SELECT series, 2::BIGINT AS groups, round(z, 5) AS z, round(c, 5) AS critical, abs(z) > c AS may_partition FROM z")
@@ -253,9 +313,32 @@ def surrogate_time(spark, sf):
     return sites.surrogate_times(e).select("seq", "ts")
 
 
-@query("study")
-def study(spark, sf):
+_W = "e AS (SELECT user_id AS series, event_id AS seq, ts, 'site' || CAST(event_id % 3 AS VARCHAR) AS site, value FROM events)"
+_EFFECTS = """g AS (SELECT series, site, count(*) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS sd FROM e GROUP BY ALL), s0 AS (SELECT *, count(*) OVER w AS k, sum(n) OVER w AS total, sum((n - 1) * sd ** 2) OVER w AS ss FROM g WINDOW w AS (PARTITION BY series)),
+s AS (SELECT *, ss / greatest(total - k, 1) AS pooled, CASE WHEN n >= 2 AND sd > 0 THEN sd / sqrt(n) ELSE sqrt(ss / greatest(total - k, 1) / n) END AS se FROM s0 WHERE total >= 12 AND k >= 2),
+a AS (SELECT *, sum(m / se ** 2) OVER w / sum(1 / se ** 2) OVER w AS mu FROM s WINDOW w AS (PARTITION BY series)), b AS (SELECT *, sum((m - mu) ** 2 / se ** 2) OVER w AS q, sum(1 / se ** 2) OVER w - sum(1 / se ** 4) OVER w / sum(1 / se ** 2) OVER w AS c FROM a WINDOW w AS (PARTITION BY series)),
+t AS (SELECT *, greatest(0, (q - (k - 1)) / c) AS tau2, greatest(0, 100 * (q - (k - 1)) / q) AS i2 FROM b), u AS (SELECT *, 1 / sum(1 / (se ** 2 + tau2)) OVER w AS v, tau2 / (tau2 + se ** 2) AS sh FROM t WINDOW w AS (PARTITION BY series)), x AS (SELECT series, site, mu, mu + sh * (m - mu) AS shrunk FROM u)"""
+_SITES = "e AS (SELECT CAST(user_id AS VARCHAR) || ':site' || CAST(event_id % 3 AS VARCHAR) AS series, event_id AS seq, ts, value FROM events)"
+_TOGETHER = f"e AS (SELECT y.series, seq, ts, value - (shrunk - mu) AS value FROM (WITH {_W} SELECT * FROM e) y JOIN (WITH {_W}, {_EFFECTS} SELECT * FROM x) z ON z.series = y.series AND z.site = y.site)"
+_STUDY = f"""WITH l AS (SELECT CAST(split_part(series, ':', 1) AS BIGINT) AS series, split_part(series, ':', 2) AS site, n, detected, magnitude, direction FROM ({auto_sql(_SITES)}) WHERE n >= 16 AND detected),
+o AS (SELECT series, detected AS shared FROM ({auto_sql(_TOGETHER)}) WHERE n >= 16),
+f AS (SELECT *, first_value(direction) OVER (PARTITION BY series ORDER BY site) AS way, sum(n * magnitude) OVER (PARTITION BY series) / sum(n) OVER (PARTITION BY series) AS mean FROM l),
+h AS (SELECT series, count(*) AS nd, avg(CASE WHEN direction = way THEN 1.0::DOUBLE ELSE 0 END) AS conc, sum(n * (magnitude - mean) ** 2) AS q FROM f GROUP BY series),
+w AS (SELECT u.series, count(*) AS sites, any_value(mu) AS grand_mean, sqrt(any_value(tau2)) AS between_sd, sqrt(any_value(pooled)) AS within_sd, any_value(i2) AS i2, any_value(v) AS v, any_value(tau2) AS tau2 FROM (WITH {_W}, {_EFFECTS} SELECT * FROM u) u GROUP BY u.series),
+r AS (SELECT w.*, coalesce(nd, 0) AS nd, CASE WHEN nd >= 2 THEN conc ELSE 1 END AS conc, CASE WHEN nd >= 2 THEN q ELSE 0 END AS dq, coalesce(shared, FALSE) AND within_sd > 0 AS shared FROM w LEFT JOIN h ON h.series = w.series LEFT JOIN o ON o.series = w.series),
+z AS (SELECT *, (pow(dq / greatest(nd - 1, 1), 1 / 3.0::DOUBLE) - (1 - 2 / (9.0::DOUBLE * greatest(nd - 1, 1)))) / sqrt(2 / (9.0::DOUBLE * greatest(nd - 1, 1))) AS z FROM r), p AS ({TWO_SIDED.format("z")}),
+k AS (SELECT *, CASE WHEN dq <= 0 THEN 1 WHEN z >= 0 THEN p / 2 ELSE 1 - p / 2 END AS dp FROM p)
+SELECT series, CASE WHEN nd = 0 AND NOT shared THEN 'stable' WHEN nd >= 2 AND dp < 0.05 AND conc < 0.75 THEN 'site_specific' WHEN (shared OR nd >= 2) AND conc >= 0.75 THEN 'global' ELSE 'mixed' END AS attribution, sites, nd AS sites_drifting, shared AS global_drift,
+round(conc, 5) AS concordance, round(dq, 4) AS drift_q, round(dp, 5) AS drift_p, round(grand_mean, 5) AS grand_mean, round(between_sd, 5) AS between_sd, round(within_sd, 5) AS within_sd, round(i2, 4) AS i2, round(grand_mean - 12.706 * sqrt(tau2 + v), 4) AS lower, round(grand_mean + 12.706 * sqrt(tau2 + v), 4) AS upper FROM k"""
+
+
+def studies(spark, sf):
     """Each user a study of three sites."""
-    from driftlake.plans.base import by_user
+    return sites.study(by_user(spark, sf).withColumn("site", F.concat(F.lit("site"), (F.col("seq") % 3).cast("string"))))
+
 
-    return rounded(sites.study(by_user(spark, sf).withColumn("site", F.concat(F.lit("site"), (F.col("seq") % 3).cast("string")))))
+@query("study", _STUDY)
+def study(spark, sf):
+    places = {"drift_q": 4, "i2": 4, "lower": 4, "upper": 4}
+    found = studies(spark, sf)
+    return found.select(*((F.round(c, places.get(c, 5)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))

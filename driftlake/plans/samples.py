@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlake.operators import two_sample as ts
-from driftlake.plans.base import by_flag, by_type, query, rounded
+from driftlake.plans.base import KS_TAIL, ORACLE_SQL, by_flag, by_type, by_user, query, rounded, t_tail
 from driftlake.plans.basics import TWO_SIDED
 
 #: Side a: users of even number.
@@ -18,7 +18,7 @@ def pooled(spark, sf):
 
 
 _KS = f"WITH {_P}, {_C}, d AS (SELECT series, max(abs(ua / na - ub / nb)) AS d, any_value(na)::BIGINT AS n, any_value(nb)::BIGINT AS m FROM f GROUP BY series)"
-_KS_P = "SELECT series, round(d, 6) AS d, n, m, round(least(1, greatest(0, list_sum(list_transform(range(1, 21), lambda k: 2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * k * k * l * l))))), 6) AS p FROM (SELECT *, (sqrt(n * m / (n + m)) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n * m / (n + m))) * d AS l FROM d)"
+_KS_P = f"SELECT series, round(d, 6) AS d, n, m, round({KS_TAIL}, 6) AS p FROM d"
 
 
 @query("ks", f"{_KS} {_KS_P}")
@@ -54,7 +54,7 @@ def welch(spark, sf):
     return ts.welch(pooled(spark, sf)).select("series", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
 
 
-@query("welch_pvalue")
+@query("welch_pvalue", f"WITH {_P}, m AS (SELECT series, avg(value) FILTER (side = 'a') AS x, avg(value) FILTER (side = 'b') AS y, var_samp(value) FILTER (side = 'a') / count(*) FILTER (side = 'a') AS a, var_samp(value) FILTER (side = 'b') / count(*) FILTER (side = 'b') AS b, count(*) FILTER (side = 'a') AS n, count(*) FILTER (side = 'b') AS k FROM p GROUP BY series), w AS (SELECT series, (x - y) / sqrt(a + b) AS t, (a + b) ** 2 / (a * a / (n - 1) + b * b / (k - 1)) AS df FROM m) SELECT series, round(t, 6) AS t, round(df, 6) AS df, round({t_tail('t', 'df')}, 6) AS p FROM w")
 def welch_p(spark, sf):
     return rounded(ts.welch(pooled(spark, sf)))
 
@@ -89,11 +89,35 @@ def brown_forsythe(spark, sf):
     return rounded(ts.brown_forsythe(groups(spark, sf)).drop("p"), 5)
 
 
-@query("anova_pvalues")
+@query("anova_pvalues", f"WITH {_G}, a AS (WITH " + _ANOVA.format("g").replace(", 5) AS f", ", 12) AS f") + ") SELECT series, round(f, 6) AS f, dfb, dfw, CASE WHEN dfb < 1 THEN 1.0::DOUBLE WHEN dfb = 2 THEN round(pow(1 + 2 * f / dfw, -dfw / 2.0::DOUBLE), 6) END AS p FROM a")
 def anova_p(spark, sf):
     return rounded(ts.anova(groups(spark, sf)))
 
 
-@query("compare_distribution_auto")
+def _as_e(sql: str, column: str, name: str) -> str:
+    """A distance's SQL over p, named and with its p-value."""
+    return f"SELECT series, '{name}' AS method, {column} AS distance, {'p' if name == 'ks' else 'NULL::DOUBLE'} AS p FROM ({sql})"
+
+
+_USERS = "p AS (SELECT user_id AS series, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS side, value FROM events)"
+
+
+def _of_users(sql: str) -> str:
+    return sql.replace(_P, _USERS)
+
+
+@query(
+    "compare_distribution_auto",
+    f"""WITH {_USERS}, z AS (SELECT series, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb, coalesce(kurtosis_pop(value), 0) AS k FROM p GROUP BY series HAVING na >= 5 AND nb >= 5),
+c AS (SELECT series, CASE WHEN least(na, nb) < 20 THEN 'ks' WHEN k > 3 THEN 'energy' ELSE 'wasserstein' END AS method FROM z),
+d AS ({_as_e(_of_users(ORACLE_SQL["ks"].replace(", 6) AS", ", 12) AS")), "d", "ks")} UNION ALL {_as_e(_of_users(ORACLE_SQL["energy"].replace(", 5) AS", ", 12) AS")), "e", "energy")} UNION ALL {_as_e(_of_users(ORACLE_SQL["wasserstein"].replace(", 6) AS", ", 12) AS")), "w", "wasserstein")})
+SELECT series, method, round(distance, 7) AS distance, round(p, 7) AS p FROM c JOIN d USING (series, method)""",
+)
 def compare_distribution(spark, sf):
-    return rounded(ts.compare_distribution(pooled(spark, sf)))
+    """Each user's events of even number against the others."""
+    return rounded(ts.compare_distribution(ts.split(by_user(spark, sf), F.col("seq") % 2 == 0)), 7)
+
+
+@query("compare_distribution_js", f"SELECT series, 'js' AS method, js AS distance, NULL::DOUBLE AS p FROM ({ORACLE_SQL['jensen_shannon']})")
+def compare_distribution_js(spark, sf):
+    return rounded(ts.compare_distribution(pooled(spark, sf), "js"))
