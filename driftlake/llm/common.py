@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftlake.llm.textbytes import SLICE_BYTES, slices
 
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,7 @@ def prepare(spark: SparkSession) -> None:
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
