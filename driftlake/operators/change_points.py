@@ -314,16 +314,19 @@ def features(df: DataFrame, has_controls: bool = False) -> DataFrame:
 METHODS = {"cusum": cusum, "likelihood": likelihood, "pelt": pelt, "robust_median": robust_median, "rolling": rolling, "bayesian": bayesian, "kernel": kernel, "sampled": sampled_cut}
 
 
-def detect_changes(df: DataFrame, method: str = "auto", has_controls: bool = False) -> DataFrame:
-    """Results of one method, or of the one chosen for each series; series of fewer than 8 values are not detected."""
+def detect_changes(df: DataFrame, method: str = "auto", has_controls: bool = False, chosen: DataFrame | None = None) -> DataFrame:
+    """Results of one method, or of the one chosen for each series; series of fewer than 8 values are not detected.
+
+    chosen: `features` of df, where they are at hand."""
     if method != "auto":
         if method not in METHODS:
             raise ValueError(f"no change-point method {method!r}")
         return METHODS[method](df)
-    chosen = kept(features(df, has_controls).select("series", F.col("method").alias("_chosen")), "chosen-detectors")  # one row a series
-    routed = df.join(chosen, "series")
+    chosen = kept(features(df, has_controls), "chosen-detectors") if chosen is None else chosen  # one row a series
+    names = [r["method"] for r in chosen.select("method").distinct().collect()]  # as many as there are methods
+    routed = df.join(chosen.select("series", F.col("method").alias("_chosen")), "series")
     out = None
-    for name in ("robust_median", "pelt", "likelihood", "bayesian", "cusum"):
+    for name in sorted(names) or ["cusum"]:
         own = METHODS[name](routed.where(F.col("_chosen") == name).drop("_chosen"))
         out = own if out is None else out.unionByName(own)
     return out

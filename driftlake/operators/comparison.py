@@ -305,8 +305,9 @@ def predict_response(points: DataFrame, curves: DataFrame) -> DataFrame:
         found = curve_at(curve.column("model")[0].as_py(), np.array(curve.column("coefficients")[0].as_py()), own.column("x").to_numpy())
         return own.append_column("fit", pa.array(found))
 
-    others = curves.where(F.col("model").isin("spline", "fourpl")).select("series", "model", "coefficients")
-    by_curve = points.groupBy("series").cogroup(others.groupBy("series")).applyInArrow(run, f"{fields}, fit double")
+    # a name of its own, since points and curves may stem from the same rows
+    others = curves.where(F.col("model").isin("spline", "fourpl")).select(F.col("series").alias("_key"), "model", "coefficients")
+    by_curve = points.groupBy("series").cogroup(others.groupBy("_key")).applyInArrow(run, f"{fields}, fit double")
     return out.unionByName(by_curve)
 
 

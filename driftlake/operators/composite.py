@@ -93,8 +93,9 @@ def analyze(df: DataFrame, events: DataFrame | None = None, lot: str | None = No
     own = qc.without_outliers(df, policy)
     work = kept(own.select("series", "seq", "ts", "value", *columns, *([lot] if lot else [])), "report-values")
     out = base.join(work.groupBy("series").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")), "series", "left").join(flagged, "series", "left")
-    chosen = cp.features(df.select("series", "seq", "ts", "value", *columns)).select("series", F.col("method").alias("change_method"), F.col("reason").alias("change_reason"))
-    found = cp.detect_changes(work.select("series", "seq", "ts", "value", *columns))
+    features = kept(cp.features(df.select("series", "seq", "ts", "value", *columns)), "report-features")
+    chosen = features.select("series", F.col("method").alias("change_method"), F.col("reason").alias("change_reason"))
+    found = cp.detect_changes(work.select("series", "seq", "ts", "value"), chosen=features)
     changes = found.select("series", F.col("detected").alias("change"), F.col("indices").alias("change_indices"), F.col("confidence").alias("change_confidence"))
     kinds = drift.results_of_all(work)
     drifts = drift.best_of(kinds).select("series", F.col("kind").alias("drift_kind"), F.col("detected").alias("drift"), F.col("probability").alias("drift_probability"), F.col("magnitude").alias("drift_magnitude"), F.col("direction").alias("drift_direction"), F.col("start_index").alias("drift_index"))

@@ -79,13 +79,16 @@ SKETCH = 10_000
 def percentiles(df: DataFrame, keys: tuple[str, ...], value: str | Column, **qs: float) -> DataFrame:
     """(keys, and for each name of qs the quantile of value in its group): exact, interpolated between neighbours.
 
-    A sketch brackets each quantile, with some 4 / SKETCH of a group's values between the ends; values below are counted
+    A sketch brackets each quantile, with some 8 / SKETCH of a group's values between the ends; values below are counted
     on the way, and only the bracketed ones, equal ones combined, are ordered. No task holds all values of a group."""
     keys, names = list(keys), list(qs)
     own = df.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).where("_v is not null")
-    ends = {k: [max(0.0, q - 2 / SKETCH), min(1.0, q + 2 / SKETCH)] for k, q in qs.items()}
-    bracket = [F.percentile_approx("_v", e, SKETCH).alias(f"_b{i}") for i, e in enumerate(ends.values())]
-    sketch = own.groupBy(*keys).agg(F.count("*").alias("_n"), *bracket)
+    ends = {k: [max(0.0, q - 4 / SKETCH), min(1.0, q + 4 / SKETCH)] for k, q in qs.items()}
+    bracket = [F.percentile_approx("_v", e, SKETCH).alias(f"_s{i}") for i, e in enumerate(ends.values())]
+    sketch = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), *bracket)
+    # a group of fewer values is ordered whole
+    few = F.array("_min", "_max")
+    sketch = sketch.withColumns({f"_b{i}": F.when(F.col("_n") < SKETCH, few).otherwise(F.col(f"_s{i}")) for i in range(len(ends))})
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}")[0].alias("low"), F.col(f"_b{i}")[1].alias("high"), F.lit(q).alias("q")) for i, q in enumerate(qs.values())])
     near = own.join(sketch.select(*keys, "_n", F.explode(wanted).alias("_w")), keys).where(F.col("_v") <= F.col("_w.high"))
     held = F.when(F.col("_v") >= F.col("_w.low"), F.col("_v"))

@@ -2,99 +2,149 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from driftlake.functions.columns import sentinel_score, status_from_score
-from driftlake.operators import basics, change_points, composite, drift, story
-from driftlake.operators.series import kept
-from driftlake.plans.base import T, U, by_type, by_user, query, rounded
+from driftlake.operators import basics, composite, evaluation, reconstruction, story
+from driftlake.operators.series import shared_folder
+from driftlake.plans.base import ORACLE_SQL, T, U, by_type, by_user, query, rounded, t_tail, table
+from driftlake.plans.basics import TWO_SIDED
 from driftlake.streaming import detectors
 
-#: Change times: each series' event of number 1 in 400; events: lots and calibrations, one a day of purchases.
-_CHANGES = "c AS (SELECT series, ts AS change_ts FROM e WHERE seq % 400 = 1)"
-_KNOWN = "k AS (SELECT series, ts, CASE WHEN seq % 3 = 0 THEN 'calibration' WHEN seq % 3 = 1 THEN 'software' ELSE 'lot_change' END AS kind, 'event ' || CAST(seq AS VARCHAR) AS label FROM e WHERE seq % 250 = 7)"
+#: Change times: each user's purchases; events: what else a user did, each type being a kind of event.
+_E = "e AS (SELECT user_id AS series, event_id AS seq, ts, value, event_type FROM events)"
+_CHANGES = "c AS (SELECT series, ts AS change_ts FROM e WHERE event_type = 'purchase')"
+_KNOWN = "k AS (SELECT series, ts, CASE event_type WHEN 'signup' THEN 'lot_change' WHEN 'error' THEN 'calibration' WHEN 'view' THEN 'maintenance' ELSE 'software' END AS kind, 'event ' || CAST(seq AS VARCHAR) AS label FROM e WHERE event_type <> 'purchase')"
+
+
+def user_events(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select(F.col("user_id").alias("series"), F.col("event_id").alias("seq"), "ts", "value", "event_type")
 
 
 def changes(e):
-    return e.where(F.col("seq") % 400 == 1).select("series", F.col("ts").alias("change_ts"))
+    return e.where("event_type = 'purchase'").select("series", F.col("ts").alias("change_ts"))
 
 
 def known(e):
-    kind = F.when(F.col("seq") % 3 == 0, "calibration").when(F.col("seq") % 3 == 1, "software").otherwise("lot_change")
-    return e.where(F.col("seq") % 250 == 7).select("series", kind.alias("kind"), "ts", F.concat(F.lit("event "), F.col("seq").cast("string")).alias("label"))
+    kind = F.when(F.col("event_type") == "signup", "lot_change").when(F.col("event_type") == "error", "calibration").when(F.col("event_type") == "view", "maintenance").otherwise("software")
+    return e.where("event_type <> 'purchase'").select("series", kind.alias("kind"), "ts", F.concat(F.lit("event "), F.col("seq").cast("string")).alias("label"))
 
 
-@query("attribution", f"""WITH {T}, {_CHANGES}, {_KNOWN}, n AS (SELECT c.series, change_ts, kind, label, k.ts AS event_ts, abs(epoch_us(k.ts) - epoch_us(change_ts)) / 8.64e10::DOUBLE AS d FROM c JOIN k ON k.series = c.series WHERE abs(epoch_us(k.ts) - epoch_us(change_ts)) <= 14 * 86400000000),
+@query("attribution", f"""WITH {_E}, {_CHANGES}, {_KNOWN}, n AS (SELECT c.series, change_ts, kind, label, k.ts AS event_ts, abs(epoch_us(k.ts) - epoch_us(change_ts)) / 8.64e10::DOUBLE AS d FROM c JOIN k ON k.series = c.series WHERE abs(epoch_us(k.ts) - epoch_us(change_ts)) <= 14 * 86400000000),
 r AS (SELECT *, exp(-0.5::DOUBLE * (d / 5.6::DOUBLE) ** 2) * CASE WHEN kind IN ('lot_change', 'calibration', 'maintenance') THEN 1.15::DOUBLE ELSE 1 END AS raw FROM n),
 b AS (SELECT *, least(0.99::DOUBLE, raw) AS score FROM r QUALIFY row_number() OVER (PARTITION BY series, change_ts ORDER BY round(least(0.99::DOUBLE, raw), 12) DESC, CASE WHEN raw > 0.99 THEN -epoch_us(event_ts) ELSE epoch_us(event_ts) END, kind, label) = 1)
 SELECT c.series, c.change_ts, kind, label, event_ts, round(coalesce(score, 0), 6) AS score FROM c LEFT JOIN b ON b.series = c.series AND b.change_ts = c.change_ts""")
 def attribution(spark, sf):
-    e = by_type(spark, sf)
+    e = user_events(spark, sf)
     return rounded(composite.attributed(changes(e), known(e)))
 
 
-@query("events_near", f"WITH {T}, {_CHANGES}, {_KNOWN} SELECT c.series, change_ts, kind, k.ts, label FROM c JOIN k ON k.series = c.series WHERE abs(epoch_us(k.ts) - epoch_us(change_ts)) <= 7 * 86400000000")
+@query("events_near", f"WITH {_E}, {_CHANGES}, {_KNOWN} SELECT c.series, change_ts, kind, k.ts, label FROM c JOIN k ON k.series = c.series WHERE abs(epoch_us(k.ts) - epoch_us(change_ts)) <= 86400000000")
 def events_near(spark, sf):
-    e = by_type(spark, sf)
-    return composite.near(changes(e), known(e), 7.0).select("series", "change_ts", "kind", "ts", "label")
+    e = user_events(spark, sf)
+    return composite.near(changes(e), known(e), 1.0).select("series", "change_ts", "kind", "ts", "label")
 
 
-@query("nearest_index", f"WITH {T}, i AS (SELECT series, ts, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS i FROM e), v AS (SELECT series, ts + INTERVAL 5 MINUTE AS ts, 'event ' || CAST(seq AS VARCHAR) AS label FROM e WHERE seq % 250 = 7) SELECT v.series, v.ts, label, i.i FROM v JOIN i ON i.series = v.series QUALIFY row_number() OVER (PARTITION BY v.series, v.ts, label ORDER BY abs(epoch_us(i.ts) - epoch_us(v.ts)), i.i) = 1")
+@query("nearest_index", f"WITH {_E}, i AS (SELECT series, ts, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS i FROM e), v AS (SELECT series, ts + INTERVAL 5 MINUTE AS ts, 'event ' || CAST(seq AS VARCHAR) AS label FROM e) SELECT v.series, v.ts, label, i.i FROM v JOIN i ON i.series = v.series QUALIFY row_number() OVER (PARTITION BY v.series, v.ts, label ORDER BY abs(epoch_us(i.ts) - epoch_us(v.ts)), i.i) = 1")
 def nearest_index(spark, sf):
-    e = by_type(spark, sf)
-    later = known(e).select("series", (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ts"), "label")
+    """The measurement nearest to five minutes after each one."""
+    e = user_events(spark, sf)
+    later = e.select("series", (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ts"), F.concat(F.lit("event "), F.col("seq").cast("string")).alias("label"))
     return composite.nearest(later, e)
 
 
-@query("unique_events", f"WITH {T}, {_KNOWN} SELECT DISTINCT series, kind, ts FROM k")
+@query("unique_events", f"WITH {_E}, {_KNOWN} SELECT DISTINCT series, kind, date_trunc('day', ts) AS ts FROM k")
 def unique_events(spark, sf):
-    twice = known(by_type(spark, sf))
-    return composite.unique_events(twice.unionByName(twice)).select("series", "kind", "ts")
+    """Each kind of event of a user once a day."""
+    days = known(user_events(spark, sf)).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return composite.unique_events(days).select("series", "kind", "ts")
+
+
+#: Bounds of segments: each series' first measurement of each week.
+_BOUNDS = "w AS (SELECT series, min(ts) AS ts FROM e GROUP BY series, date_trunc('week', ts)), b AS (SELECT series, ts FROM w UNION SELECT series, max(ts) FROM e GROUP BY series), p AS (SELECT series, ts AS a, lead(ts) OVER w AS z, row_number() OVER w AS segment FROM b WINDOW w AS (PARTITION BY series ORDER BY ts))"
+_SEGMENTS = "s AS (SELECT e.series, segment, any_value(a) AS from_ts, any_value(z) AS to_ts, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM e JOIN p ON p.series = e.series AND ts BETWEEN a AND z WHERE z IS NOT NULL GROUP BY e.series, segment)"
+
 
+def weeks(e):
+    return e.groupBy("series", F.date_trunc("week", "ts")).agg(F.min("ts").alias("ts")).select("series", "ts")
 
-@query("segments", f"WITH {T}, b AS (SELECT series, ts FROM e WHERE seq % 2500 = 1 UNION SELECT series, min(ts) FROM e GROUP BY series UNION SELECT series, max(ts) FROM e GROUP BY series), p AS (SELECT series, ts AS a, lead(ts) OVER w AS z, row_number() OVER w AS segment FROM b WINDOW w AS (PARTITION BY series ORDER BY ts)) SELECT e.series, segment::INTEGER AS segment, any_value(a) AS from_ts, any_value(z) AS to_ts, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM e JOIN p ON p.series = e.series AND ts BETWEEN a AND z WHERE z IS NOT NULL GROUP BY e.series, segment")
+
+@query("segments", f"WITH {T}, {_BOUNDS}, {_SEGMENTS} SELECT series, segment::INTEGER AS segment, from_ts, to_ts, n, round(mean, 8) AS mean, round(sd, 8) AS sd FROM s")
 def segments(spark, sf):
     e = by_type(spark, sf)
-    return rounded(composite.segments(e, e.where(F.col("seq") % 2500 == 1)))
+    return rounded(composite.segments(e, weeks(e)), 8)
+
 
+_SLOPED = """r AS (SELECT e.series, segment, e.ts, seq, value, row_number() OVER (PARTITION BY e.series, segment ORDER BY e.ts, seq) AS k FROM e JOIN p ON p.series = e.series AND e.ts BETWEEN a AND z WHERE z IS NOT NULL),
+sl AS (SELECT x.series, x.segment, median((y.value - x.value) / (y.k - x.k)) AS slope FROM r x JOIN r y ON x.series = y.series AND x.segment = y.segment AND x.k < y.k GROUP BY ALL), ic AS (SELECT r.series, r.segment, slope, median(value - slope * k) AS icpt FROM r JOIN sl ON sl.series = r.series AND sl.segment = r.segment GROUP BY ALL),
+li AS (SELECT r.series, r.segment, any_value(slope) AS slope, stddev_samp(value - icpt - slope * k) AS se, stddev_samp(k) AS sx, count(*) AS n FROM r JOIN ic ON ic.series = r.series AND ic.segment = r.segment GROUP BY ALL), lz AS (SELECT *, slope * sx * sqrt(n) / (CASE WHEN se = 0 THEN 1 ELSE se END) AS z FROM li)"""
 
-@query("segment_kinds")
+
+@query("segment_kinds", f"""WITH {T}, {_BOUNDS}, {_SEGMENTS}, {_SLOPED}, lp AS ({TWO_SIDED.format("lz")}), g AS (SELECT series, segment, n >= 20 AND p < 0.01 AND abs(z) > 2.5 AS sloped FROM lp),
+q AS (SELECT *, lag(n) OVER w AS pn, lag(mean) OVER w AS pm, lag(sd) OVER w AS ps FROM s WINDOW w AS (PARTITION BY series ORDER BY segment)), v AS (SELECT *, ps ** 2 / pn AS a, sd ** 2 / n AS b FROM q),
+t AS (SELECT *, (pm - mean) / sqrt(a + b) AS t, (a + b) ** 2 / (a * a / nullif(pn - 1, 0) + b * b / nullif(n - 1, 0)) AS f FROM v),
+k AS (SELECT t.*, sloped, pn >= 8 AND n >= 8 AND {t_tail("t", "f")} < 0.01 AND abs(mean - pm) > 0.35 * ps AS shifted FROM t LEFT JOIN g ON g.series = t.series AND g.segment = t.segment)
+SELECT series, segment::INTEGER AS segment, n, round(mean, 8) AS mean, CASE WHEN shifted THEN 'shift' WHEN sloped THEN 'drift' ELSE 'stable' END AS kind FROM k""")
 def segment_kinds(spark, sf):
+    """What kind of segment each week of an event type is."""
     e = by_type(spark, sf)
-    return rounded(composite.classified(composite.segments(e, e.where(F.col("seq") % 2500 == 1))))
+    bounds = weeks(e).select("series", F.lit("bound").alias("kind"), "ts", F.lit(None).cast("string").alias("label"))
+    return rounded(story.told(e, story.marks(e, bounds)).select("series", "segment", "n", "mean", "kind"), 8)
 
 
-@query("story_marks", f"""WITH {T}, {_CHANGES}, {_KNOWN}, a AS (SELECT series, min(ts) AS ts, 0 AS o, 'start' AS kind, NULL AS label FROM e GROUP BY series UNION ALL SELECT series, max(ts), 1, 'end', NULL FROM e GROUP BY series UNION ALL SELECT series, ts, 2, kind, label FROM k UNION ALL SELECT series, change_ts, 3, 'changepoint', NULL FROM c),
+@query("story_marks", f"""WITH {_E}, {_CHANGES}, {_KNOWN}, a AS (SELECT series, min(ts) AS ts, 0 AS o, 'start' AS kind, NULL AS label FROM e GROUP BY series UNION ALL SELECT series, max(ts), 1, 'end', NULL FROM e GROUP BY series UNION ALL SELECT series, ts, 2, CASE kind WHEN 'maintenance' THEN 'calibration' ELSE kind END, label FROM k UNION ALL SELECT series, change_ts, 3, 'changepoint', NULL FROM c),
 f AS (SELECT series, ts, min(o) AS lo FROM a GROUP BY series, ts),
 w AS (SELECT series, ts, kind, label FROM a JOIN f USING (series, ts) QUALIFY row_number() OVER (PARTITION BY series, ts ORDER BY CASE WHEN lo < 2 AND o = 2 AND kind IN ('lot_change', 'calibration') THEN -1 ELSE o END, kind, label) = 1),
 p AS (SELECT series, row_number() OVER v AS segment, ts AS from_ts, lead(ts) OVER v AS to_ts, kind AS mark, label FROM w WINDOW v AS (PARTITION BY series ORDER BY ts))
 SELECT p.series, segment::INTEGER AS segment, from_ts, to_ts, mark, p.label, count(*) AS n, round(avg(value), 6) AS mean FROM p JOIN e ON e.series = p.series AND e.ts BETWEEN from_ts AND to_ts WHERE to_ts IS NOT NULL GROUP BY ALL""")
 def story_marks(spark, sf):
-    """Each series' stretches between its events and change points, with the rows in each."""
-    e = by_type(spark, sf)
+    """Each user's stretches between events and changes, with the rows in each."""
+    e = user_events(spark, sf)
     parts = story.marks(e, known(e), changepoint=changes(e).withColumnRenamed("change_ts", "ts"))
     rows = story.placed(e.select("series", "ts", "value"), parts).groupBy("series", "segment").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return rounded(parts.join(rows, ["series", "segment"]))
 
 
-def _at_index(e, found):
-    """The times of the places that a detector names, one row a series."""
-    return found.where("detected and at is not null").join(story.indexed(e), ["series", "at"]).select("series", "ts")
+def measured(spark, sf):
+    """Each user's measurements, some of them controls, with weekly lots, two instruments and uncertainties."""
+    e = user_events(spark, sf).withColumn("control", F.col("event_type") == "click").withColumn("lot", F.concat(F.lit("W"), F.weekofyear("ts").cast("string")))
+    return e.withColumn("instrument", F.when(F.col("event_type").isin("view", "click"), "A").otherwise("B")).withColumn("uncertainty", F.lit(0.5)).drop("event_type")
 
 
 @query("story")
 def stories(spark, sf):
-    """The story of each user: weekly lots, change points by likelihood, drifts of variance, linear drifts."""
-    e = by_user(spark, sf)
-    lots = basics.lot_transitions(e.withColumn("lot", F.concat(F.lit("W"), F.weekofyear("ts").cast("string"))), "lot")
-    events = lots.select("series", F.lit("lot_change").alias("kind"), "ts", F.concat_ws(" to ", "from_value", "to_value").alias("label"))
-    change = kept(_at_index(e, change_points.likelihood(e).withColumn("at", F.get("indices", F.lit(0)))), "story-changes")
-    drifting, varying = (kept(_at_index(e, d.withColumnRenamed("start_index", "at")), "story-drifts") for d in (drift.linear(e), drift.variance(e)))
-    parts = story.marks(e, events, changepoint=change, drift=drifting, variance=varying)
-    return story.beats(story.told(e, parts, drifts=drifting, variances=varying))
+    """The story of each user, as it is reconstructed with the report."""
+    return story.beats(reconstruction.segments_of(measured(spark, sf), reconstruction.report_of(measured(spark, sf))))
+
+
+@query("reconstruct")
+def reconstruct(spark, sf):
+    """One reconstruction a user: story, uncertainty budget, comparison of lots and of instruments."""
+    return rounded(reconstruction.reconstruct(measured(spark, sf)))
+
+
+@query("reconstruct_panel")
+def reconstruct_panel(spark, sf):
+    """The stories of panels of seven users: what happened in each of their reports, in words."""
+    reports = _reports(spark, sf).withColumn("panel", F.floor(F.col("series") / 7))
+    return reconstruction.panel_story(reports, "panel")
+
+
+@query("reconstruct_study")
+def reconstruct_study(spark, sf):
+    """The story of each user as a study of three sites, and what its drift is attributed to."""
+    from driftlake.plans.models import studies
+
+    return rounded(reconstruction.study_story(studies(spark, sf)))
+
+
+@query("explain")
+def explain(spark, sf):
+    """Each user's report in words."""
+    return story.explained(_reports(spark, sf)).select("series", "status", "explanation")
 
 
 @query("fingerprint", f"""WITH {U}, d AS (SELECT series, ts::DATE AS day, count(*) AS n, sha256(string_agg(CAST(value AS VARCHAR), ',' ORDER BY ts, seq)) AS d FROM e GROUP BY series, day) SELECT series, sum(n)::BIGINT AS n, substr(sha256(string_agg(d, ',' ORDER BY day)), 1, 16) AS fingerprint FROM d GROUP BY series""")
@@ -117,8 +167,7 @@ def worst_status(spark, sf):
 
 
 def _reports(spark, sf):
-    e = by_user(spark, sf).withColumn("control", F.col("seq") % 10 == 0).withColumn("lot", F.weekofyear("ts").cast("string"))
-    return composite.analyze(e, lot="lot")
+    return composite.analyze(measured(spark, sf), lot="lot")
 
 
 @query("analyze")
@@ -130,21 +179,29 @@ def analyze(spark, sf):
 @query("panel")
 def panel(spark, sf):
     """Panels of users: how many reports each has, their mean score and their worst status."""
-    reports = composite.analyze(by_user(spark, sf)).withColumn("panel", F.col("series") % 7)
+    reports = _reports(spark, sf).withColumn("panel", F.col("series") % 7)
     scores = reports.groupBy("panel").agg(F.count("*").alias("reports"), F.avg("score").alias("mean_score"), F.count(F.when(F.col("drift"), 1)).alias("drifting"))
     return rounded(scores.join(composite.worst_status(reports, "panel"), "panel"))
 
 
 @query("provenance_edges")
 def provenance_edges(spark, sf):
-    e = by_type(spark, sf)
-    base = e.groupBy("series").agg(F.count("*").alias("rows"), F.avg("value").alias("mean"))
-    return composite.provenance(base)
+    """What was done for each user's report, and what came of it."""
+    e = measured(spark, sf)
+    return composite.provenance(e, composite.analyze(e, lot="lot"))
+
 
+#: CUSUM with a baseline that learns while it is quiet, as a recursion over the rows of all series at once.
+_CUSUM = """o AS (SELECT CAST(series AS VARCHAR) AS series, seq, ts, value, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS i FROM e),
+r AS (SELECT series, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS ts, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS n, 0.0::DOUBLE AS m, 0.0::DOUBLE AS m2, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS times, 'none' AS way, FALSE AS hit FROM o WHERE i = 1
+UNION ALL SELECT series, seq, ts, i, CASE WHEN hit THEN n ELSE n + 1 END, CASE WHEN hit THEN m ELSE m + (x - m) / (n + 1) END, CASE WHEN hit THEN m2 ELSE m2 + (x - m) * (x - (m + (x - m) / (n + 1))) END, up, down, times, way, hit
+FROM (SELECT *, times >= {persistence} AS hit FROM (SELECT *, CASE WHEN greatest(up, down) > 5 THEN before + 1 ELSE 0 END AS times, CASE WHEN greatest(up, down) > 5 THEN (CASE WHEN up > down THEN 'increase' ELSE 'decrease' END) ELSE old END AS way
+FROM (SELECT *, greatest(0, u + z - 0.5) AS up, greatest(0, d - z - 0.5) AS down FROM (SELECT o.series, o.seq, o.ts, o.i, o.value AS x, r.n, r.m, r.m2, r.up AS u, r.down AS d, r.times AS before, r.way AS old, (o.value - r.m) / (CASE WHEN r.n > 1 AND r.m2 > 0 THEN sqrt(r.m2 / (r.n - 1)) ELSE 1 END) AS z FROM r JOIN o ON o.series = r.series AND o.i = r.i + 1)))))"""
 
-@query("cusum_replay")
+
+@query("cusum_replay", f"WITH RECURSIVE {U}, {_CUSUM.format(persistence=2)} SELECT series, seq, ts, hit AS detected, CASE WHEN hit THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END AS probability, round(greatest(up, down), 5) AS magnitude, way AS direction FROM r WHERE i > 0")
 def cusum_replay(spark, sf):
-    return rounded(detectors.replayed(by_type(spark, sf), detectors.Cusum()))
+    return rounded(detectors.replayed(by_user(spark, sf), detectors.Cusum()), 5)
 
 
 #: The running mean of all values and the weighted mean, as a recursion.
@@ -156,15 +213,18 @@ def ewma_replay(spark, sf):
     return rounded(detectors.replayed(by_user(spark, sf), detectors.Ewma()))
 
 
-@query("sentinel_alerts")
+#: Alarms are warnings; one within six hours of the last alert of its series gives none.
+@query("sentinel_alerts", f"""WITH RECURSIVE {U}, {_CUSUM.format(persistence=1)}, h AS (SELECT series, seq, ts, way, row_number() OVER (PARTITION BY series ORDER BY i) AS j FROM r WHERE i > 0 AND hit),
+a AS (SELECT series, seq, ts, way, j, ts AS last, TRUE AS told FROM h WHERE j = 1 UNION ALL SELECT h.series, h.seq, h.ts, h.way, h.j, CASE WHEN h.ts >= a.last + INTERVAL 6 HOUR THEN h.ts ELSE a.last END, h.ts >= a.last + INTERVAL 6 HOUR FROM a JOIN h ON h.series = a.series AND h.j = a.j + 1)
+SELECT series, seq, ts, 'warning' AS severity, way AS direction FROM a WHERE told""")
 def sentinel_alerts(spark, sf):
-    return detectors.alerts(by_type(spark, sf), detectors.Cusum(persistence=1), timedelta(hours=6))
+    return detectors.alerts(by_user(spark, sf), detectors.Cusum(persistence=1), timedelta(hours=6))
 
 
 @query("study_concordance")
 def study_concordance(spark, sf):
-    e = by_type(spark, sf)
-    rows = e.select("series", "seq", "ts", (F.col("user_id") % 5).alias("site"), "value")
+    """Each user a study of five sites."""
+    rows = by_user(spark, sf).withColumn("site", F.col("seq") % 5)
     return detectors.concordance(rows, detectors.Cusum(persistence=1))
 
 
@@ -175,33 +235,44 @@ def online_series(spark, sf):
 
 
 def stream_of(spark, sf):
-    """The events table as a stream of files, all of it at once."""
-    from driftlake.plans.base import table as read
-
-    schema = read(spark, sf, "events").schema
+    """The events table as a stream of files, all of it at once, each user a series."""
+    schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    return stream.select(F.col("event_type").alias("series"), F.col("event_id").alias("seq"), "ts", "value")
+    return stream.select(F.col("user_id").alias("series"), F.col("event_id").alias("seq"), "ts", "value")
 
 
 def _run(spark, stream, name: str):
     """The rows that a stream gives over what is there now, written and read as Parquet."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = f"{base.rstrip('/')}/{name}-{tempfile.mktemp(prefix='', dir='').strip('/')}"
+    folder = shared_folder(spark, name)
     q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-@query("stream_cusum")
+@query("stream_cusum", ORACLE_SQL["cusum_replay"])
 def stream_cusum(spark, sf):
-    return rounded(_run(spark, detectors.streamed(stream_of(spark, sf), detectors.Cusum()), "cusum"))
+    return rounded(_run(spark, detectors.streamed(stream_of(spark, sf), detectors.Cusum()), "cusum"), 5)
 
 
-@query("stream_alerts")
+@query("stream_alerts", ORACLE_SQL["sentinel_alerts"])
 def stream_alerts(spark, sf):
     return _run(spark, detectors.streamed_alerts(stream_of(spark, sf), detectors.Cusum(persistence=1)), "alerts")
 
 
-@query("stream_ewma")
+@query("stream_ewma", ORACLE_SQL["ewma_replay"])
 def stream_ewma(spark, sf):
     return rounded(_run(spark, detectors.streamed(stream_of(spark, sf), detectors.Ewma()), "ewma"))
+
+
+@query("stream_study")
+def stream_study(spark, sf):
+    """The alerts of studies of five sites, from a stream."""
+    rows = stream_of(spark, sf).withColumn("site", F.col("seq") % 5)
+    return _run(spark, detectors.streamed_concordance(rows, detectors.Cusum(persistence=1)), "study")
+
+
+@query("evaluate_detectors")
+def evaluate_detectors(spark, sf):
+    """Detectors scored on copies of each user's values, shuffled by a hash, with and without a step planted in the middle."""
+    e = by_user(spark, sf)
+    return rounded(evaluation.evaluate(e, ("likelihood", "cusum", "robust_median", "pelt")))

@@ -57,6 +57,48 @@ def simulated(spark: SparkSession, n: int, kind: str = "none", start: int | None
     return spark.range(n).select(F.lit(kind).alias("series"), i.alias("seq"), ts.alias("ts"), (mean + shape).alias("value"))
 
 
+ASSAY_KINDS = ("none", "linear", "step", "variance", "lot", "batch", "periodic", "failure", "outliers")
+
+
+def simulated_assays(spark: SparkSession, n: int, kinds: tuple[str, ...] = ("none",), copies: int = 1, start: int | None = None, mean: float = 100.0, sd: float = 2.0, lots: int = 1, instruments: int = 1, control_every: int = 10, outlier_rate: float = 0.0, seed: int = 7) -> DataFrame:
+    """Copies of six-hourly measurements for each kind of drift (series: kind-copy), with lot, instrument, batch, control, and
+    the truth: true_mean, true_sd, is_outlier and drift_start. Values depend on the seed, the series and the place alone."""
+    if any(k not in ASSAY_KINDS for k in kinds) or n < 2:
+        raise ValueError(f"kinds are {ASSAY_KINDS}, and n is 2 at least")
+    begin = max(1, n // 2) if start is None else start
+    kind, i = F.col("kind"), F.col("seq")
+    rows = spark.range(n).select((F.col("id") + 1).alias("seq")).withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds]))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    on, is_ = i >= begin, lambda k: kind == k
+    level = (
+        F.when(is_("linear") & on, 0.004 * (i - begin)).when(is_("step") & on, 0.08 * mean).when(is_("periodic"), 0.015 * mean * F.sin(2 * math.pi * i / 48)).when(is_("failure") & on, 0.2 * mean)
+        .when(is_("lot") & on, 0.04 * mean).when(is_("batch") & (i % 96 < 8), 0.03 * mean).otherwise(0.0)
+    )
+    spread = F.when(is_("variance") & on, 1.8 * sd).when(is_("failure") & on, 2.2 * sd).otherwise(sd)
+    part = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "kind", "copy", "seq"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    normal = F.sqrt(-2 * F.ln(part(1))) * F.cos(2 * math.pi * part(2))
+    rate = F.when(is_("outliers"), max(outlier_rate, 0.02)).otherwise(outlier_rate)
+    ts = (F.lit("2025-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (6 * (i - 1)).cast("int"))).cast("timestamp_ntz")
+    out = rows.select(
+        F.concat_ws("-", "kind", F.col("copy").cast("string")).alias("series"), "seq", ts.alias("ts"), normal.alias("_z"), (part(3) < rate).alias("is_outlier"), F.when(part(4) < 0.5, -1).otherwise(1).alias("_sign"),
+        (mean + level).alias("true_mean"), spread.alias("true_sd"), F.lit(begin).alias("drift_start"), F.concat(F.lit("R"), (F.ceil(i * max(lots, 1) / F.lit(n)) + 20).cast("string")).alias("lot"),
+        F.concat(F.lit("Analyzer-"), ((i - 1) % max(instruments, 1) + 1).cast("string")).alias("instrument"), F.concat(F.lit("B"), (F.floor((i - 1) / 48) + 1).cast("string")).alias("batch"), (F.lit(control_every > 0) & (i % max(control_every, 1) == 0)).alias("control"),
+    )
+    value = F.col("true_mean") + F.col("true_sd") * (F.col("_z") + F.when(F.col("is_outlier"), 6 * F.col("_sign")).otherwise(0))
+    return out.withColumn("value", value).drop("_z", "_sign")
+
+
+def showcase(spark: SparkSession, seed: int = 7) -> DataFrame:
+    """A year of one analyte: three lots of different level, two instruments, a calibration at value 720, a slow drift from 980
+    on, more spread from 1200 on, and control failures at 1100, 1101 and 1300 to 1302."""
+    own = simulated_assays(spark, 1460, instruments=2, seed=seed).withColumn("series", F.lit("glucose"))
+    i, z = F.col("seq"), (F.col("value") - F.col("true_mean")) / F.col("true_sd")
+    lot = F.when(i < 480, "R21").when(i < 980, "R22").otherwise("R23")
+    level = 100 + F.when(lot == "R22", 1.2).when(lot == "R23", 2.0).otherwise(0.0) - F.when((i >= 720) & (i < 740), 0.8).otherwise(0.0) + F.when(i >= 980, 0.006 * (i - 980)).otherwise(0.0)
+    spread, failed = F.when(i >= 1200, 3.4).otherwise(2.0), i.isin(1100, 1101, 1300, 1301, 1302)
+    own = own.withColumn("value", level + F.when(failed, 3.6).otherwise(z) * spread).withColumns({"true_mean": level, "true_sd": spread})
+    return own.withColumns({"lot": lot, "control": (i % 8 == 0) | failed, "failed": failed, "calibration_id": F.when(i >= 720, "CAL-08").otherwise("CAL-07"), "uncertainty": F.lit(0.4)})
+
+
 def plain(x):
     if isinstance(x, float) and not math.isfinite(x):
         return None
