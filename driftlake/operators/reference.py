@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from driftlake.functions.columns import boxcox, finite, inv_boxcox, lms_quantile, normal_quantile
 from driftlake.operators import two_sample as ts
