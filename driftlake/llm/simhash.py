@@ -33,6 +33,8 @@ from driftlake.llm.textbytes import WORD_BYTES, utf8, word_spans
 BITS = 64
 SHINGLE = 4
 SEED = 42
+#: Links that one task takes when components are made: of small sets of links no shuffle is needed.
+LINKS_PER_TASK = 100_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 #: For each byte value, its bits from the lowest.
@@ -197,7 +199,8 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
     state = checksum(now)
     while state[0]:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        now = now.coalesce(-(-state[0] // LINKS_PER_TASK))
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(-(-state[0] // LINKS_PER_TASK))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
