@@ -191,13 +191,26 @@ def linked(nodes: DataFrame, budget: int, members: int = 4096) -> DataFrame:
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, component): the smallest node that each node of links (a, b) reaches; alternating stars (large, small).
 
-    Each round's links are written to the shared folder; nothing but their number and a checksum goes to the driver."""
+    Links that fit one task are brought together there, in one job. Otherwise each round's links are written to the shared
+    folder; nothing but their number and a checksum goes to the driver."""
 
     def checksum(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
     state = checksum(now)
+    if state[0] <= LINKS_PER_TASK:
+
+        def together(batches):
+            a, b = [], []
+            for batch in batches:
+                a.append(batch.column(0).to_numpy())
+                b.append(batch.column(1).to_numpy())
+            if a:
+                least, node = stars(np.concatenate(a), np.concatenate(b))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], ["node", "component"])
+
+        return now.coalesce(1).mapInArrow(together, "node long, component long")
     while state[0]:
         now = now.coalesce(-(-state[0] // LINKS_PER_TASK))
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(-(-state[0] // LINKS_PER_TASK))
