@@ -2,7 +2,9 @@
 
 `secret_spans` finds three base kinds by pattern (assignments to sensitive names, access keys, long hex runs) and a
 fourth, `literal`, by lexing: statements of source and configuration syntax become name-literal pairs, constants are
-propagated from name to name to a fixed point, and each literal is scored by the sensitive names that it reaches.
+propagated from name to name to a fixed point, and each literal is scored by the sensitive names that it reaches. What
+stands in brackets, or behind an operator, is read once and shared by all statements that hold it, so the time grows with
+the text however deeply statements are nested.
 
 Null and empty texts have no spans; a text of any length is read whole; repeated rows give repeated results; an
 empty table gives an empty one; further columns of the input are not read. Positions are code points, ends exclusive.
@@ -10,6 +12,7 @@ empty table gives an empty one; further columns of the input are not read. Posit
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from bisect import bisect_left
@@ -39,7 +42,9 @@ NAME_WEIGHTS = {
 }
 #: A text without any of these has no sensitive name.
 _SENSITIVE = re.compile("(?i)pass|pwd|secret|token|key|credential|auth|bearer|signature")
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|nil|true|false|undefined|change_?me|example.*|sample.*|dummy.*|your.*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
+_PLACEHOLDER = re.compile(r"(?i)(?:x+|\*+|\.+|-+|none|null|nil|true|false|undefined|change_?me|example.*|sample.*|dummy.*|your.*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
+#: Placeholders that may go on as they like.
+_OPEN_ENDED = re.compile(r"(?i)example|sample|dummy|your")
 #: What the lexer tells apart; all other characters separate. A quote after a letter opens no string (don't).
 _TOKEN = re.compile(
     r"""(?P<long>\"{3}(?:\\.|[^\\])*?\"{3}|'{3}(?:\\.|[^\\])*?'{3})
@@ -55,6 +60,7 @@ _NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_]*(?:[.\-]+[A-Za-z0-9_]+)*)\}?\Z
 _SPACE, _SPACE_LINES = re.compile(r"(?:[ \t]|\\\r?\n)*"), re.compile(r"(?:\s|\\)*")
 #: What may stand between two operands of one value.
 _JOIN = re.compile(r"\+|\|\||\?\?|or\b|[.%&](?!\w)")
+_SHELL = re.compile(r"\$\{?([A-Za-z_]\w*)\}?")
 _VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}")
 _BLOCK = re.compile(r"[|>][-+0-9]*[ \t]*\r?\n")
 _ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
@@ -89,13 +95,53 @@ def value_score(value: str) -> float:
     return min(1.0, bits / 3.0) * (0.4 + 0.2 * mixed)
 
 
-@dataclass
-class Statement:
-    """A name, the literals of its value (start, end) and the names that its value mentions."""
+def value_scores(text: str, spans: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """value_score of each span. Spans that end at one place, as nested values do, are counted in one pass from there."""
+    ends: dict[int, list[int]] = defaultdict(list)
+    for start, end in spans:
+        ends[end].append(start)
+    out = {}
+    for end, starts in ends.items():
+        if len(starts) == 1:
+            out[starts[0], end] = value_score(text[starts[0] : end])
+            continue
+        counts, at, total, digit, letter = Counter(), end, 0.0, False, False
+        for start in sorted(starts, reverse=True):
+            for c in text[start:at]:
+                n = counts[c]
+                counts[c] = n + 1
+                total += (n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)
+                digit, letter = digit or c.isdigit(), letter or c.isalpha()
+            at, size = start, end - start
+            if size < 6 or _placeholder(text, start, end):
+                out[start, end] = 0.0
+            else:
+                out[start, end] = min(1.0, (math.log2(size) - total / size) / 3.0) * (0.4 + 0.2 * (digit + letter + (size >= 12)))
+    return out
+
+
+def _placeholder(text: str, start: int, end: int) -> bool:
+    if end - start > 256 and _OPEN_ENDED.match(text, start):
+        return text.find("\n", start, end) in (-1, end - 1)
+    return bool(_PLACEHOLDER.match(text, start, end))
+
+
+class Value:
+    """The literals (start, end) of a value or a part of one, the names that it mentions and the parts that it shares.
 
+    index: the statement that read it first, before which a mentioned name's value is looked for."""
+
+    __slots__ = ("index", "literals", "mentions", "parts", "end", "reached")
+
+    def __init__(self, index: int):
+        self.index, self.literals, self.mentions, self.parts = index, [], [], []
+        self.end, self.reached = None, 0.0
+
+
+@dataclass(slots=True)
+class Statement:
     name: str
-    literals: list[tuple[int, int]]
-    mentions: set[str]
+    value: Value
 
 
 class Lexer:
@@ -106,6 +152,9 @@ class Lexer:
         self.text = text
         self.tokens = [(m.lastgroup, *m.span()) for m in _TOKEN.finditer(text)]
         self.strings = {start: end for kind, start, end in self.tokens if kind in ("text", "long")}
+        self.brackets: dict[int, Value] = {}
+        self.operands: dict[int, Value] = {}
+        self.bare, self.digits = (0, 0), None
 
     def inside(self, start: int, end: int) -> tuple[int, int]:
         """A string's content."""
@@ -132,64 +181,102 @@ class Lexer:
                 # name: type = value
                 if j + 2 < len(tokens) and tokens[j + 1][0] == "name" and text[tokens[j + 2][1] : tokens[j + 2][2]] == "=" and not text[tokens[j + 1][2] : tokens[j + 2][1]].strip(" \t"):
                     at = tokens[j + 2][2]
-            own = Statement(name, *self.value(at, start, op == ":"))
+            own = Statement(name, self.value(at, start, op == ":", len(out)))
             if op == "+=":
-                own.mentions.add(name)
+                own.value.mentions.append(name)
             # an entry's name and its value: {"name": "PASSWORD", "value": "..."}
             if name.lower() == "value" and out and out[-1].name.lower() in ("name", "key"):
-                entry = [text[a:b] for a, b in out[-1].literals] or list(out[-1].mentions)
+                entry = [text[a:b] for a, b in out[-1].value.literals] or list(dict.fromkeys(out[-1].value.mentions))
                 own.name = entry[0] if len(entry) == 1 else name
             out.append(own)
         for m in _ELEMENT.finditer(text) if "</" in text else ():
             value = m[2].strip()
             if value:
                 at = m.start(2) + m[2].index(value)
-                out.append(Statement(m[1], [(at, at + len(value))], set()))
+                out.append(Statement(m[1], Value(len(out))))
+                out[-1].value.literals.append((at, at + len(value)))
         return out
 
-    def value(self, at: int, target: int, block: bool) -> tuple[list[tuple[int, int]], set[str]]:
-        """The literals and names of the value that begins at a place; target: where its statement begins."""
-        text, literals, mentions, depth, more = self.text, [], set(), 0, True
+    def bare_end(self, at: int) -> int | None:
+        """Where a value without quotes that begins here ends; the same for all places of a run."""
+        if not self.bare[0] <= at < self.bare[1]:
+            m = _BARE.match(self.text, at)
+            if not m:
+                return None
+            self.bare = m.span()
+        return self.bare[1]
+
+    def has_digit(self, at: int, end: int) -> bool:
+        if end - at <= 256:
+            return any(c.isdigit() for c in self.text[at:end])
+        if self.digits is None:
+            self.digits = [k for k, c in enumerate(self.text) if c.isdigit()]
+        k = bisect_left(self.digits, at)
+        return k < len(self.digits) and self.digits[k] < end
+
+    def value(self, at: int, target: int, block: bool, index: int) -> Value:
+        """The value that begins at a place; target: where its statement begins. Each bracket is a part of its own, and so
+        is what follows an operator outside of brackets; parts that were read before are taken as they are."""
+        text, more = self.text, True
+        out = now = Value(index)
+        open_: list[tuple[int, Value]] = []  # brackets that are being read, and what they stand in
         at = _SPACE.match(text, at).end()
         if block and (m := _BLOCK.match(text, at)):
-            return self.block(m.end(), target), mentions
+            out.literals += self.block(m.end(), target)
+            return out
         while at < len(text):
             if (at in self.strings) or (text[at] in "bBfFrRuU" and at + 1 in self.strings and text[at + 1] != "`"):
                 start = at if at in self.strings else at + 1
                 end = self.strings[start]
-                literals.append(self.inside(start, end))
-                mentions.update(_VARIABLE.findall(text, start, end))
+                now.literals.append(self.inside(start, end))
+                now.mentions += set(_VARIABLE.findall(text, start, end))
                 at, more = end, False
             elif text[at] == "(":
-                depth, at, more = depth + 1, at + 1, True
-            elif text[at] == ")" and depth:
-                depth, at, more = depth - 1, at + 1, False
-            elif text[at] == "," and depth:
+                known = self.brackets.get(at)
+                if known is not None:
+                    now.parts.append(known)
+                    if known.end is None:
+                        break  # it was never closed
+                    at, more = known.end, False
+                else:
+                    inner = self.brackets[at] = Value(index)
+                    now.parts.append(inner)
+                    open_.append((at, now))
+                    now, at, more = inner, at + 1, True
+            elif text[at] == ")" and open_:
+                now.end, now, at, more = at + 1, open_.pop()[1], at + 1, False
+            elif text[at] == "," and open_:
                 at, more = at + 1, True
             elif m := (not more and _JOIN.match(text, at)):
-                at, more = m.end(), True
-                at = _SPACE_LINES.match(text, at).end()
+                at, more = _SPACE_LINES.match(text, m.end()).end(), True
+                if not open_:
+                    known = self.operands.get(at)
+                    now.parts.append(known or Value(index))
+                    if known is not None:
+                        break
+                    now = self.operands[at] = now.parts[-1]
                 continue
             elif not more:
                 break
-            elif text[at] == "$" and (m := re.compile(r"\$\{?([A-Za-z_]\w*)\}?").match(text, at)):
-                mentions.add(m[1])
+            elif text[at] == "$" and (m := _SHELL.match(text, at)):
+                now.mentions.append(m[1])
                 at, more = m.end(), False
-            elif m := _BARE.match(text, at):
-                word, at = m[0], m.end()
+            elif (end := self.bare_end(at)) is not None:
+                start, at = at, end
                 if text[at : at + 1] == "(":
                     continue  # a call: what it is given counts
-                if depth and _SPACE.match(text, at) and text[_SPACE.match(text, at).end() :][:1] == "=":
+                after = _SPACE.match(text, at).end()
+                if open_ and text[after : after + 1] == "=":
                     break  # a keyword argument is a statement of its own
-                if named := _NAME.match(word):
-                    mentions.add(named[1])
-                if any(c.isdigit() for c in word):
-                    literals.append((m.start(), m.end()))
+                if named := _NAME.match(text, start, end):
+                    now.mentions.append(named[1])
+                if self.has_digit(start, end):
+                    now.literals.append((start, end))
                 more = False
             else:
                 break
-            at = (_SPACE_LINES if depth else _SPACE).match(text, at).end()
-        return literals, mentions
+            at = (_SPACE_LINES if open_ else _SPACE).match(text, at).end()
+        return out
 
     def block(self, at: int, target: int) -> list[tuple[int, int]]:
         """The lines of a block text: those further in than the line of their name."""
@@ -215,25 +302,43 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     statement to those that it mentions until nothing changes."""
     if not _SENSITIVE.search(text) or not (":" in text or "=" in text or "</" in text):
         return []
-    statements = Lexer(text).statements()
+    # long texts make many small objects without cycles, which the collector would go through again and again
+    pause = len(text) > 1 << 16 and gc.isenabled()
+    if pause:
+        gc.disable()
+    try:
+        return _reached_spans(text, Lexer(text).statements())
+    finally:
+        if pause:
+            gc.enable()
+
+
+def _reached_spans(text: str, statements: list[Statement]) -> list[tuple[int, int, int]]:
     places: dict[str, list[int]] = defaultdict(list)
     for k, own in enumerate(statements):
         places[own.name].append(k)
-    weights = [name_score(own.name) for own in statements]
-    reached = [0.0] * len(statements)
-    for k in sorted(range(len(statements)), key=lambda k: -weights[k]):
-        todo = [k]  # the most sensitive first, so each statement is reached once at its final weight
-        while todo and weights[k] > 0:
-            j = todo.pop()
-            if reached[j] >= weights[k]:
+    names, held = defaultdict(float), []  # weights of names whose later values all count
+    scores = {name: -name_score(name) for name in places}
+    for weight, k in sorted(((scores[own.name], k) for k, own in enumerate(statements))):
+        todo = [statements[k].value]  # the most sensitive first, so each part is reached once at its final weight
+        while todo and weight < 0:
+            part = todo.pop()
+            if part.reached >= -weight:
                 continue
-            reached[j] = weights[k]
-            for name in statements[j].mentions:
+            if not part.reached:
+                held.append(part)
+            part.reached = -weight
+            todo += part.parts
+            for name in set(part.mentions):
                 own = places.get(name, ())
-                before = bisect_left(own, j)
-                todo += [own[before - 1]] if before else own[before:]
-    found = {(a, 3, b) for own, weight in zip(statements, reached) for a, b in own.literals if weight * value_score(text[a:b]) >= LEAST_SCORE}
-    return sorted(found)
+                before = bisect_left(own, part.index)
+                if before:
+                    todo.append(statements[own[before - 1]].value)
+                elif names[name] < -weight:
+                    names[name] = -weight
+                    todo += [statements[j].value for j in own]
+    score = value_scores(text, {span for part in held for span in part.literals})
+    return sorted({(a, 3, b) for part in held for a, b in part.literals if part.reached * score[a, b] >= LEAST_SCORE})
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

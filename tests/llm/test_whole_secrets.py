@@ -1,5 +1,7 @@
 """Many literals of a name, and long names."""
 
+import time
+
 import pytest
 
 from driftlake.llm import secret_scan
@@ -51,3 +53,25 @@ def test_escapes_blocks_and_what_is_none():
 def test_odd_texts_end_quickly():
     for text in ("password = " + "(" * 20_000, 'password = "' + "x" * 300_000, "password: |\n" + " \n" * 50_000, 'key="' * 20_000, "password " * 50_000 + "= a", "'" * 50_001 + "key=", '"""' + "key=a+" * 30_000):
         secret_scan.all_spans(text)
+
+
+def test_nested_and_chained_statements_take_time_in_proportion():
+    """A megabyte of each form within seconds (below 5 on a free box); in squares of its length it would take hours."""
+    n = 1_000_000
+    forms = {
+        "nested": "token " + "a:(" * (n // 3), "later": "".join(f"token_{i} = y\n" for i in range(n // 32)) + "".join(f'y = "Zq{i}xW"\n' for i in range(n // 30)), "operands": "token:b1+" * (n // 9),
+        "groups": "token:(x9)+" * (n // 11), "placeholders": "token:your1" * (n // 11), "names": "token = (" + "a = b + " * (n // 8), "strings": 'token:"a1b2c3"+' * (n // 15),
+        "closed": "token:(" * (n // 14) + ")" * (n // 14), "calls": "a:b(" * (n // 4), "blocks": "".join(" " * i + f"token{i}: |\n" for i in range(1400)), "lines": "token: (a + b +\n" * (n // 16),
+    }
+    for name, text in forms.items():
+        began = time.process_time()
+        secret_scan.all_spans(text)
+        assert time.process_time() - began < 12, name
+
+
+def test_nested_values_share_what_they_hold():
+    assert found(f'outer = (1, password = (x, "{KEY}"), 2)') == [KEY]
+    assert found(f'token = ("short" + (user + "{KEY}"))') == [KEY]
+    assert found(f'a = b + "{KEY}"\ntoken = token + a') == [KEY]
+    assert found(f'token = ("{KEY}" + token)\ntoken = (token + "other1Zq81xW")') == [KEY, "other1Zq81xW"]
+    assert found("token:b1Zq81xW9vKt7Lm+token:c2Zq81xW9vKt7Lm") == ["b1Zq81xW9vKt7Lm+token:c2Zq81xW9vKt7Lm", "c2Zq81xW9vKt7Lm"]
