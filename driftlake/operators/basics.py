@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftlake.functions.columns import boxcox, finite, normal_sf
-from driftlake.operators.series import by_series, median_deviations, running, with_percentiles, with_stats
+from driftlake.operators.series import blanked, by_series, median_deviations, running, with_percentiles, with_stats
 from driftlake.operators.slopes import theil_sen
 
 __all__ = ["theil_sen"]
@@ -64,9 +64,10 @@ def boxcox_lambda(df: DataFrame, key: str, value: str, low: int = -40, high: int
     return sums.select(key, F.when(F.col("n") < 8, 0.0).otherwise(F.array_max(each)["power"]).alias("power"))
 
 
-def standardized(df: DataFrame, robust: bool = False) -> DataFrame:
-    """df with z: value less mean, in standard deviations (robust: median and MAD); a scale of zero counts as one."""
-    own = df.where(finite(F.col("value")))
+def standardized(df: DataFrame, robust: bool = False, gaps: bool = False) -> DataFrame:
+    """df with z: value less mean, in standard deviations (robust: median and MAD); a scale of zero counts as one. Rows
+    without a finite value are left out; with gaps they stay, without value and z."""
+    own = blanked(df) if gaps else df.where(finite(F.col("value")))
     if robust:
         own = own.join(median_deviations(own).withColumnsRenamed({"med": "center", "mad": "scale"}), "series")
     else:

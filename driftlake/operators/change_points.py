@@ -1,4 +1,5 @@
-"""Change-point detectors; each gives one row a series. Places count from 1 within the finite values of a series.
+"""Change-point detectors; each gives one row a series. Values that are missing take no part; `indices` count from 1 among
+all rows of a series, missing ones included, so they are places of the input.
 
 Scans that are sums over prefixes are window expressions in two levels (`running`), CUSUM with resets is an ordered pass of
 constant memory over Arrow batches, and dynamic programmes (PELT, the product partition) take a series' values as one array.
@@ -13,20 +14,27 @@ from pyspark.sql.window import Window
 
 from driftlake.functions.columns import t_two_sided
 from driftlake.operators.basics import excess_kurtosis, missing_fraction, regular_cadence, robust_mad, standardized
-from driftlake.operators.series import in_order, kept, per_series, running, valid, with_stats
+from driftlake.operators.series import blanked, in_order, kept, per_series, running, valid, with_stats
 
 RESULT = "method string, detected boolean, indices array<bigint>, statistic double, confidence double"
 
 
 def cusum_alarms(df: DataFrame, k: float = 0.5, h: float = 5.0, robust: bool = False) -> DataFrame:
     """(series, i): the places at which two-sided CUSUM of standardised values crosses h and starts again."""
-    z = standardized(valid(df))
+    z = standardized(df, gaps=True)
     if robust:  # standardised again, by median and MAD first: the second step undoes the first one's scale
-        z = standardized(standardized(valid(df), robust=True).withColumn("value", F.col("z")).drop("z"))
+        z = standardized(standardized(df, robust=True, gaps=True).withColumn("value", F.col("z")).drop("z"), gaps=True)
 
     kind = dict(df.dtypes)["series"]
-    alarm = lambda state, x: crossings(x, k, h, state)
-    return in_order(z.withColumn("value", F.col("z")), lambda: {"i": 0, "up": 0.0, "down": 0.0}, alarm, f"series {kind}, i bigint")
+
+    def alarm(state: dict, x: np.ndarray) -> dict[str, np.ndarray]:
+        there, before = np.flatnonzero(np.isfinite(x)), state["i"]
+        found = crossings(x[there], k, h, state)["i"]
+        at = state["rows"] + there[found - before - 1] + 1
+        state["rows"] += len(x)
+        return {"i": at}
+
+    return in_order(z.withColumn("value", F.col("z")), lambda: {"i": 0, "rows": 0, "up": 0.0, "down": 0.0}, alarm, f"series {kind}, i bigint")
 
 
 def crossings(x: np.ndarray, k: float, h: float, state: dict, first: int = 64) -> dict[str, np.ndarray]:
@@ -61,17 +69,16 @@ def first_largest(df: DataFrame, statistic: Column, *more: str) -> DataFrame:
 
 def cusum(df: DataFrame, k: float = 0.5, h: float = 5.0, robust: bool = False) -> DataFrame:
     """Alarms of CUSUM and the peak of the path of centred sums."""
-    own = valid(df)
-    values = standardized(own, robust=True).withColumn("value", F.col("z")).drop("z") if robust else own
-    path = running(with_stats(values, _m=F.avg("value")), {"s": F.col("value") - F.col("_m")})
-    peak = first_largest(path, F.round(F.abs("s"), 9))
+    values = standardized(df, robust=True, gaps=True).withColumn("value", F.col("z")).drop("z") if robust else blanked(df)
+    path = running(with_stats(values, _m=F.avg("value")), {"s": F.col("value") - F.col("_m")}, gaps=True)
+    peak = first_largest(path, F.round(F.abs("s"), 9), "place")
     scale = path.groupBy("series").agg(F.stddev_samp("s").alias("sd"), F.count("*").alias("n"))
     alarms = cusum_alarms(df, k, h, robust).groupBy("series").agg(F.array_sort(F.collect_list("i")).alias("alarms"))
     out = peak.join(scale, "series").join(alarms, "series", "left").withColumn("alarms", F.coalesce("alarms", F.array().cast("array<bigint>")))
     n = F.size("alarms")
     detected = (F.col("n") >= 8) & ((n > 0) | (F.col("statistic") > 2 * F.col("sd")))
     confidence = F.when(detected, F.least(F.lit(0.99), 0.55 + 0.08 * n + 0.1 * F.col("statistic") / (F.col("sd") + 2.0**-52))).otherwise(0.2)
-    indices = F.when(detected, F.array_sort(F.array_union("alarms", F.array(F.col("i").cast("bigint"))))).otherwise(F.array().cast("array<bigint>"))
+    indices = F.when(detected, F.array_sort(F.array_union("alarms", F.array(F.col("place").cast("bigint"))))).otherwise(F.array().cast("array<bigint>"))
     return out.select("series", F.lit("robust_median" if robust else "cusum").alias("method"), detected.alias("detected"), indices.alias("indices"), "statistic", confidence.alias("confidence"))
 
 
@@ -81,17 +88,17 @@ def robust_median(df: DataFrame) -> DataFrame:
 
 def likelihood(df: DataFrame) -> DataFrame:
     """The Gaussian likelihood-ratio scan of one change of mean, from prefix sums of centred values."""
-    own = with_stats(valid(df), _m=F.avg("value"))
+    own = with_stats(blanked(df), _m=F.avg("value"))
     d = F.col("value") - F.col("_m")
-    sums = running(own, {"s1": d, "s2": d * d})
+    sums = running(own, {"s1": d, "s2": d * d}, gaps=True)
     ends = sums.groupBy("series").agg(F.sum(F.when(F.col("i") == F.col("n"), F.col("s1"))).alias("t1"), F.max("s2").alias("t2"))
     n, i = F.col("n"), F.col("i")
     ss = F.col("t2") - F.col("s1") ** 2 / i - (F.col("t1") - F.col("s1")) ** 2 / F.nullif(n - i, F.lit(0))
     lr = F.when((i >= 2) & (i <= n - 2) & (ss > 0) & (F.col("t2") > 0), n / 2.0 * F.ln(F.when(ss > 0, F.col("t2") / ss)))
-    best = first_largest(sums.join(ends, "series"), F.round(lr, 9), "n")
+    best = first_largest(sums.join(ends, "series"), F.round(lr, 9), "n", "place")
     detected = (n >= 8) & F.coalesce(F.col("statistic") > F.ln(n.cast("double")) + 1.5, F.lit(False))
     confidence = F.when(detected, F.least(F.lit(0.99), 1 - F.exp(-F.greatest(F.col("statistic") - F.ln(n.cast("double")), F.lit(0.0)) / 4))).otherwise(0.15)
-    return best.select("series", F.lit("likelihood").alias("method"), detected.alias("detected"), F.when(detected, F.array(i.cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("indices"), "statistic", confidence.alias("confidence"))
+    return best.select("series", F.lit("likelihood").alias("method"), detected.alias("detected"), F.when(detected, F.array(F.col("place").cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("indices"), "statistic", confidence.alias("confidence"))
 
 
 def rolling(df: DataFrame, window: int | None = None) -> DataFrame:
@@ -100,7 +107,7 @@ def rolling(df: DataFrame, window: int | None = None) -> DataFrame:
 
     Windows come from differences of running sums at three places, which are joined by place."""
     d = F.col("value") - F.col("_m")
-    sums = running(with_stats(valid(df), _m=F.avg("value")), {"s1": d, "s2": d * d}).select("series", "i", "n", "s1", "s2")
+    sums = running(with_stats(blanked(df), _m=F.avg("value")), {"s1": d, "s2": d * d}, gaps=True).select("series", "i", "place", "n", "s1", "s2")
     size = F.lit(window).cast("bigint") if window else F.greatest(F.lit(8), F.floor(F.col("n") / 8)).cast("bigint")
     middle = sums.withColumn("w", size).where((F.col("i") >= F.col("w")) & (F.col("i") <= F.col("n") - F.col("w")))
     at = lambda place, name: sums.select("series", F.col("i").alias(place), F.col("s1").alias(f"{name}1"), F.col("s2").alias(f"{name}2"))
@@ -116,11 +123,11 @@ def rolling(df: DataFrame, window: int | None = None) -> DataFrame:
     dof = F.when(some, se * se * (w - 1) / F.nullif((F.col("vl") / w) ** 2 + (F.col("vr") / w) ** 2, F.lit(0.0))).otherwise(1.0)
     own = own.withColumn("t", t).withColumn("dof", dof)
     own = own.withColumn("p", F.when(F.col("t") != 0, t_two_sided(F.col("t"), F.col("dof"))).otherwise(1.0))
-    best = first_largest(own, -F.round("p", 12), "t", "p").select("series", "i", "t", "p")
+    best = first_largest(own, -F.round("p", 12), "place", "t", "p").select("series", "place", "t", "p")
     out = sums.select("series").distinct().join(best, "series", "left")
     detected = F.coalesce(F.col("p") < 0.01, F.lit(False))
     return out.select(
-        "series", F.lit("rolling").alias("method"), detected.alias("detected"), F.when(detected, F.array(F.col("i").cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("indices"),
+        "series", F.lit("rolling").alias("method"), detected.alias("detected"), F.when(detected, F.array(F.col("place").cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("indices"),
         F.coalesce(F.abs("t"), F.lit(0.0)).alias("statistic"), F.when(detected, 1 - F.col("p")).otherwise(0.2).alias("confidence"),
     )
 
@@ -168,7 +175,7 @@ def pelt(df: DataFrame, min_size: int = 8) -> DataFrame:
         found, statistic = pelt_of(x, min_size)
         return _result("pelt", bool(found), found, statistic, min(0.95, 0.6 + 0.1 * len(found)) if found else 0.2)
 
-    return per_series(valid(df), work, RESULT)
+    return per_series(blanked(df), work, RESULT)
 
 
 def product_partition(x: np.ndarray, min_size: int = 8) -> tuple[list[int], np.ndarray]:
@@ -226,7 +233,7 @@ def bayesian(df: DataFrame, min_size: int = 8) -> DataFrame:
         found, mass = product_partition(x, min_size)
         return _result("bayesian", bool(found), found, mass.max(), mass.max() if found else 0.2)
 
-    return per_series(valid(df), work, RESULT)
+    return per_series(blanked(df), work, RESULT)
 
 
 def energy_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -250,7 +257,7 @@ def kernel(df: DataFrame) -> DataFrame:
         hit = found[best] > 1.8 * max(middle, np.finfo(float).eps) and found[best] > 0
         return _result("kernel", hit, [splits[best]] if hit else [], found[best], min(0.9, 0.5 + found[best] / (found[best] + middle + 1)) if hit else 0.2)
 
-    return per_series(valid(df), work, RESULT)
+    return per_series(blanked(df), work, RESULT)
 
 
 def metropolis_of(x: np.ndarray, samples: int = 400, seed: int = 7) -> tuple[int, float]:
@@ -286,7 +293,7 @@ def sampled_cut(df: DataFrame, samples: int = 400, seed: int = 7) -> DataFrame:
         cut, mass = metropolis_of(x, samples, seed)
         return _result("sampled", mass >= 0.08, [cut] if mass >= 0.08 else [], mass, mass)
 
-    return per_series(valid(df), work, RESULT)
+    return per_series(blanked(df), work, RESULT)
 
 
 def features(df: DataFrame, has_controls: bool = False) -> DataFrame:

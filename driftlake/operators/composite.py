@@ -89,11 +89,13 @@ def analyze(df: DataFrame, events: DataFrame | None = None, lot: str | None = No
     and limitations. Every part is keyed by series, so many series run as one; policy: what becomes of outliers."""
     columns = [c for c in ("control",) if c in df.columns]
     base = df.groupBy("series").agg(F.count("*").alias("rows"), missing_fraction(F.col("value")).alias("missing"))
-    flagged = qc.outliers(df).groupBy("series").agg(F.count(F.when(F.col("is_outlier"), 1)).alias("n_outliers"))
-    own = qc.without_outliers(df, policy)
+    known = df.where(F.col("ts").isNotNull())
+    flagged = qc.outliers(known).groupBy("series").agg(F.count(F.when(F.col("is_outlier"), 1)).alias("n_outliers"))
+    own = qc.without_outliers(known, policy)
     work = kept(own.select("series", "seq", "ts", "value", *columns, *([lot] if lot else [])), "report-values")
     out = base.join(work.groupBy("series").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")), "series", "left").join(flagged, "series", "left")
-    features = kept(cp.features(df.select("series", "seq", "ts", "value", *columns)), "report-features")
+    # the detector is chosen by what is left to look at: finite values, after the policy for outliers
+    features = kept(cp.features(work.select("series", "seq", "ts", "value", *columns)), "report-features")
     chosen = features.select("series", F.col("method").alias("change_method"), F.col("reason").alias("change_reason"))
     found = cp.detect_changes(work.select("series", "seq", "ts", "value"), chosen=features)
     changes = found.select("series", F.col("detected").alias("change"), F.col("indices").alias("change_indices"), F.col("confidence").alias("change_confidence"))

@@ -1,5 +1,7 @@
 """Drift of several kinds; each detector gives one row a series:
-(series, kind, detected, probability, magnitude, direction, start_index). Series of fewer than 8 values are not detected.
+(series, kind, detected, probability, magnitude, direction, start_index). Rows without a finite value or without a time
+take no part, and places count the others (with by_index, times are not needed). Series of fewer than 8 values are not
+detected.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql.window import Window
 from driftlake.functions.columns import direction, normal_sf
 from driftlake.operators import change_points as cp
 from driftlake.operators import two_sample as ts
-from driftlake.operators.series import kept, running, valid, with_stats
+from driftlake.operators.series import kept, running, timed, valid, with_stats
 from driftlake.operators.slopes import theil_sen
 
 EPS = 2.0**-52
@@ -31,7 +33,7 @@ def _result(df: DataFrame, kind: str, detected: Column, probability: Column, mag
 
 def _timed(df: DataFrame, by_index: bool) -> DataFrame:
     """Rows with k (their place), x (hours since the series began, or the place) and y."""
-    own = running(valid(df), {"_z": F.lit(0.0)})
+    own = running(valid(df) if by_index else timed(df), {"_z": F.lit(0.0)})
     if by_index:
         x = F.col("i").cast("double")
     else:
@@ -78,8 +80,9 @@ def nonlinear(df: DataFrame, by_index: bool = False, lines: DataFrame | None = N
 
 def sudden(df: DataFrame) -> DataFrame:
     """One change of mean by the likelihood-ratio scan."""
+    df = timed(df)
     found = cp.likelihood(df).select("series", "detected", "confidence", F.get("indices", F.lit(0)).alias("tau"))
-    own = running(valid(df), {"_z": F.lit(0.0)}).join(found, "series")
+    own = running(df, {"_z": F.lit(0.0)}).join(found, "series")
     left = F.col("i") <= F.col("tau")
     m = own.groupBy("series").agg(F.avg(F.when(left, F.col("value"))).alias("m1"), F.avg(F.when(~left, F.col("value"))).alias("m2"), F.first("detected").alias("found"), F.first("confidence").alias("confidence"), F.first("tau").alias("tau"), F.count("*").alias("n"))
     step = F.col("m2") - F.col("m1")
@@ -88,7 +91,7 @@ def sudden(df: DataFrame) -> DataFrame:
 
 def variance(df: DataFrame) -> DataFrame:
     """Cumulative sums of squares against the supremum of a Brownian bridge (5 per cent: 1.358)."""
-    own = with_stats(valid(df), _m=F.avg("value"))
+    own = with_stats(timed(df), _m=F.avg("value"))
     d = F.col("value") - F.col("_m")
     sums = running(own.withColumn("d", d), {"c": d * d})
     total = sums.groupBy("series").agg(F.max("c").alias("total"))
@@ -104,7 +107,7 @@ def variance(df: DataFrame) -> DataFrame:
 
 def cyclic(df: DataFrame, most: int = 40) -> DataFrame:
     """The share of the largest of the first harmonics in the power of all of them."""
-    own = running(with_stats(valid(df), _m=F.avg("value")), {"_z": F.lit(0.0)}).withColumn("z", F.col("value") - F.col("_m"))
+    own = running(with_stats(timed(df), _m=F.avg("value")), {"_z": F.lit(0.0)}).withColumn("z", F.col("value") - F.col("_m"))
     # one aggregate with a sum of cosines and one of sines for each harmonic; rows are not multiplied
     turn = 2 * math.pi / F.col("n") * F.col("i")
     sums = own.where("n >= 4").groupBy("series").agg(F.first("n").alias("n"), *(F.sum(F.col("z") * f(turn * k)).alias(f"{x}{k}") for k in range(1, most + 1) for x, f in (("c", F.cos), ("s", F.sin))))
@@ -117,7 +120,7 @@ def cyclic(df: DataFrame, most: int = 40) -> DataFrame:
 
 def distribution(df: DataFrame) -> DataFrame:
     """The first third of each series against the rest, by Kolmogorov and Smirnov; eight values on each side."""
-    own = running(valid(df), {"_z": F.lit(0.0)})
+    own = running(timed(df), {"_z": F.lit(0.0)})
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     pooled = own.select("series", "value", "n", F.when(F.col("i") <= third, "a").otherwise("b").alias("side"))
     k = ts.ks(pooled).withColumnsRenamed({"n": "na", "m": "nb"})
@@ -160,7 +163,8 @@ def best_of(results: dict[str, DataFrame]) -> DataFrame:
         own = found.withColumn("_order", F.lit(order))
         own = own.where(F.col("n") >= {"cyclic": 16, "nonlinear": 20}.get(name, 0))
         out = own if out is None else out.unionByName(own)
-    best = Window.partitionBy("series").orderBy(F.desc(F.round("probability", 9)), "_order")
+    # a probability that is not a number never wins
+    best = Window.partitionBy("series").orderBy(F.desc_nulls_last(F.round(F.nanvl("probability", F.lit(None).cast("double")), 9)), "_order")
     return out.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "_order")
 
 

@@ -31,6 +31,16 @@ def valid(df: DataFrame) -> DataFrame:
     return df.where(finite(F.col("value")))
 
 
+def timed(df: DataFrame) -> DataFrame:
+    """Rows with a finite value and a time."""
+    return valid(df).where(F.col("ts").isNotNull())
+
+
+def blanked(df: DataFrame) -> DataFrame:
+    """df with null in place of every value that is not finite; no row is dropped, so places are those of the input."""
+    return df.withColumn("value", F.when(finite(F.col("value")), F.col("value")))
+
+
 def from_table(df: DataFrame, *, value: str, time: str, series: str | Column | None = None, seq: str | None = None, **columns: str | Column) -> DataFrame:
     """A measurements table from any table: columns by name or expression; rows without a finite value are dropped."""
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
@@ -41,10 +51,13 @@ def from_table(df: DataFrame, *, value: str, time: str, series: str | Column | N
     return valid(picked)
 
 
-def running(df: DataFrame, sums: dict[str, Column], day: Column | None = None) -> DataFrame:
+def running(df: DataFrame, sums: dict[str, Column], day: Column | None = None, gaps: bool = False) -> DataFrame:
     """df with i (the place in its series, from 1), n (the series' rows) and a running sum for each entry of sums.
 
-    Two levels: within a day of a series, and over the totals of its days."""
+    Two levels: within a day of a series, and over the totals of its days. With gaps, rows whose value is null are left
+    out, i and n count the others, and place is a row's place among all rows."""
+    if gaps:
+        return _running_with_gaps(df, sums, day)
     day = day if day is not None else F.to_date("ts")
     df = df.withColumn("_day", day)
     for k, c in sums.items():
@@ -67,6 +80,13 @@ def running(df: DataFrame, sums: dict[str, Column], day: Column | None = None) -
     return out.select(*(F.col(f"l.{c}") for c in kept), (F.col("i") + F.col("_base")).alias("i"), "n", *((F.col(f"l.{k}") + F.col(f"_b_{k}")).alias(k) for k in sums))
 
 
+def _running_with_gaps(df: DataFrame, sums: dict[str, Column], day: Column | None) -> DataFrame:
+    there = F.col("value").isNotNull()
+    own = running(df, {"_i": there.cast("long"), **{k: F.coalesce(c, F.lit(0.0)) for k, c in sums.items()}}, day).withColumnsRenamed({"i": "place", "n": "_rows"})
+    n = own.where(there).groupBy("series").agg(F.count("*").alias("n"))
+    return own.where(there).join(n, "series").withColumn("i", F.col("_i").cast("bigint")).drop("_i", "_rows")
+
+
 def with_stats(df: DataFrame, keys: tuple[str, ...] = ("series",), **aggregates: Column) -> DataFrame:
     """df with figures of each group joined to its rows."""
     return df.join(df.groupBy(*keys).agg(*(c.alias(k) for k, c in aggregates.items())), list(keys))
@@ -189,12 +209,17 @@ def in_order(df: DataFrame, start: Callable[[], dict], work: Callable[[dict, np.
 def per_series(df: DataFrame, work: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
     """One row a series from all its values in order, for dynamic programmes that need them together.
 
-    work takes the values and gives the columns after series. A series of n values takes some 8 n bytes in its task."""
+    work takes the finite values and gives the columns after series; places that it gives as `indices` become those among
+    all rows of the series. A series of n values takes some 8 n bytes in its task."""
     kinds = dict(df.dtypes)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ts", "ascending"), ("seq", "ascending")])
-        found = work(table.column("value").to_numpy())
+        table = table.take(pc.sort_indices(table, sort_keys=[("ts", "ascending"), ("seq", "ascending")], null_placement="at_start"))
+        x = table.column("value").to_numpy()
+        there = np.flatnonzero(np.isfinite(x))
+        found = work(x[there])
+        if len(there) < len(x) and "indices" in found:
+            found["indices"] = [int(there[i - 1]) + 1 for i in found["indices"]]
         # an empty list has no type of its own
         typed = {k: pa.array([v], pa.list_(pa.int64()) if isinstance(v, list) else None) for k, v in found.items()}
         return pa.table({"series": table.column("series").slice(0, 1)} | typed)

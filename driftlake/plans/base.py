@@ -45,6 +45,12 @@ def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("series"), F.col("event_id").alias("seq"), "ts", "value")
 
 
+def by_user_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' series with values missing here and times there."""
+    e, at = by_user(spark, sf_dir), F.col("seq")
+    return e.withColumn("ts", F.when(at % 29 != 3, F.col("ts"))).withColumn("value", F.when(at % 13 == 5, float("nan")).when(at % 13 != 7, F.col("value")))
+
+
 def by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit prices by return flag and line status."""
     li = table(spark, sf_dir, "lineitem")
@@ -55,6 +61,11 @@ def by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 T = "e AS (SELECT event_type AS series, event_id AS seq, ts, value, user_id FROM events)"
 U = "e AS (SELECT user_id AS series, event_id AS seq, ts, value FROM events)"
 
+_GAPS = "gaps AS (SELECT user_id AS series, event_id AS seq, CASE WHEN event_id % 29 <> 3 THEN ts END AS ts, CASE WHEN event_id % 13 NOT IN (5, 7) THEN value END AS value FROM events)"
+#: With missing values and times: rows that have both, and rows that have a value with their places among all rows.
+TIMED = f"{_GAPS}, e AS (SELECT * FROM gaps WHERE ts IS NOT NULL AND value IS NOT NULL)"
+PLACED = f"{_GAPS}, h AS (SELECT series, seq, coalesce(ts, TIMESTAMP '0001-01-01') AS ts, value, row_number() OVER (PARTITION BY series ORDER BY ts NULLS FIRST, seq) AS place FROM gaps), e AS (SELECT * FROM h WHERE value IS NOT NULL)"
+
 
 def r(c: str | object, places: int = 6):
     return F.round(c, places) + 0.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlake.operators import change_points as cp
-from driftlake.plans.base import T, U, by_type, by_user, query, rounded, t_tail
+from driftlake.plans.base import PLACED, T, U, by_type, by_user, by_user_with_gaps, query, rounded, t_tail
 
 
 def shown(df):
@@ -18,6 +18,8 @@ s AS (SELECT *, sum(d) OVER u AS s1, sum(d) OVER (PARTITION BY series) AS t1, su
 l AS (SELECT series, i, n, n / 2.0::DOUBLE * ln(t2 / nullif(t2 - s1 ** 2 / i - (t1 - s1) ** 2 / (n - i), 0)) AS lr FROM s WHERE i >= 2 AND i <= n - 2),
 b AS (SELECT *, round(lr, 9) AS statistic FROM l QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(lr, 9) DESC NULLS LAST, i) = 1)
 SELECT series, 'likelihood' AS method, coalesce(statistic > ln(n) + 1.5, FALSE) AS detected, CASE WHEN statistic > ln(n) + 1.5 THEN CAST(i AS VARCHAR) ELSE '' END AS indices, round(statistic, 6) AS statistic, round(CASE WHEN statistic > ln(n) + 1.5 THEN least(0.99, 1 - exp(-greatest(statistic - ln(n), 0) / 4)) ELSE 0.15 END, 6) AS confidence FROM b"""
+#: The same with places among all rows.
+_LR_PLACED = _LR.replace("SELECT series, row_number()", "SELECT series, place, row_number()").replace("SELECT series, i, n, n / 2.0", "SELECT series, place, i, n, n / 2.0").replace("CAST(i AS VARCHAR)", "CAST(place AS VARCHAR)")
 
 
 @query("cp_likelihood", f"WITH {T}, {_LR}")
@@ -30,6 +32,11 @@ def likelihood_by_user(spark, sf):
     return shown(cp.likelihood(by_user(spark, sf)))
 
 
+@query("cp_likelihood_gaps", f"WITH {PLACED}, {_LR_PLACED}")
+def likelihood_gaps(spark, sf):
+    return shown(cp.likelihood(by_user_with_gaps(spark, sf)))
+
+
 #: The sequential pass as a recursion over the rows of all series at once.
 _STEPS = """z AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS i, (value - avg(value) OVER (PARTITION BY series)) / stddev_samp(value) OVER (PARTITION BY series) AS z FROM e),
 c AS (SELECT series, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS p, 0.0::DOUBLE AS m, FALSE AS alarm FROM z WHERE i = 1

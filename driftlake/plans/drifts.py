@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlake.operators import drift
-from driftlake.plans.base import KS_TAIL, T, U, by_type, by_user, query, rounded, table
+from driftlake.plans.base import KS_TAIL, T, TIMED, U, by_type, by_user, by_user_with_gaps, query, rounded, table
 from driftlake.plans.basics import TWO_SIDED
 
 _SHOWN = ("series", "kind", "detected", "probability", "magnitude", "direction", "start_index", "n")
@@ -93,6 +93,16 @@ def linear(spark, sf):
     return shown(drift.linear(by_user(spark, sf)))
 
 
+@query("drift_linear_gaps", _rounded(_linear(TIMED)))
+def linear_gaps(spark, sf):
+    return shown(drift.linear(by_user_with_gaps(spark, sf)))
+
+
+@query("drift_auto_gaps", _rounded(auto_sql(TIMED)))
+def auto_gaps(spark, sf):
+    return shown(drift.detect_drift(by_user_with_gaps(spark, sf)))
+
+
 @query("drift_nonlinear", _rounded(_nonlinear(U)))
 def nonlinear(spark, sf):
     return shown(drift.nonlinear(by_user(spark, sf)))
