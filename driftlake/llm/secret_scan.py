@@ -19,6 +19,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,9 +90,13 @@ def value_score(value: str) -> float:
     """0 to 1: long literals of many different characters look like secrets; placeholders never do."""
     if len(value) < 6 or _PLACEHOLDER.match(value):
         return 0.0
-    counts = Counter(value)
+    if len(value) > 1 << 12:
+        codes, n = np.unique(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+        counts = dict(zip(map(chr, codes.tolist()), n.tolist()))
+    else:
+        counts = Counter(value)
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    mixed = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + (len(value) >= 12)
+    mixed = any(c.isdigit() for c in counts) + any(c.isalpha() for c in counts) + (len(value) >= 12)
     return min(1.0, bits / 3.0) * (0.4 + 0.2 * mixed)
 
 
@@ -154,7 +159,7 @@ class Lexer:
         self.strings = {start: end for kind, start, end in self.tokens if kind in ("text", "long")}
         self.brackets: dict[int, Value] = {}
         self.operands: dict[int, Value] = {}
-        self.bare, self.digits = (0, 0), None
+        self.bare, self.digits, self.lines = (0, 0), None, None
 
     def inside(self, start: int, end: int) -> tuple[int, int]:
         """A string's content."""
@@ -280,19 +285,40 @@ class Lexer:
 
     def block(self, at: int, target: int) -> list[tuple[int, int]]:
         """The lines of a block text: those further in than the line of their name."""
-        text = self.text
-        line = text.rfind("\n", 0, target) + 1
-        indent, begin, last = len(text[line:target]) - len(text[line:target].lstrip(" ")), None, at
-        while at < len(text):
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-            own = text[at:end].strip()
+        if self.lines is None:
+            self.lines = Lines(self.text)
+        line = self.text.rfind("\n", 0, target) + 1
+        lead = self.text[line:target]
+        return self.lines.deeper(at, len(lead) - len(lead.lstrip(" ")))
+
+
+class Lines:
+    """The lines of a text that hold something: where they and their content begin and end, how far they are in, and the
+    next line that is less far in."""
+
+    def __init__(self, text: str):
+        self.start, self.begin, self.end, self.indent = [], [], [], []
+        at = 0
+        for line in text.split("\n"):
+            own = line.strip()
             if own:
-                if len(text[at:end]) - len(text[at:end].lstrip(" ")) <= indent:
-                    break
-                begin, last = (at + text[at:end].index(own) if begin is None else begin), at + text[at:end].index(own) + len(own)
-            at = end + 1
-        return [] if begin is None else [(begin, last)]
+                self.start.append(at)
+                self.begin.append(at + line.index(own))
+                self.end.append(self.begin[-1] + len(own))
+                self.indent.append(len(line) - len(line.lstrip(" ")))
+            at += len(line) + 1
+        self.out, open_ = [len(self.start)] * len(self.start), []
+        for k, n in enumerate(self.indent):
+            while open_ and self.indent[open_[-1]] > n:
+                self.out[open_.pop()] = k
+            open_.append(k)
+
+    def deeper(self, at: int, indent: int) -> list[tuple[int, int]]:
+        """From the first of the lines from a place on to the last one before a line that is no further in than indent."""
+        first = k = bisect_left(self.start, at)
+        while k < len(self.start) and self.indent[k] > indent:
+            k = self.out[k]
+        return [] if k == first else [(self.begin[first], self.end[k - 1])]
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:

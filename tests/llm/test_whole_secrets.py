@@ -61,7 +61,7 @@ def test_nested_and_chained_statements_take_time_in_proportion():
     forms = {
         "nested": "token " + "a:(" * (n // 3), "later": "".join(f"token_{i} = y\n" for i in range(n // 32)) + "".join(f'y = "Zq{i}xW"\n' for i in range(n // 30)), "operands": "token:b1+" * (n // 9),
         "groups": "token:(x9)+" * (n // 11), "placeholders": "token:your1" * (n // 11), "names": "token = (" + "a = b + " * (n // 8), "strings": 'token:"a1b2c3"+' * (n // 15),
-        "closed": "token:(" * (n // 14) + ")" * (n // 14), "calls": "a:b(" * (n // 4), "blocks": "".join(" " * i + f"token{i}: |\n" for i in range(1400)), "lines": "token: (a + b +\n" * (n // 16),
+        "closed": "token:(" * (n // 14) + ")" * (n // 14), "calls": "a:b(" * (n // 4), "blocks": "".join(" " * i + f"token{i}: |\n" for i in range(1400)), "hills": "".join(" " * i + f"token{i}: |\n" for i in [*range(1000), *range(999, 0, -1)]), "lines": "token: (a + b +\n" * (n // 16),
     }
     for name, text in forms.items():
         began = time.process_time()
