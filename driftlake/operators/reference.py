@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftlake.functions.columns import boxcox, finite, inv_boxcox, lms_quantile, normal_quantile
 from driftlake.operators import two_sample as ts
 from driftlake.operators.basics import boxcox_lambda
-from driftlake.operators.series import median_deviations, percentiles, with_percentiles, with_stats
+from driftlake.operators.series import kept, median_deviations, percentiles, with_percentiles, with_stats
 
 METHODS = ("nonparametric", "parametric", "robust", "transformed", "boxcox", "horn", "lms")
 
@@ -78,48 +79,73 @@ def partitions(df: DataFrame) -> DataFrame:
     return pair.join(kw, "series").select("series", "groups", F.when(two, z).otherwise(F.col("h")).alias("z"), F.when(two, critical).alias("critical"), F.when(F.col("groups") < 2, F.lit(False)).when(two, F.abs(z) > critical).otherwise(F.col("p") < 0.01).alias("may_partition"))
 
 
+def local_windows(parts: pa.Table, span: float, points: int) -> pa.Table:
+    """The grid of one series and, for each point, which ranges of the covariate hold its nearest values: `inside` ranges
+    with all of theirs, `border` ranges with `missing` more values between them. parts: (series, part, c, low, high)."""
+    c, low, high = (parts.column(x).to_numpy() for x in ("c", "low", "high"))
+    part, n = parts.column("part").to_numpy(), int(c.sum())
+    k, size, first, last = min(points, n), max(8, int(np.rint(n * span))), low.min(), high.max()
+    rows = []
+    for point in range(k):
+        at = first + (last - first) * point / (k - 1)
+        far = np.maximum(np.abs(low - at), np.abs(high - at))
+        near = np.where((low <= at) & (at <= high), 0.0, np.minimum(np.abs(low - at), np.abs(high - at)))
+        # the distance of the last value that counts lies between these two
+        least, most = (float(np.sort(d)[np.searchsorted(np.cumsum(c[np.argsort(d, kind="stable")]), size)]) for d in (near, far))
+        inside = far < least
+        border = ~inside & (near <= most)
+        rows.append((point, at, size, size - int(c[inside].sum()), part[inside].tolist(), part[border].tolist()))
+    names = ("point", "covariate", "n_local", "missing", "inside", "border")
+    kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    return pa.table({"series": pa.repeat(parts.column("series")[0], k)} | {x: pa.array(v, t) for x, v, t in zip(names, zip(*rows), kinds)})
+
+
+def nearest_values(own: DataFrame, span: float, points: int, rows_per_part: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """Grid points (series, point, covariate, n_local) and the values (series, point, value) of the nearest part (span) of
+    each series' (seq, covariate, value) rows.
+
+    Rows are dealt out in ranges of the covariate of about equal numbers. A point takes whole ranges by their ends, and
+    from the few at its border those that are nearest; of equally near ones the first by covariate and seq. No task holds a
+    series, and rows are multiplied only where they are counted."""
+    kind = dict(own.dtypes)["series"]
+    parts = int(min(2048, max(64, own.count() // rows_per_part)))
+    cuts = own.groupBy("series").agg(F.percentile_approx("covariate", [k / parts for k in range(1, parts)], 10 * parts).alias("cuts"))
+    # written once: cuts of a sketch need not come out the same again
+    dealt = kept(own.join(cuts, "series").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("covariate")))).drop("cuts"), "curve-values")
+    figures = dealt.groupBy("series", "part").agg(F.count("*").alias("c"), F.min("covariate").alias("low"), F.max("covariate").alias("high"))
+    schema = f"series {kind}, point int, covariate double, n_local bigint, missing bigint, inside array<int>, border array<int>"
+    windows = kept(figures.groupBy("series").applyInArrow(lambda t: local_windows(t, span, points), schema), "curve-windows")
+    whole = dealt.join(windows.select("series", "point", F.explode("inside").alias("part")), ["series", "part"]).select("series", "point", "value")
+    edge = dealt.withColumnRenamed("covariate", "x").join(windows.select("series", "point", "covariate", "missing", F.explode("border").alias("part")), ["series", "part"])
+    nearest = Window.partitionBy("series", "point").orderBy(F.abs(F.col("x") - F.col("covariate")), "x", "seq")
+    edge = edge.withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= F.col("missing")).select("series", "point", "value")
+    return windows.select("series", "point", "covariate", "n_local"), whole.union(kept(edge, "curve-borders"))
+
+
 def reference_curve(df: DataFrame, quantiles: tuple[float, ...] = (0.025, 0.5, 0.975), span: float = 0.3, points: int = 50, method: str = "quantile") -> DataFrame:
     """(series, point, covariate, n_local, q...): local quantiles of (series, seq, covariate, value) over a grid, from the
-    nearest part (span) of the values at each point; by Cole's LMS with method lms.
-
-    A series is one array in its task, where each point's nearest values are selected; its rows are not multiplied."""
+    nearest part (span) of the values at each point; by Cole's LMS with method lms, where 8 of them are positive. Series of
+    fewer than 30 values have no curve."""
     own = df.where(finite(F.col("value")) & finite(F.col("covariate")))
+    own = with_stats(own.select("series", "seq", F.col("covariate").cast("double").alias("covariate"), F.col("value").cast("double").alias("value")), _n=F.count("*")).where("_n >= 30").drop("_n")
     names = {q: "q" + str(q).replace(".", "_") for q in quantiles}
-    if method == "lms":
-        own = own.join(boxcox_lambda(own, "series", "value"), "series")
-    else:
-        own = own.withColumn("power", F.lit(None).cast("double"))
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("covariate", "ascending"), ("seq", "ascending")])
-        x, y, power = t.column("covariate").to_numpy(), t.column("value").to_numpy(), t.column("power")[0].as_py()
-        n, k = len(x), min(points, len(x))
-        size, rows = max(8, int(np.rint(n * span))), []
-        for point in range(k):
-            at = x[0] + (x[-1] - x[0]) * point / (k - 1)
-            away = np.abs(x - at)
-            edge = np.partition(away, size - 1)[size - 1]
-            inside = np.flatnonzero(away < edge)
-            # of those just at the edge the first by covariate and seq
-            local = y[np.concatenate([inside, np.flatnonzero(away == edge)[: size - len(inside)]])]
-            if method != "lms":
-                rows.append((point, at, len(local), *np.quantile(local, quantiles).tolist()))
-                continue
-            local = local[local > 0]
-            if len(local) >= 8:
-                mu = float(np.median(local))
-                z = np.log(local / mu) if abs(power) < 1e-8 else ((local / mu) ** power - 1) / power
-                s = float(z.std(ddof=1))
-                s = s if np.isfinite(s) and s > 0 else 0.1
-                rows.append((point, at, len(local), *(_lms(mu, s, power, z) for z in normal)))
-        columns = list(zip(*rows)) if rows else [()] * (3 + len(names))
-        kinds = [pa.int32(), pa.float64(), pa.int64(), *[pa.float64()] * len(names)]
-        found = {c: pa.array(v, k_) for c, v, k_ in zip(("point", "covariate", "n_local", *names.values()), columns, kinds)}
-        return pa.table({"series": pa.repeat(t.column("series")[0], len(rows))} | found)
-
-    normal = [r[0] for r in df.sparkSession.range(1).select(F.explode(F.array(*[normal_quantile(F.lit(q)) for q in quantiles]))).collect()]
-    enough = with_stats(own.select("series", "seq", F.col("covariate").cast("double").alias("covariate"), F.col("value").cast("double").alias("value"), "power"), _n=F.count("*")).where("_n >= 30").drop("_n")
-    return enough.groupBy("series").applyInArrow(run, f"series {dict(df.dtypes)['series']}, point int, covariate double, n_local bigint, " + ", ".join(f"{c} double" for c in names.values()))
+    grid, local = nearest_values(own, span, points)
+    keys = ("series", "point")
+    plain = lambda rows: percentiles(rows, keys, "value", **{c: q for q, c in names.items()})
+    if method != "lms":
+        return grid.join(plain(local), list(keys)).select("series", "point", "covariate", "n_local", *names.values())
+    power = boxcox_lambda(own, "series", "value")
+    positive = local.where("value > 0")
+    enough = positive.groupBy(*keys).agg(F.count("*").alias("_c")).where("_c >= 8")
+    middle = kept(percentiles(positive.join(enough, list(keys)), keys, "value", mu=0.5).join(power, "series"), "curve-middles")
+    scaled = F.col("value") / F.col("mu")
+    z = F.when(F.abs("power") < 1e-8, F.ln(scaled)).otherwise((F.pow(scaled, "power") - 1) / F.col("power"))
+    spread = positive.join(middle, list(keys)).groupBy(*keys).agg(F.count("*").alias("n_positive"), F.first("mu").alias("mu"), F.first("power").alias("power"), F.stddev_samp(z).alias("s"))
+    s = F.when(finite(F.col("s")) & (F.col("s") > 0), F.col("s")).otherwise(0.1)
+    fitted = spread.select(*keys, F.col("n_positive").alias("n_local"), *(lms_quantile(F.col("mu"), s, F.col("power"), normal_quantile(F.lit(q))).alias(c) for q, c in names.items()))
+    few = local.join(middle.select(*keys), list(keys), "left_anti")
+    rest = grid.join(plain(few), list(keys)).select(*keys, "n_local", *names.values())
+    return grid.drop("n_local").join(fitted.unionByName(rest), list(keys)).select("series", "point", "covariate", "n_local", *names.values())
 
 
 def _lms(mu: float, s: float, power: float, z: float) -> float:

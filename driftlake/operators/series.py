@@ -134,11 +134,14 @@ def median_deviations(df: DataFrame, keys: tuple[str, ...] = ("series",), value:
     return middle.join(away.withColumn("mad", 1.4826 * F.col("mad")), list(keys))
 
 
-def ranked(df: DataFrame, keys: tuple[str, ...], order: str, *ties: str, name: str = "rank", parts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, keys: tuple[str, ...], order: str, *ties: str, name: str = "rank", rows: int = 100_000) -> DataFrame:
     """df with the place of each row in its group by `order` and ties, from 1: within ranges of about equal size, after the
-    rows of the ranges before."""
-    keys = list(keys)
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000).alias("_cuts"))
+    rows of the ranges before. A group has a range for each so many rows, 64 at least and 512 at most."""
+    keys, most = list(keys), 512
+    cuts = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(order, [k / most for k in range(1, most)], SKETCH).alias("_all"))
+    step = F.greatest(F.lit(1), F.least(F.lit(most // 64), F.floor(F.lit(most * rows) / F.col("_n")))).cast("int")
+    # written once: a sketch need not come out the same again
+    cuts = kept(cuts.select(*keys, F.filter("_all", lambda c, i: (i + 1) % step == 0).alias("_cuts")), "ranges")
     dealt = df.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
@@ -146,11 +149,11 @@ def ranked(df: DataFrame, keys: tuple[str, ...], order: str, *ties: str, name: s
     return dealt.withColumn(name, F.row_number().over(within)).join(bases, [*keys, "_part"]).withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
 
 
-def scanned(df: DataFrame, start: Callable[[], object], step: Callable, schema: str, last: Callable | None = None) -> DataFrame:
+def scanned(df: DataFrame, start: Callable[[], object], step: Callable, schema: str, last: Callable | None = None, columns: tuple[str, ...] = ("value",)) -> DataFrame:
     """A sequential pass over each series in its order, with constant memory.
 
     start() makes a series' state; step(state, row) gives the row that comes out of an input row, or None; last(series,
-    state) gives one more at the series' end. Rows are (series, seq, ts, value) tuples."""
+    state) gives one more at the series' end. Rows are (series, seq, ts, value) tuples, or have other columns after ts."""
     names = [x.split()[0] for x in schema.split(", ")]
     kind = pa.schema([(x.split()[0], {"bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "int": pa.int32(), "timestamp_ntz": pa.timestamp("us")}[x.split()[1]]) for x in schema.split(", ")])
 
@@ -177,13 +180,14 @@ def scanned(df: DataFrame, start: Callable[[], object], step: Callable, schema:
         if out:
             yield pack()
 
-    ordered = df.select("series", "seq", "ts", "value").repartition("series").sortWithinPartitions("series", *ORDER)
+    ordered = df.select("series", "seq", "ts", *columns).repartition("series").sortWithinPartitions("series", *ORDER)
     return ordered.mapInArrow(run, schema)
 
 
-def in_order(df: DataFrame, start: Callable[[], dict], work: Callable[[dict, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+def in_order(df: DataFrame, start: Callable[[], dict], work: Callable[[dict, np.ndarray], dict[str, np.ndarray]], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """An ordered pass over each series in whole arrays: work gets a series' state and its next values, changes the state
-    and gives the columns after series. Memory does not grow with a series."""
+    and gives the columns after series. Memory does not grow with a series. With keep, work gives one row a value, and
+    these columns of df come after series as they are."""
     kind = dict(df.dtypes)["series"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +204,11 @@ def in_order(df: DataFrame, start: Callable[[], dict], work: Callable[[dict, np.
                 found = work(state, values[a:b])
                 n = len(next(iter(found.values())))
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([now] * n, series.type), *(pa.array(c) for c in found.values())], ["series", *found])
+                    held = [c.slice(a, b - a) for c in batch.columns[2:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([now] * n, series.type), *held, *(pa.array(c) for c in found.values())], ["series", *keep, *found])
 
     ordered = df.select("series", "seq", "ts", "value").repartition("series").sortWithinPartitions("series", *ORDER)
-    return ordered.select("series", "value").mapInArrow(run, schema if schema.startswith("series ") else f"series {kind}, {schema}")
+    return ordered.select("series", "value", *keep).mapInArrow(run, schema if schema.startswith("series ") else f"series {kind}, {schema}")
 
 
 def per_series(df: DataFrame, work: Callable[[np.ndarray], dict], schema: str) -> DataFrame:

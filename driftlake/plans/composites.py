@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from driftlake.operators import basics, composite, evaluation, reconstruction, s
 from driftlake.operators.series import shared_folder
 from driftlake.plans.base import ORACLE_SQL, T, U, by_type, by_user, query, rounded, t_tail, table
 from driftlake.plans.basics import TWO_SIDED
-from driftlake.streaming import detectors
+from driftlake.streaming import detectors, event_time
 
 #: Change times: each user's purchases; events: what else a user did, each type being a kind of event.
 _E = "e AS (SELECT user_id AS series, event_id AS seq, ts, value, event_type FROM events)"
@@ -271,6 +271,41 @@ def stream_study(spark, sf):
     return _run(spark, detectors.streamed_concordance(rows, detectors.Cusum(persistence=1)), "study")
 
 
+def _unordered(spark, sf, work, name: str):
+    """What a stream gives whose rows arrive up to two days late, in three parts and one run each, and last a sign of life:
+    each row's arrival is its time and a delay by its hash."""
+    folder = shared_folder(spark, f"unordered-{name}")
+    rows = by_user(spark, sf).withColumn("series", F.col("series").cast("string"))
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 + F.pmod(F.xxhash64("seq"), F.lit(48))
+    first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
+    part = F.least(F.lit(2), F.floor((arrival - first) / max(last - first, 1e-9) * 3)).cast("int")
+    life = spark.createDataFrame([(None, 0, datetime(9000, 1, 1), None)], rows.schema)
+    before = {k: spark.conf.get(k, None) for k in event_time.ROCKS}
+    for k, v in event_time.ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        for arrived in (*(rows.where(part == k) for k in range(3)), life):
+            arrived.write.mode("append").parquet(f"{folder}/in")
+            out = work(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+            q = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
+@query("stream_cusum_unordered", f"SELECT *, FALSE AS late FROM ({ORACLE_SQL['cusum_replay']})")
+def stream_cusum_unordered(spark, sf):
+    """CUSUM over rows that arrive up to two days late."""
+    return rounded(_unordered(spark, sf, lambda s: event_time.detected(s, detectors.Cusum(), lateness="2 days"), "cusum"), 5)
+
+
+@query("stream_alerts_unordered", f"SELECT *, FALSE AS late FROM ({ORACLE_SQL['sentinel_alerts']})")
+def stream_alerts_unordered(spark, sf):
+    return _unordered(spark, sf, lambda s: event_time.alerted(s, detectors.Cusum(persistence=1), lateness="2 days"), "alerts")
+
+
 @query("evaluate_detectors")
 def evaluate_detectors(spark, sf):
     """Detectors scored on copies of each user's values, shuffled by a hash, with and without a step planted in the middle."""

@@ -290,7 +290,21 @@ def reference_curve(spark, sf):
     return rounded(reference.reference_curve(results(spark, sf)))
 
 
-@query("reference_curve_lms")
+_CURVE = f"""{_R}, s AS (SELECT series, count(*) AS n, min(covariate) AS lo, max(covariate) AS hi FROM r GROUP BY series), g AS (SELECT series, n, lo + (hi - lo) * k / (least(50, n) - 1) AS pos, k FROM (SELECT *, unnest(range(0, least(50, n))) AS k FROM s)),
+d AS (SELECT r.series, k, pos, n, value, row_number() OVER (PARTITION BY r.series, k ORDER BY abs(covariate - pos), covariate, seq) AS i FROM r JOIN g ON g.series = r.series), near AS (SELECT * FROM d WHERE i <= greatest(8, round_even(n * 0.3::DOUBLE, 0)) AND value > 0)"""
+_POWER = """gl AS (SELECT unnest(range(-40, 41)) AS k), y AS (SELECT series, gl.k, round(gl.k * 0.05::DOUBLE, 10) AS l, value AS x FROM r, gl WHERE value > 0),
+f AS (SELECT series, k, any_value(l) AS power, (any_value(l) - 1.0::DOUBLE) * sum(ln(x)) - count(*) / 2.0::DOUBLE * ln(var_samp(CASE WHEN abs(l) < 1e-8 THEN ln(x) ELSE (pow(x, l) - 1.0::DOUBLE) / nullif(l, 0) END)) AS ll FROM y GROUP BY series, k), pw AS (SELECT series, power FROM f QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(ll, 7) DESC, k) = 1)"""
+
+
+def _lms_sql(q: float) -> str:
+    t = f"sqrt(-2 * ln({min(q, 1 - q)}::DOUBLE))"
+    z = f"({'-' if q < 0.5 else ''}({t} - (2.515517 + 0.802853 * {t} + 0.010328 * {t} * {t}) / (1 + 1.432788 * {t} + 0.189269 * {t} * {t} + 0.001308 * {t} * {t} * {t})))"
+    return f"round(CASE WHEN abs(power) < 1e-8 THEN mu * exp(s * {z}) WHEN 1 + power * s * {z} > 0 THEN mu * pow(1 + power * s * {z}, 1 / power) WHEN power > 0 THEN 0 END, 4)"
+
+
+@query("reference_curve_lms", f"""WITH {_CURVE}, {_POWER}, m AS (SELECT near.*, power, median(value) OVER (PARTITION BY near.series, near.k) AS mu FROM near JOIN pw ON pw.series = near.series),
+a AS (SELECT series, k, any_value(pos) AS pos, count(*) AS n_local, any_value(mu) AS mu, any_value(power) AS power, stddev_samp(CASE WHEN abs(power) < 1e-8 THEN ln(value / mu) ELSE (pow(value / mu, power) - 1) / nullif(power, 0) END) AS s FROM m GROUP BY series, k)
+SELECT series, k::INTEGER AS point, round(pos, 4) AS covariate, n_local, {_lms_sql(0.025)} AS q0_025, {_lms_sql(0.5)} AS q0_5, {_lms_sql(0.975)} AS q0_975 FROM a""")
 def reference_curve_lms(spark, sf):
     return rounded(reference.reference_curve(results(spark, sf), method="lms"), 4)
 
