@@ -11,7 +11,7 @@ from driftlake.operators import change_points as cp
 from driftlake.operators import drift, qc, story
 from driftlake.operators import two_sample as ts
 from driftlake.operators.basics import fingerprint, lot_transitions, missing_fraction, uncertainty_budget
-from driftlake.operators.series import kept, running, valid
+from driftlake.operators.series import along, kept, running, timed, valid
 
 DAY = 86_400.0
 STATUS_RANKS = {"stable": 1, "info": 1, "watch": 2, "warning": 3, "drift_suspected": 4, "critical": 5}
@@ -47,16 +47,12 @@ def attributed(changes: DataFrame, events: DataFrame, days: float = 14.0) -> Dat
 
 
 def nearest(events: DataFrame, df: DataFrame) -> DataFrame:
-    """events with the place i of the nearest measurement of their series, the earlier of two as near: the last one
-    before and the first one after, found in one ordered pass over both."""
-    rows = running(valid(df), {"_z": F.lit(0.0)}).select("series", "ts", F.lit(0).alias("_e"), F.col("i"), F.lit(None).cast("string").alias("label"))
+    """events with the place i of the nearest measurement of their series, the earlier of two as near and the first of one
+    time: the last one before and the first one after, found in one ordered pass over ranges of time."""
+    rows = running(timed(df), {"_z": F.lit(0.0)}).groupBy("series", "ts").agg(F.min("i").alias("i")).select("series", "ts", F.lit(0).alias("_e"), F.col("i"), F.lit(None).cast("string").alias("label"))
     all_ = rows.unionByName(events.select("series", "ts", F.lit(1).alias("_e"), F.lit(None).cast("bigint").alias("i"), "label"))
     mark = F.when(F.col("_e") == 0, F.struct("ts", "i"))
-    w = Window.partitionBy("series").orderBy("ts", "_e", "i")
-    before = F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = all_.withColumn("b", before).withColumn("a", after).where("_e = 1")
-    # equal times before: the first of them
+    both = along(all_, "_e", "i", before={"b": mark}, after={"a": mark}).where("_e = 1")
     db, da = _seconds(F.col("ts")) - _seconds(F.col("b.ts")), _seconds(F.col("a.ts")) - _seconds(F.col("ts"))
     i = F.when(F.col("b").isNull(), F.col("a.i")).when(F.col("a").isNull() | (db <= da), F.col("b.i")).otherwise(F.col("a.i"))
     return both.select("series", "ts", "label", i.alias("i"))

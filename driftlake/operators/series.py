@@ -134,21 +134,60 @@ def median_deviations(df: DataFrame, keys: tuple[str, ...] = ("series",), value:
     return middle.join(away.withColumn("mad", 1.4826 * F.col("mad")), list(keys))
 
 
-def ranked(df: DataFrame, keys: tuple[str, ...], order: str, *ties: str, name: str = "rank", rows: int = 100_000) -> DataFrame:
-    """df with the place of each row in its group by `order` and ties, from 1: within ranges of about equal size, after the
-    rows of the ranges before. A group has a range for each so many rows, 64 at least and 512 at most."""
-    keys, most = list(keys), 512
+#: A group is dealt out in a range for each so many rows, so many ranges at least and at most.
+RANGE_ROWS, RANGES = 100_000, (64, 512)
+
+
+def in_ranges(df: DataFrame, keys: list[str], order: str | Column, rows: int = RANGE_ROWS) -> DataFrame:
+    """df with _part: ranges of about equal size of each group, by a sketch; equal values are in one range, nulls in the
+    first."""
+    least, most = RANGES
+    order = F.col(order) if isinstance(order, str) else order
     cuts = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(order, [k / most for k in range(1, most)], SKETCH).alias("_all"))
-    step = F.greatest(F.lit(1), F.least(F.lit(most // 64), F.floor(F.lit(most * rows) / F.col("_n")))).cast("int")
+    step = F.greatest(F.lit(1), F.least(F.lit(most // least), F.floor(F.lit(most * rows) / F.col("_n")))).cast("int")
     # written once: a sketch need not come out the same again
     cuts = kept(cuts.select(*keys, F.filter("_all", lambda c, i: (i + 1) % step == 0).alias("_cuts")), "ranges")
-    dealt = df.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    return df.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < order))).drop("_cuts")
+
+
+def ranked(df: DataFrame, keys: tuple[str, ...], order: str, *ties: str, name: str = "rank", rows: int = RANGE_ROWS) -> DataFrame:
+    """df with the place of each row in its group by `order` and ties, from 1: within ranges of about equal size, after the
+    rows of the ranges before."""
+    keys = list(keys)
+    dealt = in_ranges(df, keys, order, rows)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
     within = Window.partitionBy(*keys, "_part").orderBy(order, *ties)
     return dealt.withColumn(name, F.row_number().over(within)).join(bases, [*keys, "_part"]).withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
 
 
+def along(df: DataFrame, *ties: str, before: dict[str, Column] | None = None, after: dict[str, Column] | None = None, passed: dict[str, Column] | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """df (series, ts, ...) with figures of an ordered merge by (ts, ties): for `before` the last value that is not null up to
+    a row, for `after` the first one from it on, for `passed` a sum up to all rows of its time.
+
+    A series is dealt out in ranges of time. Within a range these are windows; what a range hands on to those after it, and
+    to those before, is carried over its border. So a series need not fit one task."""
+    before, after, passed = before or {}, after or {}, passed or {}
+    order = ("ts", *ties)
+    named = df.withColumns({f"_v_{k}": c for k, c in (before | after | passed).items()})
+    dealt = in_ranges(named, ["series"], F.unix_micros(F.col("ts").cast("timestamp")), rows)
+    at = lambda k: F.when(F.col(f"_v_{k}").isNotNull(), F.struct(*order, F.col(f"_v_{k}").alias("_v")))
+    ends = dealt.groupBy("series", "_part").agg(*(F.max(at(k))["_v"].alias(f"_e_{k}") for k in before), *(F.min(at(k))["_v"].alias(f"_e_{k}") for k in after), *(F.sum(f"_v_{k}").alias(f"_e_{k}") for k in passed))
+    over = Window.partitionBy("series").orderBy("_part")
+    earlier, later = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    borders = ends.select(
+        "series", "_part", *(F.last(f"_e_{k}", True).over(earlier).alias(f"_c_{k}") for k in before), *(F.first(f"_e_{k}", True).over(later).alias(f"_c_{k}") for k in after),
+        *(F.sum(f"_e_{k}").over(earlier).alias(f"_c_{k}") for k in passed),
+    )
+    within = Window.partitionBy("series", "_part").orderBy(*order)
+    own = {k: F.last(f"_v_{k}", True).over(within.rowsBetween(Window.unboundedPreceding, 0)) for k in before}
+    own |= {k: F.first(f"_v_{k}", True).over(within.rowsBetween(0, Window.unboundedFollowing)) for k in after}
+    own |= {k: F.sum(f"_v_{k}").over(Window.partitionBy("series", "_part").orderBy("ts")) for k in passed}  # all of a time are peers
+    out = dealt.withColumns({f"_o_{k}": c for k, c in own.items()}).join(borders, ["series", "_part"])
+    joined = {k: F.coalesce(f"_o_{k}", f"_c_{k}") for k in (*before, *after)} | {k: F.coalesce(f"_o_{k}", F.lit(0)) + F.coalesce(f"_c_{k}", F.lit(0)) for k in passed}
+    return out.select(*df.columns, *(c.alias(k) for k, c in joined.items()))
+
+
 def scanned(df: DataFrame, start: Callable[[], object], step: Callable, schema: str, last: Callable | None = None, columns: tuple[str, ...] = ("value",)) -> DataFrame:
     """A sequential pass over each series in its order, with constant memory.
 
