@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from driftlake.functions.columns import boxcox, finite, inv_boxcox, lms_quantile, normal_quantile
 from driftlake.operators import two_sample as ts
 from driftlake.operators.basics import boxcox_lambda
-from driftlake.operators.series import kept, median_deviations, percentiles, with_percentiles, with_stats
+from driftlake.operators.series import kept, median_deviations, percentiles, ranked, with_percentiles, with_stats
 
 METHODS = ("nonparametric", "parametric", "robust", "transformed", "boxcox", "horn", "lms")
 
@@ -155,55 +155,96 @@ def _lms(mu: float, s: float, power: float, z: float) -> float:
     return mu * inner ** (1 / power) if inner > 0 else 0.0 if power > 0 else float("nan")
 
 
-def edges_of(x: np.ndarray, method: str) -> tuple[float, float]:
-    """Lower and upper limit of a sample by one of METHODS; NaN where a method needs positive values."""
-    nan = (float("nan"), float("nan"))
-    spread = lambda m, s: (m - 1.96 * s, m + 1.96 * s)
+class Weighted:
+    """Values, each there a whole number of times."""
+
+    def __init__(self, x: np.ndarray, times: np.ndarray):
+        there = times > 0
+        self.x, self.times, self.n = x[there], times[there], int(times.sum())
+
+    def of(self, x: np.ndarray) -> Weighted:
+        return Weighted(x, self.times)
+
+    def mean(self) -> float:
+        return float((self.times * self.x).sum() / self.n)
+
+    def var(self) -> float:
+        return float((self.times * (self.x - self.mean()) ** 2).sum() / (self.n - 1))
+
+    def quantile(self, p: float) -> float:
+        order = np.argsort(self.x, kind="stable")
+        upto, x, at = np.cumsum(self.times[order]), self.x[order], (self.n - 1) * p
+        low = int(at)
+        a, b = x[np.searchsorted(upto, low, "right")], x[np.searchsorted(upto, min(low + 1, self.n - 1), "right")]
+        return float(a + (b - a) * (at - low))
+
+
+def edges_of(x: np.ndarray, method: str, times: np.ndarray | None = None) -> tuple[float, float]:
+    """Lower and upper limit of a sample by one of METHODS; NaN where a method needs positive values. times: how often each
+    value is there."""
+    own = Weighted(x, np.ones(len(x), np.int64) if times is None else times)
+    spread = lambda v: (v.mean() - 1.96 * v.var() ** 0.5, v.mean() + 1.96 * v.var() ** 0.5)
+    x = own.x
     if method in ("transformed", "boxcox", "lms") and (x <= 0).any():
-        return nan
+        return (float("nan"), float("nan"))
     if method == "parametric":
-        return spread(x.mean(), x.std(ddof=1))
+        return spread(own)
     if method == "robust":
-        m = np.median(x)
-        return spread(m, 1.4826 * np.median(np.abs(x - m)))
+        m = own.quantile(0.5)
+        s = 1.4826 * own.of(np.abs(x - m)).quantile(0.5)
+        return m - 1.96 * s, m + 1.96 * s
     if method == "transformed":
-        return tuple(np.exp(spread(np.log(x).mean(), np.log(x).std(ddof=1))))
+        return tuple(np.exp(spread(own.of(np.log(x)))))
     if method in ("boxcox", "lms"):
         powers, logs, fits = np.round(np.arange(-40, 41) * 0.05, 10), np.log(x), []
         for p in powers:
-            v = (logs if abs(p) < 1e-8 else (x**p - 1) / p).var(ddof=1)
-            fits.append(np.round((p - 1) * logs.sum() - len(x) / 2 * np.log(v), 7) if v > 0 else -np.inf)
+            v = own.of(logs if abs(p) < 1e-8 else (x**p - 1) / p).var()
+            fits.append(np.round((p - 1) * (own.times * logs).sum() - own.n / 2 * np.log(v), 7) if v > 0 else -np.inf)
         p = float(powers[int(np.argmax(fits))])
         if method == "lms":
-            mu = float(np.median(x))
-            z = np.log(x / mu) if abs(p) < 1e-8 else ((x / mu) ** p - 1) / p
-            return _lms(mu, z.std(ddof=1), p, -1.96), _lms(mu, z.std(ddof=1), p, 1.96)
-        z = logs if abs(p) < 1e-8 else (x**p - 1) / p
+            mu = own.quantile(0.5)
+            s = own.of(np.log(x / mu) if abs(p) < 1e-8 else ((x / mu) ** p - 1) / p).var() ** 0.5
+            return _lms(mu, s, p, -1.96), _lms(mu, s, p, 1.96)
         back = lambda y: float(np.exp(y)) if abs(p) < 1e-8 else (p * y + 1) ** (1 / p) if p * y + 1 > 0 else float("nan")
-        return tuple(back(y) for y in spread(z.mean(), z.std(ddof=1)))
+        return tuple(back(y) for y in spread(own.of(logs if abs(p) < 1e-8 else (x**p - 1) / p)))
     if method == "horn":
-        a, b = np.quantile(x, [0.25, 0.75])
-        inside = x[(x >= a - 1.5 * (b - a)) & (x <= b + 1.5 * (b - a))]
-        x = inside if len(inside) else x
+        a, b = own.quantile(0.25), own.quantile(0.75)
+        inside = (x >= a - 1.5 * (b - a)) & (x <= b + 1.5 * (b - a))
+        own = Weighted(x[inside], own.times[inside]) if inside.any() else own
     elif method != "nonparametric":
         raise ValueError(f"no method {method!r}")
-    return tuple(np.quantile(x, [0.025, 0.975]))
+    return own.quantile(0.025), own.quantile(0.975)
 
 
 #: Fixed value: values below which limits by percentiles are said to rest on too few.
 RECOMMENDED = 120
 
 
+#: Bins of equal numbers of values that stand for a sample in a bootstrap; a sample of no more values is whole.
+BINS = 4096
+
+
+def binned(df: DataFrame, bins: int = BINS) -> DataFrame:
+    """(series, bin, c, m): each series' values as bins of neighbours in order, with their number and mean."""
+    own = df.where(finite(F.col("value"))).select("series", F.col("value").cast("double").alias("value"))
+    placed_ = ranked(with_stats(own, _n=F.count("*")), ("series",), "value", name="_i")
+    bin_ = F.when(F.col("_n") <= bins, F.col("_i") - 1).otherwise(F.floor((F.col("_i") - 1) * float(bins) / F.col("_n"))).cast("long")
+    return placed_.groupBy("series", bin_.alias("bin")).agg(F.count("*").alias("c"), F.avg("value").alias("m"))
+
+
 def interval_limits(df: DataFrame, method: str = "nonparametric", times: int = 400, level: float = 0.05, seed: int = 7) -> DataFrame:
     """(series, method, n, lower, upper, lower_low, lower_high, upper_low, upper_high, notes): the limits of
     `reference_interval` with percentile bootstrap limits of each, for 30 values or more; null for fewer.
 
-    A sample is one array in its task; draws are made one after the other from a stated seed and the series' name."""
+    A task draws how often each bin of a sample occurs, from a stated seed and the series' name: of a sample of BINS values
+    or fewer that is drawing the values themselves; of a larger one a limit is right to a BINS-th of the values."""
 
     def run(t: pa.Table) -> pa.Table:
-        x = np.sort(t.column("value").to_numpy())
+        order = np.argsort(t.column("bin").to_numpy(), kind="stable")
+        x, c = t.column("m").to_numpy()[order], t.column("c").to_numpy()[order]
+        n = int(c.sum())
         rng = np.random.default_rng([seed, zlib.crc32(str(t.column("series")[0].as_py()).encode())])
-        drawn = np.array([edges_of(x[rng.integers(0, len(x), len(x))], method) for _ in range(times)]) if len(x) >= 30 else np.zeros((0, 2))
+        drawn = np.array([edges_of(x, method, rng.multinomial(n, c / n)) for _ in range(times)]) if n >= 30 else np.zeros((0, 2))
         bounds = []
         for side in range(2):
             own = drawn[np.isfinite(drawn[:, side]), side]
@@ -211,7 +252,6 @@ def interval_limits(df: DataFrame, method: str = "nonparametric", times: int = 4
         return pa.table({"series": t.column("series").slice(0, 1)} | {c: pa.array([b], pa.float64()) for c, b in zip(("lower_low", "lower_high", "upper_low", "upper_high"), bounds)})
 
     limits = reference_interval(df, method)
-    own = df.where(finite(F.col("value"))).select("series", F.col("value").cast("double").alias("value")).join(limits.select("series"), "series", "left_semi")
-    found = own.groupBy("series").applyInArrow(run, f"series {dict(df.dtypes)['series']}, lower_low double, lower_high double, upper_low double, upper_high double")
+    found = binned(df).join(limits.select("series"), "series", "left_semi").groupBy("series").applyInArrow(run, f"series {dict(df.dtypes)['series']}, lower_low double, lower_high double, upper_low double, upper_high double")
     few = F.when(F.col("n") < RECOMMENDED, F.format_string("%d values are recommended, there are %d.", F.lit(RECOMMENDED), F.col("n")))
     return limits.join(found, "series").withColumn("notes", F.concat_ws(" ", F.lit("Statistical limits only, not clinical ones."), few))

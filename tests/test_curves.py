@@ -1,4 +1,4 @@
-"""Reference curves over ranges of the covariate against a plain selection of nearest values."""
+"""Reference curves over ranges of the covariate against a plain selection of nearest values; bootstrap limits from bins."""
 
 import numpy as np
 import pytest
@@ -45,3 +45,29 @@ def test_curves_equal_plain_selection(spark, monkeypatch, method):
             np.testing.assert_allclose(np.array([(*r[:4], r[5]) for r in sorted(own)], float), np.array([(*w[:4], w[5]) for w in want], float), rtol=1e-3, err_msg=name)
         else:
             np.testing.assert_allclose(np.array(sorted(own), float), np.array(want, float), rtol=1e-9, atol=1e-12, err_msg=name)
+
+
+@pytest.mark.parametrize("method", reference.METHODS)
+def test_limits_of_weighted_values_are_those_of_repeated_ones(method):
+    rng = np.random.default_rng(2)
+    x, times = np.sort(rng.lognormal(size=300)), rng.integers(0, 4, 300)
+    assert reference.edges_of(x, method, times) == pytest.approx(reference.edges_of(np.repeat(x, times), method), rel=1e-9)
+
+
+def test_bootstrap_from_bins_is_that_of_the_values(spark, monkeypatch):
+    """30,000 values in 4,096 bins against draws of the values themselves; few values are drawn as they are."""
+    rng = np.random.default_rng(6)
+    x = rng.lognormal(size=30_000)
+    few = rng.normal(size=200)
+    df = spark.createDataFrame([("many", float(v)) for v in x] + [("few", float(v)) for v in few] + [("none", 1.0)] * 5, "series string, value double").repartition(4)
+    bins = reference.binned(df).groupBy("series").agg({"c": "sum", "m": "count"}).collect()
+    assert {r.series: (r["sum(c)"], r["count(m)"]) for r in bins} == {"many": (30_000, 4096), "few": (200, 200), "none": (5, 5)}
+    for method in ("nonparametric", "parametric"):
+        got = {r.series: r for r in reference.interval_limits(df, method, times=200).collect()}
+        for name, own in (("many", x), ("few", few)):
+            draws = np.array([reference.edges_of(own[rng.integers(0, len(own), len(own))], method) for _ in range(200)])
+            want = np.quantile(draws, [0.025, 0.975], axis=0)
+            width = want[1] - want[0]
+            r = got[name]
+            assert abs(r.lower_low - want[0, 0]) < 0.35 * width[0] and abs(r.lower_high - want[1, 0]) < 0.35 * width[0]
+            assert abs(r.upper_low - want[0, 1]) < 0.35 * width[1] and abs(r.upper_high - want[1, 1]) < 0.35 * width[1]
