@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from driftlake.functions.columns import direction, normal_sf
 from driftlake.operators import change_points as cp
 from driftlake.operators import two_sample as ts
-from driftlake.operators.series import kept, running, timed, valid, with_stats
+from driftlake.operators.series import kept, percentiles, running, timed, valid, with_stats
 from driftlake.operators.slopes import theil_sen
 
 EPS = 2.0**-52
@@ -183,12 +183,23 @@ def mean_vector(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             mean = total / n
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(center + mean).tobytes()]), pa.array([(square - n * np.outer(mean, mean)).tobytes()])], ["n", "mean", "scatter"])
 
-    # a row of features squared numbers a partition, merged pairwise in the driver
-    n, mean, scatter = 0, np.zeros(p), np.zeros((p, p))
-    for r in rows.select(F.col("features").cast("array<double>")).mapInArrow(run, "n bigint, mean binary, scatter binary").toLocalIterator():
-        own, more = np.frombuffer(r["mean"]), np.frombuffer(r["scatter"]).reshape(p, p)
-        away, whole = own - mean, n + r["n"]
-        mean, scatter, n = mean + away * r["n"] / whole, scatter + more + np.outer(away, away) * n * r["n"] / whole, whole
+    def merged(parts) -> tuple[int, np.ndarray, np.ndarray]:
+        n, mean, scatter = 0, np.zeros(p), np.zeros((p, p))
+        for r in parts:
+            own, more = np.frombuffer(r["mean"]), np.frombuffer(r["scatter"]).reshape(p, p)
+            away, whole = own - mean, n + r["n"]
+            mean, scatter, n = mean + away * r["n"] / whole, scatter + more + np.outer(away, away) * n * r["n"] / whole, whole
+        return n, mean, scatter
+
+    def merge(t: pa.Table) -> pa.Table:
+        n, mean, scatter = merged(r for batch in t.to_batches(1) for r in batch.to_pylist())
+        return pa.table({"n": [n], "mean": [mean.tobytes()], "scatter": [scatter.tobytes()]})
+
+    # features squared numbers a partition, merged in groups of partitions first and those in the driver
+    schema = "n bigint, mean binary, scatter binary"
+    parts = rows.select(F.col("features").cast("array<double>")).mapInArrow(run, schema)
+    parts = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(32)).alias("g")).applyInArrow(lambda t: merge(t.select(["n", "mean", "scatter"])), schema)
+    n, mean, scatter = merged(parts.collect())
     return mean, scatter / max(1, n - 1), n
 
 
@@ -197,7 +208,9 @@ def _halves(df: DataFrame, fraction: float) -> tuple[DataFrame, DataFrame, int]:
     own = df.where(F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     n = own.count()
     n0 = max(8, round(fraction * n))
-    edge = own.select("seq").orderBy("seq").limit(n0).agg(F.max("seq")).first()[0] if n else None
+    # halfway behind the place where the first part ends: an exact percentile, so no task takes the first part in order
+    at = percentiles(own.select(F.lit(1).alias("all"), "seq"), ("all",), "seq", edge=min(1.0, (n0 - 0.5) / max(1, n - 1))).first() if n else None
+    edge = at["edge"] if at else None
     return own.where(F.col("seq") <= edge), own.where(F.col("seq") > edge), n0 if n >= 12 else 0
 
 
@@ -241,16 +254,18 @@ def multivariate(df: DataFrame, method: str = "mahalanobis", baseline: float = 0
 
 def distance_sums(first: DataFrame, rest: DataFrame, tile: int = 4096) -> DataFrame:
     """(a, b, total, pairs): sums of the distances between all rows (features) of two tables (0 and 1), by tables, rows
-    with themselves included. Rows are dealt out in tiles; each two tiles meet once, as matrices, and give sums only."""
+    with themselves included. Equal rows are counted first, so a frequent one is one row. The different ones are dealt out
+    in tiles; each two tiles meet once, as matrices, and give sums only."""
     both = first.select("features", F.lit(0).alias("side")).unionByName(rest.select("features", F.lit(1).alias("side")))
+    both = kept(both.groupBy("features", "side").agg(F.count("*").alias("w")), "different-vectors")
     n = both.count()
     tiles = max(1, -(-n // tile))
     own = both.withColumn("tile", F.pmod(F.xxhash64("features", "side"), F.lit(tiles)).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("features", "side", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("features", "side", "w", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
 
     def run(t: pa.Table) -> pa.Table:
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        side, of = t.column("side").to_numpy(), t.column("tile").to_numpy()
+        side, of, weight = t.column("side").to_numpy(), t.column("tile").to_numpy(), t.column("w").to_numpy().astype(float)
         values = np.array(t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, -1)
         rows, total, pairs = [], {}, {}
         left, right = np.flatnonzero(of == x), np.flatnonzero(of == y)
@@ -268,8 +283,9 @@ def distance_sums(first: DataFrame, rest: DataFrame, tile: int = 4096) -> DataFr
                     key, times = (min(p, q), max(p, q)), 2 if x != y and p == q else 1
                     if x == y and p > q:
                         continue
-                    total[key] = total.get(key, 0.0) + times * float(block.sum())
-                    pairs[key] = pairs.get(key, 0) + times * block.size
+                    u, v = weight[part][side[part] == p], weight[right][side[right] == q]
+                    total[key] = total.get(key, 0.0) + times * float(u @ block @ v)
+                    pairs[key] = pairs.get(key, 0) + times * round(u.sum() * v.sum())
         rows = [(*k, v, pairs[k]) for k, v in total.items()]
         kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["a", "b", "total", "pairs"])

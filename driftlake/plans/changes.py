@@ -99,7 +99,22 @@ def rolling(spark, sf):
     return shown(cp.rolling(by_user(spark, sf)))
 
 
-@query("cp_pelt")
+#: The pruned dynamic programme as a recursion over the ends of segments: costs, last cuts and living candidates as lists.
+_PELT = f"""WITH RECURSIVE {U}, m AS (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS sd, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS i FROM e WINDOW w AS (PARTITION BY series)),
+z AS (SELECT series, i, (value - m) / (CASE WHEN sd > 0 THEN sd ELSE 1 END) AS z FROM m), c AS (SELECT series, i, sum(z) OVER w AS s1, sum(z * z) OVER w AS s2 FROM z WINDOW w AS (PARTITION BY series ORDER BY i)),
+l AS (SELECT series, count(*) AS n, 3 * ln(count(*)) AS pen, list_prepend(0.0::DOUBLE, list(s1 ORDER BY i)) AS s1, list_prepend(0.0::DOUBLE, list(s2 ORDER BY i)) AS s2 FROM c GROUP BY series HAVING count(*) >= 8),
+d AS (SELECT series, CAST(0 AS BIGINT) AS t, [-pen] AS cost, [CAST(0 AS BIGINT)] AS cut, [CAST(0 AS BIGINT)] AS alive FROM l
+UNION ALL SELECT series, t, list_append(cost, own), list_append(cut, CASE WHEN best IS NULL THEN 0 ELSE alive[best] END), list_append(list_filter(alive, lambda a, k: parts[k] <= own), t) FROM
+(SELECT *, CASE WHEN best IS NULL THEN cost[1] + s2[t + 1] - s1[t + 1] ** 2 / t + pen ELSE fit[best] + pen END AS own FROM (SELECT *, list_position(fit, list_min(fit)) AS best FROM
+(SELECT *, list_transform(alive, lambda a, k: CASE WHEN a = 0 OR t - a >= 8 THEN parts[k] END) AS fit FROM (SELECT d.series, d.t + 1 AS t, cost, cut, alive, s1, s2, pen,
+list_transform(alive, lambda a: cost[a + 1] + (s2[d.t + 2] - s2[a + 1]) - (s1[d.t + 2] - s1[a + 1]) ** 2 / (d.t + 1 - a)) AS parts FROM d JOIN l ON l.series = d.series AND d.t < l.n))))),
+last AS (SELECT d.series, d.cut, -d.cost[l.n + 1] AS statistic, l.n FROM d JOIN l ON l.series = d.series AND l.n = d.t), back AS (SELECT series, cut, cut[n + 1] AS edge FROM last UNION ALL SELECT series, cut, cut[edge + 1] FROM back WHERE edge > 0),
+x AS (SELECT series, list(edge ORDER BY edge) FILTER (edge > 0) AS ends FROM back GROUP BY series), a AS (SELECT series, count(*) AS n FROM e GROUP BY series)
+SELECT a.series, 'pelt' AS method, coalesce(len(ends), 0) > 0 AS detected, coalesce(array_to_string(ends, ','), '') AS indices, round(coalesce(statistic, 0), 6) AS statistic,
+round(CASE WHEN a.n < 8 THEN 0 WHEN coalesce(len(ends), 0) = 0 THEN 0.2 ELSE least(0.95, 0.6 + 0.1 * len(ends)) END, 6) AS confidence FROM a LEFT JOIN last ON last.series = a.series LEFT JOIN x ON x.series = a.series"""
+
+
+@query("cp_pelt", _PELT)
 def pelt(spark, sf):
     return shown(cp.pelt(by_user(spark, sf)))
 
@@ -109,9 +124,18 @@ def bayesian(spark, sf):
     return shown(cp.bayesian(by_user(spark, sf)))
 
 
-@query("cp_kernel")
+_KERNEL = f"""WITH {U}, r AS (SELECT series, value, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS i, count(*) OVER (PARTITION BY series) AS n FROM e), s AS (SELECT series, n FROM r WHERE i = 1),
+t AS (SELECT series, n, unnest(range(10, n - 9, greatest(1, n // 80))) AS t, FALSE AS middle FROM s UNION ALL SELECT series, n, n // 2, TRUE FROM s WHERE n >= 20),
+f AS (SELECT r.series, middle, t, sum(CASE WHEN i <= t THEN 1 ELSE 0 END) OVER w / t - sum(CASE WHEN i > t THEN 1 ELSE 0 END) OVER w / (r.n - t) AS d, lead(value) OVER (PARTITION BY r.series, middle, t ORDER BY value, i) - value AS step FROM r JOIN t ON t.series = r.series WINDOW w AS (PARTITION BY r.series, middle, t ORDER BY value)),
+g AS (SELECT series, middle, t, 2 * sum(d * d * step) AS e FROM f GROUP BY series, middle, t), b AS (SELECT series, t, e FROM g WHERE NOT middle QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(e, 12) DESC, t) = 1),
+x AS (SELECT s.series, s.n, b.t, b.e, m.e AS mid, coalesce(b.e > 1.8 * greatest(m.e, 2.0::DOUBLE ** -52) AND b.e > 0, FALSE) AS hit FROM s LEFT JOIN b ON b.series = s.series LEFT JOIN g m ON m.series = s.series AND m.middle)
+SELECT series, 'kernel' AS method, hit AS detected, CASE WHEN hit THEN CAST(t AS VARCHAR) ELSE '' END AS indices, round(e, 6) AS statistic, round(CASE WHEN hit THEN least(0.9, 0.5 + e / (e + mid + 1)) ELSE 0.2 END, 6) AS confidence FROM x"""
+
+
+@query("cp_kernel", _KERNEL)
 def kernel(spark, sf):
-    return shown(cp.kernel(by_user(spark, sf)))
+    """A series too short for a split has no statistic."""
+    return shown(cp.kernel(by_user(spark, sf)).withColumn("statistic", F.when(F.abs("statistic") < float("inf"), F.col("statistic"))))
 
 
 @query("cp_sampled")

@@ -221,7 +221,18 @@ def sentinel_alerts(spark, sf):
     return detectors.alerts(by_user(spark, sf), detectors.Cusum(persistence=1), timedelta(hours=6))
 
 
-@query("study_concordance")
+#: CUSUM and alerts of each site, the last alert of each site at every row of the study, and the pause between study alerts.
+_STUDY = f"""WITH RECURSIVE src AS (SELECT user_id, event_id AS seq, ts, value, event_id % 5 AS site FROM events), e AS (SELECT user_id || '/' || site AS series, seq, ts, value FROM src), {_CUSUM.format(persistence=1)},
+h AS (SELECT series, seq, ts, row_number() OVER (PARTITION BY series ORDER BY i) AS j FROM r WHERE i > 0 AND hit),
+a AS (SELECT series, seq, ts, j, ts AS last, TRUE AS told FROM h WHERE j = 1 UNION ALL SELECT h.series, h.seq, h.ts, h.j, CASE WHEN h.ts >= a.last + INTERVAL 6 HOUR THEN h.ts ELSE a.last END, h.ts >= a.last + INTERVAL 6 HOUR FROM a JOIN h ON h.series = a.series AND h.j = a.j + 1),
+al AS (SELECT CAST(split_part(series, '/', 1) AS BIGINT) AS user_id, split_part(series, '/', 2) AS site, seq, ts FROM a WHERE told),
+w AS (SELECT src.user_id, src.seq, src.ts, al.site, max(al.ts) AS last FROM src JOIN al ON al.user_id = src.user_id AND (al.ts < src.ts OR al.ts = src.ts AND al.seq <= src.seq) GROUP BY ALL),
+c AS (SELECT user_id, seq, ts, count(*) FILTER (ts - last <= INTERVAL 7 DAY) AS sites FROM w GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS j FROM c WHERE sites >= 2),
+b AS (SELECT user_id, seq, ts, sites, j, ts AS last, TRUE AS told FROM k WHERE j = 1 UNION ALL SELECT k.user_id, k.seq, k.ts, k.sites, k.j, CASE WHEN k.ts >= b.last + INTERVAL 6 HOUR THEN k.ts ELSE b.last END, k.ts >= b.last + INTERVAL 6 HOUR FROM b JOIN k ON k.user_id = b.user_id AND k.j = b.j + 1)
+SELECT CAST(user_id AS VARCHAR) AS series, seq, ts, CAST(sites AS DOUBLE) AS value FROM b WHERE told"""
+
+
+@query("study_concordance", _STUDY)
 def study_concordance(spark, sf):
     """Each user a study of five sites."""
     rows = by_user(spark, sf).withColumn("site", F.col("seq") % 5)
@@ -264,7 +275,7 @@ def stream_ewma(spark, sf):
     return rounded(_run(spark, detectors.streamed(stream_of(spark, sf), detectors.Ewma()), "ewma"))
 
 
-@query("stream_study")
+@query("stream_study", _STUDY)
 def stream_study(spark, sf):
     """The alerts of studies of five sites, from a stream."""
     rows = stream_of(spark, sf).withColumn("site", F.col("seq") % 5)

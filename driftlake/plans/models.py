@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlake.operators import batches, comparison, reference, sites
-from driftlake.plans.base import T, by_type, by_user, chi2_tail, query, rounded, table
+from driftlake.plans.base import ORACLE_SQL, T, by_type, by_user, chi2_tail, query, rounded, t_tail, table
 from driftlake.plans.basics import TWO_SIDED
 from driftlake.plans.drifts import auto_sql
 
@@ -121,7 +121,19 @@ def calibrate(spark, sf):
     return rounded(c.select("series", "model", "n", F.col("coefficients")[0].alias("c0"), F.col("coefficients")[1].alias("c1"), "r2", "residual_sd"), 5)
 
 
-@query("calibrate_polynomial")
+def _polynomials(most: int) -> str:
+    """Least squares of degrees 2 to most by orthogonal polynomials: each comes from the two before it and their sums."""
+    parts = [f"{_FLAGS}", "t AS (SELECT DISTINCT series, x + 0.5 AS x FROM p)", "q0 AS (SELECT series, x, y, 0.0::DOUBLE AS b, 1.0::DOUBLE AS a FROM p)", "t0 AS (SELECT series, x, 0.0::DOUBLE AS b, 1.0::DOUBLE AS a, 0.0::DOUBLE AS fit FROM t)", "c0 AS (SELECT series, sum(a * a) AS s, sum(x * a * a) / sum(a * a) AS m, sum(y * a) / sum(a * a) AS c, 0.0::DOUBLE AS k FROM q0 GROUP BY series)"]
+    for d in range(most + 1):
+        parts.append(f"f{d} AS (SELECT t.series, x, t.a, t.b, fit + c * t.a AS fit, m, k FROM t{d} t JOIN c{d} c ON c.series = t.series)")
+        if d < most:
+            parts.append(f"q{d + 1} AS (SELECT q.series, x, y, a AS b, (x - m) * a - k * b AS a FROM q{d} q JOIN c{d} c ON c.series = q.series)")
+            parts.append(f"t{d + 1} AS (SELECT series, x, a AS b, (x - m) * a - k * b AS a, fit FROM f{d})")
+            parts.append(f"c{d + 1} AS (SELECT q.series, sum(a * a) AS s, sum(x * a * a) / sum(a * a) AS m, sum(y * a) / sum(a * a) AS c, sum(a * a) / any_value(c.s) AS k FROM q{d + 1} q JOIN c{d} c ON c.series = q.series GROUP BY q.series)")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT series, x, round(fit, 4) AS fit, {d} AS degree FROM f{d}" for d in range(2, most + 1))
+
+
+@query("calibrate_polynomial", _polynomials(5))
 def calibrate_polynomial(spark, sf):
     """Degrees 2 to 5, with the fit at new x: the middles between the given ones."""
     p, out = flag_pairs(spark, sf), None
@@ -148,13 +160,15 @@ d AS (SELECT *, coalesce((yy - xx + sqrt((yy - xx) ** 2 + 4 * xy ** 2)) / nullif
 i AS (SELECT p.series, any_value(coalesce(ts, 0)) AS ts, median(y - coalesce(ts, 0) * x) AS ti FROM p LEFT JOIN s ON s.series = p.series GROUP BY p.series)
 SELECT series, 'deming' AS method, n, round(my - de * mx, 3) AS bias, round(de - 1, 5) AS proportional, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, round(de, 5) AS slope, round(my - de * mx, 3) AS intercept FROM d
 UNION ALL SELECT series, 'ols', n, round(my - ol * mx, 3), round(ol - 1, 5), NULL, NULL, round(ol, 5), round(my - ol * mx, 3) FROM d
-UNION ALL SELECT d.series, 'theil_sen', n, round(ti, 3), round(ts - 1, 5), NULL, NULL, round(ts, 5), round(ti, 3) FROM d JOIN i ON i.series = d.series""")
+UNION ALL SELECT d.series, 'theil_sen', n, round(ti, 3), round(ts - 1, 5), NULL, NULL, round(ts, 5), round(ti, 3) FROM d JOIN i ON i.series = d.series
+UNION ALL SELECT series, 'bland_altman', n, round(bias, 3), proportional, lower, upper, NULL, NULL FROM ({ORACLE_SQL["bland_altman"].replace("round(bias, 4)", "bias").replace("round(coalesce(slope, 0), 4)", "round(coalesce(slope, 0), 5)")})
+UNION ALL SELECT series, 'passing_bablok', n, intercept, round(slope - 1, 5), NULL, NULL, slope, intercept FROM ({ORACLE_SQL["passing_bablok"]})""")
 def compare_methods(spark, sf):
     p, out = pairs(spark, sf), None
-    for method in ("deming", "ols", "theil_sen"):
+    for method in comparison.METHODS:
         found = comparison.compare_methods(p, method)
         out = found if out is None else out.unionByName(found)
-    places = {"bias": 3, "intercept": 3, "proportional": 5, "slope": 5}
+    places = {"bias": 3, "intercept": 3, "proportional": 5, "slope": 5, "lower": 4, "upper": 4}
     return out.select(*(F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in out.columns))
 
 
@@ -163,13 +177,13 @@ _RANKED = "r AS (SELECT *, rank() OVER (PARTITION BY series ORDER BY value) + (c
 
 @query("compare_lots", f"""WITH g AS (SELECT o_orderpriority AS series, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS grp, o_totalprice AS value FROM orders), {_RANKED},
 d AS (SELECT series, grp, abs(value - median(value) OVER (PARTITION BY series, grp)) AS value FROM g), m AS (SELECT series, grp, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM d GROUP BY series, grp), w AS (SELECT *, sum(n) OVER x AS total, sum(n * m) OVER x / sum(n) OVER x AS gm FROM m WINDOW x AS (PARTITION BY series)),
-f AS (SELECT series, sum(n * (m - gm) ** 2) / (sum(n * v) / (any_value(total) - 2)) AS f FROM w GROUP BY series),
+f AS (SELECT series, sum(n * (m - gm) ** 2) / (sum(n * v) / (any_value(total) - 2)) AS f, any_value(total) - 2 AS dfw FROM w GROUP BY series), fp AS (SELECT *, {t_tail("sqrt(f)", "dfw")} AS vp FROM f),
 q AS (SELECT series, value, count(*) FILTER (grp = 'F') AS ca, count(*) FILTER (grp = 'O') AS cb FROM g GROUP BY series, value), c AS (SELECT *, sum(ca) OVER o / sum(ca) OVER p AS ua, sum(cb) OVER o / sum(cb) OVER p AS ub FROM q WINDOW o AS (PARTITION BY series ORDER BY value), p AS (PARTITION BY series)), s AS (SELECT series, max(abs(ua - ub)) AS d FROM c GROUP BY series)
-SELECT h.series, k AS lots, round(h, 5) AS h, round({chi2_tail("h", "k - 1")}, 5) AS location_p, round(f, 5) AS variance_f, round(d, 5) AS ks, {chi2_tail("h", "k - 1")} < 0.05 AS shift_suspected FROM h JOIN f ON f.series = h.series JOIN s ON s.series = h.series""")
+SELECT h.series, k AS lots, round(h, 5) AS h, round({chi2_tail("h", "k - 1")}, 5) AS location_p, round(f, 5) AS variance_f, round(vp, 5) AS variance_p, round(d, 5) AS ks, {chi2_tail("h", "k - 1")} < 0.05 AS shift_suspected, vp < 0.05 AS variance_shift FROM h JOIN fp ON fp.series = h.series JOIN s ON s.series = h.series""")
 def compare_lots(spark, sf):
-    """Orders by priority; two lots: finished and other ones. variance_p rests on the F tail, which `anova_pvalues` has."""
+    """Orders by priority; two lots: finished and other ones. The F of two groups is the square of a t."""
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("series"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("lot"), F.col("o_totalprice").alias("value"))
-    return rounded(comparison.compare_lots(comparison.lots_of(o, "reagent_lot", "lot")).drop("variance_p", "variance_shift"), 5)
+    return rounded(comparison.compare_lots(comparison.lots_of(o, "reagent_lot", "lot")), 5)
 
 
 @query("compare_sites", f"WITH g AS (SELECT event_type AS series, user_id % 5 AS grp, value FROM events), {_RANKED} SELECT series, k AS sites, round(h, 6) AS h, round({chi2_tail('h', 'k - 1')}, 6) AS p, {chi2_tail('h', 'k - 1')} < 0.05 AS site_effect_suspected FROM h")
