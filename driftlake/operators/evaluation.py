@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.operators import change_points as cp
 from driftlake.operators.series import by_series, kept, valid, with_stats
+from driftlake.sources import tables
+
 
 def planted(df: DataFrame, size: float = 3.0, seed: int = 7) -> DataFrame:
     """Two series of each one: its values in an order of hashes, which has no change, and the same with a step of so many
@@ -36,7 +38,11 @@ def scored(found: DataFrame, starts: DataFrame) -> DataFrame:
 
 def evaluate(df: DataFrame, methods: tuple[str, ...] = ("likelihood",), size: float = 3.0, seed: int = 7) -> DataFrame:
     """Scores of change-point methods on planted steps in the series of df."""
-    rows = kept(planted(df, size, seed), "planted")
+    return scored_methods(planted(df, size, seed), methods)
+
+
+def scored_methods(rows: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    rows = kept(rows, "planted")
     starts = rows.groupBy("series").agg(F.first("start").alias("start"))
     out = None
     for method in methods:
@@ -45,17 +51,40 @@ def evaluate(df: DataFrame, methods: tuple[str, ...] = ("likelihood",), size: fl
     return scored(out, starts)
 
 
-def evaluate_detector(df: DataFrame, detector, size: float = 3.0, seed: int = 7) -> DataFrame:
-    """Scores of an incremental detector (`streaming.detectors.Detector`), built in or of one's own: a planted step counts as
-    found by an alarm after it, a series without one as a false alarm by any."""
+def simulated(spark: SparkSession, drift: str = "step", n: int = 800, drift_start: int = 500, copies: int = 20, seed: int = 7) -> DataFrame:
+    """Simulated assays with a drift, and as many without, of known truth: (series: (series, planted), seq, ts, value, start)."""
+    rows = tables.simulated_assays(spark, n, (drift, "none"), copies, drift_start, seed=seed)
+    planted_ = ~F.col("series").startswith("none-")
+    return rows.select(F.struct(F.substring_index("series", "-", -1).alias("series"), planted_.alias("planted")).alias("series"), "seq", "ts", "value", F.col("drift_start").cast("bigint").alias("start"))
+
+
+def evaluate_simulated(spark: SparkSession, methods: tuple[str, ...] = ("cusum",), drift: str = "step", n: int = 800, drift_start: int = 500, copies: int = 20, seed: int = 7) -> DataFrame:
+    """Scores of change-point methods on simulated assays; the delay counts from the drift's true start."""
+    return scored_methods(simulated(spark, drift, n, drift_start, copies, seed), methods)
+
+
+def evaluate_detector(df: DataFrame, detector, size: float = 3.0, seed: int = 7, fit: bool = True) -> DataFrame:
+    """Scores of an incremental detector (`streaming.detectors.Detector`), built in or of one's own, on planted steps: a step
+    counts as found by an alarm from it on, a series without one as a false alarm by any. With fit, the detector starts
+    from the moments of the first values: a third of those before the step, 20 at least, or 40 where there is none."""
+    return scored_detector(kept(planted(df, size, seed), "planted"), detector, fit)
+
+
+def evaluate_simulated_detector(spark: SparkSession, detector, drift: str = "step", n: int = 400, drift_start: int = 250, copies: int = 20, seed: int = 7, fit: bool = True) -> DataFrame:
+    """The same on simulated assays."""
+    return scored_detector(simulated(spark, drift, n, drift_start, copies, seed), detector, fit)
+
+
+def scored_detector(rows: DataFrame, detector, fit: bool = True) -> DataFrame:
     from driftlake.streaming import detectors
 
-    rows = kept(planted(df, size, seed), "planted")
+    rows = kept(rows, "evaluated")
     key = F.to_json("series")
     starts = rows.groupBy("series").agg(F.first("start").alias("start"))
-    named = rows.drop("start").withColumn("series", key)
-    alarms = detectors.replayed(named, detector).where("detected").select("series", "seq")
+    first = F.when(F.col("series.planted"), F.greatest(F.lit(20), F.floor(F.col("start") / 3))).otherwise(40)
+    seeds = detectors.moments(rows.where(F.col("seq") <= first).withColumn("series", key)) if fit else None
+    alarms = detectors.replayed(rows.drop("start").withColumn("series", key), detector, seeds).where("detected").select("series", "seq")
     after = starts.withColumn("name", key).join(alarms.withColumnRenamed("series", "name"), "name", "left")
-    counts = F.when(F.col("series.planted"), F.col("seq") > F.col("start")).otherwise(F.col("seq").isNotNull())
+    counts = F.when(F.col("series.planted"), F.col("seq") >= F.col("start")).otherwise(F.col("seq").isNotNull())
     found = after.groupBy("series").agg(F.lit(type(detector).__name__).alias("method"), F.coalesce(F.max(counts), F.lit(False)).alias("detected"), F.min(F.when(counts, F.col("seq"))).alias("first"))
     return scored(found, starts)

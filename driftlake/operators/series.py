@@ -223,10 +223,10 @@ def scanned(df: DataFrame, start: Callable[[], object], step: Callable, schema:
     return ordered.mapInArrow(run, schema)
 
 
-def in_order(df: DataFrame, start: Callable[[], dict], work: Callable[[dict, np.ndarray], dict[str, np.ndarray]], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def in_order(df: DataFrame, start: Callable[..., dict], work: Callable[[dict, np.ndarray], dict[str, np.ndarray]], schema: str, keep: tuple[str, ...] = (), seed: tuple[str, ...] = ()) -> DataFrame:
     """An ordered pass over each series in whole arrays: work gets a series' state and its next values, changes the state
     and gives the columns after series. Memory does not grow with a series. With keep, work gives one row a value, and
-    these columns of df come after series as they are."""
+    these columns of df come after series as they are. start makes a series' state, from its first row's `seed` columns."""
     kind = dict(df.dtypes)["series"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,15 +239,16 @@ def in_order(df: DataFrame, start: Callable[[], dict], work: Callable[[dict, np.
                 if a == b:
                     continue
                 if state is None or series[a].as_py() != now:
-                    now, state = series[a].as_py(), start()
+                    now, state = series[a].as_py(), start(*(c[a].as_py() for c in batch.columns[2 + len(keep) :]))
                 found = work(state, values[a:b])
                 n = len(next(iter(found.values())))
                 if n:
-                    held = [c.slice(a, b - a) for c in batch.columns[2:]]
+                    held = [c.slice(a, b - a) for c in batch.columns[2 : 2 + len(keep)]]
                     yield pa.RecordBatch.from_arrays([pa.array([now] * n, series.type), *held, *(pa.array(c) for c in found.values())], ["series", *keep, *found])
 
-    ordered = df.select("series", "seq", "ts", "value").repartition("series").sortWithinPartitions("series", *ORDER)
-    return ordered.select("series", "value", *keep).mapInArrow(run, schema if schema.startswith("series ") else f"series {kind}, {schema}")
+    others = [c for c in dict.fromkeys((*keep, *seed)) if c not in ("seq", "ts")]
+    ordered = df.select("series", "seq", "ts", "value", *others).repartition("series").sortWithinPartitions("series", *ORDER)
+    return ordered.select("series", "value", *keep, *seed).mapInArrow(run, schema if schema.startswith("series ") else f"series {kind}, {schema}")
 
 
 def per_series(df: DataFrame, work: Callable[[np.ndarray], dict], schema: str) -> DataFrame:

@@ -322,3 +322,10 @@ def evaluate_detectors(spark, sf):
     """Detectors scored on copies of each user's values, shuffled by a hash, with and without a step planted in the middle."""
     e = by_user(spark, sf)
     return rounded(evaluation.evaluate(e, ("likelihood", "cusum", "robust_median", "pelt")))
+
+
+@query("evaluate_incremental")
+def evaluate_incremental(spark, sf):
+    """Incremental detectors, fitted on the first values, scored on the same copies."""
+    found = [evaluation.evaluate_detector(by_user(spark, sf), d) for d in (detectors.Cusum(), detectors.Ewma())]
+    return rounded(found[0].unionByName(found[1]))

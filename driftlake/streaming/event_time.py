@@ -32,14 +32,18 @@ class InEventTime(StatefulProcessor):
     """Hands a series' rows on in order. take(state, series, rows) changes the state, which JSON can hold, and gives what
     comes out; rows are (seq, at, value, site) in order, `at` in microseconds."""
 
-    def __init__(self, start: Callable[[], dict], take: Take, names: list[str]):
-        self.start, self.take, self.names = start, take, names
+    def __init__(self, start: Callable[[], dict], take: Take, names: list[str], seeded: Callable[..., dict] | None = None):
+        self.start, self.take, self.names, self.seeded = start, take, names, seeded
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "state string, at long, seq long, timer long")
         self.waiting = handle.getListState("waiting", "seq long, at long, value double, site string")
 
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        n, mean, m2 = initialState[["n", "mean", "m2"]].iloc[0].tolist()
+        self.held.update((json.dumps(self.seeded(int(n), float(mean), float(m2))), -(1 << 62), 0, 1 << 62))
+
     def _state(self) -> tuple[str | None, int, int, int]:
         return tuple(self.held.get()) if self.held.exists() else (None, -(1 << 62), 0, 1 << 62)
 
@@ -93,27 +97,29 @@ class InEventTime(StatefulProcessor):
         pass
 
 
-def in_event_time(stream: DataFrame, start: Callable[[], dict], take: Take, schema: str, lateness: str) -> DataFrame:
+def in_event_time(stream: DataFrame, start: Callable[[], dict], take: Take, schema: str, lateness: str, seeds: DataFrame | None = None, seeded: Callable[..., dict] | None = None) -> DataFrame:
     """What take makes of each series' rows (series, seq, ts, value[, site]) in the order of time, with a column `late` after
-    those of schema. lateness: how far behind the latest row of the stream another may be and still be put in its place."""
+    those of schema. lateness: how far behind the latest row of the stream another may be and still be put in its place.
+    seeds: moments of each series (n, mean, m2) that seeded makes its first state from."""
     schema = f"{schema}, late boolean"
     site = F.col("site").cast("string") if "site" in stream.columns else F.lit(None).cast("string")
     rows = stream.select(F.col("series").cast("string").alias("series"), F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("_time"), F.col("value").cast("double").alias("value"), site.alias("site"))
     # `at` is no event time to Spark, so it drops no row by it
     rows = rows.withWatermark("_time", lateness).select("series", "seq", F.unix_micros("_time").alias("at"), "value", "site")
-    work = InEventTime(start, take, [c.split()[0] for c in schema.split(", ")])
-    return rows.groupBy("series").transformWithStateInPandas(work, schema, "append", "eventTime")
+    work = InEventTime(start, take, [c.split()[0] for c in schema.split(", ")], seeded)
+    first = None if seeds is None else seeds.select("series", "n", "mean", "m2").groupBy("series")
+    return rows.groupBy("series").transformWithStateInPandas(work, schema, "append", "eventTime", first)
 
 
-def detected(stream: DataFrame, detector: Detector, lateness: str = "1 day") -> DataFrame:
-    """A detector's result after each finite row, as `replayed` gives for a table."""
+def detected(stream: DataFrame, detector: Detector, lateness: str = "1 day", seeds: DataFrame | None = None) -> DataFrame:
+    """A detector's result after each finite row, as `replayed` gives for a table. seeds: `detectors.moments` of the past."""
 
     def take(state: dict, series: str, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[np.isfinite(rows["value"].to_numpy(float))]
         seen = detector.steps(state, rows["value"].to_numpy(float))
         return pd.DataFrame({"seq": rows["seq"].to_numpy(), "ts": pd.to_datetime(rows["at"].to_numpy(), unit="us"), **dict(zip(("detected", "probability", "magnitude", "direction"), seen))})
 
-    return in_event_time(stream, detector.start, take, RESULT, lateness)
+    return in_event_time(stream, detector.start, take, RESULT, lateness, seeds, detector.seeded)
 
 
 def alerted(stream: DataFrame, detector: Detector, cooldown: timedelta = HOURS, least: str = "watch", lateness: str = "1 day") -> DataFrame:
