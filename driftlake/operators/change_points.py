@@ -86,11 +86,13 @@ def robust_median(df: DataFrame) -> DataFrame:
     return cusum(df, k=0.4, h=4.5, robust=True)
 
 
-def likelihood(df: DataFrame) -> DataFrame:
-    """The Gaussian likelihood-ratio scan of one change of mean, from prefix sums of centred values."""
-    own = with_stats(blanked(df), _m=F.avg("value"))
-    d = F.col("value") - F.col("_m")
-    sums = running(own, {"s1": d, "s2": d * d}, gaps=True)
+def likelihood(df: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """The Gaussian likelihood-ratio scan of one change of mean, from prefix sums of centred values. sums: (series, i, n, s1,
+    s2, place), where they are at hand."""
+    if sums is None:
+        own = with_stats(blanked(df), _m=F.avg("value"))
+        d = F.col("value") - F.col("_m")
+        sums = running(own, {"s1": d, "s2": d * d}, gaps=True)
     ends = sums.groupBy("series").agg(F.sum(F.when(F.col("i") == F.col("n"), F.col("s1"))).alias("t1"), F.max("s2").alias("t2"))
     n, i = F.col("n"), F.col("i")
     ss = F.col("t2") - F.col("s1") ** 2 / i - (F.col("t1") - F.col("s1")) ** 2 / F.nullif(n - i, F.lit(0))
@@ -105,18 +107,30 @@ def rolling(df: DataFrame, window: int | None = None) -> DataFrame:
     """The place at which Welch's test between the windows before and after it has the least p-value. A window has an
     eighth of a series' values, 8 at least, unless its size is given.
 
-    Windows come from differences of running sums at three places, which are joined by place."""
-    d = F.col("value") - F.col("_m")
-    sums = running(with_stats(blanked(df), _m=F.avg("value")), {"s1": d, "s2": d * d}, gaps=True).select("series", "i", "place", "n", "s1", "s2")
+    One ordered pass makes sums over the two windows of each place from differences of running sums; of a series it holds
+    what the two windows hold."""
+    own = with_stats(blanked(df), _m=F.avg("value"), n=F.count("value"))
     size = F.lit(window).cast("bigint") if window else F.greatest(F.lit(8), F.floor(F.col("n") / 8)).cast("bigint")
-    middle = sums.withColumn("w", size).where((F.col("i") >= F.col("w")) & (F.col("i") <= F.col("n") - F.col("w")))
-    at = lambda place, name: sums.select("series", F.col("i").alias(place), F.col("s1").alias(f"{name}1"), F.col("s2").alias(f"{name}2"))
-    own = middle.withColumn("from_", F.col("i") - F.col("w")).withColumn("to_", F.col("i") + F.col("w"))
-    own = own.join(at("from_", "a"), ["series", "from_"], "left").join(at("to_", "b"), ["series", "to_"]).fillna({"a1": 0.0, "a2": 0.0})
-    w = F.col("w")
-    mean = {"l": (F.col("s1") - F.col("a1")) / w, "r": (F.col("b1") - F.col("s1")) / w}
-    square = {"l": F.col("s2") - F.col("a2"), "r": F.col("b2") - F.col("s2")}
-    own = own.withColumns({f"m{x}": mean[x] for x in "lr"} | {f"v{x}": F.greatest(square[x] - w * mean[x] ** 2, F.lit(0.0)) / (w - 1) for x in "lr"})
+    own = own.select("series", "seq", "ts", (F.col("value") - F.col("_m")).alias("value"), size.alias("w"))
+
+    def windows(state: dict, x: np.ndarray) -> dict[str, np.ndarray]:
+        w, there = state["w"], np.flatnonzero(np.isfinite(x))
+        place = np.concatenate([state["place"], state["rows"] + there + 1])
+        state["rows"] += len(x)
+        s1, s2 = (np.concatenate([s, s[-1] + np.cumsum(v)]) for s, v in ((state["s1"], x[there]), (state["s2"], x[there] ** 2)))
+        # s1[k] is the sum up to the k-th value since the first one kept; a place is the end of its left window
+        middle = np.arange(w, len(s1) - w)
+        out = {"place": place[middle - 1], "w": np.full(len(middle), w)}
+        for name, a, b in (("l", middle - w, middle), ("r", middle, middle + w)):
+            mean = (s1[b] - s1[a]) / w
+            out |= {f"m{name}": mean, f"v{name}": np.maximum(s2[b] - s2[a] - w * mean * mean, 0.0) / max(1, w - 1)}
+        first = max(0, len(s1) - 2 * w)  # the next place needs the sums from here on
+        state |= {"place": place[first:], "s1": s1[first:] - s1[first], "s2": s2[first:] - s2[first]}
+        return out
+
+    start = lambda w: {"w": w, "rows": 0, "place": np.zeros(0, np.int64), "s1": np.zeros(1), "s2": np.zeros(1)}
+    series, sums = own, in_order(own, start, windows, "place bigint, w bigint, ml double, vl double, mr double, vr double", seed=("w",))
+    own, w = sums.withColumn("i", F.col("place")), F.col("w")
     se = (F.col("vl") + F.col("vr")) / w
     some = se > 1e-18 * (F.abs("ml") + F.abs("mr") + 1e-300)
     t = F.when(some, (F.col("ml") - F.col("mr")) / F.sqrt(F.when(some, se))).otherwise(0.0)
@@ -124,7 +138,7 @@ def rolling(df: DataFrame, window: int | None = None) -> DataFrame:
     own = own.withColumn("t", t).withColumn("dof", dof)
     own = own.withColumn("p", F.when(F.col("t") != 0, t_two_sided(F.col("t"), F.col("dof"))).otherwise(1.0))
     best = first_largest(own, -F.round("p", 12), "place", "t", "p").select("series", "place", "t", "p")
-    out = sums.select("series").distinct().join(best, "series", "left")
+    out = series.where("value is not null").select("series").distinct().join(best, "series", "left")
     detected = F.coalesce(F.col("p") < 0.01, F.lit(False))
     return out.select(
         "series", F.lit("rolling").alias("method"), detected.alias("detected"), F.when(detected, F.array(F.col("place").cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("indices"),

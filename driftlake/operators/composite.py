@@ -95,10 +95,11 @@ def analyze(df: DataFrame, events: DataFrame | None = None, lot: str | None = No
     chosen = features.select("series", F.col("method").alias("change_method"), F.col("reason").alias("change_reason"))
     found = cp.detect_changes(work.select("series", "seq", "ts", "value"), chosen=features)
     changes = found.select("series", F.col("detected").alias("change"), F.col("indices").alias("change_indices"), F.col("confidence").alias("change_confidence"))
-    kinds = drift.results_of_all(work)
+    places = kept(drift.in_place(work), "report-places")
+    kinds = drift.results_of_all(work, places)
     drifts = drift.best_of(kinds).select("series", F.col("kind").alias("drift_kind"), F.col("detected").alias("drift"), F.col("probability").alias("drift_probability"), F.col("magnitude").alias("drift_magnitude"), F.col("direction").alias("drift_direction"), F.col("start_index").alias("drift_index"))
     variances = kinds["variance"].select("series", F.when(F.col("detected"), F.least(F.lit(1.0), F.abs(F.col("magnitude")))).otherwise(0.0).alias("variance_penalty"), F.when(F.col("detected"), F.col("start_index")).alias("variance_index"))
-    placed = running(work, {"_z": F.lit(0.0)}).where("n >= 16")
+    placed = places.where("n >= 16")
     side = F.when(F.col("i") <= F.greatest(F.lit(8), F.floor(F.col("n") / 3)), "a").otherwise("b")
     distance = ts.compare_distribution(placed.select("series", side.alias("side"), "value")).select("series", F.col("method").alias("distribution_method"), F.col("distance"), F.least(F.lit(1.0), F.col("distance")).alias("distribution_penalty"))
     for name, part in (("changes", changes), ("drifts", drifts), ("distances", distance)):

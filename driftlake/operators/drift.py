@@ -31,9 +31,16 @@ def _result(df: DataFrame, kind: str, detected: Column, probability: Column, mag
     )
 
 
-def _timed(df: DataFrame, by_index: bool) -> DataFrame:
-    """Rows with k (their place), x (hours since the series began, or the place) and y."""
-    own = running(valid(df) if by_index else timed(df), {"_z": F.lit(0.0)})
+def in_place(df: DataFrame, by_index: bool = False) -> DataFrame:
+    """Rows with i and n, _m (the series' mean) and running sums s1 and s2 of differences from it and their squares: what
+    all kinds of drift are found from."""
+    own = with_stats(valid(df) if by_index else timed(df), _m=F.avg("value"))
+    d = F.col("value") - F.col("_m")
+    return running(own, {"s1": d, "s2": d * d})
+
+
+def _timed(own: DataFrame, by_index: bool) -> DataFrame:
+    """Rows of in_place with k (their place), x (hours since the series began, or the place) and y."""
     if by_index:
         x = F.col("i").cast("double")
     else:
@@ -49,7 +56,7 @@ def _residuals(points: DataFrame) -> DataFrame:
 
 def linear(df: DataFrame, by_index: bool = False, lines: DataFrame | None = None) -> DataFrame:
     """Theil-Sen slope against its approximate standard error."""
-    own = (lines if lines is not None else _residuals(_timed(df, by_index))).groupBy("series").agg(
+    own = (lines if lines is not None else _residuals(_timed(in_place(df, by_index), by_index))).groupBy("series").agg(
         F.first("slope").alias("slope"), F.stddev_samp("e").alias("se"), F.stddev_samp("x").alias("sx"), F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("span"), F.avg("y").alias("mean")
     )
     sigma = F.when(F.coalesce("se", F.lit(0.0)) == 0, 1.0).otherwise(F.col("se"))
@@ -63,7 +70,7 @@ def linear(df: DataFrame, by_index: bool = False, lines: DataFrame | None = None
 
 def nonlinear(df: DataFrame, by_index: bool = False, lines: DataFrame | None = None) -> DataFrame:
     """Whether a least-squares parabola leaves much less than the Theil-Sen line does. From moments of centred times."""
-    own = with_stats(lines if lines is not None else _residuals(_timed(df, by_index)), mx=F.avg("x"), my=F.avg("y"))
+    own = with_stats(lines if lines is not None else _residuals(_timed(in_place(df, by_index), by_index)), mx=F.avg("x"), my=F.avg("y"))
     u, v = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     m = own.groupBy("series").agg(
         F.sum(F.col("e") ** 2).alias("r1"), F.sum(u * u).alias("s2"), F.sum(u * u * u).alias("s3"), F.sum(u * u * u * u).alias("s4"), F.sum(u * v).alias("uy"), F.sum(u * u * v).alias("uuy"),
@@ -78,22 +85,20 @@ def nonlinear(df: DataFrame, by_index: bool = False, lines: DataFrame | None = N
     return _result(m, "nonlinear", detected, F.when(detected, F.least(F.lit(0.95), 0.5 + F.col("f") / 40)).otherwise(0.15), F.col("curve") * F.col("span") ** 2 / (F.abs("mean") + EPS), direction(F.col("curve")), F.lit(1), F.col("n"))
 
 
-def sudden(df: DataFrame) -> DataFrame:
-    """One change of mean by the likelihood-ratio scan."""
-    df = timed(df)
-    found = cp.likelihood(df).select("series", "detected", "confidence", F.get("indices", F.lit(0)).alias("tau"))
-    own = running(df, {"_z": F.lit(0.0)}).join(found, "series")
+def sudden(df: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """One change of mean by the likelihood-ratio scan. own: in_place of df, as for the kinds below."""
+    own = in_place(df) if own is None else own
+    found = cp.likelihood(df, own.withColumn("place", F.col("i"))).select("series", "detected", "confidence", F.get("indices", F.lit(0)).alias("tau"))
+    own = own.join(found, "series")
     left = F.col("i") <= F.col("tau")
     m = own.groupBy("series").agg(F.avg(F.when(left, F.col("value"))).alias("m1"), F.avg(F.when(~left, F.col("value"))).alias("m2"), F.first("detected").alias("found"), F.first("confidence").alias("confidence"), F.first("tau").alias("tau"), F.count("*").alias("n"))
     step = F.col("m2") - F.col("m1")
     return _result(m, "sudden", F.col("found"), F.when(F.col("found"), F.col("confidence")).otherwise(0.0), F.when(F.col("found"), step / (F.abs("m1") + EPS)), F.when(F.col("found"), direction(step)).otherwise("none"), F.when(F.col("found"), F.col("tau")), F.col("n"))
 
 
-def variance(df: DataFrame) -> DataFrame:
+def variance(df: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """Cumulative sums of squares against the supremum of a Brownian bridge (5 per cent: 1.358)."""
-    own = with_stats(timed(df), _m=F.avg("value"))
-    d = F.col("value") - F.col("_m")
-    sums = running(own.withColumn("d", d), {"c": d * d})
+    sums = (in_place(df) if own is None else own).withColumnRenamed("s2", "c")
     total = sums.groupBy("series").agg(F.max("c").alias("total"))
     sums = sums.join(total, "series").withColumn("dk", F.abs(F.col("c") / F.nullif("total", F.lit(0.0)) - F.col("i") / F.col("n")))
     best = cp.first_largest(sums, F.round("dk", 12), "n").withColumnsRenamed({"i": "tau", "statistic": "dk"})
@@ -105,9 +110,9 @@ def variance(df: DataFrame) -> DataFrame:
     return _result(m, "variance", detected, F.when(detected, F.least(F.lit(0.98), 0.5 + (F.col("stat") - 1.358) / 4)).otherwise(0.15), (F.col("b") - F.col("a")) / (F.col("a") + EPS), direction(F.col("b") - F.col("a")), F.col("tau"), F.col("n"))
 
 
-def cyclic(df: DataFrame, most: int = 40) -> DataFrame:
+def cyclic(df: DataFrame, own: DataFrame | None = None, most: int = 40) -> DataFrame:
     """The share of the largest of the first harmonics in the power of all of them."""
-    own = running(with_stats(timed(df), _m=F.avg("value")), {"_z": F.lit(0.0)}).withColumn("z", F.col("value") - F.col("_m"))
+    own = (in_place(df) if own is None else own).withColumn("z", F.col("value") - F.col("_m"))
     # one aggregate with a sum of cosines and one of sines for each harmonic; rows are not multiplied
     turn = 2 * math.pi / F.col("n") * F.col("i")
     sums = own.where("n >= 4").groupBy("series").agg(F.first("n").alias("n"), *(F.sum(F.col("z") * f(turn * k)).alias(f"{x}{k}") for k in range(1, most + 1) for x, f in (("c", F.cos), ("s", F.sin))))
@@ -118,9 +123,9 @@ def cyclic(df: DataFrame, most: int = 40) -> DataFrame:
     return _result(m, "cyclic", detected, F.when(detected, F.least(F.lit(0.9), F.col("g"))).otherwise(0.1), F.col("g"), F.lit("cyclic"), F.lit(1), F.col("n"))
 
 
-def distribution(df: DataFrame) -> DataFrame:
+def distribution(df: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """The first third of each series against the rest, by Kolmogorov and Smirnov; eight values on each side."""
-    own = running(timed(df), {"_z": F.lit(0.0)})
+    own = in_place(df) if own is None else own
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     pooled = own.select("series", "value", "n", F.when(F.col("i") <= third, "a").otherwise("b").alias("side"))
     k = ts.ks(pooled).withColumnsRenamed({"n": "na", "m": "nb"})
@@ -146,12 +151,14 @@ def detect_drift(df: DataFrame, kind: str = "auto") -> DataFrame:
     return best_of(results_of_all(df))
 
 
-def results_of_all(df: DataFrame) -> dict[str, DataFrame]:
-    """Each kind's results, one row a series; all are written in one table, which what builds on them reads."""
-    lines = kept(_residuals(_timed(df, False)), "drift-lines")
+def results_of_all(df: DataFrame, placed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Each kind's results, one row a series; all are written in one table, which what builds on them reads. Places and sums
+    are made once for all kinds. placed: in_place of df, written."""
+    placed = kept(in_place(df), "drift-places") if placed is None else placed
+    lines = kept(_residuals(_timed(placed, False)), "drift-lines")
     all_ = None
     for k, f in KINDS.items():
-        own = f(df, lines=lines) if k in ("linear", "nonlinear") else f(df)
+        own = f(df, lines=lines) if k in ("linear", "nonlinear") else f(df, placed)
         all_ = own if all_ is None else all_.unionByName(own)
     found = kept(all_, "drifts")
     return {k: found.where(F.col("kind") == k) for k in KINDS}
