@@ -16,7 +16,8 @@ columns of the input are not read.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,6 +77,8 @@ TEMPLATES = (
     Template("copyright", "Copyright (c) All rights reserved", ("all rights reserved",)),
 )
 LEAST_COVERAGE = 0.6
+#: Templates of so many words or more are aligned with gaps.
+LONG = 20
 
 
 def _hash(words: list[str]) -> np.ndarray:
@@ -110,6 +113,8 @@ class PositionalIndex:
         self.hashes, self.vocabulary = hashes[order], [vocabulary[i] for i in order]
         number = {w: i for i, w in enumerate(self.vocabulary)}
         self.sequences = [np.array([number[w] for w in ws]) for ws in self.words]
+        self.counts = [Counter(ws.tolist()) for ws in self.sequences]
+        self.backwards = [{w: np.flatnonzero(ws == w)[::-1].tolist() for w in set(ws.tolist())} for ws in self.sequences]
         self.phrases = [[[number.get(w, -1) for w in words_of(p)] for p in t.key_phrases] for t in templates]
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
@@ -127,20 +132,71 @@ class PositionalIndex:
         return dict(out)
 
     def match(self, own: np.ndarray, places: np.ndarray, rarest: dict[int, list[tuple[int, int]]]) -> dict[str, float]:
-        """Labels and coverage for a file with vocabulary words `own` at `places`."""
+        """Labels and coverage for a file with vocabulary words `own` at `places`.
+
+        Each place of a rare word gives a relative position at which a template may begin. Of a short template the words
+        must stand at just that distance. A long one may have words put in or left out: the words near that position are
+        aligned with it in order, and the longest common sequence counts."""
         at = dict(zip(places.tolist(), own.tolist()))
-        alignments = {(t, place - k) for place, w in at.items() for t, k in rarest.get(w, ())}
+        shifts: dict[int, set[int]] = defaultdict(set)
+        for place, w in at.items():
+            for t, k in rarest.get(w, ()):
+                shifts[t].add(place - k)
         found: dict[str, float] = {}
-        for t, shift in alignments:
-            words = self.sequences[t]
-            coverage = sum(at.get(shift + k) == w for k, w in enumerate(words.tolist())) / len(words)
-            if coverage < LEAST_COVERAGE or coverage <= found.get(self.templates[t].label, 0.0):
-                continue
-            window = range(max(0, shift - 8), shift + len(words) + 8)
-            if all(any(all(at.get(s + k) == w for k, w in enumerate(phrase)) for s in window) for phrase in self.phrases[t]):
-                found[self.templates[t].label] = coverage
+        for t, begins in shifts.items():
+            words, label = self.sequences[t], self.templates[t].label
+            size, slack = len(words), 0 if len(words) < LONG else len(words) // 6 + 4
+            last = None
+            for shift in sorted(begins):
+                if last is not None and shift - last < slack // 2:
+                    continue  # the window of the last one holds this alignment too
+                last = shift
+                if slack:
+                    low, high = np.searchsorted(places, [shift - slack, shift + size + slack])
+                    coverage = self.aligned(t, own[low:high].tolist()) / size
+                else:
+                    coverage = sum(at.get(shift + k) == w for k, w in enumerate(words.tolist())) / size
+                if coverage < LEAST_COVERAGE or coverage <= found.get(label, 0.0):
+                    continue
+                window = range(max(0, shift - 8 - slack), shift + size + 8 + slack)
+                if all(any(stands(phrase, at, s) for s in window) for phrase in self.phrases[t]):
+                    found[label] = coverage
         return found
 
+    def aligned(self, t: int, own: list[int]) -> int:
+        """The length of the longest common sequence of a template's words and a file's, 0 if too few can be common."""
+        wanted, counts = self.counts[t], Counter(own)
+        if sum(min(n, counts[w]) for w, n in wanted.items()) < LEAST_COVERAGE * len(self.sequences[t]):
+            return 0
+        ends: list[int] = []  # the least template place at which a common sequence of each length ends
+        for w in own:
+            for k in self.backwards[t].get(w, ()):
+                j = bisect_left(ends, k)
+                ends[j : j + 1] = [k]
+        return len(ends)
+
+
+def stands(phrase: list[int], at: dict[int, int], begin: int) -> bool:
+    """Whether a phrase begins at a place. Of its words in order, two may be put in between those of a phrase of four or
+    more, and one may be missing; one may be put in between three; shorter ones stand as they are."""
+    slips, missing = (2, 1) if len(phrase) >= 4 else (1, 0) if len(phrase) == 3 else (0, 0)
+    if at.get(begin) != phrase[0] and (not missing or at.get(begin) != phrase[1]):
+        return False
+    place, k = begin, 0
+    while k < len(phrase):
+        if at.get(place) == phrase[k]:
+            place, k = place + 1, k + 1
+        elif missing and k + 1 < len(phrase) and (at.get(place) == phrase[k + 1] or at.get(place + 1) == phrase[k + 1]):
+            # left out, or another word in its place
+            missing, k, place = missing - 1, k + 1, place + (at.get(place) != phrase[k + 1])
+        elif missing and k + 1 == len(phrase):
+            missing, k = missing - 1, k + 1
+        elif slips:
+            slips, place = slips - 1, place + 1
+        else:
+            return False
+    return True
+
 
 def word_frequencies(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(word int, n long): in how many rows of docs each template word stands, by its vocabulary number."""
