@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from driftlake.functions.columns import sentinel_score, status_from_score
-from driftlake.operators import basics, composite, evaluation, reconstruction, story
+from driftlake.operators import basics, composite, evaluation, reconstruction, story, summaries
 from driftlake.operators.series import shared_folder
 from driftlake.plans.base import ORACLE_SQL, T, U, by_type, by_user, query, rounded, t_tail, table
 from driftlake.plans.basics import TWO_SIDED
@@ -166,6 +166,28 @@ def worst_status(spark, sf):
     return composite.worst_status(s.withColumn("panel", F.col("series") % 7), "panel")
 
 
+#: Reports of users by simple rules: the status by the largest value, the score by the mean, drift by the last value.
+_BRIEF = "b AS (SELECT user_id AS series, user_id % 7 AS panel, count(*) AS n, CASE WHEN max(value) > 400 THEN 'critical' WHEN max(value) > 300 THEN 'drift_suspected' WHEN max(value) > 200 THEN 'watch' ELSE 'stable' END AS status, greatest(0, 100 - avg(value) / 2) AS score, max_by(value, event_id) > avg(value) AS drift FROM events GROUP BY user_id)"
+
+
+def brief(spark, sf):
+    top, mean = F.max("value"), F.avg("value")
+    status = F.when(top > 400, "critical").when(top > 300, "drift_suspected").when(top > 200, "watch").otherwise("stable")
+    own = by_user(spark, sf).groupBy("series").agg(F.count("*").alias("n"), status.alias("status"), F.greatest(F.lit(0.0), 100 - mean / 2).alias("score"), (F.max_by("value", "seq") > mean).alias("drift"))
+    return own.withColumn("panel", F.col("series") % 7).withColumn("change_method", F.lit("pelt"))
+
+
+@query("report_summary", f"WITH {_BRIEF} SELECT series, CASE status WHEN 'drift_suspected' THEN 'Drift Suspected' WHEN 'critical' THEN 'Critical' WHEN 'watch' THEN 'Watch' ELSE 'Stable' END AS status, round(score, 1) AS score, n, drift, 'pelt' AS method FROM b")
+def report_summary(spark, sf):
+    return summaries.summary(brief(spark, sf))
+
+
+@query("panel_result", f"""WITH {_BRIEF}, r AS (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY CASE status WHEN 'critical' THEN 0 WHEN 'drift_suspected' THEN 1 WHEN 'watch' THEN 2 ELSE 3 END, CAST(series AS VARCHAR)) AS k FROM b)
+SELECT panel, count(*) AS analytes, sum(n)::BIGINT AS n, count(*) FILTER (drift) AS drifting, round(min(score), 6) AS lowest_score, round(avg(score), 6) AS mean_score, max(CASE status WHEN 'drift_suspected' THEN 'Drift Suspected' WHEN 'critical' THEN 'Critical' WHEN 'watch' THEN 'Watch' ELSE 'Stable' END) FILTER (k = 1) AS worst_status, CAST(max(series) FILTER (k = 1) AS VARCHAR) AS worst FROM r GROUP BY panel""")
+def panel_result(spark, sf):
+    return rounded(summaries.panel_result(brief(spark, sf)))
+
+
 def _reports(spark, sf):
     return composite.analyze(measured(spark, sf), lot="lot")
 

@@ -1,5 +1,5 @@
-"""Charts as SVG and report pages as HTML. Charts show at most MOST_POINTS rows of one series, thinned out by Spark before
-anything reaches the driver; report tables have one row a series."""
+"""Charts as SVG and report pages as HTML. Charts show at most MOST_POINTS rows, thinned out by Spark before anything
+reaches the driver, and say how many they leave out; report tables have one row a series."""
 
 from __future__ import annotations
 
@@ -22,6 +22,12 @@ def thinned(df: DataFrame, series) -> list[tuple]:
     return [tuple(r) for r in own.where((F.col("i") - 1) % every == 0).select("i", "ts", "value").orderBy("i").collect()]
 
 
+def _first(rows: DataFrame, *order: str) -> tuple[list, str]:
+    """The first MOST_POINTS rows in an order, and what a title says of the others."""
+    n = rows.count()
+    return (rows.orderBy(*order) if order else rows).limit(MOST_POINTS).collect(), "" if n <= MOST_POINTS else f" (the first {MOST_POINTS} of {n}; {n - MOST_POINTS} are not shown)"
+
+
 def _scale(low: float, high: float, start: float, end: float):
     width = (high - low) or 1.0
     return lambda v: round(start + (v - low) / width * (end - start), 1)
@@ -51,7 +57,7 @@ def control_chart(df: DataFrame, series) -> str:
 
 def timeline(beats: DataFrame, series) -> str:
     """The beats of a series' story on a line."""
-    rows = beats.where(F.col("series") == series).orderBy("beat").limit(MOST_POINTS).select("ts", "label").collect()
+    rows, rest = _first(beats.where(F.col("series") == series).select("beat", "ts", "label"), "beat")
     if not rows:
         return _svg(f"{series}: nothing to tell", [])
     at = [r.ts.timestamp() for r in rows]
@@ -59,12 +65,12 @@ def timeline(beats: DataFrame, series) -> str:
     body = [f'<line x1="{EDGE}" x2="{WIDTH - EDGE}" y1="40" y2="40" stroke="#333"/>']
     for k, r in enumerate(rows):
         body.append(f'<circle cx="{x(at[k])}" cy="40" r="4" fill="#26c"/><text x="{x(at[k])}" y="{60 + 14 * k}">{escape(r.label)}</text>')
-    return _svg(str(series), body, 80 + 14 * len(rows))
+    return _svg(f"{series}{rest}", body, 80 + 14 * len(rows))
 
 
 def forest_chart(rows: DataFrame, title: str = "Estimates") -> str:
     """(name, mid, low, high): an estimate and its interval each; sites, groups or panels."""
-    own = rows.orderBy("name").limit(MOST_POINTS).collect()
+    own, rest = _first(rows, "name")
     if not own:
         return _svg(title, [])
     x = _scale(min(r.low for r in own), max(r.high for r in own), 4 * EDGE, WIDTH - EDGE)
@@ -72,7 +78,23 @@ def forest_chart(rows: DataFrame, title: str = "Estimates") -> str:
     for k, r in enumerate(own):
         y = 40 + 18 * k
         body.append(f'<text x="{EDGE}" y="{y + 4}">{escape(str(r["name"]))}</text><line x1="{x(r.low)}" x2="{x(r.high)}" y1="{y}" y2="{y}" stroke="#333"/><circle cx="{x(r.mid)}" cy="{y}" r="4" fill="#26c"/>')
-    return _svg(title, body, 60 + 18 * len(own))
+    return _svg(f"{title}{rest}", body, 60 + 18 * len(own))
+
+
+#: Colours of a status.
+STATUS_COLORS = {"critical": "#8B2E2E", "drift_suspected": "#8B2E2E", "warning": "#8B2E2E", "watch": "#c90"}
+
+
+def panel_chart(reports: DataFrame, title: str = "Panel") -> str:
+    """A bar for the score (0 to 100) of each report (series, status, score), coloured by its status."""
+    own, rest = _first(reports.select(F.col("series").cast("string").alias("series"), "status", F.coalesce("score", F.lit(0.0)).alias("score")), "series")
+    x, body = _scale(0.0, 100.0, 4 * EDGE, WIDTH - 3 * EDGE), []
+    for k, r in enumerate(own):
+        y, end = 40 + 24 * k, max(4 * EDGE + 2, x(min(100.0, max(0.0, r.score))))
+        label = f"{r.score:.0f} {str(r.status).replace('_', ' ')}"
+        body.append(f'<text x="{EDGE}" y="{y + 4}">{escape(r.series)}</text><rect x="{4 * EDGE}" y="{y - 8}" width="{end - 4 * EDGE}" height="16" fill="{STATUS_COLORS.get(r.status, "#277")}"/><text x="{end + 6}" y="{y + 4}">{escape(label)}</text>')
+    body.append(f'<text x="{EDGE}" y="{56 + 24 * len(own)}" fill="#777">Scores tell of the analytical process, not of a patient. {escape(NOTICE)}</text>')
+    return _svg(f"{title}{rest}", body, 70 + 24 * len(own))
 
 
 def group_chart(df: DataFrame, group: str) -> str:
@@ -83,9 +105,10 @@ def group_chart(df: DataFrame, group: str) -> str:
 
 def provenance_chart(edges: DataFrame, series) -> str:
     """The steps that led to a report, from left to right."""
-    steps = [r.step for r in edges.where(F.col("series") == series).limit(MOST_POINTS).collect()]
+    rows, rest = _first(edges.where(F.col("series") == series).select("step"))
+    steps = [r.step for r in rows]
     body = [f'<text x="{EDGE + 90 * k}" y="50">{escape(s)}</text><line x1="{EDGE + 90 * k}" x2="{EDGE + 90 * k + 80}" y1="58" y2="58" stroke="#333"/>' for k, s in enumerate(steps)]
-    return _svg(str(series), body, 80)
+    return _svg(f"{series}{rest}", body, 80)
 
 
 def html(reports: DataFrame, charts: dict[str, str] | None = None, title: str = "Report") -> str:

@@ -109,8 +109,21 @@ def plain(x):
     return x
 
 
-def save_reports(reports: DataFrame, path: str) -> None:
-    """By the path's ending: .json, .md and .html through the driver, anything else as Parquet."""
+def nested(rows: list[dict], panel: str | None = None, study: list[dict] | None = None) -> dict:
+    """What a report file holds: reports, those of panels under the panel's name, or those of sites beside their study."""
+    if study is not None:
+        return {"schema_version": 1, "kind": "study", "studies": study, "site_reports": rows}
+    if panel is not None:
+        panels: dict[str, list[dict]] = {}
+        for r in rows:
+            panels.setdefault(str(r.get(panel)), []).append(r)
+        return {"schema_version": 1, "kind": "panel", "panels": [{"name": k, "reports": v} for k, v in sorted(panels.items())]}
+    return {"schema_version": 1, "reports": rows}
+
+
+def save_reports(reports: DataFrame, path: str, panel: str | None = None, study: DataFrame | None = None) -> None:
+    """By the path's ending: .json, .md and .html through the driver, anything else as Parquet. In JSON, panel names the
+    column that reports are put together by; study are the rows of `sites.study` that the reports' sites belong to."""
     if path.endswith(".html"):
         from driftlake.sources.pages import html
 
@@ -123,7 +136,7 @@ def save_reports(reports: DataFrame, path: str) -> None:
     rows = [plain(r.asDict(recursive=True)) for r in reports.toLocalIterator()]
     with open(path, "w") as f:
         if path.endswith(".json"):
-            json.dump({"schema_version": 1, "reports": rows}, f, default=str)
+            json.dump(nested(rows, panel, None if study is None else [plain(r.asDict(recursive=True)) for r in study.toLocalIterator()]), f, default=str)
         else:
             names = reports.columns
             f.write("\n".join([f"| {' | '.join(names)} |", f"|{'-|' * len(names)}", *(f"| {' | '.join('' if r[c] is None else str(r[c]) for c in names)} |" for r in rows)]) + "\n")
@@ -132,5 +145,6 @@ def save_reports(reports: DataFrame, path: str) -> None:
 def load_reports(spark: SparkSession, path: str) -> DataFrame | list[dict]:
     if path.endswith(".json"):
         with open(path) as f:
-            return json.load(f)["reports"]
+            held = json.load(f)
+        return held.get("reports") or held.get("site_reports") or [r for p in held.get("panels", ()) for r in p["reports"]]
     return spark.read.parquet(path)
