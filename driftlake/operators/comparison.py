@@ -85,18 +85,21 @@ def predicted(pairs: DataFrame, curves: DataFrame) -> DataFrame:
     return own.withColumn("fit", fit).withColumn("residual", F.col("y") - F.col("fit"))
 
 
-def diagnostics(pairs: DataFrame, curves: DataFrame, parameters: int = 2) -> DataFrame:
-    """(series, n, residual_sd, mean_relative_error, lack_of_fit, p): with replicates, their spread against the curve's."""
+def diagnostics(pairs: DataFrame, curves: DataFrame, parameters: int = 2, runs: bool = True) -> DataFrame:
+    """(series, n, residual_sd, mean_relative_error, lack_of_fit, p, runs, runs_z, runs_p): with replicates, their spread
+    against the curve's; and runs of the residuals' signs in the order of x."""
     own = predicted(pairs, curves)
     at_x = own.groupBy("series", "x").agg(F.count("*").alias("m"), F.avg("y").alias("my"), F.coalesce(F.var_pop("y"), F.lit(0.0)).alias("v"), F.first("fit").alias("fit"))
     lof = at_x.groupBy("series").agg(F.sum(F.col("m") * F.col("v")).alias("pure"), F.sum(F.col("m") * (F.col("my") - F.col("fit")) ** 2).alias("lack"), (F.count("*") - parameters).alias("d1"), (F.sum("m") - F.count("*")).alias("d2"))
     base = own.groupBy("series").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("residual") ** 2)).alias("residual_sd"), F.avg(F.abs(F.col("residual") / F.nullif("y", F.lit(0.0)))).alias("mean_relative_error"))
     ok = (F.col("d1") > 0) & (F.col("d2") > 0) & (F.col("pure") > 0)
     f = F.when(ok, (F.col("lack") / F.nullif("d1", F.lit(0))) / (F.nullif("pure", F.lit(0.0)) / F.nullif("d2", F.lit(0))))
-    return base.join(lof, "series").withColumn("lack_of_fit", f).select("series", "n", "residual_sd", "mean_relative_error", "lack_of_fit", F.when(ok, f_sf(F.col("lack_of_fit"), F.col("d1"), F.col("d2"))).alias("p"))
+    out = base.join(lof, "series").withColumn("lack_of_fit", f).select("series", "n", "residual_sd", "mean_relative_error", "lack_of_fit", F.when(ok, f_sf(F.col("lack_of_fit"), F.col("d1"), F.col("d2"))).alias("p"))
+    return out.join(residual_runs(pairs, curves).withColumnsRenamed({"z": "runs_z", "p": "runs_p"}), "series", "left") if runs else out
 
 
 def residual_runs(pairs: DataFrame, curves: DataFrame) -> DataFrame:
+    """(series, runs, z, p): Wald and Wolfowitz's runs of the signs of residuals, by x and k."""
     own = predicted(pairs, curves)
     return runs_test(own.select("series", F.col("k").alias("seq"), F.col("x").alias("ts"), F.col("residual").alias("value")))
 

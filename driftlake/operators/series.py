@@ -117,8 +117,11 @@ def percentiles(df: DataFrame, keys: tuple[str, ...], value: str | Column, **qs:
     placed = counted.withColumn("_u", F.sum("_c").over(upto)).withColumn("_h", F.col("_q") * (F.col("_n") - 1))
     at = lambda rank: F.min(F.when(F.col("_u") > rank, F.col("_v")))
     low = F.floor("_h")
-    found = placed.groupBy(*keys, "_i").agg(at(low).alias("a"), at(low + 1).alias("b"), F.first(F.col("_h") - low).alias("f"))
-    exact = F.when(F.col("f") == 0, F.col("a")).otherwise(F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("f"))
+    below = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_u"))), F.lit(0))
+    found = placed.groupBy(*keys, "_i").agg(at(low).alias("a"), at(low + 1).alias("b"), F.first(F.col("_h") - low).alias("f"), ((below > F.first(low)) | (F.max("_u") <= F.first(low) + (F.first(F.col("_h")) > F.first(low)).cast("long"))).alias("_missed"))
+    # a merged sketch is right to a part in SKETCH or so, four times less than the bracket is wide; if it ever is not, no
+    # quantile may be made of what happens to lie in the bracket
+    exact = F.when(F.col("_missed"), F.raise_error(F.lit("a sketch missed the rank of a quantile")).cast("double")).when(F.col("f") == 0, F.col("a")).otherwise(F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("f"))
     pick = [F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(k) for i, k in enumerate(names)]
     return found.withColumn("_x", exact).groupBy(*keys).agg(*pick)
 

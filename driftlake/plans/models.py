@@ -95,7 +95,17 @@ def cal_predict(spark, sf):
 @query("cal_diagnostics", f"{_FIT}, g AS (SELECT p.series, x, count(*) AS m, avg(y) AS my, var_pop(y) AS v, any_value(icpt + slope * x) AS fit FROM p JOIN f ON f.series = p.series GROUP BY p.series, x), l AS (SELECT series, sum(m * v) AS pure, sum(m * (my - fit) ** 2) AS lack, count(*) - 2 AS d1, sum(m)::BIGINT - count(*) AS d2 FROM g GROUP BY series), b AS (SELECT p.series, count(*) AS n, sqrt(avg((y - icpt - slope * x) ** 2)) AS rs, avg(abs((y - icpt - slope * x) / y)) AS re FROM p JOIN f ON f.series = p.series GROUP BY p.series) SELECT b.series, n, round(rs, 5) AS residual_sd, round(re, 5) AS mean_relative_error, round((lack / d1) / (pure / d2), 5) AS lack_of_fit FROM b JOIN l ON l.series = b.series")
 def cal_diagnostics(spark, sf):
     p = flag_pairs(spark, sf)
-    return rounded(comparison.diagnostics(p, comparison.ols(p)).drop("p"), 5)
+    return rounded(comparison.diagnostics(p, comparison.ols(p), runs=False).drop("p"), 5)
+
+
+@query("cal_residual_runs", f"""WITH {_PAIRS}, m AS (SELECT series, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, covar_pop(x, y) AS xy FROM p GROUP BY series HAVING count(*) >= 8), f AS (SELECT series, coalesce(xy / nullif(xx, 0), 0) AS slope, my - coalesce(xy / nullif(xx, 0), 0) * mx AS icpt FROM m),
+c AS (SELECT p.series, x, k, y - icpt - slope * x AS d FROM p JOIN f ON f.series = p.series), s AS (SELECT *, lag(d > 0) OVER (PARTITION BY series ORDER BY x, k) AS l FROM c WHERE d <> 0), g AS (SELECT series, sum(CASE WHEN l IS NULL OR l <> (d > 0) THEN 1 ELSE 0 END)::BIGINT AS runs, sum(CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE 0 END) AS a, sum(CASE WHEN d > 0 THEN 0 ELSE 1.0::DOUBLE END) AS b FROM s GROUP BY series),
+z AS (SELECT series, runs, (runs - (1 + 2 * a * b / (a + b))) / sqrt(2 * a * b * (2 * a * b - a - b) / ((a + b) ** 2 * (a + b - 1))) AS z FROM g), p2 AS ({TWO_SIDED.format('z')}) SELECT series, runs, round(z, 6) AS z, round(p, 6) AS p FROM p2""")
+def cal_residual_runs(spark, sf):
+    """Runs of the residuals of each part's line, for parts of eight lines or more."""
+    own = pairs(spark, sf)
+    own = own.join(own.groupBy("series").agg(F.count("*").alias("_n")).where("_n >= 8").select("series"), "series", "left_semi")
+    return rounded(comparison.residual_runs(own, comparison.ols(own)))
 
 
 @query("compare_calibrations", "WITH q AS (SELECT l_returnflag AS series, l_linestatus AS h, l_quantity AS x, l_extendedprice / 1000.0::DOUBLE AS y FROM lineitem), m AS (SELECT series, h, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM q GROUP BY series, h HAVING count(*) >= 3), f AS (SELECT series, h, xy / xx AS s, my - xy / xx * mx AS i, 1 - (yy - xy * xy / xx) / yy AS r, sqrt(yy - xy * xy / xx) AS e FROM m), d AS (SELECT a.series, b.s - a.s AS ds, b.i - a.i AS di, b.r - a.r AS dr, b.e - a.e AS de FROM f a JOIN f b ON a.series = b.series AND a.h = 'F' AND b.h = 'O'), g AS (SELECT DISTINCT series, x FROM q) SELECT d.series, round(any_value(ds), 5) AS slope_delta, round(any_value(di), 5) AS intercept_delta, round(any_value(dr), 5) AS r2_delta, round(any_value(de), 5) AS residual_delta, round(avg(abs(di + ds * x)), 5) AS mean_difference FROM d JOIN g ON g.series = d.series GROUP BY d.series")

@@ -51,3 +51,18 @@ def test_files_of_panels_and_studies(spark, tmp_path):
         assert set(held) == keys and {r["series"] for r in tables.load_reports(spark, path)} == set("abcde")
     with open(tmp_path / "s.json") as f:
         assert json.load(f)["studies"] == [{"series": "study", "attribution": "global", "i2": None}]
+
+
+def test_a_missed_rank_raises(spark, monkeypatch):
+    import pytest
+
+    from driftlake.operators import series
+
+    rows = spark.range(3000).select(F.lit("s").alias("series"), F.col("id").cast("double").alias("value"))
+    assert series.percentiles(rows, ("series",), "value", m=0.5).first().m == 1499.5
+    monkeypatch.setattr(series, "SKETCH", 1000)
+    plain = F.percentile_approx
+    for off in (-0.3, 0.3):  # brackets beside the rank
+        monkeypatch.setattr(series.F, "percentile_approx", lambda c, q, n, off=off: plain(c, [min(1.0, max(0.0, x + off)) for x in q], n))
+        with pytest.raises(Exception, match="missed the rank"):
+            series.percentiles(rows, ("series",), "value", m=0.5).collect()
