@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlake.operators import qc
-from driftlake.plans.base import T, by_type, query, rounded
+from driftlake.plans.base import T, by_type, query, rounded, table
+from driftlake.sources.tables import cell_kind, cell_number, cell_time, cell_truth
 
 #: Rules are tried against tighter limits than the series' own spread, so that each of them fires.
 _SPEC = "s AS (SELECT series, avg(value) AS m, stddev_samp(value) / 2 AS s FROM e GROUP BY series)"
@@ -94,3 +95,21 @@ def outliers_iqr(spark, sf):
 @query("outlier_policy_remove", f"{_IQR} SELECT series, seq, value FROM d WHERE NOT is_outlier")
 def outlier_policy_remove(spark, sf):
     return qc.outliers(by_type(spark, sf), "iqr").where("not is_outlier").select("series", "seq", "value")
+
+
+#: Cells as files hold them, made of each event: numbers in several forms, times, truths, empty ones and text.
+_CELL = """CASE event_id % 9 WHEN 0 THEN ' ' || CAST(CAST(event_id AS BIGINT) AS VARCHAR) || ' ' WHEN 1 THEN '-' || CAST(event_id % 1000 AS VARCHAR) || '.5e1' WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN strftime(ts, '%Y-%m-%d') WHEN 4 THEN 'TRUE' WHEN 5 THEN '  ' WHEN 6 THEN 'NA' WHEN 7 THEN '<' || CAST(event_id % 7 AS VARCHAR) ELSE CAST(event_id % 50 AS VARCHAR) || 'f' END"""
+
+
+@query("cell_rules", f"""WITH c AS (SELECT event_id, nullif(trim({_CELL}), '') AS t FROM events), k AS (SELECT event_id, t, CASE WHEN t IS NULL THEN 'none' WHEN regexp_matches(t, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN 'number' WHEN regexp_matches(t, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'time' WHEN lower(t) IN ('true', 'false') THEN 'truth' ELSE 'text' END AS kind FROM c)
+SELECT event_id, kind, CASE WHEN kind = 'number' THEN TRY_CAST(t AS DOUBLE) END AS number, CASE WHEN kind = 'time' THEN TRY_CAST(t AS TIMESTAMP) END AS at, CASE WHEN kind = 'truth' THEN CASE WHEN lower(t) = 'true' THEN 1 ELSE 0 END END AS truth FROM k""")
+def cell_rules(spark, sf):
+    """What each cell of a text column is, and its value."""
+    e, k = table(spark, sf, "events"), F.col("event_id") % 9
+    num = lambda c: c.cast("string")
+    t = (
+        F.when(k == 0, F.concat(F.lit(" "), num(F.col("event_id")), F.lit(" "))).when(k == 1, F.concat(F.lit("-"), num(F.col("event_id") % 1000), F.lit(".5e1"))).when(k == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(k == 3, F.date_format("ts", "yyyy-MM-dd")).when(k == 4, "TRUE").when(k == 5, "  ").when(k == 6, "NA").when(k == 7, F.concat(F.lit("<"), num(F.col("event_id") % 7))).otherwise(F.concat(num(F.col("event_id") % 50), F.lit("f")))
+    )
+    e = e.select("event_id", t.alias("t"))
+    return e.select("event_id", cell_kind("t").alias("kind"), cell_number("t").alias("number"), cell_time("t").alias("at"), cell_truth("t").cast("int").alias("truth"))

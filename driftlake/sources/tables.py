@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,14 +27,67 @@ def discovered(df: DataFrame, names: tuple[str, ...], numeric: bool = False) ->
     return found or (next((f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)), None) if numeric else None)
 
 
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d+)?)?$"
+
+
+def cell(c: str | Column) -> Column:
+    """A cell's text without white space around it; null for an empty one."""
+    return F.nullif(F.trim(F.col(c) if isinstance(c, str) else c, F.lit(" \t\r\n")), F.lit(""))
+
+
+def cell_number(c: str | Column) -> Column:
+    """The number that a cell is, else null: digits, perhaps with a point and an exponent, NaN and Inf; no other text."""
+    return F.when(cell(c).rlike(_NUMBER), F.regexp_replace(cell(c), "(?i)inf$", "Infinity").try_cast("double"))
+
+
+def cell_time(c: str | Column) -> Column:
+    """The time that a cell is, else null: a date, or date and time with T or a space between them."""
+    return F.when(cell(c).rlike(_TIME), cell(c).try_cast("timestamp_ntz"))
+
+
+def cell_truth(c: str | Column) -> Column:
+    return F.when(F.lower(cell(c)) == "true", True).when(F.lower(cell(c)) == "false", False)
+
+
+def cell_kind(c: str | Column) -> Column:
+    """none, number, time, truth or text: the first that a cell can be."""
+    return F.when(cell(c).isNull(), "none").when(cell_number(c).isNotNull(), "number").when(cell_time(c).isNotNull(), "time").when(cell_truth(c).isNotNull(), "truth").otherwise("text")
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """df with each column of text as numbers, times or truths, if all of its cells that hold something are; kinds are counted
+    in one aggregate over all columns."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    kinds = ("number", "time", "truth")
+    counts = df.agg(*(F.count(F.when(cell_kind(c) == k, 1)).alias(f"{i}_{k}") for i, c in enumerate(texts) for k in (*kinds, "text"))).first()
+    as_ = {"number": cell_number, "time": cell_time, "truth": cell_truth}
+    found = {c: [k for k in (*kinds, "text") if counts[f"{i}_{k}"]] for i, c in enumerate(texts)}
+    return df.withColumns({c: as_[k[0]](c) if len(k) == 1 and k[0] in as_ else cell(c) for c, k in found.items()})
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header, by the rules for cells; rows with too few cells are filled with nulls."""
+    return typed(spark.read.csv(path, header=True))
+
+
 def read_measurements(spark: SparkSession, path: str, value: str | None = None, time: str | None = None, series: str | None = None, keep: bool = False) -> DataFrame:
-    """A measurements table from CSV files with a header; columns are found by name, types by Spark. With keep, the other
-    columns come along, control as a boolean."""
-    df = spark.read.csv(path, header=True, inferSchema=True)
-    value, time = value or discovered(df, VALUE_NAMES, numeric=True), time or discovered(df, TIME_NAMES)
+    """A measurements table from CSV files with a header. Columns are found by name, the value column else as the first one
+    whose first cell is a number. Cells of text in the value column (NA, <5) are missing values, and in the time column
+    missing times; no pass over the files is made to find types. With keep, the other columns come along, typed by all
+    their cells, control as a boolean."""
+    df = spark.read.csv(path, header=True)
+    df = typed(df) if keep else df
+    value, time = value or discovered(df, VALUE_NAMES), time or discovered(df, TIME_NAMES)
+    if value is None:
+        first = df.select(*(cell_number(F.col(c).cast("string")).isNotNull().alias(c) for c in df.columns)).first()
+        value = next((c for c in df.columns if first is not None and first[c] and c != time), None)
     if value is None or time is None:
         raise ValueError(f"no {'value' if value is None else 'time'} column among {df.columns}")
-    df = df.withColumn(time, F.col(time).cast("timestamp_ntz"))
+    kinds = dict(df.dtypes)
+    df = df.withColumns({c: as_(c) for c, as_ in ((value, cell_number), (time, cell_time)) if kinds[c] == "string"})
     series = series or discovered(df, ("analyte", "series"))
     more = {c.lower(): c for c in df.columns if keep and c not in (value, time, series) and c.lower() not in ("series", "seq", "ts", "value")}
     if "control" in more:

@@ -41,3 +41,24 @@ def test_commands(spark, tmp_path, capsys):
     assert said("doctor")[0]["works"] and len(said("simulate", "step", "-n", "30")) == 30
     assert main(["study", str(p)]) == 2 and main(["version"]) == 0
     assert main(["simulate", "step", "-n", "30", "--to", str(tmp_path / "s.html")]) == 0 and "</table>" in (tmp_path / "s.html").read_text()
+
+
+def test_cells_by_rules(spark, tmp_path):
+    """Numbers, times, truths and text; short rows, blank lines and NA; no type but by all cells."""
+    import datetime as dt
+    import math
+
+    from driftlake.sources.tables import read_table, typed
+
+    f = tmp_path / "c.csv"
+    f.write_text("when,result,ok,note,mixed,extra\n2024-01-01, 1.5 ,TRUE,a,1,5\n2024-01-02T03:04:05,NA,false,2024,x,\n\n2024-01-03 00:00:00,1e2,,true\n,inf,true,b,2024-01-01,7\nnever,<5,true,,3,8\n")
+    kinds = dict(read_table(spark, str(f)).dtypes)
+    assert kinds == {"when": "string", "result": "string", "ok": "boolean", "note": "string", "mixed": "string", "extra": "double"}
+    rows = read_measurements(spark, str(f), time="when", keep=True).orderBy("seq").collect()
+    assert [(r.ts, r.value) for r in rows] == [(dt.datetime(2024, 1, 1), 1.5), (dt.datetime(2024, 1, 3), 100.0)] and [r.ok for r in rows] == [True, None]
+    assert [r.extra for r in rows] == [5.0, None]
+    df = spark.createDataFrame([("1f", "NaN", " "), ("0x10", "-.5", None), ("1 2", "+7.", "")], "a string, b string, c string")
+    own = typed(df).collect()
+    assert [r.a for r in own] == ["1f", "0x10", "1 2"] and math.isnan(own[0].b) and [own[1].b, own[2].b] == [-0.5, 7.0] and [r.c for r in own] == [None] * 3
+    f.write_text("label,level,date\nx,3,2024-01-01\ny,4,2024-01-02\n")
+    assert [r.value for r in read_measurements(spark, str(f)).orderBy("seq").collect()] == [3.0, 4.0]  # the first column of a number
