@@ -160,7 +160,16 @@ def mv_energy(spark, sf):
     return rounded(drift.multivariate(vectors(spark, sf), "energy"), 5)
 
 
-@query("mv_mahalanobis")
+#: The inverse of the baseline's covariance by Gauss and Jordan's elimination, a column at a time, and distances by it.
+_INVERSE = """p AS (SELECT len(f) AS p FROM h LIMIT 1), ix AS (SELECT unnest(range(1, p + 1)) AS a FROM p), mu AS (SELECT list(m ORDER BY a) AS mu FROM (SELECT a, avg(f[a]) AS m FROM h, ix WHERE b GROUP BY a)),
+cv AS (SELECT x.a, y.a AS c, covar_samp(f[x.a], f[y.a]) + CASE WHEN x.a = y.a THEN 1e-6::DOUBLE ELSE 0 END AS v FROM h, ix x, ix y WHERE b GROUP BY x.a, y.a),
+g0 AS (SELECT list(r ORDER BY a) AS g FROM (SELECT a, list_concat(list(v ORDER BY c), list(CASE WHEN a = c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY c)) AS r FROM cv GROUP BY a)),
+gj AS (SELECT CAST(1 AS BIGINT) AS k, g FROM g0 UNION ALL SELECT k + 1, list_transform(g, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / g[k][k]) ELSE list_transform(r, lambda x, j: x - r[k] * g[k][j] / g[k][k]) END) FROM gj WHERE k <= len(g)),
+iv AS (SELECT list_transform(g, lambda r: r[len(g) + 1 : 2 * len(g)]) AS m FROM gj WHERE k = len(g) + 1), df AS (SELECT list_transform(f, lambda x, j: x - mu[j]) AS d FROM h, mu WHERE NOT b),
+ds AS (SELECT avg(sqrt(list_sum(list_transform(d, lambda x, i: x * list_sum(list_transform(d, lambda y, j: y * m[i][j])))))) AS v FROM df, iv)"""
+
+
+@query("mv_mahalanobis", f"WITH RECURSIVE {_V}, {_INVERSE}, r AS (SELECT v / sqrt(p) AS r FROM ds, p) SELECT 'mahalanobis' AS method, r > 1.6 AS detected, round(CASE WHEN r > 1.6 THEN least(0.95, 0.5 + (r - 1) / 3) ELSE 0.2 END, 6) AS probability, round(r, 6) AS magnitude, (SELECT count(*) FILTER (b) + 1 FROM h) AS start_index FROM r")
 def mv_mahalanobis(spark, sf):
     return rounded(drift.multivariate(vectors(spark, sf), "mahalanobis"))
 
