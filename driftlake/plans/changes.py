@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftlake.operators import change_points as cp
-from driftlake.plans.base import PLACED, T, U, by_type, by_user, by_user_with_gaps, query, rounded, t_tail
+from driftlake.plans.base import ORACLE_SQL, PLACED, T, U, by_type, by_user, by_user_with_gaps, query, rounded, t_tail
 
 
 def shown(df):
@@ -119,7 +119,30 @@ def pelt(spark, sf):
     return shown(cp.pelt(by_user(spark, sf)))
 
 
-@query("cp_bayesian")
+#: Forward and backward sums over segments as recursions over lists, the mass after each place, and its peaks one by one.
+_SEGMENT = "(-0.5::DOUBLE * ({m}) * ln(2 * pi() * v) + 0.5::DOUBLE * ln(0.01::DOUBLE / (0.01::DOUBLE + ({m}))) - ((c2[{b} + 1] - c2[{a} + 1]) - (c1[{b} + 1] - c1[{a} + 1]) ** 2 / (0.01::DOUBLE + ({m}))) / (2 * v) + (({m}) - 1) * stay)"
+_TOTAL = "list_max(q) + ln(list_sum(list_transform(q, lambda x: exp(x - list_max(q)))))"
+
+
+def _bayesian_parts() -> str:
+    forward, backward = _SEGMENT.format(m="t - a", a="a", b="t"), _SEGMENT.format(m="t - j", a="(n - t)", b="(n - j)")
+    return f"""bm AS (SELECT series, value - avg(value) OVER w AS d, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS i, var_samp(value) OVER w AS v FROM e WINDOW w AS (PARTITION BY series)),
+bc AS (SELECT series, i, v, sum(d) OVER w AS c1, sum(d * d) OVER w AS c2 FROM bm WINDOW w AS (PARTITION BY series ORDER BY i)),
+bh AS (SELECT series, count(*) AS n, any_value(CASE WHEN v > 0 THEN v ELSE 1 END) AS v, least(0.2::DOUBLE, greatest(1 / sqrt(count(*)), 2.0::DOUBLE / count(*))) AS h, list_prepend(0.0::DOUBLE, list(c1 ORDER BY i)) AS c1, list_prepend(0.0::DOUBLE, list(c2 ORDER BY i)) AS c2 FROM bc GROUP BY series HAVING count(*) >= 16),
+bl AS (SELECT *, ln(h) AS go, ln(1 - h) AS stay FROM bh),
+bf AS (SELECT series, CAST(0 AS BIGINT) AS t, [0.0::DOUBLE] AS f FROM bl UNION ALL SELECT series, t, list_append(f, CASE WHEN t < 8 THEN -1e300::DOUBLE ELSE {_TOTAL} END) FROM (SELECT series, t, f, list_transform(range(0, greatest(1, t - 7)), lambda a: f[a + 1] + {forward} + CASE WHEN a > 0 THEN go ELSE 0 END) AS q
+  FROM (SELECT bf.series, bf.t + 1 AS t, f, n, v, go, stay, c1, c2 FROM bf JOIN bl ON bl.series = bf.series AND bf.t < bl.n))),
+bb AS (SELECT series, CAST(0 AS BIGINT) AS t, [0.0::DOUBLE] AS g FROM bl UNION ALL SELECT series, t, list_append(g, CASE WHEN t < 8 THEN -1e300::DOUBLE ELSE {_TOTAL} END) FROM (SELECT series, t, g, list_transform(range(0, greatest(1, t - 7)), lambda j: g[j + 1] + {backward} + CASE WHEN j > 0 THEN go ELSE 0 END) AS q
+  FROM (SELECT bb.series, bb.t + 1 AS t, g, n, v, go, stay, c1, c2 FROM bb JOIN bl ON bl.series = bb.series AND bb.t < bl.n))),
+bo AS (SELECT bl.series, i, exp(f[i + 1] + g[bl.n - i + 1] + go - f[bl.n + 1]) AS own FROM bl JOIN bf ON bf.series = bl.series AND bf.t = bl.n JOIN bb ON bb.series = bl.series AND bb.t = bl.n, LATERAL (SELECT unnest(range(8, bl.n - 7)) AS i)),
+bp AS (SELECT series, i, own / nullif(sum(own) OVER (PARTITION BY series), 0) AS mass FROM bo), bs AS (SELECT series, max(mass) AS top FROM bp GROUP BY series), bk AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY mass DESC, i) AS k FROM bp WHERE mass >= 0.08),
+bt AS (SELECT series, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken FROM bl UNION ALL SELECT bt.series, bk.k, CASE WHEN len(list_filter(taken, lambda x: abs(x - bk.i) < 8)) = 0 THEN list_append(taken, bk.i) ELSE taken END FROM bt JOIN bk ON bk.series = bt.series AND bk.k = bt.k + 1),
+bz AS (SELECT series, list_sort(taken) AS taken FROM bt QUALIFY row_number() OVER (PARTITION BY series ORDER BY k DESC) = 1), ba AS (SELECT DISTINCT series FROM e),
+by_mass AS (SELECT ba.series, 'bayesian' AS method, coalesce(len(taken), 0) > 0 AS detected, coalesce(array_to_string(taken, ','), '') AS indices, round(coalesce(top, 0), 6) AS statistic, round(CASE WHEN bz.series IS NULL THEN 0 WHEN len(taken) > 0 THEN top ELSE 0.2 END, 6) AS confidence
+  FROM ba LEFT JOIN bz ON bz.series = ba.series LEFT JOIN bs ON bs.series = ba.series)"""
+
+
+@query("cp_bayesian", f"WITH RECURSIVE {U}, {_bayesian_parts()} SELECT * FROM by_mass")
 def bayesian(spark, sf):
     return shown(cp.bayesian(by_user(spark, sf)))
 
@@ -143,6 +166,9 @@ def sampled(spark, sf):
     return shown(cp.sampled_cut(by_user(spark, sf)))
 
 
-@query("cp_auto")
+_CHOICES = {"robust_median": "cp_robust", "cusum": "cp_cusum", "pelt": "cp_pelt", "bayesian": "cp_bayesian", "likelihood": "cp_likelihood_by_user"}
+
+
+@query("cp_auto", " UNION ALL ".join(f"SELECT r.* FROM ({ORACLE_SQL[name]}) r JOIN ({ORACLE_SQL['cp_auto_select']}) c ON c.series = r.series AND c.method = '{method}'" for method, name in _CHOICES.items()))
 def auto(spark, sf):
     return shown(cp.detect_changes(by_user(spark, sf)))
