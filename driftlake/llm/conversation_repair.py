@@ -369,9 +369,8 @@ WITH RECURSIVE raw AS (
     unnest(CASE d WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
   FROM hit WHERE d <> 0
 ), t AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, left(role, 1) AS ini,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended
-  FROM bad
+  SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM bad)
 ), f AS (
   SELECT conv_id, turn, role, text, n, ini, CASE WHEN ended = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
     lag(ini) OVER (PARTITION BY conv_id ORDER BY n) || ini AS pair
