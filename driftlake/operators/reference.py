@@ -122,13 +122,58 @@ def nearest_values(own: DataFrame, span: float, points: int, rows_per_part: int
     return windows.select("series", "point", "covariate", "n_local"), whole.union(kept(edge, "curve-borders"))
 
 
+#: Series of so many values at most are bent in one task as arrays.
+SMALL = 100_000
+
+
 def reference_curve(df: DataFrame, quantiles: tuple[float, ...] = (0.025, 0.5, 0.975), span: float = 0.3, points: int = 50, method: str = "quantile") -> DataFrame:
     """(series, point, covariate, n_local, q...): local quantiles of (series, seq, covariate, value) over a grid, from the
     nearest part (span) of the values at each point; by Cole's LMS with method lms, where 8 of them are positive. Series of
-    fewer than 30 values have no curve."""
+    fewer than 30 values have no curve; those of more than SMALL are dealt out in ranges, with the same result."""
     own = df.where(finite(F.col("value")) & finite(F.col("covariate")))
-    own = with_stats(own.select("series", "seq", F.col("covariate").cast("double").alias("covariate"), F.col("value").cast("double").alias("value")), _n=F.count("*")).where("_n >= 30").drop("_n")
+    own = with_stats(own.select("series", "seq", F.col("covariate").cast("double").alias("covariate"), F.col("value").cast("double").alias("value")), _n=F.count("*")).where("_n >= 30")
     names = {q: "q" + str(q).replace(".", "_") for q in quantiles}
+    small, large = own.where(F.col("_n") <= SMALL).drop("_n"), own.where(F.col("_n") > SMALL).drop("_n")
+    found = _small_curves(small, names, span, points, method)
+    return found if large.isEmpty() else found.unionByName(_wide_curves(large, names, span, points, method))
+
+
+def _small_curves(own: DataFrame, names: dict[float, str], span: float, points: int, method: str) -> DataFrame:
+    """Curves of series that fit one task each."""
+    power = boxcox_lambda(own, "series", "value") if method == "lms" else own.select("series").distinct().withColumn("power", F.lit(None).cast("double"))
+    normal = [r[0] for r in own.sparkSession.range(1).select(F.explode(F.array(*[normal_quantile(F.lit(q)) for q in names]))).collect()]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("covariate", "ascending"), ("seq", "ascending")])
+        x, y, p = t.column("covariate").to_numpy(), t.column("value").to_numpy(), t.column("power")[0].as_py()
+        n, k = len(x), min(points, len(x))
+        size, rows = max(8, int(np.rint(n * span))), []
+        for point in range(k):
+            at = x[0] + (x[-1] - x[0]) * point / (k - 1)
+            away = np.abs(x - at)
+            edge = np.partition(away, size - 1)[size - 1]
+            inside = np.flatnonzero(away < edge)
+            # of those just at the edge the first by covariate and seq
+            local = y[np.concatenate([inside, np.flatnonzero(away == edge)[: size - len(inside)]])]
+            positive = local[local > 0]
+            if method == "lms" and len(positive) >= 8:
+                mu = float(np.median(positive))
+                z = np.log(positive / mu) if abs(p) < 1e-8 else ((positive / mu) ** p - 1) / p
+                s = float(z.std(ddof=1))
+                s = s if np.isfinite(s) and s > 0 else 0.1
+                rows.append((point, at, len(positive), *(_lms(mu, s, p, v) for v in normal)))
+            else:
+                rows.append((point, at, len(local), *np.quantile(local, list(names)).tolist()))
+        kinds = [pa.int32(), pa.float64(), pa.int64(), *[pa.float64()] * len(names)]
+        found = {c: pa.array(v, k_) for c, v, k_ in zip(("point", "covariate", "n_local", *names.values()), zip(*rows), kinds)}
+        return pa.table({"series": pa.repeat(t.column("series")[0], len(rows))} | found)
+
+    schema = f"series {dict(own.dtypes)['series']}, point int, covariate double, n_local bigint, " + ", ".join(f"{c} double" for c in names.values())
+    return own.join(power, "series", "left").groupBy("series").applyInArrow(run, schema)
+
+
+def _wide_curves(own: DataFrame, names: dict[float, str], span: float, points: int, method: str) -> DataFrame:
+    """Curves of series of any size, over ranges of the covariate."""
     grid, local = nearest_values(own, span, points)
     keys = ("series", "point")
     plain = lambda rows: percentiles(rows, keys, "value", **{c: q for q, c in names.items()})

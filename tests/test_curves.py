@@ -25,8 +25,11 @@ def plain(rows, span, points, method, quantiles=(0.025, 0.5, 0.975), power=None)
     return out
 
 
+@pytest.mark.parametrize("small", [0, 500, 100_000])
 @pytest.mark.parametrize("method", ["quantile", "lms"])
-def test_curves_equal_plain_selection(spark, monkeypatch, method):
+def test_curves_equal_plain_selection(spark, monkeypatch, method, small):
+    """All series over ranges, some of them, and none."""
+    monkeypatch.setattr(reference, "SMALL", small)
     rng = np.random.default_rng(8)
     rows = [("even", i, float(i), float(rng.normal())) for i in range(400)]
     rows += [("ties", i, float(rng.integers(0, 7)), float(rng.integers(-2, 9))) for i in range(900)]
