@@ -11,9 +11,9 @@ integers.
 
 Queries are a stated set of rows; they and the candidates meet block by block, so no task sees more than one block of
 each. Ties go to the smaller id. Vectors that are null, or hold a null or a component that is not finite, take no part
-(an empty vector has score 0 with everything); repeated ids are separate rows; an empty table gives no rows; further
-columns of the input are not read. Vectors of different lengths are compared as if the shorter ended in zeros.
-Components or scores that 64 bits do not hold raise an error.
+(an empty vector has score 0 with everything), nor do rows without id; repeated ids are separate rows; an empty table
+gives no rows; further columns of the input are not read. Vectors of different lengths are compared as if the shorter
+ended in zeros. Components or scores that 64 bits do not hold raise an error.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ STEP, LEVELS, STOPS = 128, 256, (1 / 4, 1 / 16, 0.0)
 def packed_blocks(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, scale: float, rows: int = BLOCK_ROWS) -> DataFrame:
     """(c, ids binary, asked binary, width, data binary): blocks of at most `rows` vectors as 64-bit integers.
 
-    asked: a byte a vector, 1 for queries. c times BLOCK_ROWS and the place in the block is the vector's row number."""
+    asked: a byte a vector, 1 for queries. c times BLOCK_ROWS and the place in the block is the vector's row number, so `rows`
+    is no more than that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked, data, width = [], [], [], 0
@@ -65,14 +66,16 @@ def packed_blocks(vectors: DataFrame, is_query: Column, id_col: str, vector_col:
                 if np.abs(x).max(initial=0) >= 2.0**63:
                     raise OverflowError(f"components times {scale} do not fit 64 bits")
                 x = x.astype(np.int64)
-                for a in range(0, len(own), rows):
+                a = 0
+                while a < len(own):
                     room = rows - sum(map(len, data))
-                    part = slice(a, a + min(rows, len(own) - a))
+                    part = slice(a, a + room)
                     ids.append(held[own[part]])
                     asked.append(query[own[part]])
                     data.append(x[part])
                     width = max(width, n)
-                    if len(data[-1]) >= room:
+                    a += room
+                    if len(data[-1]) == room:
                         yield block()
                         ids, asked, data, width = [], [], [], 0
         if data:
@@ -111,6 +114,21 @@ def _matrix(blocks: pa.Table, to: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(rows)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner product of each row of a with its row of b."""
+    return np.einsum("ij,ij->i", a, b)
+
+
+def sure_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same of integers whose products may not fit 64 bits: sums that fit are right even if their parts do not."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    near, size = products(x, y), products(np.abs(x), np.abs(y))
+    for i in np.flatnonzero(np.abs(near) + 2.0**-40 * size >= 2.0**63).tolist():  # too large, or too near to tell
+        if abs(sum(p * q for p, q in zip(a[i].tolist(), b[i].tolist()))) >= 1 << 63:
+            raise OverflowError("scores do not fit 64 bits")
+    return products(a, b)
+
+
 class ImpactIndex:
     """Postings of a block of integer vectors, by dimension and quantised impact."""
 
@@ -167,8 +185,7 @@ class ImpactIndex:
         """(query's place, candidate id, score, postings processed, candidates rescored) of the k best of this block for
         each query, its own row left out."""
         most = int(self.largest.max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
-        if most >= 1 << 63:
-            raise OverflowError("scores do not fit 64 bits")
+        score_of = products if most < 1 << 63 else sure_products
         out = []
         for a in range(0, len(queries), STEP):
             q, mine = queries[a : a + STEP], own[a : a + STEP]
@@ -180,7 +197,7 @@ class ImpactIndex:
             score = np.empty(len(row), np.int64)
             for b in range(0, len(row), 1 << 16):
                 part = slice(b, b + (1 << 16))
-                score[part] = np.einsum("ij,ij->i", q[row[part]], self.vectors[column[part]])
+                score[part] = score_of(q[row[part]], self.vectors[column[part]])
             rescored = np.bincount(row, minlength=len(q))
             order = np.lexsort((self.ids[column], -score, row))
             row, column, score = row[order], column[order], score[order]
