@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftlake.functions.columns import f_sf, finite
 from driftlake.operators import slopes
@@ -27,7 +28,12 @@ def bland_altman(pairs: DataFrame) -> DataFrame:
     """(series, n, bias, sd, lower, upper, proportional): agreement of y with x, and the trend of their difference."""
     own = valid_pairs(pairs).withColumn("d", F.col("y") - F.col("x"))
     slope = theil_sen(own.select("series", "k", ((F.col("x") + F.col("y")) / 2).alias("x"), F.col("d").alias("y")))
-    agg = own.groupBy("series").agg(F.count("*").alias("n"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd")).where("n >= 8")
+    # summed in the order of k: a mean beside a rounding border is the same however the rows are dealt out
+    in_order = Window.partitionBy("series").orderBy("k", "d")
+    so_far = F.sum("d").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = own.withColumn("_sum", so_far).withColumn("_row", F.row_number().over(in_order))
+    bias = F.max_by("_sum", "_row") / F.count("*")
+    agg = own.groupBy("series").agg(F.count("*").alias("n"), bias.alias("bias"), F.stddev_samp("d").alias("sd")).where("n >= 8")
     out = agg.withColumn("lower", F.col("bias") - 1.96 * F.col("sd")).withColumn("upper", F.col("bias") + 1.96 * F.col("sd"))
     return out.join(slope.select("series", F.col("slope").alias("proportional")), "series")
 

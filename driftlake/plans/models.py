@@ -179,7 +179,11 @@ def compare_methods(spark, sf):
         found = comparison.compare_methods(p, method)
         out = found if out is None else out.unionByName(found)
     places = {"bias": 3, "intercept": 3, "proportional": 5, "slope": 5, "lower": 4, "upper": 4}
-    return out.select(*(F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in out.columns))
+    # rounded as the SQL does, by the product with a power of ten: doubles beside a border go the same way
+    round_ = lambda c, n: F.round(c * 10.0**n) / 10.0**n
+    # of Passing and Bablok's line the SQL takes the rounded slope less 1
+    out = out.withColumn("proportional", F.when(F.col("method") == "passing_bablok", round_(F.col("slope"), 5) - 1).otherwise(F.col("proportional")))
+    return out.select(*(round_(F.col(c), places[c]).alias(c) if c in places else F.col(c) for c in out.columns))
 
 
 _RANKED = "r AS (SELECT *, rank() OVER (PARTITION BY series ORDER BY value) + (count(*) OVER (PARTITION BY series, value) - 1) / 2.0::DOUBLE AS r FROM g), u AS (SELECT series, grp, count(*)::DOUBLE AS n, avg(r) AS r FROM r GROUP BY series, grp), t AS (SELECT *, sum(n) OVER (PARTITION BY series) AS total FROM u), h AS (SELECT series, 12.0::DOUBLE / (any_value(total) * (any_value(total) + 1)) * sum(n * (r - (total + 1) / 2) ** 2) AS h, count(*) AS k FROM t GROUP BY series)"
