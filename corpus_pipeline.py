@@ -36,11 +36,11 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others; they stay only if no row of their group has an id, one for each group. Null and empty texts and texts without
     words are one group; long texts are compared whole.
 
-    The groups of SimHash fingerprints of 5-word shingles are checked by the Jaccard similarity of the shingles (0.8 or
-    more). Fingerprints of 64 bits miss most pairs of that similarity, so an exact join on shingles finds what is left."""
+    Near copies share 0.8 or more of their 5-word shingles (Jaccard), counted with repeats or without. Groups of SimHash
+    fingerprints, which count repeats, are checked with repeats: each text against the first of its group by id. Fingerprints
+    of 64 bits miss most pairs that are alike without repeats, so an exact join on shingles finds those."""
     prepare(spark)
-    likely = near_duplicates(docs, shingle=SHINGLE).select("doc_id", "component_id")
-    return without_near_copies(docs, COLUMNS, groups=written(likely, "likely"))
+    return without_near_copies(docs, COLUMNS, groups=lambda rows: near_duplicates(rows, "row", shingle=SHINGLE))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,14 +7,19 @@ In any fixed order of all shingles, two linked sets have a shingle in common amo
 each, and at their first common one the shorter rest of the two holds all that they share. Shingles that stand in more than
 some thirty texts, as counted in a part of the corpus, come last in that order; which ones they are changes the work, never
 the result. So texts that share a template, but too little to be linked, meet by a shingle of the template behind all of
-their own, where too little is left: they are no candidates. Of the sets that meet by a shingle, and of likely groups if
-there are any, neighbours in size are compared first; then all pairs that those links have not brought together. Every pair
+their own, where too little is left: they are no candidates. Of the sets that meet by a shingle neighbours in size are
+compared first; then all pairs that those links have not brought together. Every pair
 is compared by its whole sets, unless the parities of their hashes in some classes already differ in more places than linked
 sets may differ in shingles. Shingles with more than MEMBERS sets are dealt out as pairs of blocks, in the order of size.
 
-Equal sets are one node, named by a row of its own, so a group of copies costs what one document costs. Null texts and texts
-without words have the empty set and are linked to each other only; fewer words than a shingle are one shingle; texts are
-read whole. Rows are told apart by their place, not by id: rows of one id with different texts are different nodes, and
+A set counts a shingle once, so two pages that are one line repeated a hundred times but for a few words are far apart.
+Such pages have SimHash fingerprints close to each other, which count repeats. If groups by fingerprints are given, each
+node's text is also compared with the first of its group by what they share with repeats counted, and linked at LEAST or
+more. That comes with the first pairs, so large groups are together before all pairs are made.
+
+Equal sets are one node, named by its first row by id, so a group of copies costs what one document costs. Null texts and
+texts without words have the empty set and are linked to each other only; fewer words than a shingle are one shingle;
+texts are read whole. Rows are told apart by their place, not by id: rows of one id with different texts are different nodes, and
 rows without id link and bridge like others; a group is named by its smallest id, by none if none of its rows has one. An
 empty table gives an empty one; further columns are not read.
 """
@@ -45,12 +50,14 @@ LEAST_CLASSES = 256
 MEMBERS = 4096
 #: Text that is hashed at a time.
 BLOCK_BYTES = 1 << 20
+#: Makes (row, component_id) of (row, text).
+Groups = Callable[[DataFrame], DataFrame]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted different shingle hashes of each text."""
+def shingles(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The shingle hashes of each text in their order, repeats included."""
     data, offsets = utf8(texts)
     data = _LOWER[data]
     starts, ends, counts = word_spans(data, offsets, WORD_BYTES)
@@ -59,10 +66,15 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     out = []
     for a, b in zip(counts.tolist(), counts[1:].tolist()):
         short = 0 < b - a < shingle
-        out.append(span_hashes(words, np.array([a]), np.array([b])) if short else np.unique(windows[a : max(a, b - shingle + 1)]))
+        out.append(span_hashes(words, np.array([a]), np.array([b])) if short else windows[a : max(a, b - shingle + 1)])
     return out
 
 
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted different shingle hashes of each text."""
+    return [np.unique(x) for x in shingles(texts, shingle)]
+
+
 def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The shingles of a set by which linked sets must meet, frequent ones last."""
     at = np.minimum(np.searchsorted(frequent, own), max(0, len(frequent) - 1))
@@ -184,24 +196,42 @@ def _meeting(met: DataFrame, far: bool) -> DataFrame:
     return written(dealt.mapInArrow(lambda batches: by_key(batches, lambda rows: _pairs(rows, far)), "a long, b long").distinct(), "pairs")
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the shingles of two texts share at least LEAST of their union, repeats counted."""
+    (x, n), (y, m) = (np.unique(own, return_counts=True) for own in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    common = int(np.minimum(n[i], m[j]).sum())
+    return LEAST[1] * common >= LEAST[0] * (len(a) + len(b) - common)
+
+
+def _first_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): each node of groups (row, component_id) with the node of its group that is first by id."""
+    named = groups.select(F.col("row").alias("rep"), "component_id").join(nodes.select("rep", "first"), "rep")
+    first = named.groupBy("component_id").agg(F.min("first")["row"].alias("to"))
+    ends = named.join(first, "component_id").where("rep <> to")
+    return ends.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b"))
+
+
 def _compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b): the linked ones of some pairs."""
+    """(a, b): the linked ones of some pairs (a, b, likely); likely ones are compared with repeats counted as well."""
     left, right = (nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
     apart = odd_differences(F.col("odd_a"), F.col("odd_b"))
     near = (LEAST[0] + LEAST[1]) * apart <= (LEAST[1] - LEAST[0]) * (F.col("n_a") + F.col("n_b"))
-    pairs = written(pairs.join(left, "a").join(right, "b").where(near).select("a", "b").distinct(), "candidates")
+    pairs = pairs.join(left, "a").join(right, "b").where(near | F.col("likely")).groupBy("a", "b").agg(F.max("likely").alias("likely"))
+    pairs = written(pairs, "candidates")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 16):
                 part = batch.slice(k, 16)
-                ok = [similar(x, y) for x, y in zip(shingle_sets(part.column(2), shingle), shingle_sets(part.column(3), shingle))]
+                both = zip(part.column(2).to_pylist(), shingles(part.column(3), shingle), shingles(part.column(4), shingle))
+                ok = [similar(np.unique(x), np.unique(y)) or likely and alike(x, y) for likely, x, y in both]
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # only texts that are to be compared move
     some = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
     left, right = some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), some.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "likely", "text_a", "text_b")
     return written(both.mapInArrow(compare, "a long, b long"), "links")
 
 
@@ -219,11 +249,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int, carry:
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "prints")
 
 
-def near_nodes(rows: DataFrame, shingle: int = SHINGLE, groups: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def near_nodes(rows: DataFrame, shingle: int = SHINGLE, groups: Groups | None = None) -> DataFrame:
     """(print, component, first): the group of each different set of described rows, and the first of the set's rows as
     (no id, id, row)."""
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    nodes = written(rows.groupBy("print").agg(F.min("row").alias("rep"), F.min(first).alias("first"), F.min("n").alias("n"), F.min("odd").alias("odd")), "nodes")
+    nodes = written(rows.groupBy("print").agg(F.min(first)["row"].alias("rep"), F.min(first).alias("first"), F.min("n").alias("n"), F.min("odd").alias("odd")), "nodes")
     texts = written(rows.select(F.col("row").alias("id"), "text").join(nodes.select(F.col("rep").alias("id")), "id", "left_semi"), "texts")
 
     def all_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -252,37 +282,34 @@ def near_nodes(rows: DataFrame, shingle: int = SHINGLE, groups: DataFrame | None
         named = met.join(components(links, "near"), F.col("rep") == F.col("node"), "left")
         return named.select("key", "rep", "n", "most", "block", F.coalesce("component", "rep").alias("component"))
 
-    pairs = _meeting(met.withColumn("component", F.col("rep")), far=False)
+    unlike = lambda pairs: pairs.withColumn("likely", F.lit(False))
+    pairs = unlike(_meeting(met.withColumn("component", F.col("rep")), far=False))
     if groups is not None:
-        # one node of an id will do: these pairs are only likely ones
-        rep = rows.where("id is not null").select("id", "print").join(nodes.select("print", "rep"), "print").groupBy("id").agg(F.min("rep").alias("rep"))
-        likely = groups.select(F.col(id_col).alias("id"), F.col("component_id").alias("first")).where("id <> first").distinct()
-        ends = likely.join(rep.withColumnRenamed("rep", "x"), "id").join(rep.select(F.col("id").alias("first"), F.col("rep").alias("y")), "first")
-        pairs = pairs.union(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b"))
+        pairs = pairs.union(_first_pairs(groups(texts.select(F.col("id").alias("row"), "text")), nodes).withColumn("likely", F.lit(True)))
     links = _compared(pairs, nodes, texts, shingle)
-    links = links.union(_compared(_meeting(components_of(links), far=True), nodes, texts, shingle))
+    links = links.union(_compared(unlike(_meeting(components_of(links), far=True)), nodes, texts, shingle))
     found = components(links, "near")
     return nodes.join(found, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component"), "first")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, groups: DataFrame | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, groups: Groups | None = None) -> DataFrame:
     """(id, component_id) for every row: the smallest id of the row's group (null where no row of it has one).
 
-    groups: (id, component_id) of likely groups, as `simhash.near_duplicates` gives. Each of their rows is compared with the
-    row that names its group first, so that what is linked already need not meet again; the result is the same without."""
+    groups: makes (row, component_id) of (row, text), as `simhash.near_duplicates` does, for one row of each set. Rows whose
+    shingles, repeats counted, agree with those of the first of their group to LEAST are linked to it as well."""
     rows = described(docs, id_col, text_col, shingle)
-    nodes = near_nodes(rows, shingle, groups, id_col)
+    nodes = near_nodes(rows, shingle, groups)
     names = nodes.groupBy("component").agg(F.min("first")["id"].alias("component_id"))
     named = nodes.join(names, "component").select("print", "component_id")
     return rows.join(named, "print").select(F.col("id").alias(id_col), "component_id")
 
 
-def without_near_copies(docs: DataFrame, carry: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, groups: DataFrame | None = None) -> DataFrame:
+def without_near_copies(docs: DataFrame, carry: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, groups: Groups | None = None) -> DataFrame:
     """The carried columns of one row of each group: that of the smallest id, of equal ids the first row; a row without id
     only stays if its group has no row with one."""
     more = tuple(c for c in carry if c not in (id_col, text_col))
     rows = described(docs, id_col, text_col, shingle, more)
-    stay = near_nodes(rows, shingle, groups, id_col).groupBy("component").agg(F.min("first")["row"].alias("row")).select("row")
+    stay = near_nodes(rows, shingle, groups).groupBy("component").agg(F.min("first")["row"].alias("row")).select("row")
     kept = rows.join(written(stay, "stay"), "row", "left_semi")
     own = {id_col: F.col("id").cast(dict(docs.dtypes)[id_col]), text_col: F.col("text"), **{c: F.col(f"_{k}") for k, c in enumerate(more)}}
     return kept.select(*(own[c].alias(c) for c in carry))

@@ -134,3 +134,19 @@ def test_frequent_shingles_meet_block_by_block(spark, monkeypatch):
     docs = rows_of(spark, list(texts.items()))
     groups = brute_groups(texts)
     assert sorted(r.doc_id for r in without_near_copies(docs, ("doc_id", "lang")).collect()) == sorted(set(groups.values()))
+
+
+def test_simhash_groups_make_links(spark, monkeypatch):
+    """Pages of one line a hundred times and ten words of their own: sets far apart, nearly all of the text the same."""
+    prepare(spark)
+    line = " ".join(f"line{i}" for i in range(11))
+    page = lambda k, times=100: " ".join([line] * times + [f"own{k}x{i}" for i in range(10)])
+    other = " ".join(f"o{i}" for i in range(60))
+    texts = [(1, page(1)), (2, page(2)), (2, other), (3, page(3)), (4, page(4, 10)), (5, page(1, 90)), (None, page(6)), (7, ""), (8, None)]
+    sets = [brute_set(page(k)) for k in (1, 2)]
+    assert len(sets[0] & sets[1]) < 0.5 * len(sets[0] | sets[1]) and (brute_print(page(1)) ^ brute_print(page(2))).bit_count() <= 4
+    docs = rows_of(spark, texts)
+    kept = lambda: sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.simhash(spark, docs, SF).collect())
+    assert kept() == [(1, page(1)), (2, other), (4, page(4, 10)), (7, "")]
+    monkeypatch.setattr(corpus_pipeline, "near_duplicates", lambda rows, *a, **b: rows.withColumn("component_id", F.col("row")))
+    assert len(kept()) == 7  # without the groups by fingerprints the pages 2, 3 and 6 stay
