@@ -8,7 +8,10 @@ each, and at their first common one the shorter rest of the two holds all that t
 some thirty texts, as counted in a part of the corpus, come last in that order; which ones they are changes the work, never
 the result. So texts that share a template, but too little to be linked, meet by a shingle of the template behind all of
 their own, where too little is left: they are no candidates. Of the sets that meet by a shingle neighbours in size are
-compared first; then all pairs that those links have not brought together. Every pair
+compared first; where a shingle has more sets than a step of FAR, those that stand no further apart than that, step by step;
+then all pairs. Each time only pairs that the links before have not brought together are made, so in a large group of near
+copies a set makes pairs until it has found the group, and no more. All pairs of sets that meet and are not linked in the
+end are made, whatever their number. Every pair
 is compared by its whole sets, unless the parities of their hashes in some classes already differ in more places than linked
 sets may differ in shingles. Shingles with more than MEMBERS sets are dealt out as pairs of blocks, in the order of size.
 
@@ -48,6 +51,8 @@ PART, OFTEN, MOST_LATE = 8, 4, 1 << 22
 LEAST_CLASSES = 256
 #: Sets that meet by a shingle in one task at most, of each of two blocks.
 MEMBERS = 4096
+#: How far apart in size sets of a shingle are compared after neighbours and before all pairs; changes the work only.
+FAR = (32, 512)
 #: Text that is hashed at a time.
 BLOCK_BYTES = 1 << 20
 #: Makes (row, component_id) of (row, text).
@@ -129,7 +134,7 @@ def by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterato
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, without those that are alone, and with the block of MEMBERS rows of its key that a row is in."""
+    """Rows sorted by key, without those that are alone, and with a row's place among those of its key."""
     held, last, count = None, None, 0
     for batch in batches:
         rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
@@ -141,37 +146,64 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.maximum.accumulate(np.where(new, place, 0))
         place = place - begin + np.where(begin == 0, 0 if new[0] else count, 0)
         shared = (place > 0) | np.concatenate([key[1:] == key[:-1], [False]])
-        out = rows.append_column("block", pa.array((place // MEMBERS).astype(np.int32))).filter(pa.array(shared))
+        out = rows.append_column("place", pa.array(place.astype(np.int32))).filter(pa.array(shared))
         yield from out.to_batches()
         # whether the last row is alone is not known yet
         held = rows.slice(len(key) - 1).to_batches()[0] if not shared[-1] else None
         last, count = (None, 0) if held is not None else (key[-1], int(place[-1]) + 1)
 
 
-def _pairs(rows: pa.Table, far: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a key whose sizes, and what is left behind the key, allow the similarity: neighbours only, or all of
-    different components. side: rows of two blocks (1 and 2) meet across, others (0) among themselves."""
+def _others(key: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by key, are not of the most frequent component of their key."""
+    order = np.lexsort((component, key))
+    k, c = key[order], component[order]
+    runs = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
+    times = np.diff(np.append(runs, len(k)))
+    ranked = np.lexsort((times, k[runs]))
+    of = k[runs][ranked]
+    frequent = np.zeros(len(runs), bool)
+    frequent[ranked[np.append(of[1:] != of[:-1], True)]] = True
+    other = np.empty(len(key), bool)
+    other[order] = ~np.repeat(frequent, times)
+    return other
+
+
+def _pairs(rows: pa.Table, far: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of a key of different components, whose sizes, and what is left behind the key, allow the similarity; no more
+    than `far` places apart if given. side: rows of two blocks (1 and 2) meet across, others (0) among themselves.
+
+    One of each pair is not of its key's most frequent component, so only such rows are gone through."""
     key, rep, n, most, component, side = (rows.column(c).to_numpy() for c in ("key", "rep", "n", "most", "component", "side"))
-    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    mixed = np.minimum.reduceat(component, begins) != np.maximum.reduceat(component, begins)
-    at, step = np.flatnonzero(np.repeat(mixed, np.diff([*begins, len(key)])) & (most >= n)), 1
-    while len(at):
-        at = at[at + step < len(key)]
+    other, step = _others(key, component), 1
+    down = np.flatnonzero(other)
+    up = down[most[down] >= n[down]]
+    while len(up) or len(down):
         # sizes ascend within a key
-        at = at[(key[at] == key[at + step]) & (LEAST[1] * n[at] >= LEAST[0] * n[at + step]) & (most[at] >= n[at + step])]
-        here = at[(component[at] != component[at + step]) & (most[at + step] >= n[at]) & ((side[at] == 0) | (side[at] != side[at + step]))]
+        up = up[up + step < len(key)]
+        up = up[(key[up] == key[up + step]) & (LEAST[1] * n[up] >= LEAST[0] * n[up + step]) & (most[up] >= n[up + step])]
+        down = down[down >= step]
+        down = down[(key[down] == key[down - step]) & (LEAST[1] * n[down - step] >= LEAST[0] * n[down])]
+        at = np.concatenate([up, down[~other[down - step]] - step])
+        allowed = (most[at] >= n[at + step]) & (most[at + step] >= n[at]) & ((side[at] == 0) | (side[at] != side[at + step]))
+        here = at[(component[at] != component[at + step]) & allowed]
         if len(here):
             a, b = rep[here], rep[here + step]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
         step += 1
-        if not far:
+        if far and step > far:
             break
 
 
+def _block() -> Column:
+    """The block of MEMBERS rows of its key that a row is in."""
+    return F.floor(F.col("place") / MEMBERS).cast("int")
+
+
 def _dealt(met: DataFrame) -> DataFrame:
     """met with a side, its keys split into pairs of blocks where they have several: of each pair only the rows that may be
     linked to one of the other block."""
-    large = written(met.where("block > 0").select("key").distinct(), "large")
+    large = written(met.where(F.col("place") == MEMBERS).select("key"), "large")
+    met = met.withColumn("block", _block())
     if large.isEmpty():
         return met.select("key", "rep", "n", "most", "component", F.lit(0).alias("side"))
     blocks = met.join(large, "key", "left_semi").groupBy("key", "block").agg(F.min("n").alias("least"), F.max("most").alias("reach"))
@@ -185,12 +217,12 @@ def _dealt(met: DataFrame) -> DataFrame:
     return wide.select(key.alias("key"), "rep", "n", "most", "component", side.cast("int").alias("side"))
 
 
-def _meeting(met: DataFrame, far: bool) -> DataFrame:
-    """(a, b): pairs that meet by a shingle. met: (key, rep, n, most, block, component)."""
-    if far:
+def _meeting(met: DataFrame, far: int | None) -> DataFrame:
+    """(a, b): pairs that meet by a shingle, all or no more than `far` places apart. met: (key, rep, n, most, place, component)."""
+    if far is None:
         dealt = _dealt(met)
-    else:  # neighbours within a block will do
-        key = F.when(F.col("block") == 0, F.col("key")).otherwise(F.xxhash64("key", "block"))
+    else:  # those within a block will do
+        key = F.when(F.col("place") < MEMBERS, F.col("key")).otherwise(F.xxhash64("key", _block()))
         dealt = met.select(key.alias("key"), "rep", "n", "most", "component", F.lit(0).alias("side"))
     dealt = dealt.repartition("key").sortWithinPartitions("key", "n", "rep")
     return written(dealt.mapInArrow(lambda batches: by_key(batches, lambda rows: _pairs(rows, far)), "a long, b long").distinct(), "pairs")
@@ -276,18 +308,24 @@ def near_nodes(rows: DataFrame, shingle: int = SHINGLE, groups: Groups | None =
 
     schema = "key long, rep long, n int, most int"
     met = map_texts(texts, keys, schema, limit=BLOCK_BYTES).repartition("key").sortWithinPartitions("key", "n", "rep")
-    met = written(met.mapInArrow(_met, f"{schema}, block int"), "met")
+    met = written(met.mapInArrow(_met, f"{schema}, place int"), "met")
 
-    def components_of(links: DataFrame) -> DataFrame:
+    def components_of(links: DataFrame, met: DataFrame) -> DataFrame:
         named = met.join(components(links, "near"), F.col("rep") == F.col("node"), "left")
-        return named.select("key", "rep", "n", "most", "block", F.coalesce("component", "rep").alias("component"))
+        return named.select("key", "rep", "n", "most", "place", F.coalesce("component", "rep").alias("component"))
 
     unlike = lambda pairs: pairs.withColumn("likely", F.lit(False))
-    pairs = unlike(_meeting(met.withColumn("component", F.col("rep")), far=False))
+    pairs = unlike(_meeting(met.withColumn("component", F.col("rep")), far=1))
     if groups is not None:
         pairs = pairs.union(_first_pairs(groups(texts.select(F.col("id").alias("row"), "text")), nodes).withColumn("likely", F.lit(True)))
     links = _compared(pairs, nodes, texts, shingle)
-    links = links.union(_compared(unlike(_meeting(components_of(links), far=True)), nodes, texts, shingle))
+    for far in FAR:
+        crowded = written(met.where(F.col("place") == far).select("key"), "crowded")
+        if crowded.isEmpty():
+            break
+        pairs = _meeting(components_of(links, met.join(crowded, "key", "left_semi")), far=far)
+        links = links.union(_compared(unlike(pairs), nodes, texts, shingle))
+    links = links.union(_compared(unlike(_meeting(components_of(links, met), far=None)), nodes, texts, shingle))
     found = components(links, "near")
     return nodes.join(found, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component"), "first")
 

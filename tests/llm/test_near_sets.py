@@ -2,6 +2,8 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from driftlake.llm import near_sets
@@ -136,6 +138,43 @@ def test_frequent_shingles_meet_block_by_block(spark, monkeypatch):
     assert sorted(r.doc_id for r in without_near_copies(docs, ("doc_id", "lang")).collect()) == sorted(set(groups.values()))
 
 
+def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
+    """1,000 copies of 150 words with one to five changed, of which some 640 are one group: pairs that the group has brought
+    together are not made, and the groups are those of all pairs."""
+    prepare(spark)
+    made, plain = [], near_sets._meeting
+    monkeypatch.setattr(near_sets, "_meeting", lambda met, far: made.append(plain(met, far)) or made[-1])
+    rnd, texts = random.Random(5), {}
+    for i in range(1000):
+        own = [f"w{k}" for k in range(150)]
+        for k in rnd.sample(range(150), 1 + i % 5):
+            own[k] = f"x{i}y{k}"
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    check(near_copies(docs).collect(), texts)
+    assert sum(p.count() for p in made) < 100 * len(texts)
+
+
+def test_steps_and_blocks_lose_no_link(spark, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(near_sets, "MEMBERS", 12)
+    monkeypatch.setattr(near_sets, "FAR", (2, 6))
+    monkeypatch.setattr(near_sets, "OFTEN", 1000)
+    texts = copies() | {1000 + k: t for k, t in templates(40, 40, 9).items()}
+    check(near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect(), texts)
+
+
+def test_pairs_are_those_of_different_components():
+    rnd = random.Random(7)
+    for far in (None, 1, 3):
+        rows = [(rnd.randrange(-3, 3), rnd.randrange(5, 12), rep, rnd.randrange(4, 15), rnd.choice([1, 1, 1, 2, 3]), rnd.choice([0, 1, 2])) for rep in range(200)]
+        rows = sorted((key, n, rep, most, component, side if key % 2 else 0) for key, n, rep, most, component, side in rows)
+        made = pa.table(dict(zip(("key", "n", "rep", "most", "component", "side"), map(np.array, zip(*rows)))))
+        pairs = sorted(p for batch in near_sets._pairs(made, far) for p in zip(*(c.to_pylist() for c in batch.columns)))
+        met = lambda x, y: x[0] == y[0] and x[4] != y[4] and x[3] >= y[1] and y[3] >= x[1] and 5 * x[1] >= 4 * y[1] and (x[5] == 0 or x[5] != y[5])
+        assert pairs == sorted(tuple(sorted((x[2], y[2]))) for i, x in enumerate(rows) for j, y in enumerate(rows) if 0 < j - i <= (far or 200) and met(x, y))
+
+
 def test_simhash_groups_make_links(spark, monkeypatch):
     """Pages of one line a hundred times and ten words of their own: sets far apart, nearly all of the text the same."""
     prepare(spark)
