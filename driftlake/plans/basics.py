@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from driftlake.functions.columns import truthy
 from driftlake.functions.units import converted, normalized_column
 from driftlake.operators import basics as ops
-from driftlake.operators.series import from_table, valid
-from driftlake.plans.base import T, U, by_type, by_user, query, rounded, table
+from driftlake.operators.series import from_table, in_turn, valid
+from driftlake.plans.base import T, U, by_type, by_user, query, r, rounded, table
 
 _HOLES_SQL = "CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'nan'::DOUBLE WHEN event_id % 19 = 0 THEN 'inf'::DOUBLE ELSE value END"
 
@@ -161,5 +161,5 @@ def runs_test(spark, sf):
 
 @query("bh_adjust", f"WITH {U}, p AS (SELECT series, (sum(value) - floor(sum(value))) AS p FROM e GROUP BY series), k AS (SELECT series, round(p, 6) AS p FROM p), r AS (SELECT *, row_number() OVER (ORDER BY p, series) AS r, count(*) OVER () AS n FROM k) SELECT series, p, round(least(1.0, min(p * n / r) OVER (ORDER BY r DESC)), 6) AS q FROM r")
 def bh_adjust(spark, sf):
-    s = F.sum("value")
-    return rounded(ops.bh_adjusted(by_user(spark, sf).groupBy("series").agg(F.round(s - F.floor(s), 6).alias("p"))))
+    s = F.col("s")
+    return rounded(ops.bh_adjusted(in_turn(by_user(spark, sf), "seq", s=F.col("value")).select("series", r(s - F.floor(s)).alias("p"))))
