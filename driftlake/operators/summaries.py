@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlake.functions.columns import to_places
 from driftlake.operators.composite import SAFETY, STATUS_RANKS
 
 #: How a statement's basis is shown.
@@ -17,7 +18,7 @@ def status_label(status: Column) -> Column:
 
 def summary(reports: DataFrame) -> DataFrame:
     """(series, status, score, n, drift, method) of `composite.analyze` reports."""
-    return reports.select("series", status_label(F.col("status")).alias("status"), F.round("score", 1).alias("score"), "n", "drift", F.col("change_method").alias("method"))
+    return reports.select("series", status_label(F.col("status")).alias("status"), to_places(F.col("score"), 1).alias("score"), "n", "drift", F.col("change_method").alias("method"))
 
 
 def panel_result(reports: DataFrame, panel: str = "panel") -> DataFrame:
