@@ -153,9 +153,10 @@ TWO_SIDED = "SELECT *, 2 * " + _SF + " AS p FROM (SELECT *, 1.0::DOUBLE / (1.0::
 
 @query("runs_test", f"WITH {U}, c AS (SELECT *, value - avg(value) OVER (PARTITION BY series) AS d FROM e), s AS (SELECT *, lag(d > 0) OVER (PARTITION BY series ORDER BY ts, seq) AS l FROM c WHERE d <> 0), g AS (SELECT series, sum(CASE WHEN l IS NULL OR l <> (d > 0) THEN 1 ELSE 0 END)::BIGINT AS runs, sum(CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE 0 END) AS a, sum(CASE WHEN d > 0 THEN 0 ELSE 1.0::DOUBLE END) AS b FROM s GROUP BY series), z AS (SELECT series, runs, a + b AS n, (runs - (1 + 2 * a * b / (a + b))) / sqrt(2 * a * b * (2 * a * b - a - b) / ((a + b) ** 2 * (a + b - 1))) AS z FROM g), p AS ({TWO_SIDED.format('z')}) SELECT series, runs, round(CASE WHEN n < 8 THEN 0 ELSE z END, 6) AS z, round(CASE WHEN n < 8 THEN 1 ELSE p END, 6) AS p FROM p")
 def runs_test(spark, sf):
-    from driftlake.operators.series import with_stats
-
-    own = with_stats(by_user(spark, sf), m=F.avg("value")).withColumn("d", F.col("value") - F.col("m"))
+    e = by_user(spark, sf)
+    # added in the order of arrival, as a value may be the mean but for its last bits, and has a sign then
+    means = in_turn(e, "seq", s=F.col("value")).select("series", (F.col("s") / F.col("n")).alias("m"))
+    own = e.join(means, "series").withColumn("d", F.col("value") - F.col("m"))
     return rounded(ops.runs_test(own, "d"))
 
 
