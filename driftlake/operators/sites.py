@@ -55,16 +55,16 @@ def surrogate_times(df: DataFrame, start: str = "2020-01-01 00:00:00") -> DataFr
 
 
 def chi2_tail(q: Column, df: Column) -> Column:
-    """Upper tail of chi-square by the cube-root approximation of Wilson and Hilferty; 1 for q or df of 0."""
+    """Upper tail of chi-square by the cube-root approximation of Wilson and Hilferty; 1 for q or df of 0, null where q is."""
     spread = 2.0 / (9.0 * F.greatest(df, F.lit(1)))
     z = (F.pow(F.greatest(q, F.lit(0.0)) / F.greatest(df, F.lit(1)), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
-    return F.when((df <= 0) | (q <= 0), 1.0).otherwise(normal_sf(z))
+    return F.when((df <= 0) | (q <= 0), 1.0).when(q.isNotNull(), normal_sf(z))
 
 
 def heterogeneity(drifting: DataFrame) -> DataFrame:
     """(series, sites_drifting, concordance, drift_q, drift_p) of (series, site, n, magnitude, direction), the sites whose
     drift was detected: Cochran's Q of their magnitudes, weighted by their values, and the share of them that go the way of
-    the first by name."""
+    the first by name. Magnitudes that are all unknown leave Q and its p unknown."""
     w = Window.partitionBy("series")
     own = drifting.withColumn("_first", F.min_by("direction", "site").over(w)).withColumn("_mean", F.sum(F.col("n") * F.col("magnitude")).over(w) / F.sum("n").over(w))
     out = own.groupBy("series").agg(F.count("*").alias("sites_drifting"), F.avg((F.col("direction") == F.col("_first")).cast("double")).alias("concordance"), F.sum(F.col("n") * (F.col("magnitude") - F.col("_mean")) ** 2).alias("q"))
@@ -94,7 +94,10 @@ def study(df: DataFrame) -> DataFrame:
         F.count("*").alias("sites"), F.first("mu").alias("grand_mean"), F.sqrt(F.first("tau2")).alias("between_sd"),
         F.sqrt(F.sum((F.col("n") - 1) * F.col("sd") ** 2) / F.greatest(F.sum("n") - F.count("*"), F.lit(1))).alias("within_sd"), F.first("i2").alias("i2"), F.first("lower").alias("lower"), F.first("upper").alias("upper"),
     )
-    out = figures.join(local, "series", "left").join(together, "series", "left").fillna({"sites_drifting": 0, "concordance": 1.0, "drift_q": 0.0, "drift_p": 1.0, "global_drift": False})
+    out = figures.join(local, "series", "left").join(together, "series", "left")
+    # of a study without drifting sites; what is unknown of others stays so
+    out = out.withColumns({c: F.when(F.col("sites_drifting").isNull(), x).otherwise(F.col(c)) for c, x in (("drift_q", 0.0), ("drift_p", 1.0))})
+    out = out.fillna({"sites_drifting": 0, "concordance": 1.0, "global_drift": False})
     n, shared = F.col("sites_drifting"), F.col("global_drift") & (F.col("within_sd") > 0)
     kind = (
         F.when((n == 0) & ~shared, "stable").when((n >= 2) & (F.col("drift_p") < 0.05) & (F.col("concordance") < 0.75), "site_specific")
