@@ -156,26 +156,84 @@ def four_parameter(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
     """Asymptotes for small and large x, midpoint and slope of a logistic curve, by damped Gauss-Newton steps.
 
     Midpoint and slope are kept positive by their logarithms; a step is halved until it leaves less than before."""
-    ax = np.maximum(x, 1e-9)
-    p = np.array([y[x.argmin()], y[x.argmax()], np.median(x[x > 0]) if (x > 0).any() else 1.0, 1.0], float)
-    left = ((y - logistic_at(p, x)) ** 2).sum()
+    return four_parameters(x[None, :], y[None, :], steps)[0]
+
+
+def four_parameters(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
+    """The same for many series of one length, a row each; a series that no step betters goes no further."""
+    ax, row = np.maximum(x, 1e-9), np.arange(len(x))
+    middle = np.array([np.median(v[v > 0]) if (v > 0).any() else 1.0 for v in x])
+    p = np.stack([y[row, x.argmin(1)], y[row, x.argmax(1)], middle, np.ones(len(x))], 1).astype(float)
+    at = lambda p, own: logistic_at(p.T[:, :, None], x[own])
+    left = ((y - at(p, row)) ** 2).sum(1)
     for _ in range(steps):
-        power = np.exp(np.clip(p[3] * np.log(ax / p[2]), -60, 60))
-        slope = (p[0] - p[1]) * power / (1 + power) ** 2 * p[3]
-        jacobian = np.stack([1 / (1 + power), 1 - 1 / (1 + power), slope, -slope * np.log(ax / p[2])], 1)
-        step, *_ = np.linalg.lstsq(jacobian, y - logistic_at(p, x), rcond=None)
+        own = p[row]
+        power = np.exp(np.clip(own[:, 3:] * np.log(ax[row] / own[:, 2:3]), -60, 60))
+        slope = (own[:, :1] - own[:, 1:2]) * power / (1 + power) ** 2 * own[:, 3:]
+        jacobian = np.stack([1 / (1 + power), 1 - 1 / (1 + power), slope, -slope * np.log(ax[row] / own[:, 2:3])], 2)
+        over = y[row] - at(own, row)
+        step = np.stack([np.linalg.lstsq(j, r, rcond=None)[0] for j, r in zip(jacobian, over)])
+        bettered, open_ = np.zeros(len(row), bool), np.arange(len(row))
         for damping in 0.5 ** np.arange(1, 8):
-            move = damping * step
-            to = np.array([p[0] + move[0], p[1] + move[1], p[2] * np.exp(np.clip(move[2], -2, 2)), p[3] * np.exp(np.clip(move[3], -2, 2))])
-            now = ((y - logistic_at(to, x)) ** 2).sum()
-            if np.isfinite(now) and now < left:
-                p, left = to, now
+            move, of = damping * step[open_], row[open_]
+            to = np.concatenate([p[of, :2] + move[:, :2], p[of, 2:] * np.exp(np.clip(move[:, 2:], -2, 2))], 1)
+            now = ((y[of] - at(to, of)) ** 2).sum(1)
+            good = np.isfinite(now) & (now < left[of])
+            p[of[good]], left[of[good]], bettered[open_[good]] = to[good], now[good], True
+            open_ = open_[~good]
+            if not len(open_):
                 break
-        else:
+        row = row[bettered]
+        if not len(row):
             break
     return p
 
 
+#: Rows of short series that go through a task's arrays together.
+TOGETHER = 100_000
+
+
+def _whole_series(df: DataFrame, work, schema: str, *order: str) -> DataFrame:
+    """What work makes of many whole series at a time, in order: work(table, starts) gets rows of series and the places where
+    they begin. Some TOGETHER rows are held, or a series if it has more."""
+
+    most = TOGETHER
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < most:
+                continue
+            table = pa.Table.from_batches(held)
+            starts = np.flatnonzero(table.column("_row").to_numpy() == 1)
+            last = int(starts[-1])
+            if last:  # the last series may go on
+                yield from work(table.slice(0, last), starts[:-1]).to_batches()
+            held = table.slice(last).combine_chunks().to_batches()
+            rows = table.num_rows - last
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from work(table, np.flatnonzero(table.column("_row").to_numpy() == 1)).to_batches()
+
+    over = Window.partitionBy("series").orderBy(*order)
+    # the window keeps a series together and in order, in the partitions where it may be already
+    return df.withColumn("_row", F.row_number().over(over)).mapInArrow(run, schema)
+
+
+def _logistic_fits(x: np.ndarray, y: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Four parameters of each series, those of one length together; null rows for series not in which."""
+    sizes, found = np.diff([*starts, len(x)]), np.full((len(starts), 4), np.nan)
+    for n in np.unique(sizes[which]):
+        own = np.flatnonzero(which & (sizes == n))
+        place = starts[own][:, None] + np.arange(n)
+        found[own] = four_parameters(x[place], y[place])
+    return found
+
+
 def logistic_at(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return p[1] + (p[0] - p[1]) / (1 + np.exp(np.clip(p[3] * np.log(np.maximum(x, 1e-9) / p[2]), -60, 60)))
 
@@ -184,19 +242,24 @@ def curve_fits(pairs: DataFrame, model: str) -> DataFrame:
     """(series, k, x, y, fit) of models that need a series' pairs together: spline, fourpl; a line where those cannot be."""
     kinds = dict(pairs.dtypes)
 
-    def run(t: pa.Table) -> pa.Table:
+    def work(t: pa.Table, starts: np.ndarray) -> pa.Table:
         x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
-        if model == "spline" and len(np.unique(x)) >= 3:
-            fit = spline_at(*natural_spline(x, y), x)
-        elif model == "fourpl" and len(x) >= 4:
-            fit = logistic_at(four_parameter(x, y), x)
-        else:
-            slope = np.polyfit(x, y, 1) if len(np.unique(x)) > 1 else np.array([0.0, y.mean()])
-            fit = np.polyval(slope, x)
-        return t.append_column("fit", pa.array(fit))
-
-    own = valid_pairs(pairs).select("series", "k", "x", "y")
-    return own.groupBy("series").applyInArrow(run, f"series {kinds['series']}, k {kinds['k']}, x double, y double, fit double")
+        sizes, fit = np.diff([*starts, len(x)]), np.empty(len(x))
+        whole = (sizes >= 4) & (model == "fourpl")
+        if whole.any():
+            p = np.repeat(_logistic_fits(x, y, starts, whole), sizes, 0)
+            fit = logistic_at(p.T, x)
+        for a, n in zip(starts[~whole].tolist(), sizes[~whole].tolist()):
+            u, v = x[a : a + n], y[a : a + n]
+            if model == "spline" and len(np.unique(u)) >= 3:
+                fit[a : a + n] = spline_at(*natural_spline(u, v), u)
+            else:
+                slope = np.polyfit(u, v, 1) if len(np.unique(u)) > 1 else np.array([0.0, v.mean()])
+                fit[a : a + n] = np.polyval(slope, u)
+        return t.select(["series", "k", "x", "y"]).append_column("fit", pa.array(fit))
+
+    own = valid_pairs(pairs).select("series", "k", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return _whole_series(own, work, f"series {kinds['series']}, k {kinds['k']}, x double, y double, fit double", "k", "x", "y")
 
 
 def compare_lots(df: DataFrame) -> DataFrame:
