@@ -369,18 +369,29 @@ def predict_response(points: DataFrame, curves: DataFrame) -> DataFrame:
     lines = curves.where(~F.col("model").isin("spline", "fourpl")).select("series", "coefficients")
     horner = F.aggregate(F.reverse("coefficients"), F.lit(0.0), lambda s, c: s * F.col("x") + c)
     out = points.join(lines, "series").withColumn("fit", horner).drop("coefficients")
-    fields = ", ".join(f"{c} {t}" for c, t in points.dtypes)
-
-    def run(own: pa.Table, curve: pa.Table) -> pa.Table:
-        if not own.num_rows or not curve.num_rows:
-            return own.slice(0, 0).append_column("fit", pa.array([], pa.float64()))
-        found = curve_at(curve.column("model")[0].as_py(), np.array(curve.column("coefficients")[0].as_py()), own.column("x").to_numpy())
-        return own.append_column("fit", pa.array(found))
-
-    # a name of its own, since points and curves may stem from the same rows
     others = curves.where(F.col("model").isin("spline", "fourpl")).select(F.col("series").alias("_key"), "model", "coefficients")
-    by_curve = points.groupBy("series").cogroup(others.groupBy("_key")).applyInArrow(run, f"{fields}, fit double")
-    return out.unionByName(by_curve)
+    # only points of such curves go on, each behind the curve of its series, which a task then needs but one at a time
+    theirs = points.join(others.select("_key"), F.col("series") == F.col("_key"), "left_semi")
+    null = lambda t: F.lit(None).cast(t)
+    ahead = others.select(F.col("_key"), F.lit(1).alias("_row"), "model", "coefficients", *(null(t).alias(c) for c, t in points.dtypes))
+    behind = theirs.select(F.col("series").alias("_key"), F.lit(2).alias("_row"), null("string").alias("model"), null("array<double>").alias("coefficients"), *points.columns)
+    both = ahead.unionByName(behind).repartition("_key").sortWithinPartitions("_key", "_row").drop("_key")
+    names = [*points.columns, "fit"]
+
+    def run(batches):
+        now = None
+        for batch in batches:
+            x, first = batch.column("x").cast(pa.float64()).to_numpy(zero_copy_only=False), batch.column("_row").to_numpy(zero_copy_only=False) == 1
+            heads, fit = np.flatnonzero(first).tolist(), np.empty(len(x))
+            for a, b in zip([0, *heads], [*heads, len(x)]):
+                if a < len(x) and first[a]:
+                    now, a = (batch.column("model")[a].as_py(), batch.column("coefficients")[a].values.to_numpy()), a + 1
+                if a < b:
+                    fit[a:b] = curve_at(*now, x[a:b])
+            kept = pa.array(np.flatnonzero(~first))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in names[:-1]), pa.array(fit).take(kept)], names)
+
+    return out.unionByName(both.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*points.dtypes, ("fit", "double")])))
 
 
 METHODS = ("bland_altman", "deming", "passing_bablok", "ols", "theil_sen")

@@ -56,3 +56,10 @@ def test_fits_do_not_depend_on_the_order_of_rows(dealt):
             else:
                 continue
             assert [got[s, k] for k in range(len(x))] == want.tolist()
+
+
+def test_no_task_holds_the_points_of_a_line(spark):
+    """Polynomials are evaluated where the points are: none goes to a worker, grouped by series or otherwise."""
+    df = spark.createDataFrame(pairs_of(4), SCHEMA)
+    plan = comparison.predict_response(df.select("series", "x"), comparison.calibrate(df, "polynomial"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "LocalRelation <empty>" in plan
