@@ -58,6 +58,24 @@ def test_fits_do_not_depend_on_the_order_of_rows(dealt):
             assert [got[s, k] for k in range(len(x))] == want.tolist()
 
 
+def test_curves_at_new_x(dealt):
+    at = dealt.select("series", (F.col("x") + 0.5).alias("x")).distinct()
+    for model in ("fourpl", "spline"):
+        curves = comparison.calibrate(dealt, model)
+        got = {(r.series, r.x): r.fit for r in comparison.predict_response(at, curves).collect()}
+        kept = {r.series: r for r in curves.collect()}
+        own = {s: v for s, v in by_series().items() if v.shape[1] >= 3}
+        assert kept.keys() == own.keys() and len(got) == sum(len(np.unique(x)) for x, _ in own.values())
+        for s, (x, y) in own.items():
+            c = np.array(kept[s].coefficients)
+            for a in np.unique(x) + 0.5:
+                assert got[s, a] == comparison.curve_at(model, c, np.array([a]))[0]
+            if model == "fourpl":
+                assert c.tolist() == comparison.four_parameter(x, y).tolist()
+            left = ((y - comparison.curve_at(model, c, x)) ** 2).sum()
+            assert kept[s].residual_sd == pytest.approx((left / len(x)) ** 0.5) and kept[s].n == len(x)
+
+
 def test_no_task_holds_the_points_of_a_line(spark):
     """Polynomials are evaluated where the points are: none goes to a worker, grouped by series or otherwise."""
     df = spark.createDataFrame(pairs_of(4), SCHEMA)
